@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,10 @@ def hash_below(doc_id: Column, share: float) -> Column:
     """Deterministic sampling predicate that keeps about ``share`` of the ids."""
     steps = 1 << 20
     return F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(steps)) < int(min(1.0, share) * steps)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a compressed columnar table in the shared folder: for larger intermediate results."""
+    where = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
