@@ -195,8 +195,9 @@ def _spans(path: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, int(path[a])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with_spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, n_spans (and the spans by word numbers, if asked for) of every document."""
+def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with_spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, n_spans (and the spans by word numbers, if asked for) of every document; columns
+    in ``keep`` come along under ``_keep_*`` names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the corpus
     schema = "doc_id long, lang_pred string, score double, n_spans int"
     kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()]
@@ -204,6 +205,9 @@ def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with
         schema += ", spans array<struct<first_word: long, end_word: long, lang: string>>"
         kinds.append(pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())])))
     names = ["doc_id", "lang_pred", "score", "n_spans", "spans"][: len(kinds)]
+    chosen = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    for c in keep:
+        schema += f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(shared.value)
@@ -227,6 +231,7 @@ def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with
                     row = (doc_id, langs[top], float(share / odds.sum()), len(spans), [{"first_word": a, "end_word": b, "lang": langs[k]} for a, b, k in spans])
                 for column, x in zip(out, row, strict=False):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
+            made = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *[batch.column(2 + k) for k in range(len(keep))]], names=[*names, *[f"_keep_{c}" for c in keep]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)

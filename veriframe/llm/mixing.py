@@ -24,6 +24,8 @@ from veriframe.llm.common import WORD_PATTERN, cut
 ROUND_PARTS = 16
 #: Candidates a size class and direction offers for the repair.
 CANDIDATES = 6
+#: Documents whose copies (12 bytes each) are broadcast to them; more are joined by exchange.
+BROADCAST_ROWS = 1_000_000
 NEWTON_STEPS = 25
 TOLERANCE = 1e-10
 
@@ -127,25 +129,22 @@ def round_to_copies(rated: DataFrame, cap: int = 3) -> DataFrame:
     return first.join(moves, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move", "_h", "_class", "_part")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, prior: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken (and the columns in ``keep``) for every document."""
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, prior: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken and uid (the row's place) for every document."""
     base = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
-        (prior if prior is not None else F.lit(1.0)).alias("prior"), *kept,
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        (prior if prior is not None else F.lit(1.0)).alias("prior"), F.monotonically_increasing_id().alias("uid"),
     )
-    base = cut(base.withColumn("uid", F.monotonically_increasing_id()))
+    base = cut(base)
     rated = balance(base, source_targets(base, weights, cap), cap)
     mixed = round_to_copies(rated, cap)
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-        *[F.col(f"_keep_{c}").alias(c) for c in keep],
-    )
+    return mixed.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "uid")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """The mixture itself: every document as often as it is taken, with the columns it came with."""
-    names = docs.columns
-    mixed = mix(docs, weights, cap, keep=tuple(names))
-    repeated = mixed.select("copies", *names).filter("copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    """The mixture itself: every document as often as it is taken, with the columns it came with. The input must
+    read the same rows in the same order each time (a table or a written intermediate result)."""
+    taken = cut(mix(docs, weights, cap).filter("copies > 0").select(F.col("uid").alias("_uid"), F.col("copies").cast("int").alias("_copies")))
+    side = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
+    placed = docs.withColumn("_uid", F.monotonically_increasing_id()).join(side, "_uid")
+    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

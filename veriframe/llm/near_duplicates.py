@@ -298,14 +298,32 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     return rows.select("did", "node"), cut(found.unionByName(verify(more, reps, docs, threshold)))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, kept (true for one document of each class)
-    for every row. Null and blank texts are classes of their own."""
-    rows, found = links(docs, threshold)
+def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows (uid, doc_id, root) with the class each row is in, root null for texts without a
+    shingle; classes (root, class_id, class_size, lead), lead being the row that stands for the class."""
+    _, found = links(docs, threshold)
     rooted = components(found)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), (F.coalesce("text", F.lit("")).rlike(r"\S")).alias("full"))
-    labelled = own.join(rooted, "node", "left").select("doc_id", "node", "full", F.coalesce("root", "node").alias("root"))
-    named = labelled.filter("full").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    labelled = labelled.filter("full").join(named, "root").select("doc_id", "class_id", "class_size")
-    alone = own.filter("not full").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return labelled.unionByName(alone)
+    full = F.coalesce("text", F.lit("")).rlike(r"\S")
+    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.when(full, F.xxhash64("text")).alias("node"))
+    rows = cut(own.join(rooted, "node", "left").select("uid", "doc_id", F.coalesce("root", "node").alias("root")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))
+    named = rows.filter("root is not null").groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
+    return rows, named.select("root", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.uid").alias("lead"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), class_size, kept (true for one row of each class) for
+    every row. Null and blank texts are classes of their own."""
+    rows, named = _labelled(docs, threshold)
+    alone = rows.filter("root is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    joined = rows.filter("root is not null").join(named, "root")
+    return joined.select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("lead")).alias("kept")).unionByName(alone)
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with one row of each class: that of the smallest id. Null and blank texts all stay. The input
+    must read the same rows in the same order each time (a table or a written intermediate result)."""
+    rows, named = _labelled(docs, threshold)
+    gone = cut(rows.filter("root is not null").join(named.filter("class_size > 1"), "root").filter("uid <> lead").select("uid"))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
+    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(side.withColumnRenamed("uid", "_uid"), "_uid", "left_anti").drop("_uid")

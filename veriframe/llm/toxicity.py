@@ -26,11 +26,11 @@ from veriframe.llm.common import cut, hash_below, held_out
 
 MAX_TRAIN_DOCS = 24_000
 MIN_TOXIC = 3
-MIN_Z = 4.0
+MIN_Z = 3.0
 #: The word list's bound; the most significant words stay.
 MAX_WORDS = 5_000
 #: Weight of the prior, as a share of the counted words.
-PRIOR_SHARE = 0.02
+PRIOR_SHARE = 0.1
 #: Words of ordinary text that cancel one average toxic word.
 REACH = 20
 SIGNIFICANT = 0.05
@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
         .filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).toPandas()
     )
     if kept.empty:
-        return empty
+        base = rows.agg(F.avg("toxic").alias("p")).first().p
+        return empty | {"levels": [float(base)] * 9}
     words = dict(zip(kept["word"], kept["delta"].astype(float), strict=True))
     model = empty | {"words": words, "drift": -float(kept["delta"].median()) / REACH}
     # lambda: the positive root of sum p * exp(lambda * s) = 1 under the clean distribution
