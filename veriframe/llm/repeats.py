@@ -1,14 +1,16 @@
 """Removal of long strings that repeat anywhere in the corpus, byte for byte.
 
-Every ``LENGTH``-byte string has one anchor: its leftmost smallest hash of a ``GRAM``-byte piece. Equal strings have
-equal anchors at the same place, so only strings that share an anchor need comparing. Neighbouring strings with
-one anchor form a run; a run is one small row (anchor, hash of the run's bytes, place). Runs are exchanged by anchor
-once: a run whose bytes occur twice repeats as a whole; where runs of one anchor differ, one copy of each distinct
-run's bytes is fetched and its strings are counted by hash inside a task (by a further exchange where an anchor
-has very many distinct runs). Nothing depends on how often a passage occurs: equal runs are never compared pairwise.
-
-This stands in for merging shard Burrows-Wheeler transforms, whose refinement passes over every byte up to LENGTH
-times do not fit the time limits; see the README. Both give the same set: all positions that start a repeated string.
+Repeated strings are found in Burrows-Wheeler transforms of shards, merged by interleave refinement (``bwt``): places
+of the merged order whose common prefix is LENGTH bytes are repeated intervals. Refinement reads every place once
+a round, so the transforms are not built over the whole corpus but over the parts that can repeat:
+
+Every LENGTH-byte string has one anchor, its leftmost smallest hash of a GRAM-byte piece. Equal strings have equal
+anchors at the same place, so only strings that share an anchor can be equal. Neighbouring strings with one anchor
+form a run; a run is one small row (anchor, hash of the run's bytes, place). Runs are exchanged by anchor once. A run
+with an anchor of its own cannot repeat. Runs of the same bytes are one string of the collection, repeated as a
+whole. Where runs of one anchor differ, one copy of each distinct run's bytes is fetched and the runs of a task are
+indexed as shards and merged. Runs of an anchor that has very many distinct ones are dealt out by string hash
+instead. Equal runs are never compared pairwise, so nothing depends on how often a passage occurs.
 
 Defined cases: null texts are empty; texts shorter than LENGTH bytes have no such string and stay whole; repeated
 rows are different places, so a text of LENGTH bytes or more that occurs twice is removed from both; an empty table
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriframe.llm import bwt
 from veriframe.llm.common import cut_table
 
 LENGTH = 200
@@ -180,29 +183,35 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         held: list[tuple] = []
         size = {"anchor": None, "n": 0}
 
-        def strings(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def batch_of(columns: tuple, is_open: bool) -> pa.RecordBatch:
+            uid, first, n, key, single = columns
+            return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(single), pa.array(np.full(len(uid), is_open))], names=["uid", "first", "n", "key", "single", "open"])
+
+        def columns_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            uid, first = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+            return uid, first, ~np.array([r[3] for r in rows], dtype=bool)
+
+        def indexed(rows: list[tuple]) -> pa.RecordBatch:
+            uid, first, single = columns_of(rows)
+            owner, offset = bwt.repeated([r[4] for r in rows], length)
+            keep = single[owner]
+            order = np.lexsort((offset[keep], owner[keep]))
+            own, place = owner[keep][order], offset[keep][order]
+            new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1))) if len(own) else own
+            n = np.diff(np.append(new, len(own)))
+            return batch_of((uid[own[new]], first[own[new]] + place[new], n, np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=bool)), False)
+
+        def passed_on(rows: list[tuple]) -> pa.RecordBatch:
+            uid, first, single = columns_of(rows)
             data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
             bounds = np.cumsum([0] + [len(r[4]) for r in rows])
-            starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
             owner = np.repeat(np.arange(len(rows)), np.diff(bounds) - length + 1)
-            return Hashes(data).of(starts, starts + length), owner, starts - bounds[owner]
+            starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            key = Hashes(data).of(starts, starts + length) ^ _mixed(np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64))[owner]
+            return batch_of((uid[owner], first[owner] + starts - bounds[owner], np.ones(len(owner), dtype=np.int64), key.view(np.int64), single[owner]), True)
 
         def give(rows: list[tuple], whole_groups: bool) -> pa.RecordBatch:
-            value, owner, offset = strings(rows)
-            anchor = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)[owner]
-            uid, first = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
-            single = ~np.array([r[3] for r in rows])
-            key = value ^ _mixed(anchor)
-            if whole_groups:
-                _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-                hit = np.flatnonzero((times[inverse] > 1) & single[owner])
-                own, place = owner[hit], offset[hit]
-                new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1))) if len(hit) else np.zeros(0, dtype=np.int64)
-                n = np.diff(np.append(new, len(hit)))
-                columns = (uid[own[new]], first[own[new]] + place[new], n, np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=bool))
-            else:
-                columns = (uid[owner], first[owner] + offset, np.ones(len(owner), dtype=np.int64), key.view(np.int64), single[owner])
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3]), pa.array(columns[4]), pa.array(np.full(len(columns[0]), not whole_groups))], names=["uid", "first", "n", "key", "single", "open"])
+            return indexed(rows) if whole_groups else passed_on(rows)
 
         huge = False
         for batch in batches:
