@@ -1,2 +1,752 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries over the driver tables, each with the SQL it must equal."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veriframe.functions import scalars, vectors
+from veriframe.operators import audio, detection, losses, prepare, runs, scoring
+from veriframe.sources import logs
+from veriframe.streaming import monitor
+
+DIM = 64
+REACH = 200
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(column: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(column) if isinstance(column, str) else column, digits)
+
+
+# ---- trials and detection metrics -------------------------------------------------------------------------------
+
+_E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS BIGINT) AS label FROM embeddings)"
+_T = f"""{_E}, t AS (SELECT a.vec_id AS ref, b.vec_id AS com, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS label,
+  round(-list_distance(a.v, b.v), 6) AS score FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + {REACH})"""
+_R = f"""{_T}, c AS (SELECT score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM t GROUP BY score),
+ r AS (SELECT score, pos, neg, row_number() OVER (ORDER BY score DESC) AS ordinal, CAST(sum(pos) OVER (ORDER BY score DESC) AS DOUBLE) AS cp,
+  CAST(sum(neg) OVER (ORDER BY score DESC) AS DOUBLE) AS cn, lead(pos) OVER (ORDER BY score DESC) AS np, lead(neg) OVER (ORDER BY score DESC) AS nn,
+  CAST(sum(pos) OVER () AS DOUBLE) AS tp, CAST(sum(neg) OVER () AS DOUBLE) AS tn, count(*) OVER () AS k FROM c),
+ f AS (SELECT ordinal, score AS threshold, cn / tn AS fpr, 1 - cp / tp AS fnr, NOT (ordinal > 1 AND ordinal < k AND np = pos AND nn = neg) AS kept FROM r
+  UNION ALL SELECT 0, NULL, 0.0, 1.0, true),
+ p AS (SELECT * FROM f WHERE kept),
+ d AS (SELECT row_number() OVER (ORDER BY score) AS ordinal, score AS threshold, CAST(sum(pos) OVER (ORDER BY score) AS DOUBLE) / tp AS fnr,
+  1 - CAST(sum(neg) OVER (ORDER BY score) AS DOUBLE) / tn AS fpr FROM r)"""
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("long"))
+
+
+def trials(spark: SparkSession, sf_dir: str, score: str = "euclidean") -> DataFrame:
+    own = {"euclidean": lambda a, b: -vectors.distance(a, b, DIM), "cosine": lambda a, b: vectors.cosine(a, b, DIM)}[score]
+    made = scoring.neighbour_trials(embeddings(spark, sf_dir), REACH, score=own)
+    return made.withColumn("score", rounded("score"))
+
+
+@query(f"WITH {_T} SELECT concat_ws(' ', ref, com) AS trial, label, score FROM t")
+def trial_scores(spark, sf_dir):
+    return trials(spark, sf_dir).select(scalars.trial_key(F.col("ref"), F.col("com")).alias("trial"), "label", "score")
+
+
+@query(
+    f"""WITH {_E}, u AS (SELECT vec_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM e)
+ SELECT a.vec_id AS ref, b.vec_id AS com, round(-list_distance(a.v, b.v), 6) AS score FROM u a JOIN u b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 20"""
+)
+def trial_scores_normalized(spark, sf_dir):
+    e = embeddings(spark, sf_dir).withColumn("embedding", vectors.normalized(F.col("embedding")))
+    return scoring.neighbour_trials(e, 20).select("ref", "com", rounded("score").alias("score"))
+
+
+@query(
+    f"""WITH {_E}, crops AS (SELECT vec_id // 4 AS utt, vec_id % 4 AS crop, v FROM e)
+ SELECT a.utt AS ref, b.utt AS com, round(-avg(list_distance(a.v, b.v)), 6) AS score FROM crops a JOIN crops b ON b.utt = a.utt + 1 GROUP BY 1, 2"""
+)
+def multi_crop_scores(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select((F.col("vec_id") / 4).cast("long").alias("utt"), F.pmod("vec_id", F.lit(4)).alias("crop_id"), "embedding")
+    utts = e.select("utt").distinct()
+    pairs = utts.select(F.col("utt").alias("ref"), (F.col("utt") + 1).alias("com"))
+    return scoring.score_trials(pairs, e, normalize=False).select("ref", "com", rounded("score").alias("score"))
+
+
+@query(
+    f"""WITH {_R}, e1 AS (SELECT 100 * greatest(fpr, fnr) AS eer, threshold AS eer_threshold FROM p ORDER BY abs(fnr - fpr), ordinal LIMIT 1),
+ m AS (SELECT (1.0 * fnr * 0.05 + 1.0 * fpr * (1 - 0.05)) / 0.05 AS min_dcf, threshold AS dcf_threshold FROM d ORDER BY 1.0 * fnr * 0.05 + 1.0 * fpr * (1 - 0.05), ordinal LIMIT 1)
+ SELECT (SELECT count(*) FROM t) AS n_trials, (SELECT CAST(sum(label) AS BIGINT) FROM t) AS n_pos, round(eer, 6) AS eer, eer_threshold, round(min_dcf, 6) AS min_dcf, dcf_threshold FROM e1, m"""
+)
+def eval_report(spark, sf_dir):
+    r = detection.evaluation_report(trials(spark, sf_dir))
+    return r.select("n_trials", "n_pos", rounded("eer").alias("eer"), "eer_threshold", rounded("min_dcf").alias("min_dcf"), "dcf_threshold")
+
+
+def _curve(df: DataFrame) -> DataFrame:
+    return df.select("ordinal", F.when(F.col("ordinal") > 0, F.col("threshold")).alias("threshold"), rounded("fpr", 9).alias("fpr"), rounded("fnr", 9).alias("fnr"))
+
+
+@query(f"WITH {_R} SELECT ordinal, threshold, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr FROM p")
+def roc_points(spark, sf_dir):
+    return _curve(detection.roc(trials(spark, sf_dir)))
+
+
+@query(f"WITH {_R} SELECT ordinal, threshold, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr FROM f")
+def roc_full(spark, sf_dir):
+    return _curve(detection.roc(trials(spark, sf_dir), prune=False))
+
+
+@query(
+    f"""WITH {_R}, b AS (SELECT ordinal AS o FROM f ORDER BY abs(fnr - fpr), ordinal LIMIT 1)
+ SELECT ordinal, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr, ordinal = o AS is_eer FROM f, b"""
+)
+def roc_series(spark, sf_dir):
+    return detection.roc_series(trials(spark, sf_dir)).select("ordinal", rounded("fpr", 9).alias("fpr"), rounded("fnr", 9).alias("fnr"), "is_eer")
+
+
+@query(f"WITH {_R} SELECT round(100 * greatest(fpr, fnr), 6) AS eer, threshold AS eer_threshold FROM p ORDER BY abs(fnr - fpr), ordinal LIMIT 1")
+def eer(spark, sf_dir):
+    return detection.equal_error_rate(detection.roc(trials(spark, sf_dir))).select(rounded("eer").alias("eer"), "eer_threshold")
+
+
+@query(
+    f"""WITH {_R}, g AS (SELECT * FROM (VALUES (0, 'fr', 0.1), (1, 'fa', 0.01), (2, 'fa', 0.1)) AS g(position, kind, target)),
+ x AS (SELECT position, kind, CAST(target AS DOUBLE) AS target, threshold, fpr, fnr, row_number() OVER (PARTITION BY position ORDER BY abs(CASE WHEN kind = 'fr' THEN fnr ELSE fpr END - target), ordinal) AS n FROM p, g)
+ SELECT position, kind, target, threshold, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr FROM x WHERE n = 1"""
+)
+def tuned_thresholds(spark, sf_dir):
+    out = detection.tuned_thresholds(detection.roc(trials(spark, sf_dir)), [0.01, 0.1], [0.1])
+    return out.withColumns({"fpr": rounded("fpr", 9), "fnr": rounded("fnr", 9)})
+
+
+@query(f"WITH {_R} SELECT ordinal, threshold, round(fnr, 9) AS fnr, round(fpr, 9) AS fpr FROM d")
+def det_rates(spark, sf_dir):
+    return detection.det_rates(trials(spark, sf_dir)).withColumns({"fpr": rounded("fpr", 9), "fnr": rounded("fnr", 9)})
+
+
+@query(
+    f"""WITH {_R} SELECT round((10.0 * fnr * 0.01 + 1.0 * fpr * (1 - 0.01)) / 0.1, 6) AS min_dcf, threshold AS dcf_threshold FROM d
+ ORDER BY 10.0 * fnr * 0.01 + 1.0 * fpr * (1 - 0.01), ordinal LIMIT 1"""
+)
+def min_dcf(spark, sf_dir):
+    return detection.min_dcf(detection.det_rates(trials(spark, sf_dir)), 0.01, 10.0, 1.0).select(rounded("min_dcf").alias("min_dcf"), "dcf_threshold")
+
+
+_COS = "list_dot_product(a.v, b.v) / greatest(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 1e-12)"
+
+
+@query(
+    f"""WITH {_E} SELECT a.vec_id AS ref, b.vec_id AS com, round((round(-list_distance(a.v, b.v), 6) + round({_COS}, 6)) / 2, 7) AS score
+ FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + {REACH}"""
+)
+def score_fusion(spark, sf_dir):
+    both = scoring.fused(trials(spark, sf_dir), trials(spark, sf_dir, "cosine"), ["ref", "com"])
+    return both.select("ref", "com", rounded("score", 7).alias("score"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {n} AS first_n, * FROM (WITH {_R.replace(f'a.vec_id + {REACH})', f'a.vec_id + {REACH} WHERE a.vec_id < {n})')} SELECT round(100 * greatest(fpr, fnr), 6) AS eer FROM p ORDER BY abs(fnr - fpr), ordinal LIMIT 1)"
+        for n in (50, 200)
+    )
+)
+def subset_drift(spark, sf_dir):
+    own = trials(spark, sf_dir)
+    parts = [detection.equal_error_rate(detection.roc(prepare.first_in_order(own, n, "ref"))).select(F.lit(n).alias("first_n"), rounded("eer").alias("eer")) for n in (50, 200)]
+    return parts[0].unionByName(parts[1])
+
+
+# ---- prototypes and losses --------------------------------------------------------------------------------------
+
+_P = "x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM e), pm AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL), pr AS (SELECT label AS cls, list(m ORDER BY pos) AS w FROM pm GROUP BY label)"
+
+
+@query(f"WITH {_E}, {_P} SELECT label, pos, round(m, 6) AS value FROM pm")
+def speaker_prototypes(spark, sf_dir):
+    return scoring.prototypes(embeddings(spark, sf_dir), "label").select("label", F.posexplode("centroid").alias("pos", "m")).select("label", F.col("pos").cast("long").alias("pos"), rounded("m").alias("value"))
+
+
+@query(
+    f"""WITH {_E}, x AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
+ s AS (SELECT label, pos, sum(x) AS s, count(*) AS n FROM x GROUP BY ALL), l AS (SELECT vec_id, x, (s - x) / (n - 1) AS c FROM x JOIN s USING (label, pos) WHERE n > 1)
+ SELECT vec_id, round(sum(x * c) / greatest(sqrt(sum(x * x)) * sqrt(sum(c * c)), 1e-12), 6) AS score FROM l GROUP BY vec_id"""
+)
+def loo_centroid_scores(spark, sf_dir):
+    own = scoring.leave_one_out(embeddings(spark, sf_dir), "label").filter("loo_centroid is not null")
+    return own.select("vec_id", rounded(vectors.cosine(F.col("embedding"), F.col("loo_centroid"))).alias("score"))
+
+
+@query(
+    f"""WITH {_E}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '11', vec_id)), vec_id) AS rn FROM e),
+ x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM k WHERE rn <= 5), pm AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL),
+ b AS (SELECT label AS cls, list(m ORDER BY pos) AS v FROM pm GROUP BY label),
+ s AS (SELECT a.vec_id, a.label, b.cls, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.cls) AS r FROM k a, b WHERE a.rn > 5)
+ SELECT round(100 * avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1_pct, round(100 * avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3_pct, count(*) AS n_rows FROM s WHERE cls = label"""
+)
+def closed_set_topk(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    order = Window.partitionBy("label").orderBy(scalars.seeded_key(11, F.col("vec_id")), "vec_id")
+    ranked = e.withColumn("rn", F.row_number().over(order))
+    classes = scoring.prototypes(ranked.filter("rn <= 5"), "label").select(F.col("label").alias("cls"), F.col("centroid").alias("w"))
+    pairs = scoring.against_classes(ranked.filter("rn > 5").withColumn("row_id", F.col("vec_id")), classes)
+    scored = pairs.select("row_id", "cls", vectors.cosine(F.col("embedding"), F.col("w"), DIM).alias("score"), (F.col("cls") == F.col("label")).alias("is_target"))
+    one = losses.top_k_accuracy(scored, ["row_id"], 1).select(F.round("topk_pct", 6).alias("top1_pct"), "n_rows")
+    return one.crossJoin(losses.top_k_accuracy(scored, ["row_id"], 3).select(F.round("topk_pct", 6).alias("top3_pct")))  # one-row tables
+
+
+_B = f"""{_E}, b0 AS (SELECT vec_id % 5 AS batch_id, label AS speaker, row_number() OVER (PARTITION BY vec_id % 5, label ORDER BY vec_id) - 1 AS slot, count(*) OVER (PARTITION BY vec_id % 5, label) AS n, v FROM e),
+ b AS (SELECT batch_id, speaker, slot, v FROM b0 WHERE slot < 3 AND n >= 3),
+ q AS (SELECT batch_id, speaker, v FROM b WHERE slot = 0), c AS (SELECT batch_id, s1.speaker AS cls, list_transform(list_zip(s1.v, s2.v), lambda x: (x[1] + x[2]) / 2) AS v FROM b s1 JOIN b s2 USING (batch_id, speaker) WHERE s1.slot = 1 AND s2.slot = 2)"""
+_CE = "SELECT round(avg(top + ln(z) - own), 5) AS loss, round(100 * avg(CASE WHEN own >= top THEN 1.0 ELSE 0.0 END), 5) AS accuracy, count(*) AS n_rows FROM (SELECT {key}, max(top) AS top, sum(exp(score - top)) AS z, max(CASE WHEN is_target THEN score END) AS own FROM (SELECT *, max(score) OVER (PARTITION BY {key}) AS top FROM s) GROUP BY {key})"
+
+
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three slots for each speaker of five batches."""
+    e = embeddings(spark, sf_dir).select(F.pmod("vec_id", F.lit(5)).alias("batch_id"), F.col("label").alias("speaker"), "vec_id", "embedding")
+    by = Window.partitionBy("batch_id", "speaker")
+    e = e.withColumn("slot", F.row_number().over(by.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(by))
+    return e.filter("slot < 3 and n >= 3").select("batch_id", "speaker", "slot", "embedding")
+
+
+def _loss(df: DataFrame) -> DataFrame:
+    return df.select(F.round("loss", 5).alias("loss"), F.round("accuracy", 5).alias("accuracy"), "n_rows")
+
+
+@query(
+    f"WITH {_B}, s AS (SELECT q.batch_id, speaker, cls, -list_sum(list_transform(list_zip(q.v, c.v), lambda x: pow(x[1] - x[2] + 1e-6, 2))) AS score, speaker = cls AS is_target FROM q JOIN c USING (batch_id)) "
+    + _CE.format(key="batch_id, speaker")
+)
+def proto_loss(spark, sf_dir):
+    return _loss(losses.prototypical_loss(batch(spark, sf_dir), "proto"))
+
+
+@query(f"WITH {_B}, s AS (SELECT a.batch_id, speaker, cls, {_COS} * 10 - 5 AS score, speaker = cls AS is_target FROM q a JOIN c b USING (batch_id)) " + _CE.format(key="batch_id, speaker"))
+def angleproto_loss(spark, sf_dir):
+    return _loss(losses.prototypical_loss(batch(spark, sf_dir), "angular"))
+
+
+@query(
+    f"""WITH {_B}, g AS (SELECT batch_id, s0.speaker AS cls, list_transform(list_zip(s0.v, s1.v, s2.v), lambda x: x[1] + x[2] + x[3]) AS t FROM b s0 JOIN b s1 USING (batch_id, speaker) JOIN b s2 USING (batch_id, speaker) WHERE s0.slot = 0 AND s1.slot = 1 AND s2.slot = 2),
+ m AS (SELECT b.batch_id, speaker, slot, cls, b.v AS q, list_transform(list_zip(t, b.v), lambda x: CASE WHEN speaker = cls THEN (x[1] - x[2]) / 2 ELSE x[1] / 3 END) AS c FROM b JOIN g USING (batch_id)),
+ s AS (SELECT batch_id, speaker, slot, cls, greatest(list_dot_product(q, c) / greatest(sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(c, c)), 1e-12), 1e-6) * 10 - 5 AS score, speaker = cls AS is_target FROM m) """
+    + _CE.format(key="batch_id, speaker, slot")
+)
+def ge2e_loss(spark, sf_dir):
+    return _loss(losses.ge2e_loss(batch(spark, sf_dir)))
+
+
+_SIM = "-list_sum(list_transform(list_zip(a.v, n.v), lambda x: pow(x[1] - x[2] + 1e-6, 2)))"
+_MINE = f"""{_B}, pairs AS (SELECT a.batch_id, a.speaker, n.speaker AS neg, {_SIM} AS sim FROM b a JOIN b n ON a.batch_id = n.batch_id AND a.slot = 0 AND n.slot = 1),
+ o AS (SELECT batch_id, speaker, sim AS pos_sim FROM pairs WHERE speaker = neg),
+ w AS (SELECT p.*, o.pos_sim, substr(md5(concat_ws('|', '0', speaker, neg)), 1, 8) AS h, row_number() OVER (PARTITION BY batch_id, speaker ORDER BY sim DESC, neg) AS hardness FROM pairs p JOIN o USING (batch_id, speaker) WHERE speaker <> neg)"""
+
+
+@query(
+    f"""WITH {_MINE}, r AS (SELECT *, row_number() OVER (PARTITION BY batch_id, speaker ORDER BY CASE WHEN sim < pos_sim AND sim > pos_sim - 0.1 THEN 0 ELSE 1 END, h, neg) AS n FROM w)
+ SELECT round(avg(greatest(0.0, sim - pos_sim + 0.1)), 5) AS loss, count(*) AS n_rows FROM r WHERE n = 1"""
+)
+def triplet_hinge(spark, sf_dir):
+    return losses.triplet_loss(batch(spark, sf_dir)).select(F.round("loss", 5).alias("loss"), "n_rows")
+
+
+@query(
+    f"""WITH {_MINE}, r AS (SELECT *, row_number() OVER (PARTITION BY batch_id, speaker ORDER BY CASE WHEN hardness <= 3 THEN 0 ELSE 1 END, h, neg) AS n FROM w)
+ SELECT batch_id, speaker, neg, round(sim, 6) AS neg_sim FROM r WHERE n = 1"""
+)
+def hard_negatives(spark, sf_dir):
+    return losses.mined_negatives(batch(spark, sf_dir), "rank", hard_rank=2).select("batch_id", "speaker", "neg", rounded("neg_sim").alias("neg_sim"))
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = embeddings(spark, sf_dir)
+    return e.withColumnRenamed("vec_id", "row_id"), scoring.prototypes(e, "label").select(F.col("label").alias("cls"), F.col("centroid").alias("w"))
+
+
+_C = f"{_E}, {_P}, s0 AS (SELECT a.vec_id AS row_id, a.label, cls, {_COS.replace('b.v', 'w')} AS cos, list_dot_product(a.v, w) AS dot, a.label = cls AS is_target FROM e a, pr)"
+
+
+@query(f"WITH {_C}, s AS (SELECT row_id, dot AS score, is_target FROM s0) " + _CE.format(key="row_id"))
+def softmax_loss(spark, sf_dir):
+    return _loss(losses.classification_loss(*_classes(spark, sf_dir), "dot", dim=DIM))
+
+
+@query(f"WITH {_C}, s AS (SELECT row_id, 30.0 * (cos - CASE WHEN is_target THEN 0.2 ELSE 0.0 END) AS score, is_target FROM s0) " + _CE.format(key="row_id"))
+def am_loss(spark, sf_dir):
+    return _loss(losses.classification_loss(*_classes(spark, sf_dir), "am", dim=DIM))
+
+
+@query(
+    f"""WITH {_C}, s AS (SELECT row_id, 30.0 * CASE WHEN NOT is_target THEN cos WHEN cos > cos(pi() - 0.2) THEN cos * cos(0.2) - sqrt(greatest(0.0, 1 - cos * cos)) * sin(0.2) ELSE cos - sin(pi() - 0.2) * 0.2 END AS score, is_target FROM s0) """
+    + _CE.format(key="row_id")
+)
+def aam_loss(spark, sf_dir):
+    return _loss(losses.classification_loss(*_classes(spark, sf_dir), "aam", dim=DIM))
+
+
+def _teacher(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("utt"), "embedding")
+    return e, e.withColumn("embedding", F.reverse("embedding"))
+
+
+@query(f"WITH {_E} SELECT round(avg(pow(list_distance(v, list_reverse(v)), 2) / 4 / len(v)), 6) AS distance, count(*) AS n_rows FROM e")
+def distill_mse(spark, sf_dir):
+    return losses.distillation(*_teacher(spark, sf_dir), "mse", 2.0).select(rounded("distance").alias("distance"), "n_rows")
+
+
+@query(f"WITH {_E} SELECT round(avg(1 - list_dot_product(v, list_reverse(v)) / greatest(list_dot_product(v, v), 1e-12)), 6) AS distance, count(*) AS n_rows FROM e")
+def distill_cosine(spark, sf_dir):
+    return losses.distillation(*_teacher(spark, sf_dir), "cosine").select(rounded("distance").alias("distance"), "n_rows")
+
+
+@query(
+    f"""WITH {_E}, x AS (SELECT vec_id, unnest(v) / 2 AS s, unnest(list_reverse(v)) / 2 AS t FROM e), z AS (SELECT *, ln(sum(exp(s)) OVER (PARTITION BY vec_id)) AS zs, ln(sum(exp(t)) OVER (PARTITION BY vec_id)) AS zt FROM x),
+ k AS (SELECT vec_id, sum(exp(t - zt) * ((t - zt) - (s - zs))) * 4 AS kl FROM z GROUP BY vec_id) SELECT round(avg(kl), 6) AS distance, count(*) AS n_rows FROM k"""
+)
+def distill_kl(spark, sf_dir):
+    return losses.distillation(*_teacher(spark, sf_dir), "kl", 2.0).select(rounded("distance").alias("distance"), "n_rows")
+
+
+@query(
+    f"""WITH {_T}, h AS (SELECT a.vec_id AS side, b.vec_id AS cid, -list_distance(a.v, b.v) AS s FROM e a, e b WHERE b.label = 0),
+ g AS (SELECT side, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY s DESC, cid) AS r FROM h) WHERE r <= 20 GROUP BY side)
+ SELECT ref, com, round(((score - x.mu) / (x.sd + 1e-6) + (score - y.mu) / (y.sd + 1e-6)) / 2, 4) AS norm_score FROM t JOIN g x ON ref = x.side JOIN g y ON com = y.side WHERE com = ref + 1"""
+)
+def snorm_scores(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    classes = e.filter("label = 0").select(F.col("vec_id").alias("cls"), F.col("embedding").alias("w"))
+    cohort = scoring.against_classes(e.select(F.col("vec_id").alias("side"), "embedding"), classes)
+    cohort = cohort.select("side", F.col("cls").alias("cohort_id"), (-vectors.distance(F.col("embedding"), F.col("w"), DIM)).alias("cohort_score"))
+    near = trials(spark, sf_dir).filter("com = ref + 1")
+    return scoring.score_normalized(near, cohort, 20).select("ref", "com", F.round("norm_score", 4).alias("norm_score"))
+
+
+# ---- manifests and trial lists ----------------------------------------------------------------------------------
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.concat_ws("|", "source", "lang").alias("speaker"), "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+_M = "m AS (SELECT doc_id, concat_ws('|', source, lang) AS speaker, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents)"
+
+
+@query("SELECT doc_id, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS source_idx FROM documents")
+def label_encoding(spark, sf_dir):
+    return prepare.encode_labels(table(spark, sf_dir, "documents").select("doc_id", "source"), "source").select("doc_id", "source", F.col("source_idx").cast("long").alias("source_idx"))
+
+
+_G = f"""{_M}, k AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY md5(concat_ws('|', '7', doc_id)), doc_id) AS rank, count(*) OVER (PARTITION BY speaker) AS n FROM m),
+ g AS (SELECT doc_id, speaker, (rank - 1) // 3 AS group_no, (rank - 1) % 3 AS slot FROM k WHERE rank <= least(n, 20) - least(n, 20) % 3)"""
+
+
+@query(f"WITH {_G} SELECT doc_id, speaker, group_no, slot FROM g")
+def capped_groups(spark, sf_dir):
+    out = prepare.capped_groups(_manifest(spark, sf_dir), "speaker", "doc_id", 7, 20, 3)
+    return out.select("doc_id", "speaker", "group_no", F.col("slot").cast("long").alias("slot"))
+
+
+@query(
+    f"""WITH {_G}, u AS (SELECT DISTINCT speaker, group_no FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY group_no ORDER BY md5(concat_ws('|', '7', speaker, group_no)), speaker) - 1 AS i, count(*) OVER (PARTITION BY group_no) AS n FROM u)
+ SELECT speaker, group_no AS round, i // 4 AS batch_in_round, i % 4 AS slot_in_batch FROM r WHERE i < n - n % 4"""
+)
+def batch_plan(spark, sf_dir):
+    groups = prepare.capped_groups(_manifest(spark, sf_dir), "speaker", "doc_id", 7, 20, 3).select("speaker", "group_no").distinct()
+    return prepare.batch_plan(groups, "speaker", 7, 4).select("speaker", "round", "batch_in_round", F.col("slot_in_batch").cast("long").alias("slot_in_batch"))
+
+
+@query("WITH n AS (SELECT count(*) - count(*) % 24 AS t FROM embeddings) SELECT vec_id FROM embeddings, n WHERE vec_id >= 1 * t // 3 AND vec_id < 2 * t // 3")
+def world_slice(spark, sf_dir):
+    return prepare.world_slice(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 1, 3, 8)
+
+
+_S = "s AS (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY md5(concat_ws('|', '5', source)), source LIMIT 5)"
+
+
+@query(f"WITH {_S} SELECT source FROM s")
+def speaker_sample(spark, sf_dir):
+    return prepare.sample_keys(table(spark, sf_dir, "documents"), "source", 5, 5)
+
+
+@query(f"WITH {_S} SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM s)")
+def restrict_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("speaker"))
+    chosen = prepare.sample_keys(docs, "speaker", 5, 5)
+    return prepare.restrict_manifest(docs, chosen).select("doc_id", F.col("speaker").alias("source"))
+
+
+@query(f"WITH {_T} SELECT ref, com, t.label FROM t JOIN e a ON ref = a.vec_id JOIN e b ON com = b.vec_id WHERE a.label IN (1, 3, 5) AND b.label IN (1, 3, 5)")
+def restrict_trials(spark, sf_dir):
+    path = lambda c: F.concat_ws("/", c.cast("string"), F.lit("u"))
+    e = embeddings(spark, sf_dir)
+    named = trials(spark, sf_dir).join(e.select(F.col("vec_id").alias("ref"), F.col("label").alias("ls")), "ref").join(e.select(F.col("vec_id").alias("com"), F.col("label").alias("lc")), "com")
+    lists = named.select(F.concat_ws("/", F.col("ls").cast("string"), F.col("ref").cast("string")).alias("ref"), F.concat_ws("/", F.col("lc").cast("string"), F.col("com").cast("string")).alias("com"), "label")
+    speakers = e.filter(F.col("label").isin(1, 3, 5)).select(scalars.speaker_of(path(F.col("label"))).alias("speaker")).distinct()
+    kept = prepare.restrict_trials(lists, speakers)
+    last = lambda c: F.substring_index(c, "/", -1).cast("long")
+    return kept.select(last("ref").alias("ref"), last("com").alias("com"), "label")
+
+
+@query(
+    f"""WITH {_T}, n AS (SELECT CAST(sum(label) AS BIGINT) AS p, CAST(sum(1 - label) AS BIGINT) AS g FROM t), q AS (SELECT least(p, g) AS k FROM n),
+ r AS (SELECT ref, com, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '3', ref, com)), ref, com) AS i FROM t) SELECT ref, com, label FROM r, q WHERE i <= k"""
+)
+def balanced_trials(spark, sf_dir):
+    own = trials(spark, sf_dir).select("ref", "com", "label")
+    return prepare.balanced_trials(own, scalars.seeded_key(3, F.col("ref"), F.col("com")), ["ref", "com"], 0.5)
+
+
+def _referenced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("line_no"), F.col("toxic").cast("int").alias("label"), F.col("doc_id").cast("string").alias("ref"), (F.col("doc_id") + 37).cast("string").alias("com"))
+    return rows, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"))
+
+
+_F = "t AS (SELECT doc_id AS line_no, CAST(doc_id AS VARCHAR) AS ref, CAST(doc_id + 37 AS VARCHAR) AS com FROM labels), i AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents), u AS (SELECT line_no, 'ref' AS side, ref AS path FROM t UNION ALL SELECT line_no, 'com', com FROM t), m AS (SELECT * FROM u WHERE path NOT IN (SELECT path FROM i))"
+
+
+@query(f"WITH {_F} SELECT DISTINCT path FROM u")
+def trial_files(spark, sf_dir):
+    return prepare.trial_files(_referenced(spark, sf_dir)[0])
+
+
+@query(f"WITH {_F} SELECT line_no, side, path FROM m")
+def missing_files(spark, sf_dir):
+    return prepare.missing_files(*_referenced(spark, sf_dir)).select("line_no", "side", "path")
+
+
+@query(f"WITH {_F}, n AS (SELECT count(*) AS n FROM m) SELECT line_no, side, path, greatest(n - 10, 0) AS and_more FROM m, n ORDER BY line_no, side LIMIT 10")
+def missing_report(spark, sf_dir):
+    return prepare.report_head(prepare.missing_files(*_referenced(spark, sf_dir)), ["line_no", "side"], 10).select("line_no", "side", "path", "and_more")
+
+
+@query(
+    f"""WITH {_F}, f AS (SELECT DISTINCT path FROM u) SELECT (SELECT count(*) FROM f) AS n_files, (SELECT count(*) FROM f WHERE path IN (SELECT path FROM i)) AS n_found,
+ round(100.0 * (SELECT count(*) FROM f WHERE path IN (SELECT path FROM i)) / (SELECT count(*) FROM f), 6) AS found_pct, (SELECT count(DISTINCT line_no) FROM m) AS n_lost, (SELECT count(*) FROM t) - (SELECT count(DISTINCT line_no) FROM m) AS n_left"""
+)
+def existence_summary(spark, sf_dir):
+    return prepare.existence_summary(*_referenced(spark, sf_dir)).withColumn("found_pct", rounded(F.col("found_pct").cast("double")))
+
+
+@query("SELECT count(DISTINCT source) AS n_speakers, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total_size, CAST(count(*) AS DOUBLE) / count(DISTINCT source) AS files_per_speaker FROM documents")
+def dataset_stats(spark, sf_dir):
+    return prepare.dataset_statistics(table(spark, sf_dir, "documents"), "source", "n_chars")
+
+
+@query(f"WITH {_T} SELECT count(*) AS total, CAST(sum(label) AS BIGINT) AS positive, CAST(sum(1 - label) AS BIGINT) AS negative, round(100.0 * sum(label) / count(*), 6) AS positive_pct FROM t")
+def trial_balance(spark, sf_dir):
+    return prepare.trial_balance(trials(spark, sf_dir)).withColumn("positive_pct", rounded(F.col("positive_pct").cast("double")))
+
+
+@query("SELECT count(*) AS n_shared FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+def leakage_check(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("speaker"))
+    b = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("speaker"))
+    return prepare.leakage(a, b).agg(F.count("*").alias("n_shared"))
+
+
+@query("SELECT speaker, count(*) AS n_files, CAST(dense_rank() OVER (ORDER BY speaker) - 1 AS BIGINT) AS idx FROM (SELECT c_custkey AS speaker FROM customer UNION ALL SELECT o_custkey FROM orders) GROUP BY speaker")
+def combine_manifests(spark, sf_dir):
+    both = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("speaker")).unionByName(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("speaker")))
+    coded = prepare.encode_labels(both, "speaker")
+    return coded.groupBy("speaker", "speaker_idx").agg(F.count("*").alias("n_files")).select("speaker", "n_files", F.col("speaker_idx").cast("long").alias("idx"))
+
+
+_PATH = "concat('id', page_id % 50, '/k', page_id % 7, '/', lpad(CAST(page_id AS VARCHAR), 7, '0'), '.m4a')"
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, (starts_with(url, 'https://') OR starts_with(url, 'http://www.')) AS wanted FROM pages")
+def path_parts(spark, sf_dir):
+    host = scalars.speaker_of(F.regexp_replace("url", "^https?://", ""))
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), scalars.starts_with_any(F.col("url"), ["https://", "http://www."]).alias("wanted"))
+
+
+@query(f"SELECT page_id, regexp_replace(regexp_replace({_PATH}, '\\.m4a$', '.wav'), '^([^/]+)/([^/]+)/([^/.]+)\\.wav$', '\\1/\\3_\\2.wav') AS path FROM pages")
+def path_rearrange(spark, sf_dir):
+    p = F.col("page_id")
+    made = F.concat(F.lit("id"), F.pmod(p, F.lit(50)).cast("string"), F.lit("/k"), F.pmod(p, F.lit(7)).cast("string"), F.lit("/"), F.lpad(p.cast("string"), 7, "0"), F.lit(".m4a"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.rearranged(scalars.to_wav(made)).alias("path"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 1000")
+def first_n_in_order(spark, sf_dir):
+    return prepare.first_in_order(table(spark, sf_dir, "orders"), 1000, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+# ---- runs -------------------------------------------------------------------------------------------------------
+
+_V = "ev AS (SELECT user_id AS run, event_id, event_type, ts, value AS veer, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events)"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "event_type", "ts", F.col("value").alias("veer"), epoch.cast("long").alias("epoch"))
+
+
+_BEST = f"""{_V}, b AS (SELECT *, min(veer) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM ev),
+ i AS (SELECT *, coalesce(veer < best, veer IS NOT NULL) AS improved FROM b), k AS (SELECT *, sum(CAST(improved AS INT)) OVER (PARTITION BY run ORDER BY epoch) AS block FROM i),
+ s AS (SELECT *, row_number() OVER (PARTITION BY run, block ORDER BY epoch) - CASE WHEN block > 0 THEN 1 ELSE 0 END AS since FROM k)"""
+
+
+@query(f"WITH {_BEST} SELECT run, epoch, best, improved, since, since >= 3 AS stop FROM s")
+def best_so_far(spark, sf_dir):
+    return runs.best_so_far(records(spark, sf_dir), ["run"], "epoch", "veer", 3).select("run", "epoch", "best", "improved", "since", "stop")
+
+
+@query(f"WITH {_BEST} SELECT run, min(epoch) AS stop_at FROM s WHERE since >= 3 GROUP BY run")
+def early_stop(spark, sf_dir):
+    return runs.early_stop(records(spark, sf_dir), "run", "epoch", "veer", 3)
+
+
+@query(
+    f"""WITH {_V}, l AS (SELECT run, epoch, event_id % 7 AS e7, CASE WHEN event_id % 7 <= lag(event_id % 7) OVER (PARTITION BY run ORDER BY epoch) THEN 1 ELSE 0 END AS new FROM ev)
+ SELECT run, epoch, CAST(sum(new) OVER (PARTITION BY run ORDER BY epoch) AS BIGINT) AS segment FROM l"""
+)
+def run_segments(spark, sf_dir):
+    own = records(spark, sf_dir).withColumn("e7", F.pmod("event_id", F.lit(7)))
+    return runs.segments(own, "run", "epoch", "e7").select("run", "epoch", "segment")
+
+
+@query(f"WITH {_V} SELECT run, arg_min(epoch, {{'v': veer, 'e': epoch}}) AS best_epoch, min(veer) AS best_value, arg_max(veer, epoch) AS final_value FROM ev GROUP BY run")
+def best_epoch(spark, sf_dir):
+    return runs.best_epoch(records(spark, sf_dir), ["run"], "epoch", "veer")
+
+
+@query(f"WITH {_V} SELECT run, epoch, veer FROM ev ORDER BY veer, run, epoch LIMIT 5")
+def top_epochs(spark, sf_dir):
+    return runs.top_epochs(records(spark, sf_dir), "veer", ["run", "epoch"], 5).select("run", "epoch", "veer")
+
+
+@query(f"WITH {_V} SELECT run, min(CASE WHEN veer < 5.0 THEN epoch END) AS first_epoch FROM ev GROUP BY run")
+def time_to_target(spark, sf_dir):
+    return runs.time_to_target(records(spark, sf_dir), "run", "epoch", "veer", 5.0)
+
+
+_TOP = f"{_V}, b AS (SELECT run, arg_min(epoch, {{'v': veer, 'e': epoch}}) AS best_epoch, min(veer) AS best_value FROM ev GROUP BY run)"
+
+
+@query(f"WITH {_TOP}, z AS (SELECT best_value AS base FROM b WHERE run = (SELECT min(run) FROM b)) SELECT run, best_value, round(best_value - base, 6) AS gap, CASE WHEN base <> 0 THEN round(100 * (best_value - base) / base, 4) END AS gap_pct FROM b, z")
+def gap_vs_baseline(spark, sf_dir):
+    best = runs.best_epoch(records(spark, sf_dir), ["run"], "epoch", "veer")
+    first = table(spark, sf_dir, "events").agg(F.min("user_id").alias("u")).first().u
+    return runs.gap_to_baseline(best, "run", first).select("run", "best_value", rounded("gap").alias("gap"), F.round("gap_pct", 4).alias("gap_pct"))
+
+
+@query(f"WITH {_TOP} SELECT run, best_epoch, round(best_epoch * 1.5, 6) AS minutes FROM b")
+def time_to_best(spark, sf_dir):
+    best = runs.best_epoch(records(spark, sf_dir), ["run"], "epoch", "veer")
+    return best.select("run", "best_epoch", rounded(F.col("best_epoch") * F.lit(1.5).cast("double")).alias("minutes"))
+
+
+@query(f"WITH {_TOP}, r AS (SELECT run, round(best_value / (run % 10 + 1), 9) AS ratio FROM b) SELECT run, ratio, rank() OVER (ORDER BY ratio) AS rank FROM r")
+def efficiency_rank(spark, sf_dir):
+    best = runs.best_epoch(records(spark, sf_dir), ["run"], "epoch", "veer").withColumn("size", F.pmod("run", F.lit(10)) + 1)
+    out = best.withColumn("ratio", F.round(F.col("best_value") / F.col("size"), 9))
+    return out.withColumn("rank", F.rank().over(Window.orderBy("ratio")).cast("long")).select("run", "ratio", "rank")  # one row a run
+
+
+@query(f"WITH {_V} SELECT run % 5 AS argument, min(veer) AS best_value, count(DISTINCT run) AS n_runs FROM ev GROUP BY 1")
+def ablation_table(spark, sf_dir):
+    own = records(spark, sf_dir)
+    args = own.select("run").distinct().withColumn("args", F.create_map(F.lit("width"), F.pmod("run", F.lit(5)).cast("string")))
+    return runs.ablation(own, args, "run", "width", "veer").withColumn("argument", F.col("argument").cast("long"))
+
+
+@query(
+    f"""WITH {_V}, a AS (SELECT run, epoch, veer AS tloss FROM ev WHERE event_id % 3 > 0), b AS (SELECT run, epoch, veer AS veer FROM ev WHERE event_id % 3 < 2)
+ SELECT coalesce(a.run, b.run) AS run, coalesce(a.epoch, b.epoch) AS epoch, tloss, veer FROM a FULL JOIN b ON a.run = b.run AND a.epoch = b.epoch"""
+)
+def wide_epochs(spark, sf_dir):
+    own = records(spark, sf_dir)
+    train = own.filter("event_id % 3 > 0").select("run", "epoch", F.col("veer").alias("tloss"))
+    return runs.wide_epochs(train, own.filter("event_id % 3 < 2").select("run", "epoch", "veer"), ["run", "epoch"])
+
+
+@query(f"WITH {_V} SELECT run, epoch, CASE WHEN (1 - 0.7) * veer + 0.7 * epoch <> 0 THEN round(100 * ((1 - 0.7) * veer) / ((1 - 0.7) * veer + 0.7 * epoch), 5) END AS class_share_pct FROM ev")
+def loss_shares(spark, sf_dir):
+    own = records(spark, sf_dir).withColumn("d", F.col("epoch").cast("double"))
+    return runs.loss_shares(own, "veer", "d", 0.7).select("run", "epoch", F.round("class_share_pct", 5).alias("class_share_pct"))
+
+
+@query(
+    f"""WITH {_V}, x AS (SELECT run, epoch, CASE WHEN event_id % 97 = 0 THEN CAST('nan' AS DOUBLE) ELSE veer END AS loss, veer FROM ev)
+ SELECT run, min(CASE WHEN isnan(loss) OR isinf(loss) THEN epoch END) AS first_bad_epoch, round(arg_max(veer, epoch) - min(veer), 6) AS regression FROM x GROUP BY run"""
+)
+def divergence_report(spark, sf_dir):
+    own = records(spark, sf_dir).withColumn("loss", F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("veer")))
+    return runs.divergence(own, "run", "epoch", "loss", "veer").withColumn("regression", rounded("regression"))
+
+
+@query("WITH x AS (SELECT event_type, row_number() OVER w AS seq, avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, seq, round(m, 6) AS mean_last FROM x WHERE seq % 20 = 0")
+def rolling_mean20(spark, sf_dir):
+    own = table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
+    return runs.rolling_mean(own, "event_type", "o", "value").select("event_type", F.col("seq").cast("long").alias("seq"), rounded("mean_last").alias("mean_last"))
+
+
+@query("WITH x AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) SELECT event_type, event_id FROM x WHERE n > 5 AND n <= 105")
+def warm_up_skip(spark, sf_dir):
+    own = table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
+    return runs.warm_up_skipped(own, "event_type", "o", 5, 100).select("event_type", "event_id")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, count(value) AS n FROM events GROUP BY event_type")
+def metric_summary(spark, sf_dir):
+    return runs.metric_summary(table(spark, sf_dir, "events"), "event_type", "value").withColumns({"mean": rounded("mean"), "std": rounded("std")})
+
+
+@query("SELECT event_type, user_id % 4 AS epoch, round(avg(value) * 2, 6) AS mean_loss, round(avg(event_id), 4) AS mean_accuracy, count(*) AS n_batches FROM events GROUP BY ALL")
+def epoch_means(spark, sf_dir):
+    own = table(spark, sf_dir, "events").withColumn("epoch", F.pmod("user_id", F.lit(4)))
+    return runs.epoch_means(own, ["event_type", "epoch"], "value", "event_id", 2).withColumns({"mean_loss": rounded("mean_loss"), "mean_accuracy": F.round("mean_accuracy", 4)})
+
+
+_THR = "r AS (SELECT event_type, 32 * count(abs(value)) / sum(abs(value)) AS samples_per_s, avg(abs(value)) AS mean_s, min(abs(value)) AS min_s, max(abs(value)) AS max_s FROM events GROUP BY event_type)"
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.throughput(table(spark, sf_dir, "events").withColumn("s", F.abs("value")), "event_type", "s", 32)
+
+
+@query(f"WITH {_THR} SELECT event_type, round(samples_per_s, 5) AS samples_per_s, round(mean_s, 6) AS mean_s, min_s, max_s FROM r")
+def throughput(spark, sf_dir):
+    return _rates(spark, sf_dir).withColumns({"samples_per_s": F.round("samples_per_s", 5), "mean_s": rounded("mean_s")})
+
+
+@query(f"WITH {_THR}, k AS (SELECT min(event_type) AS a, max(event_type) AS b FROM r) SELECT round(y.samples_per_s / x.samples_per_s, 6) AS ratio, round(100 * (y.samples_per_s - x.samples_per_s) / x.samples_per_s, 4) AS increase_pct FROM k JOIN r x ON x.event_type = a JOIN r y ON y.event_type = b")
+def speedup(spark, sf_dir):
+    ends = table(spark, sf_dir, "events").agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    out = runs.speed_up(_rates(spark, sf_dir), "event_type", "samples_per_s", ends.a, ends.b)
+    return out.select(rounded("ratio").alias("ratio"), F.round("increase_pct", 4).alias("increase_pct"))
+
+
+@query(f"WITH {_V} SELECT run, epoch, round(0.001 * pow(0.95, floor((epoch - 1) / 10)), 9) AS lr FROM ev")
+def lr_decay(spark, sf_dir):
+    return records(spark, sf_dir).select("run", "epoch", F.round(scalars.decayed_rate(0.001, 0.95, 10, F.col("epoch")), 9).alias("lr"))
+
+
+@query(f"WITH {_V} SELECT run, epoch FROM ev WHERE event_id % 11 = 0")
+def lr_audit(spark, sf_dir):
+    honest = scalars.decayed_rate(0.001, 0.95, 10, F.col("epoch"))
+    own = records(spark, sf_dir).withColumn("lr", F.when(F.col("event_id") % 11 == 0, honest + 0.01).otherwise(honest))
+    return runs.rate_audit(own, 0.001, 0.95, 10).select("run", "epoch")
+
+
+@query(f"WITH {_V} SELECT run, CAST(epoch AS INT) AS epoch, round(veer, 4) AS veer, round(veer / 10, 5) AS min_dcf FROM ev")
+def parse_score_log(spark, sf_dir):
+    line = F.concat(F.lit("Epoch "), F.col("epoch").cast("string"), F.lit(", VEER "), F.round("veer", 4).cast("string"), F.lit(", MinDCF "), F.round(F.col("veer") / 10, 5).cast("string"), F.lit(", Threshold 0.000000"))
+    made = records(spark, sf_dir).select("run", line.alias("value"))
+    return logs.parse_log(made, keep=("run",)).select("run", "epoch", "veer", "min_dcf")
+
+
+@query("SELECT event_id, event_type AS model, user_id AS width FROM events")
+def parse_run_args(spark, sf_dir):
+    text = F.concat(F.lit("Namespace(model='"), F.col("event_type"), F.lit("', empty='', lr=0.001, width="), F.col("user_id").cast("string"), F.lit(", eval=False)"))
+    made = table(spark, sf_dir, "events").select(F.concat(F.lit("run20251029035150.cmd#"), F.col("event_id").cast("string")).alias("file"), text.alias("value"))
+    parsed = logs.parse_run_arguments(made)
+    return parsed.select(F.substring_index("file", "#", -1).cast("long").alias("event_id"), F.try_element_at("args", F.lit("model")).alias("model"), F.try_element_at("args", F.lit("width")).cast("long").alias("width"))
+
+
+# ---- audio plans ------------------------------------------------------------------------------------------------
+
+_N = "n AS (SELECT doc_id, CAST(n_chars AS BIGINT) * 40 AS n FROM documents)"
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars").cast("long") * 40).alias("n"))
+
+
+@query(f"WITH {_N} SELECT doc_id, start, lpad(CAST(start // 16000 AS VARCHAR), 5, '0') AS name FROM (SELECT doc_id, unnest(range(0, n - 80000, 48000)) AS start FROM n WHERE n > 80000)")
+def segments(spark, sf_dir):
+    return audio.sliding_segments(_clips(spark, sf_dir), "n").select("doc_id", "start", "name")
+
+
+@query(f"WITH {_N}, f AS (SELECT doc_id, CASE WHEN n <= 48240 THEN 48241 ELSE n END AS n FROM n) SELECT doc_id, CAST(i AS BIGINT) AS crop_id, (i * (n - 48240)) // 9 AS start FROM f, range(10) r(i)")
+def eval_crops(spark, sf_dir):
+    return audio.evaluation_crops(_clips(spark, sf_dir), "n").select("doc_id", F.col("crop_id").cast("long").alias("crop_id"), "start")
+
+
+_U = "CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {key})), 1, 8)) AS BIGINT)"
+
+
+@query(f"WITH {_N} SELECT doc_id, CAST(floor({_U.format(seed=0, key='doc_id')} / 4294967296.0 * (greatest(n, 32241) - 32240)) AS BIGINT) AS start FROM n")
+def train_crop(spark, sf_dir):
+    return audio.training_crop(_clips(spark, sf_dir), "n", "doc_id").select("doc_id", "start")
+
+
+_A = f"a AS (SELECT doc_id, ['clean', 'reverb', 'music', 'speech', 'noise'][{_U.format(seed=0, key='doc_id')} % 5 + 1] AS category FROM documents)"
+
+
+@query(f"WITH {_A} SELECT doc_id, category AS augmentation FROM a")
+def augment_plan(spark, sf_dir):
+    return audio.augmentation_plan(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "augmentation")
+
+
+@query(
+    f"""WITH {_A}, r AS (SELECT * FROM (VALUES ('noise', 0, 15, 1, 1), ('speech', 13, 20, 3, 7), ('music', 5, 15, 1, 1)) AS r(category, lo, hi, n_lo, n_hi)),
+ pool AS (SELECT ['noise', 'speech', 'music'][p_partkey % 3 + 1] AS category, concat('p/', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS path FROM part),
+ num AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY path) - 1 AS nth FROM pool), sz AS (SELECT category, count(*) AS pool_size FROM pool GROUP BY category),
+ k AS (SELECT doc_id, a.category, lo, hi, pool_size, least(n_lo + {_U.format(seed=1, key='doc_id')} % (n_hi - n_lo + 1), pool_size) AS k FROM a JOIN r USING (category) JOIN sz USING (category)),
+ x AS (SELECT *, unnest(range(0, k)) AS noise_no FROM k)
+ SELECT doc_id, x.category, noise_no, path, round(lo + {_U.format(seed=3, key='doc_id, noise_no')} / 4294967296.0 * (hi - lo), 6) AS snr_db
+ FROM x JOIN num ON num.category = x.category AND num.nth = ({_U.format(seed=2, key='doc_id')} + noise_no) % pool_size"""
+)
+def noise_plan(spark, sf_dir):
+    p = F.col("p_partkey")
+    category = F.element_at(F.array(F.lit("noise"), F.lit("speech"), F.lit("music")), (F.pmod(p, F.lit(3)) + 1).cast("int"))
+    pool = table(spark, sf_dir, "part").select(category.alias("category"), F.concat(F.lit("p/"), F.lpad(p.cast("string"), 9, "0")).alias("path"))
+    rows = audio.augmentation_plan(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return audio.noise_plan(rows, "doc_id", pool).select("doc_id", "category", F.col("noise_no").cast("long").alias("noise_no"), "path", rounded("snr_db").alias("snr_db"))
+
+
+@query("SELECT user_id, round(avg(value), 6) AS mean, max(value) AS max, round(sum((event_id % 5 + 1) * value) / sum(event_id % 5 + 1), 6) AS weighted_mean, round(sqrt(greatest(sum((event_id % 5 + 1) * value * value) / sum(event_id % 5 + 1) - pow(sum((event_id % 5 + 1) * value) / sum(event_id % 5 + 1), 2), 1e-5)), 5) AS weighted_std FROM events GROUP BY user_id")
+def stats_pooling(spark, sf_dir):
+    out = audio.pooled(table(spark, sf_dir, "events"), "user_id", "value", (F.pmod("event_id", F.lit(5)) + 1).cast("double"))
+    return out.select("user_id", rounded("mean").alias("mean"), "max", rounded("weighted_mean").alias("weighted_mean"), F.round("weighted_std", 5).alias("weighted_std"))
+
+
+# ---- streams ----------------------------------------------------------------------------------------------------
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that is there into a table in the shared folder, and read it."""
+    spark = stream.sparkSession
+    from veriframe.plans.materialize import shared_folder
+
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+
+
+@query(
+    f"""WITH {_BEST}, z AS (SELECT run, min(epoch) AS stop_at FROM s WHERE since >= 20 GROUP BY run)
+ SELECT s.run, s.epoch AS seq, CASE WHEN improved THEN 'improved' ELSE 'stopped' END AS event, least(veer, coalesce(best, veer)) AS best FROM s LEFT JOIN z USING (run) WHERE (improved AND (stop_at IS NULL OR epoch < stop_at)) OR epoch = stop_at"""
+)
+def stream_best_monitor(spark, sf_dir):
+    numbered = records(spark, sf_dir).select("event_id", F.col("epoch").alias("seq"))
+    stream = _event_stream(spark, sf_dir).select("event_id", F.col("user_id").alias("run"), F.col("value"))
+    return _drained(monitor.monitored(stream.join(numbered, "event_id").select("run", "seq", "value"), 20))
+
+
+@query("WITH h AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n, max(date_trunc('hour', max(ts))) OVER () AS last FROM events GROUP BY 1) SELECT start, n, round(n / 3600.0, 9) AS items_per_s FROM h WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
+def stream_rate(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(monitor.progress_rate(stream, "ts"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("items_per_s", 9).alias("items_per_s"))
