@@ -125,7 +125,8 @@ def train(docs: DataFrame, ratings: DataFrame, max_train_docs: int = MAX_TRAIN_D
             made = [features(t.as_py() or "") for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([m[0].tolist() for m in made], pa.list_(pa.int64())), pa.array([m[1].tolist() for m in made], pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["index", "value", "grade"])
 
-    joined = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "grade")
+    # about max_train_docs ids and grades, so they may be broadcast and the texts stay where they are
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
     rows = [(r.index_, r.value, r.grade) for r in joined.mapInArrow(run, "index array<long>, value array<double>, grade int").withColumnRenamed("index", "index_").collect()]
     grades = sorted({r[2] for r in rows})
     if len(grades) < 2:

@@ -151,8 +151,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     """The decision list's rejecting rules, in order."""
     own = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((1 - F.min("quality")).alias("low"))
-    chosen = own.filter(hash_below(F.col("doc_id"), max_train_docs / max(own.count(), 1)))
-    rows = counts(docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id", "left_semi")).filter(~base_failed())
+    # about max_train_docs ids and labels, so they may be broadcast and the texts stay where they are
+    chosen = F.broadcast(own.filter(hash_below(F.col("doc_id"), max_train_docs / max(own.count(), 1))))
+    rows = counts(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")).filter(~base_failed())
     rows = rows.join(chosen, "doc_id").select("low", *[c.alias(s) for s, c in signals().items()], (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) < 2).alias("grow"))
     rows = cut(rows)
     levels = [k / CUTS for k in range(1, CUTS)]

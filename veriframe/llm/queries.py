@@ -65,5 +65,21 @@ QUERIES = {
     )
 }
 
-#: DuckDB SQL for the queries that SQL expresses; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL expresses; the others are held against brute force in tests/llm. The near-duplicate
+#: classes are the components of exact multiset similarities, whatever way candidates were found.
+ORACLES: dict[str, str] = {
+    "op8_near_duplicates": r"""
+WITH RECURSIVE w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT text, min(doc_id) AS rep, any_value(ws) AS ws FROM w WHERE len(ws) > 0 GROUP BY text),
+c AS (SELECT rep, unnest(CASE WHEN len(ws) <= 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM t),
+m AS (SELECT rep, g, count(*) AS n FROM c GROUP BY rep, g),
+z AS (SELECT rep, CAST(sum(n) AS DOUBLE) AS n FROM m GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, CAST(sum(least(a.n, b.n)) AS DOUBLE) AS shared FROM m a JOIN m b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.rep = a JOIN z y ON y.rep = b WHERE shared / (x.n + y.n - shared) >= CAST(0.8 AS DOUBLE)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT rep, rep FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+k AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+d AS (SELECT w.doc_id, k.root FROM w JOIN t ON t.text = w.text JOIN k ON k.node = t.rep)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size, doc_id = min(doc_id) OVER (PARTITION BY root) AS kept FROM d
+UNION ALL SELECT doc_id, doc_id, 1, true FROM w WHERE len(ws) = 0""",
+}

@@ -36,7 +36,7 @@ GRAM = 80
 #: String starts that are hashed at a time.
 CHUNK = 1 << 20
 #: Distinct runs of one anchor that a task counts by itself.
-IN_TASK = 20_000
+IN_TASK = 10_000
 #: Documents whose places (a few hundred bytes each) are broadcast; more are joined by exchange.
 BROADCAST_DOCS = 400_000
 

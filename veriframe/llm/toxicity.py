@@ -110,8 +110,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_
     own = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = own.filter(hash_below(F.col("doc_id"), max_train_docs / max(own.count(), 1)))
-    # the labelled ids are the small side; how they are joined is left to the optimizer
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    # about max_train_docs ids and labels, so they may be broadcast and the texts stay where they are
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
