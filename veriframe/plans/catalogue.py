@@ -299,6 +299,29 @@ def aam_loss(spark, sf_dir):
     return _loss(losses.classification_loss(*_classes(spark, sf_dir), "aam", dim=DIM))
 
 
+_RAW = _CE.replace("round(avg(top + ln(z) - own), 5)", "avg(top + ln(z) - own)")
+
+
+@query(
+    f"SELECT round(a.loss + b.loss, 4) AS loss FROM (WITH {_C}, s AS (SELECT row_id, dot AS score, is_target FROM s0) {_RAW.format(key='row_id')}) a, "
+    f"(WITH {_B}, s AS (SELECT a.batch_id, speaker, cls, {_COS} * 10 - 5 AS score, speaker = cls AS is_target FROM q a JOIN c b USING (batch_id)) {_RAW.format(key='batch_id, speaker')}) b"
+)
+def combined_loss(spark, sf_dir):
+    return losses.combined_loss(*_classes(spark, sf_dir), batch(spark, sf_dir)).select(F.round("loss", 4).alias("loss"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
+def merge_results(spark, sf_dir):
+    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return scoring.merge_results(parts, "l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {_T} SELECT count(*) AS n_missing FROM (SELECT ref AS u FROM t UNION SELECT com + 3 FROM t) WHERE u NOT IN (SELECT vec_id FROM e)")
+def missing_embeddings(spark, sf_dir):
+    own = trials(spark, sf_dir).select("ref", (F.col("com") + 3).alias("com"))
+    return scoring.missing_keys(own, embeddings(spark, sf_dir).withColumnRenamed("vec_id", "utt")).agg(F.count("*").alias("n_missing"))
+
+
 def _teacher(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("utt"), "embedding")
     return e, e.withColumn("embedding", F.reverse("embedding"))
