@@ -88,7 +88,7 @@ def _repair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """Greedy choice among the at most a few hundred candidates of one source: the largest step that does not
     overshoot, and at the end one more if that comes nearer."""
     gap = float(group["gap"].iloc[0])
-    group = group.sort_values(["size", "uid"], ascending=[False, True])
+    group = group.sort_values(["size", "h", "uid"], ascending=[False, True, True])
     moves, used = [], set()
     for final in (False, True):
         rows = group if not final else group.iloc[::-1]
@@ -125,7 +125,7 @@ def round_to_copies(rated: DataFrame, cap: int = 3) -> DataFrame:
     # a row_number limit is applied before the exchange too, so a large source sends few candidates
     rank = Window.partitionBy("source", "_class", "step").orderBy("_h", "uid")
     few = movable.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= CANDIDATES)
-    moves = few.select("source", "uid", "size", "step", "gap").groupBy("source").applyInPandas(_repair, "uid long, move long")
+    moves = few.select("source", "uid", "size", "step", "gap", F.col("_h").alias("h")).groupBy("source").applyInPandas(_repair, "uid long, move long")
     return first.join(moves, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move", "_h", "_class", "_part")
 
 

@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.llm import fingerprints, language, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
-from veriframe.llm.common import held_out, table
+from veriframe.llm.common import cut, held_out, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+    """Fingerprints and likenesses, and for every id divisible by 50 the number of other fingerprints in the corpus
+    within the radius (null for the rest, which are searched but not queries)."""
+    made = cut(fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents")))
+    is_query = F.col("doc_id") % 50 == 0
+    found = fingerprints.within_radius(made.filter(is_query), made)
+    near = found.groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("_near"))
+    joined = made.join(near, "fingerprint", "left").withColumn("n_within_radius", F.when(is_query, F.coalesce("_near", F.lit(0))))
+    return joined.select(*made.columns, "n_within_radius")
 
 
 def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
