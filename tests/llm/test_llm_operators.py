@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veriframe.llm import common, components, fingerprints, language, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
 
@@ -17,8 +18,6 @@ def frame(spark, texts, extra=False):
     rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     if extra:
-        from pyspark.sql import functions as F
-
         for name in ("length", "part", "uid", "node", "score", "copies"):
             df = df.withColumn(name, F.lit("clash"))
     return df
@@ -143,8 +142,6 @@ def test_mix_of_odd_rows(spark):
 
 
 def test_prior_rates_tilt(spark, docs):
-    from pyspark.sql import functions as F
-
     rows = mixing.mix(docs, prior=F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(0.5)).join(docs.select("doc_id", "source"), "doc_id").collect()
     got = Counter()
     for r in rows:
@@ -234,7 +231,7 @@ def test_rule_counts(spark, docs):
 def test_decision_list_learns_and_keeps(spark, docs, labels):
     rules = quality_rules.learn(docs, labels)
     assert rules
-    rows = quality_rules.apply(docs, rules).join(labels, "doc_id").filter(common.held_out(docs["doc_id"]) | True).collect()
+    rows = quality_rules.apply(docs, rules).join(labels, "doc_id").collect()
     good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     bad = [r.kept for r in rows if r.quality == 0 and not r.base_failed]
     assert sum(good) / len(good) > 0.97 and sum(bad) / max(len(bad), 1) < 0.3
@@ -301,13 +298,13 @@ def test_segments_are_maximal():
     rng = random.Random(7)
     for _ in range(300):
         n = rng.randint(1, 25)
-        weights = {i: rng.choice([1.0, 2.0, 0.5]) for i in range(n) if rng.random() < 0.4}
+        weights = {i: rng.uniform(0.3, 2) for i in range(n) if rng.random() < 0.4}
         scores = [weights.get(i, -0.7) for i in range(n)]
 
         def maximal(a, b):
             if a >= b:
                 return []
-            best = max(((sum(scores[i:j]), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            best = max(((round(sum(scores[i:j]), 9), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
             if best[0] <= 0:
                 return []
             i = -best[2]
@@ -315,13 +312,13 @@ def test_segments_are_maximal():
             return maximal(a, i) + [(i, j, best[0])] + maximal(j, b)
 
         got = toxicity.segments(sorted(weights.items()), -0.7)
-        assert sum(s for _, _, s in got) == pytest.approx(sum(s for _, _, s in maximal(0, n)))
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in maximal(0, n)]
 
 
 def test_toxic_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
-    rows = toxicity.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).join(labels, "doc_id").filter(common.held_out(labels["doc_id"])).collect()
+    rows = toxicity.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).join(labels, "doc_id").filter(common.held_out(F.col("doc_id"))).collect()
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit / sum(r.predicted for r in rows) > 0.75 and hit / sum(r.toxic for r in rows) > 0.75
     odd = toxicity.score(frame(spark, ODD, extra=True), model, with_passages=True).collect()
@@ -407,12 +404,10 @@ def test_components(spark):
 # ---- op9
 
 def test_ordinal_scores_separate(spark, docs, labels):
-    from pyspark.sql import functions as F
-
     ratings = labels.select("doc_id", ordinal_quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     model = ordinal_quality.train(docs, ratings)
     assert (np.diff(model["cuts"]) > 0).all()
-    rows = ordinal_quality.score(docs, model).join(labels, "doc_id").filter(common.held_out(labels["doc_id"])).collect()
+    rows = ordinal_quality.score(docs, model).join(labels, "doc_id").filter(common.held_out(F.col("doc_id"))).collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.5
     odd = ordinal_quality.score(frame(spark, ODD, extra=True), model).collect()
@@ -424,7 +419,7 @@ def test_ordinal_scores_separate(spark, docs, labels):
 
 def test_language_held_out_and_mixed(spark, docs):
     model = language.train(docs)
-    rows = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(common.held_out(docs["doc_id"])).collect()
+    rows = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(common.held_out(F.col("doc_id"))).collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
     by = {}
     for r in docs.filter("n_chars between 500 and 3000").select("lang", "text").collect():

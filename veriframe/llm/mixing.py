@@ -26,8 +26,8 @@ ROUND_PARTS = 16
 CANDIDATES = 6
 #: Documents whose copies (12 bytes each) are broadcast to them; more are joined by exchange.
 BROADCAST_ROWS = 1_000_000
-NEWTON_STEPS = 25
-TOLERANCE = 1e-10
+NEWTON_STEPS = 40
+TOLERANCE = 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -62,9 +62,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
 def balance(docs: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
     """Newton iterations on the dual. ``docs`` has source, size and prior (> 0); adds lambda's tilt as ``rate``."""
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
-    state = cut(
-        targets.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-300)))).otherwise(0.0).alias("lam"))
-    )
+    start = F.when(F.col("source_size") > 0, F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-300)))).otherwise(0.0)
+    none = F.lit(None).cast("double")
+    state = cut(targets.select("source", "source_size", "target", start.alias("lam"), none.alias("low"), none.alias("high")))
     for _ in range(NEWTON_STEPS):
         rate = F.col("prior") * F.exp("lam")
         sums = (
@@ -75,11 +75,17 @@ def balance(docs: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
                 F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).alias("slope"),
             )
         )
-        stepped = state.alias("t").join(sums.alias("d"), same, "left")
         off = F.col("target") - F.col("got")
-        move = F.when((F.col("slope") > 0) & (F.abs(off) > TOLERANCE * F.col("target")), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), off / F.col("slope")))).otherwise(0.0)
-        state = cut(stepped.select("t.source", "source_size", "target", (F.col("lam") + move).alias("lam"), (F.abs(move) > 1e-12).alias("moved")))
-        if not state.filter("moved").limit(1).count():
+        open_ = (F.abs(off) > TOLERANCE * F.col("target")) & ((F.col("slope") > 0) | (off < 0))
+        # a step that leaves the bracket (the clipped dual has kinks) is replaced by the bracket's middle
+        step = F.col("lam") + F.when(F.col("slope") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide(off, F.col("slope"))))).otherwise(-0.5)
+        low = F.when(off > 0, F.col("lam")).otherwise(F.col("low"))
+        high = F.when(off < 0, F.col("lam")).otherwise(F.col("high"))
+        moved = state.alias("t").join(sums.alias("d"), same, "left").select("t.source", "source_size", "target", "lam", low.alias("low"), high.alias("high"), step.alias("step"), F.coalesce(open_, F.lit(False)).alias("open"))
+        inside = (F.col("low").isNull() | (F.col("step") > F.col("low"))) & (F.col("high").isNull() | (F.col("step") < F.col("high")))
+        new = F.when(~F.col("open"), F.col("lam")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
+        state = cut(moved.select("source", "source_size", "target", new.alias("lam"), "low", "high", "open"))
+        if not state.filter("open").limit(1).count():
             break
     return docs.alias("d").join(state.alias("t"), same).select("d.*", "source_size", "target", F.least(F.lit(cap), F.col("prior") * F.exp("lam")).alias("rate"))
 
