@@ -37,8 +37,8 @@ GRAM = 80
 CHUNK = 1 << 20
 #: Distinct runs of one anchor that a task counts by itself.
 IN_TASK = 10_000
-#: Documents whose places (a few hundred bytes each) are broadcast; more are joined by exchange.
-BROADCAST_DOCS = 400_000
+#: Documents, and list entries in all (some 40 bytes each), that are broadcast at most; more are joined by exchange.
+BROADCAST_DOCS, BROADCAST_ENTRIES = 400_000, 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -137,9 +137,10 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Rows of the documents with their lists; the lists are broadcast while they are few."""
-    side = F.broadcast(lists) if lists.count() <= BROADCAST_DOCS else lists
-    return docs.join(side, "uid", how)
+    """Rows of the documents with their lists (uid, array); the lists are broadcast while they are few and short."""
+    size = lists.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size(lists.columns[1])), F.lit(0)).alias("entries")).first()
+    few = size.docs <= BROADCAST_DOCS and size.entries <= BROADCAST_ENTRIES
+    return docs.join(F.broadcast(lists) if few else lists, "uid", how)
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -273,11 +274,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; columns in ``keep`` come along under
     ``_keep_*`` names, and ``kept_text`` (cut at whole characters) if asked for."""
     stretches = repeated_starts(docs, length, gram)
-    lists = cut_table(stretches.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("stretches")))
+    lists = stretches.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("stretches"))
+
+    def join_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in covered([(s["first"], s["n"]) for s in found], length)] for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], names=["uid", "spans"])
+
+    # neighbouring stretches become one span before anything is sent on: a whole copy is a single entry
+    lists = cut_table(lists.mapInArrow(join_up, "uid long, spans array<struct<start: long, end: long>>"))
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
     types = {f.name: f.dataType for f in rows.schema.fields}
-    rows = _with_lists(rows, lists, "left").select("doc_id", "text", "stretches", *[f"_keep_{c}" for c in keep])
+    rows = _with_lists(rows, lists, "left").select("doc_id", "text", "spans", *[f"_keep_{c}" for c in keep])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     for c in keep:
         schema += f", `_keep_{c}` {types[f'_keep_{c}'].simpleString()}"
@@ -288,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             for at in range(batch.num_rows):
                 text, found = batch.column(1)[at].as_py(), batch.column(2)[at].as_py()
                 raw = (text or "").encode()
-                spans = covered([(s["first"], s["n"]) for s in found or []], length)
+                spans = [(s["start"], s["end"]) for s in found or []]
                 left, end = [], 0
                 for a, b in spans:
                     left.append(raw[end:a])
