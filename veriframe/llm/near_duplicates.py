@@ -10,9 +10,10 @@ costs little more than one hash a shingle. Registers agree with the probability
 Signatures are cut into bands. Equal texts are one node. In every bucket of a band the nodes are first verified
 against the bucket's first node, so a group of close copies gives as many pairs as it has members; verified links
 form components. Buckets whose nodes still lie in several components are then searched in blocks: longer signatures
-(``FINE`` registers, a byte of each) of nodes in different components are compared inside a task, and only the few
-pairs within four standard errors of the threshold leave it, to be verified exactly. So no link between components
-is lost to the choice of the first node, and no group is expanded into its pairs.
+(``FINE`` registers, a byte of each) of nodes in different components are compared inside a task, and pairs that come
+within four standard errors of the threshold are verified exactly: first each node's few most similar ones, which
+join nearly all that belongs together, then whatever pairs between components are left. So no link between
+components is lost to the choice of the first node, and no group is expanded into its pairs.
 
 Defined cases: null and blank texts have no shingles and are classes of their own; equal texts share a class;
 repeated rows are listed as often as they occur; texts are read whole; other columns are ignored; an empty table
@@ -40,6 +41,8 @@ GROUP = 400
 #: Registers of the longer signatures, and the share of equal bytes that a pair needs: four standard errors below
 #: the threshold, and what chance equality of bytes adds.
 FINE = 512
+#: Most similar nodes that are verified first for each node of a block.
+BEST = 3
 #: Nodes of a bucket's part in the block search; parts are compared pairwise.
 BLOCK = 1000
 #: Node ids up to this number (16 bytes each) are broadcast to pick their texts; more are joined by exchange.
@@ -182,7 +185,8 @@ def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (centre, node) whose exact similarity reaches the threshold. ``reps`` has one row's id for each
     node, so a node's text is read once however many copies it has."""
-    wanted = pairs.select(F.explode(F.array("centre", "node")).alias("node")).distinct().join(reps, "node")
+    ends = pairs.select(F.col("centre").alias("node")).distinct().unionByName(pairs.select("node").distinct())
+    wanted = ends.distinct().join(reps, "node")
     texts = _texts_of(cut(wanted), docs).select("node", "text").dropDuplicates(["node"])
     groups = pairs.groupBy("centre").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
@@ -213,22 +217,24 @@ def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
 
 
 def _fine(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, fine): the longer signatures, one byte a register."""
+    """(node, fine, keys): the longer signatures, one byte a register, and the keys of all bands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                made = signatures([cells(shingler(t.as_py())) for t in batch.column(1)], FINE)
-                bytes_of = [row.tobytes() for row in (made >> np.uint64(40)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bytes_of, pa.binary())], names=["node", "fine"])
+                bags = [cells(shingler(t.as_py())) for t in batch.column(1)]
+                fine = [row.tobytes() for row in (signatures(bags, FINE) >> np.uint64(40)).astype(np.uint8)]
+                keys = [row.tobytes() for row in band_keys(signatures(bags))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary()), pa.array(keys, pa.binary())], names=["node", "fine", "keys"])
 
-    return _texts_of(nodes, docs).select("node", "text").mapInArrow(run, "node long, fine binary").dropDuplicates(["node"])
+    return _texts_of(nodes, docs).select("node", "text").mapInArrow(run, "node long, fine binary, keys binary").dropDuplicates(["node"])
 
 
-def _search(state: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes in one bucket but different components whose longer signatures may reach the threshold."""
+def _search(state: DataFrame, fine: DataFrame, threshold: float, best: int = 0) -> DataFrame:
+    """Pairs of nodes in one bucket but different components whose longer signatures may reach the threshold: all of
+    them, or each node's ``best`` most similar in a block."""
     error = (threshold * (1 - threshold) / FINE) ** 0.5
     least = threshold - 4 * error
     least += (1 - least) / 256
@@ -240,7 +246,7 @@ def _search(state: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
     spread = spread.select("band", "node", "root", "part", other)
     spread = spread.select("band", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "root")
     rows = spread.join(fine, "node").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "part")
-    rows = rows.select("band", "a", "b", "part", "node", "root", "fine")
+    rows = rows.select("band", "a", "b", "part", "node", "root", "fine", "keys")
     fields = (("centre", pa.int64()), ("node", pa.int64()))
 
     def compare(group: list[tuple]) -> list[tuple]:
@@ -248,15 +254,21 @@ def _search(state: DataFrame, fine: DataFrame, threshold: float) -> DataFrame:
         nodes, roots = (np.array([g[k] for g in group]) for k in (4, 5))
         low = np.array([g[3] == key[1] for g in group])
         marks = np.frombuffer(b"".join(g[6] for g in group), dtype=np.uint8).reshape(len(group), FINE)
+        keys = np.frombuffer(b"".join(g[7] for g in group), dtype=np.int64).reshape(len(group), BANDS)
         within = key[1] == key[2]
         left = np.arange(len(group)) if within else np.flatnonzero(low)
         right = np.arange(len(group)) if within else np.flatnonzero(~low)
         out = []
         for i in left:
-            rest = right[(right > i) if within else slice(None)]
+            rest = right[(right > i) if within and not best else slice(None)]
             rest = rest[roots[rest] != roots[i]]
             if len(rest):
-                near = rest[(marks[rest] == marks[i]).mean(axis=1) >= least]
+                share = (marks[rest] == marks[i]).mean(axis=1)
+                near = rest[share >= least]
+                if best and len(near) > best:
+                    near = rest[np.argsort(-share, kind="stable")[:best]]
+                # a pair that shares several bands is given in the first of them alone
+                near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key[0]] if len(near) else near
                 out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in near]
         return out
 
@@ -287,15 +299,19 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     buckets = cut(keyed.join(shared, "band").select("band", "node", "centre"))
     tried = cut(buckets.filter("node <> centre").select("centre", "node").distinct())
     found = cut(verify(tried, reps, docs, threshold))
-    rooted = components(found)
-    state = buckets.select("band", "node").join(rooted, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    state = cut(state.join(mixed, "band"))
-    fine = _fine(cut(state.select("node").distinct().join(reps, "node")), docs)
-    more = _search(state, fine, threshold)
-    ordered = tried.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node"))
-    more = cut(more.join(ordered, ["centre", "node"], "left_anti"))
-    return rows.select("did", "node"), cut(found.unionByName(verify(more, reps, docs, threshold)))
+    fine: DataFrame | None = None
+    for best in (BEST, 0):
+        rooted = components(found)
+        state = buckets.select("band", "node").join(rooted, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+        state = cut(state.join(mixed, "band"))
+        if fine is None:
+            fine = cut(_fine(cut(state.select("node").distinct().join(reps, "node")), docs))
+        ordered = tried.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node"))
+        more = cut(_search(state, fine, threshold, best).join(ordered, ["centre", "node"], "left_anti"))
+        found = cut(found.unionByName(verify(more, reps, docs, threshold)))
+        tried = tried.unionByName(more)
+    return rows.select("did", "node"), found
 
 
 def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
