@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.functions.scalars import seeded_key, speaker_of
+from veriframe.functions.scalars import round_down, seeded_int, seeded_key, speaker_of
+from veriframe.plans.prefix_sum import running_sums
 
 
 def restrict_manifest(manifest: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -127,6 +128,25 @@ def batch_plan(groups: DataFrame, speaker: str, seed: int, batch_size: int) -> D
     return kept.withColumn("batch_in_round", F.floor(F.col("_r") / batch_size).cast("long")).withColumn("slot_in_batch", F.pmod(F.col("_r"), F.lit(batch_size)).cast("int")).withColumnRenamed("group_no", "round").drop("_k", "_r", "_n")
 
 
+def tuples(rows: DataFrame, speaker: str, key: str, size: int) -> DataFrame:
+    """All of each speaker's rows in the order of ``key`` (unique), ``size`` to a tuple: adds ``round`` (the tuple's
+    number) and ``slot``. Only a speaker's incomplete last tuple goes. Numbered by running counts, so that no task
+    holds a speaker."""
+    numbered = running_sums(rows.withColumn("_key", F.struct(speaker, key)), "_key", [])
+    spans = numbered.groupBy(F.col(speaker).alias("_s")).agg(F.min("ordinal").alias("_first"), F.count("*").alias("_n"))
+    k = F.col("ordinal") - F.col("_first")
+    whole = numbered.join(spans, F.col(speaker).eqNullSafe(F.col("_s"))).filter(k < round_down(F.col("_n"), size))
+    return whole.select(*rows.columns, F.floor(k / size).cast("long").alias("round"), F.pmod(k, F.lit(size)).alias("slot"))
+
+
+def tuple_batches(rows: DataFrame, speaker: str, seed: int, width: int) -> DataFrame:
+    """Adds ``batch_id`` to the rows of ``tuples``: a round is a batch, dealt by hash into batches of about ``width``
+    speakers where it has more; nothing is dropped."""
+    size = rows.filter("slot = 0").groupBy("round").agg(F.count("*").alias("_n"))
+    part = F.pmod(seeded_int(seed, F.col(speaker), F.col("round")), F.ceil(F.col("_n") / width))
+    return rows.join(size, "round").withColumn("batch_id", F.concat_ws("-", F.col("round").cast("string"), part.cast("string"))).drop("_n")
+
+
 def world_slice(rows: DataFrame, position: str, rank: int, world: int, batch_size: int) -> DataFrame:
     """One worker's contiguous share of globally numbered rows (from 0), the total floored to whole batches."""
     total = rows.agg(F.count("*").alias("n")).first().n

@@ -14,6 +14,8 @@ from veriframe.streaming import monitor
 
 DIM = 64
 REACH = 200
+#: Speakers of a batch, about, where a round has more.
+WIDTH = 200
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -224,6 +226,19 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("slot < 3 and n >= 3").select("batch_id", "speaker", "slot", "embedding")
 
 
+#: As _B, of every full tuple of every speaker.
+_W = f"""{_E}, w0 AS (SELECT label AS speaker, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, v FROM e),
+ w1 AS (SELECT speaker, k // 3 AS round, k % 3 AS slot, v FROM w0 WHERE k < n - n % 3), u AS (SELECT round, count(DISTINCT speaker) AS n FROM w1 GROUP BY round),
+ b AS (SELECT concat_ws('-', round, CAST('0x' || substr(md5(concat_ws('|', '7', speaker, round)), 1, 8) AS BIGINT) % CAST(ceil(n / {WIDTH}) AS BIGINT)) AS batch_id, speaker, slot, v FROM w1 JOIN u USING (round)),
+ q AS (SELECT batch_id, speaker, v FROM b WHERE slot = 0), c AS (SELECT batch_id, s1.speaker AS cls, list_transform(list_zip(s1.v, s2.v), lambda x: (x[1] + x[2]) / 2) AS v FROM b s1 JOIN b s2 USING (batch_id, speaker) WHERE s1.slot = 1 AND s2.slot = 2)"""
+
+
+def whole_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every full tuple of three of every speaker."""
+    e = embeddings(spark, sf_dir).select(F.col("label").alias("speaker"), "vec_id", "embedding")
+    return prepare.tuple_batches(prepare.tuples(e, "speaker", "vec_id", 3), "speaker", 7, WIDTH).select("batch_id", "speaker", "slot", "embedding")
+
+
 def _loss(df: DataFrame) -> DataFrame:
     return df.select(F.round("loss", 5).alias("loss"), F.round("accuracy", 5).alias("accuracy"), "n_rows")
 
@@ -310,6 +325,38 @@ def combined_loss(spark, sf_dir):
     return losses.combined_loss(*_classes(spark, sf_dir), batch(spark, sf_dir)).select(F.round("loss", 4).alias("loss"))
 
 
+# the losses above score five batches of at most three vectors a speaker, as their SQL says; these score every tuple
+
+@query(ORACLES["proto_loss"].replace(_B, _W))
+def proto_loss_whole(spark, sf_dir):
+    return _loss(losses.prototypical_loss(whole_batches(spark, sf_dir), "proto"))
+
+
+@query(ORACLES["angleproto_loss"].replace(_B, _W))
+def angleproto_loss_whole(spark, sf_dir):
+    return _loss(losses.prototypical_loss(whole_batches(spark, sf_dir), "angular"))
+
+
+@query(ORACLES["ge2e_loss"].replace(_B, _W))
+def ge2e_loss_whole(spark, sf_dir):
+    return _loss(losses.ge2e_loss(whole_batches(spark, sf_dir)))
+
+
+@query(ORACLES["triplet_hinge"].replace(_B, _W))
+def triplet_hinge_whole(spark, sf_dir):
+    return losses.triplet_loss(whole_batches(spark, sf_dir)).select(F.round("loss", 5).alias("loss"), "n_rows")
+
+
+@query(ORACLES["hard_negatives"].replace(_B, _W))
+def hard_negatives_whole(spark, sf_dir):
+    return losses.mined_negatives(whole_batches(spark, sf_dir), "rank", hard_rank=2).select("batch_id", "speaker", "neg", rounded("neg_sim").alias("neg_sim"))
+
+
+@query(ORACLES["combined_loss"].replace(_B, _W))
+def combined_loss_whole(spark, sf_dir):
+    return losses.combined_loss(*_classes(spark, sf_dir), whole_batches(spark, sf_dir)).select(F.round("loss", 4).alias("loss"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
 def merge_results(spark, sf_dir):
     parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
