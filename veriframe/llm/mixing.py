@@ -5,8 +5,9 @@ token-weighted relative entropy to the documents' prior rates subject to one tok
 optimum is an exponential tilt ``prior * exp(lambda)``, clipped at ``cap``. The convex dual separates by source, so
 a Newton step is one aggregation (gradient and curvature for each source) that Spark runs over all documents.
 Rates are rounded to whole copies: systematic rounding inside small strata (source, size class, hash part), then
-one repair that moves single copies of a few candidate documents until a source's words are as near its target
-as they get.
+a repair over all documents: from the counts of documents by size and copies it decides how many copies each size
+gains or loses, until a source's words are as near its target as that gets them, and hash ranks say which
+documents move. What is left is less than the smallest size that can still move.
 
 Defined cases: null or empty texts have size 0 and taken 0; a null source is a source of its own, last in order;
 an empty table gives an empty table; repeated rows are separate documents; other columns are ignored.
@@ -22,8 +23,6 @@ from veriframe.llm.common import WORD_PATTERN, cut
 
 #: Parts of a source's documents that are rounded on their own, so that a large source is many tasks' work.
 ROUND_PARTS = 16
-#: Candidates a size class and direction offers for the repair.
-CANDIDATES = 6
 #: Documents whose copies (12 bytes each) are broadcast to them; more are joined by exchange.
 BROADCAST_ROWS = 1_000_000
 NEWTON_STEPS = 40
@@ -90,23 +89,65 @@ def balance(docs: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
     return docs.alias("d").join(state.alias("t"), same).select("d.*", "source_size", "target", F.least(F.lit(cap), F.col("prior") * F.exp("lam")).alias("rate"))
 
 
+def moved_units(gap: float, sizes: list[int], up: list[int], down: list[int], docs: list[int]) -> list[int]:
+    """How many copies each size (ascending) gains or loses so that the words come as near ``gap`` as they get:
+    from the largest size down as many as fit, one a document before any gets two; then, while that brings them
+    nearer, one copy beyond the gap and the way back. ``up`` and ``down`` are the copies a size can gain and lose."""
+    moved = [0] * len(sizes)
+
+    def room(k: int, sign: int) -> int:
+        return up[k] - moved[k] if sign > 0 else down[k] + moved[k]
+
+    def fill(gap: float, but: int = -1) -> float:
+        sign = 1 if gap > 0 else -1
+        while True:
+            before = gap
+            for k in range(len(sizes) - 1, -1, -1):
+                n = min(room(k, sign), docs[k], int(abs(gap) // sizes[k])) if k != but else 0
+                moved[k] += sign * n
+                gap -= sign * n * sizes[k]
+            if gap == before:
+                return gap
+
+    gap = fill(gap)
+    while gap:
+        sign = 1 if gap > 0 else -1
+        over = next((k for k in range(len(sizes)) if sizes[k] > abs(gap) and room(k, sign) > 0), None)
+        if over is None:
+            break
+        kept = list(moved)
+        moved[over] += sign
+        after = fill(gap - sign * sizes[over], over)
+        if abs(after) >= abs(gap):
+            moved[:] = kept
+            break
+        gap = after
+    return moved
+
+
+def _levels(counts: list[int], moved: int) -> tuple[int, int]:
+    """(level, rest): documents of one size rise (fall) to the level at least (at most), and ``rest`` of those
+    then at it go one further."""
+    order = range(len(counts) - 1) if moved > 0 else range(len(counts) - 1, 0, -1)
+    left, here = abs(moved), 0
+    for level in order:
+        here += counts[level]
+        if left < here:
+            return level, left
+        left -= here
+    return (len(counts) - 1 if moved > 0 else 0), 0
+
+
 def _repair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy choice among the at most a few hundred candidates of one source: the largest step that does not
-    overshoot, and at the end one more if that comes nearer."""
-    gap = float(group["gap"].iloc[0])
-    group = group.sort_values(["size", "h", "uid"], ascending=[False, True, True])
-    moves, used = [], set()
-    for final in (False, True):
-        rows = group if not final else group.iloc[::-1]
-        for uid, size, step in zip(rows["uid"], rows["size"], rows["step"], strict=True):
-            if uid in used or size <= 0:
-                continue
-            after = gap - step * size
-            if (abs(after) < abs(gap)) and (after * gap >= 0 or final):
-                gap = after
-                used.add(uid)
-                moves.append((uid, step))
-    return pd.DataFrame(moves, columns=["uid", "move"]).astype({"uid": "int64", "move": "int64"})
+    """The moves of one source, from its sizes and the number of documents with 0, 1, ... copies of each."""
+    group = group.sort_values("size")
+    sizes, counts = group["size"].tolist(), [list(map(int, c)) for c in group["counts"]]
+    cap = len(counts[0]) - 1
+    down = [sum(c * n for c, n in enumerate(x)) for x in counts]
+    docs = [sum(x) for x in counts]
+    moved = moved_units(float(group["gap"].iloc[0]), sizes, [cap * n - d for n, d in zip(docs, down, strict=True)], down, docs)
+    rows = [(key[0], size, m > 0, *_levels(x, m)) for size, x, m in zip(sizes, counts, moved, strict=True) if m]
+    return pd.DataFrame(rows, columns=["source", "size", "up", "level", "rest"])
 
 
 def round_to_copies(rated: DataFrame, cap: int = 3) -> DataFrame:
@@ -122,17 +163,25 @@ def round_to_copies(rated: DataFrame, cap: int = 3) -> DataFrame:
     first = cut(strata.withColumn("copies", copies))
     gaps = first.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
     gaps = gaps.filter("gap <> 0")
-    movable = (
-        first.select("uid", "source", "size", "copies", "_class", "_h").alias("d")
-        .join(gaps.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.*", "gap", F.when(F.col("gap") > 0, 1).otherwise(-1).alias("step"))
-        .filter((F.col("size") > 0) & (F.col("copies") + F.col("step")).between(0, cap) & (F.col("size") <= 2 * F.abs("gap")))
-    )
-    # a row_number limit is applied before the exchange too, so a large source sends few candidates
-    rank = Window.partitionBy("source", "_class", "step").orderBy("_h", "uid")
-    few = movable.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= CANDIDATES)
-    moves = few.select("source", "uid", "size", "step", "gap", F.col("_h").alias("h")).groupBy("source").applyInPandas(_repair, "uid long, move long")
-    return first.join(moves, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move", "_h", "_class", "_part")
+    # a source of n words has sqrt(2 n) different sizes at most, so one task can choose among them
+    sizes = first.filter("size > 0").groupBy("source", "size").agg(F.array(*[F.count_if(F.col("copies") == k) for k in range(cap + 1)]).alias("counts"))
+    sizes = sizes.alias("d").join(gaps.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "gap")
+    moves = cut(sizes.groupBy("source").applyInPandas(_repair, "source string, size long, up boolean, level long, rest long"))
+    same = F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size"))
+    placed = first.alias("d").join(F.broadcast(moves.alias("m")), same, "left").select("d.*", "up", "level", "rest")
+    stays = F.when(F.col("up"), F.greatest("copies", "level")).when(~F.col("up"), F.least("copies", "level")).otherwise(F.col("copies"))
+    placed = placed.withColumn("copies", stays)
+    # the rest: by hash rank among the documents of the size at its level, counted in parts
+    at_level = placed.filter("rest > 0 and copies = level").select("uid", "doc_id", "source", "size", "up", "rest", "_h", "_part")
+    parts = at_level.groupBy("source", "size", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # ROUND_PARTS rows at most
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    in_part = Window.partitionBy("source", "size", "_part").orderBy(F.xxhash64("_h"), "doc_id", "uid")
+    ranked = at_level.withColumn("_r", F.row_number().over(in_part))
+    place = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d._part") == F.col("p._part"))
+    chosen = ranked.alias("d").join(F.broadcast(parts.alias("p")), place).filter(F.col("_r") + F.col("_before") <= F.col("rest"))
+    chosen = chosen.select("d.uid", F.when(F.col("d.up"), 1).otherwise(-1).alias("move"))
+    return placed.join(chosen, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move", "up", "level", "rest", "_h", "_class", "_part")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, prior: Column | None = None) -> DataFrame:
