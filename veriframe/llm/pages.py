@@ -33,6 +33,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE_TAGS = frozenset("nav footer aside form header menu dialog head".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
+#: Elements that lay a page out: of their classes only whole names say something, as "has-sidebar" is no sidebar.
+_LAYOUT_TAGS = frozenset("article center div main section table tbody td tr".split())
 #: Words in class, id or role that mark furniture or the article.
 _FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion reader-comments related replies reply search share sharing sidebar side-bar signup social sponsor sponsored sponsor subscribe toolbar widget widgets alert complementary contentinfo".split()
@@ -61,13 +63,25 @@ LABELLED = (
     (16, 0.0, 33, 0.0, 14, 0.0, 0, 1, 0, 1), (9, 0.0, 24, 0.0, 12, 0.0, 0, 1, 0, 1), (250, 0.0, 12, 0.0, 8, 0.0, 0, 1, 0, 1),
     (5, 0.0, 9, 0.0, 110, 0.0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (70, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
     (1, 0.0, 7, 0.0, 15, 0.0, 0, 1, 1, 1), (14, 0.0, 2, 1.0, 1, 0.0, 0, 1, 1, 1), (6, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1),
-    (20, 0.5, 14, 0.0, 11, 0.0, 0, 1, 0, 1), (4, 1.0, 4, 1.0, 4, 1.0, 0, 1, 0, 1), (13, 0.0, 5, 1.0, 6, 1.0, 0, 1, 0, 1),
+    (20, 0.5, 14, 0.0, 11, 0.0, 0, 1, 0, 1), (4, 1.0, 4, 1.0, 4, 1.0, 0, 1, 0, 0), (13, 0.0, 5, 1.0, 6, 1.0, 0, 1, 0, 1),
     (42, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 0), (160, 0.0, 70, 0.0, 90, 0.0, 1, 0, 0, 0), (65, 0.0, 30, 0.0, 20, 0.0, 1, 0, 0, 0),
     (110, 0.0, 50, 0.0, 80, 0.0, 1, 1, 0, 0), (30, 0.0, 90, 0.0, 0, 0.0, 1, 1, 0, 0), (6, 0.0, 6, 0.0, 6, 0.0, 1, 1, 0, 0),
     (60, 0.0, 8, 0.0, 44, 0.0, 0, 0, 0, 1), (35, 0.05, 60, 0.0, 28, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1),
     (120, 0.01, 2, 1.0, 90, 0.0, 0, 0, 0, 1), (9, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 1), (5, 0.0, 45, 0.0, 66, 0.0, 0, 0, 1, 1),
     (2, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
     (5, 0.4, 3, 1.0, 6, 0.5, 0, 0, 0, 0), (9, 0.6, 40, 0.0, 8, 0.7, 0, 0, 0, 0), (15, 0.9, 12, 0.8, 9, 1.0, 0, 0, 0, 0),
+    # lists of links in articles
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 5, 1.0, 0, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 0, 1, 0, 0),
+    (9, 1.0, 8, 1.0, 6, 1.0, 0, 1, 0, 0), (12, 0.9, 9, 1.0, 11, 0.9, 0, 1, 0, 0), (5, 1.0, 6, 1.0, 40, 0.0, 0, 1, 0, 0),
+    (7, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0, 0), (4, 1.0, 3, 1.0, 0, 0.0, 0, 1, 0, 0),
+    # prose beside them
+    (25, 0.0, 30, 0.0, 3, 1.0, 0, 1, 0, 1), (50, 0.0, 40, 0.0, 5, 1.0, 0, 1, 0, 1), (30, 0.0, 4, 1.0, 20, 0.0, 0, 1, 0, 1), (15, 0.1, 6, 1.0, 45, 0.0, 0, 1, 0, 1),
+    (40, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (25, 0.0, 30, 0.0, 4, 1.0, 0, 0, 0, 1), (90, 0.0, 50, 0.0, 10, 0.0, 0, 0, 0, 1), (14, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (60, 0.0, 1, 1.0, 3, 1.0, 0, 1, 0, 1), (45, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 1), (20, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1),
+    # long text without links under furniture names
+    (180, 0.0, 150, 0.0, 170, 0.0, 1, 0, 0, 1), (220, 0.02, 190, 0.0, 240, 0.0, 1, 0, 0, 1), (300, 0.0, 2, 1.0, 210, 0.0, 1, 0, 0, 1),
+    (260, 0.0, 200, 0.0, 3, 1.0, 1, 0, 0, 1), (400, 0.01, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (190, 0.0, 260, 0.0, 230, 0.0, 1, 1, 0, 1),
+    (200, 0.6, 190, 0.5, 210, 0.7, 1, 0, 0, 0), (240, 0.8, 3, 1.0, 200, 0.9, 1, 0, 0, 0),
 )
 
 
@@ -112,7 +126,7 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
     if tag not in ("html", "body"):
         for m in _NAMES.finditer(attrs):
             names = (m[1] or m[2] or m[3] or "").lower().split()
-            parts = {p for n in names for p in (n, *re.split(r"[-_]+", n))}
+            parts = set(names) if tag in _LAYOUT_TAGS else {p for n in names for p in (n, *re.split(r"[-_]+", n))}
             furniture = furniture or bool(parts & _FURNITURE_WORDS)
             article = article or bool(set(names) & _ARTICLE_WORDS)
     return furniture, article, bool(_HIDDEN.search(attrs))
@@ -180,7 +194,8 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
                 above = stack[-1] if stack else ("", False, False, False)
                 if tag == "header" and above[2]:
                     furniture = False  # an article's own header holds its title
-                stack.append((tag, furniture or above[1], article or above[2], hidden or above[3]))
+                inherited = above[1] and tag not in _ARTICLE_TAGS
+                stack.append((tag, furniture or inherited, article or above[2], hidden or above[3]))
     text(page[at:])
     flush()
     return out
