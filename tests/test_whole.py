@@ -24,3 +24,7 @@ def test_whole_losses_score_every_tuple(spark, sf_dir):
     tuples = e.groupBy("label").count().agg(F.sum(F.floor(F.col("count") / 3)).alias("n")).first().n
     assert catalogue.QUERIES["proto_loss_whole"](spark, sf_dir).first().n_rows == tuples
     assert catalogue.QUERIES["ge2e_loss_whole"](spark, sf_dir).first().n_rows == 3 * tuples
+
+
+def test_every_trial_is_normalised(spark, sf_dir):
+    assert catalogue.QUERIES["snorm_scores_whole"](spark, sf_dir).count() == catalogue.trials(spark, sf_dir).count()

@@ -406,6 +406,21 @@ def snorm_scores(spark, sf_dir):
     return scoring.score_normalized(near, cohort, 20).select("ref", "com", F.round("norm_score", 4).alias("norm_score"))
 
 
+# of every trial, against the speakers' prototypes: the cohort has a row a speaker, however long the table
+
+@query(
+    f"""WITH {_T}, {_P}, h AS (SELECT a.vec_id AS side, cls AS cid, -list_distance(a.v, w) AS s FROM e a, pr),
+ g AS (SELECT side, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY s DESC, cid) AS r FROM h) WHERE r <= 20 GROUP BY side)
+ SELECT ref, com, round(((score - x.mu) / (x.sd + 1e-6) + (score - y.mu) / (y.sd + 1e-6)) / 2, 4) AS norm_score FROM t JOIN g x ON ref = x.side JOIN g y ON com = y.side"""
+)
+def snorm_scores_whole(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    classes = scoring.prototypes(e, "label").select(F.col("label").alias("cls"), F.col("centroid").alias("w"))
+    cohort = scoring.against_classes(e.select(F.col("vec_id").alias("side"), "embedding"), classes)
+    cohort = cohort.select("side", F.col("cls").alias("cohort_id"), (-vectors.distance(F.col("embedding"), F.col("w"), DIM)).alias("cohort_score"))
+    return scoring.score_normalized(trials(spark, sf_dir), cohort, 20).select("ref", "com", F.round("norm_score", 4).alias("norm_score"))
+
+
 # ---- manifests and trial lists ----------------------------------------------------------------------------------
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
