@@ -180,11 +180,15 @@ class WordTable:
 
 
 def label_words(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
-    """Viterbi labels; the pass itself is skipped where no span of any other language can pay for its switch."""
-    best = int(scores.sum(axis=0).argmax())
+    """Viterbi labels; the pass itself is skipped where no other path can be better: a path with the best single
+    language in it pays a penalty for each span of another, so none of these may gain more; one without it has a
+    switch at least and no more than the others' best scores."""
+    total = scores.sum(axis=0)
+    best = int(total.argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
-    if (gain - low).max() <= penalty:
+    others = np.delete(scores, best, axis=1)
+    if (gain - low).max() <= penalty and (not others.size or others.max(axis=1).sum() - total[best] <= penalty):
         return np.full(len(scores), best, dtype=np.int64)
     return viterbi(scores, penalty)
 
