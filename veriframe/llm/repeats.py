@@ -37,6 +37,8 @@ GRAM = 80
 CHUNK = 1 << 20
 #: Distinct runs of one anchor that a task counts by itself.
 IN_TASK = 10_000
+#: Runs that a task holds before it gives them.
+FLUSH = 2_000
 #: Documents, and list entries in all (some 40 bytes each), that are broadcast at most; more are joined by exchange.
 BROADCAST_DOCS, BROADCAST_ENTRIES = 400_000, 1_000_000
 
@@ -219,9 +221,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[2] != size["anchor"]:
                     if huge:
-                        yield give(held, False)
+                        if held:
+                            yield give(held, False)
                         held, huge = [], False
-                    elif len(held) > 2_000:
+                    elif len(held) > FLUSH:
                         yield give(held, True)
                         held = []
                     size.update(anchor=row[2], n=0)
@@ -232,7 +235,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                         yield give(done, True)
                     held, huge = held[len(done) :], True
                 held.append(row)
-                if huge and len(held) > 2_000:
+                if huge and len(held) > FLUSH:
                     yield give(held, False)
                     held = []
         if held:
