@@ -28,3 +28,8 @@ def test_whole_losses_score_every_tuple(spark, sf_dir):
 
 def test_every_trial_is_normalised(spark, sf_dir):
     assert catalogue.QUERIES["snorm_scores_whole"](spark, sf_dir).count() == catalogue.trials(spark, sf_dir).count()
+
+
+def test_leakage_of_all_keys(spark, sf_dir):
+    keys = [{r[0] for r in catalogue.table(spark, sf_dir, t).select(c).collect()} for t, c in (("customer", "c_custkey"), ("orders", "o_custkey"))]
+    assert catalogue.QUERIES["leakage_check_whole"](spark, sf_dir).first().n_shared == len(keys[0] & keys[1])

@@ -544,6 +544,13 @@ def leakage_check(spark, sf_dir):
     return prepare.leakage(a, b).agg(F.count("*").alias("n_shared"))
 
 
+@query("SELECT count(*) AS n_shared FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)")
+def leakage_check_whole(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("speaker"))
+    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("speaker"))
+    return prepare.leakage(a, b).agg(F.count("*").alias("n_shared"))
+
+
 @query("SELECT speaker, count(*) AS n_files, CAST(dense_rank() OVER (ORDER BY speaker) - 1 AS BIGINT) AS idx FROM (SELECT c_custkey AS speaker FROM customer UNION ALL SELECT o_custkey FROM orders) GROUP BY speaker")
 def combine_manifests(spark, sf_dir):
     both = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("speaker")).unionByName(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("speaker")))
