@@ -4,7 +4,8 @@ Word weights are log-odds ratios of toxic against clean labelled text under an i
 words' overall frequencies); words whose ratio is not significant share one negative weight. A linear-time scan
 finds all maximal-scoring segments of a text. A segment's E-value under the clean text's word distribution
 (extreme-value theory: K * words * exp(-lambda * score)) says whether it is significant, and the text's score is
-the calibrated probability at the smallest E-value together with the number of significant passages.
+the calibrated probability at the smallest E-value, in nine cells; the number of significant passages is given
+beside it and does not enter the score.
 
 Defined cases: null and empty texts have no passages and get the calibrated score of such texts; labels other
 than 0 and 1 are ignored; a document labelled twice counts once, as toxic if either label says so; without toxic
