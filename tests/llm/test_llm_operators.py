@@ -9,16 +9,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veriframe.llm import common, components, fingerprints, language, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
+from veriframe.llm import common, components, fingerprints, language, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, rolling, toxicity
 
-ODD = [None, "", " ", "x", "ab\n\nc  d", "né à 日本", "\ttab", "a b c d e f", "a b c d e f", "word " * 3000]
+ODD = [None, "", " ", "\u00a0\u2003", "\u00a0\u2003", "x", "ab\n\nc  d", "né à 日本", "\ttab", "a b c d e f", "a b c d e f", "word " * 3000]
 
 
 def frame(spark, texts, extra=False):
     rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     if extra:
-        for name in ("length", "part", "uid", "node", "score", "copies"):
+        for name in ("length", "part", "uid", "node", "score", "copies", "_uid", "_copies", "_copy", "_keep_text", "a.b", "x`y", "root", "band", "spans", "TEXT_"):
             df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -273,7 +273,7 @@ def test_long_texts_cross_chunks(spark, monkeypatch):
     rng = random.Random(6)
     passage = "".join(rng.choice("abcdef") for _ in range(500))
     texts = ["".join(rng.choice("abcdef") for _ in range(3000)) + passage + "z", passage + "y" * 10]
-    data, bounds = repeats._text_bytes(__import__("pyarrow").array(texts))
+    data, bounds = repeats.text_bytes(__import__("pyarrow").array(texts))
     whole = {(int(t), int(f) + k) for t, f, n in zip(*repeats.runs(data, bounds)[:3], strict=True) for k in range(n)}
     monkeypatch.setattr(repeats, "CHUNK", 300)
     parts = {(int(t), int(f) + k) for t, f, n in zip(*repeats.runs(data, bounds)[:3], strict=True) for k in range(n)}
@@ -330,8 +330,10 @@ def test_toxic_held_out(spark):
 # ---- op8
 
 def exact_classes(texts, threshold=0.8):
-    shingler = near_duplicates.Shingler()
-    bags = [near_duplicates.cells(shingler(t or "")) for t in texts]
+    # words and shingles as Python sees them, no hashes
+    shingles = [[tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for w in ((t or "").split() for t in texts)]
+    bags = [Counter(s) for s in shingles]
+    alike = lambda a, b: (both := sum((a & b).values())) / (a.total() + b.total() - both)
     parent = list(range(len(texts)))
 
     def find(a):
@@ -341,7 +343,7 @@ def exact_classes(texts, threshold=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if len(bags[i]) and (near_duplicates.similarity(bags[i], bags[j]) >= threshold):
+            if bags[i] and bags[j] and alike(bags[i], bags[j]) >= threshold:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
 
@@ -364,23 +366,48 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_block_search_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
-    monkeypatch.setattr(near_duplicates, "BROADCAST_NODES", 0)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(150)]
-    texts = [" ".join(w if rng.random() > 0.025 else f"u{rng.random()}" for w in base) for _ in range(40)]
-    got = {r.doc_id: r.class_id for r in near_duplicates.classes(frame(spark, texts)).collect()}
-    assert got == dict(enumerate(exact_classes(texts)))
+    texts = [" ".join(w if rng.random() > rate else f"u{rng.random()}" for w in base) for _ in range(25) for rate in (0.0, 0.01, 0.02, 0.03, 0.05)]
+    want = dict(enumerate(exact_classes(texts)))
+    assert len(set(want.values())) > 5
+    for block, large, centres, group in ((400_000, 2, 1, 400), (900, 8, 1, 3), (900, 10_000, 3, 400)):
+        for name, value in (("BLOCK", block), ("LARGE", large), ("CENTRES", centres), ("GROUP", group), ("few_entries", lambda *a: False)):
+            monkeypatch.setattr(near_duplicates, name, value)
+        got = {r.doc_id: r.class_id for r in near_duplicates.classes(frame(spark, texts)).collect()}
+        assert got == want
 
 
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
     pairs = [(a, np.concatenate([a[:200], a[:50]])), (np.repeat(a[:60], 6), np.repeat(a[:60], 3)), (a[:20], a[5:40])]
+    pairs.append((np.repeat(a[:3], [300, 5, 77]), np.repeat(a[:3], [200, 9, 100])))
     for x, y in pairs:
-        x, y = near_duplicates.cells(x), near_duplicates.cells(y)
-        s = near_duplicates.signatures([x, y], 4096)
-        assert (s[0] == s[1]).mean() == pytest.approx(near_duplicates.similarity(x, y), abs=0.035)
+        s = near_duplicates.signatures([np.unique(x, return_counts=True), np.unique(y, return_counts=True)], 4096)
+        x, y = Counter(x.tolist()), Counter(y.tolist())
+        share = (x & y).total() / (x | y).total()
+        assert (s[0] == s[1]).mean() == pytest.approx(share, abs=0.035)
+        assert near_duplicates.similarity(near_duplicates.cells(np.array(list(x.elements()), dtype=np.uint64)), near_duplicates.cells(np.array(list(y.elements()), dtype=np.uint64))) == pytest.approx(share)
+
+
+def test_signatures_cost_little_for_heavy_shingles():
+    heavy = (np.arange(1, 4, dtype=np.uint64), np.array([10**9, 1, 3]))
+    assert near_duplicates.signatures([heavy]).shape == (1, near_duplicates.REGISTERS)
+
+
+def test_words_of_bytes_are_those_of_split():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = [*ODD, "x\u3000y z\u2003w q\x85r", "\u00a0 \u00a0", *("".join(rng.choice("ab  é€\n\u2009\xa0") for _ in range(60)) for _ in range(100))]
+    hashes, ends = rolling.word_hashes(*rolling.text_bytes(pa.array(texts)))
+    seen = {}
+    for k, t in enumerate(texts):
+        words = (t or "").split()
+        assert len(words) == ends[k + 1] - ends[k]
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes[ends[k] : ends[k + 1]].tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_components(spark):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 HELD_OUT_REMAINDER = 2
+#: Rows of a list table, and entries in all (some 40 bytes each), that are broadcast at most; more are joined by exchange.
+BROADCAST_LISTS, BROADCAST_ENTRIES = 400_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder. Where none is configured: a folder in the warehouse, which a cluster
+    shares too, or with a local master (tests) a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="veriframe-checkpoint-"))
-    return context.getCheckpointDir()
+        local = context.master.split("[")[0] == "local"
+        own = tempfile.mkdtemp(prefix="veriframe-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/veriframe-checkpoint"
+        context.setCheckpointDir(where or own)
+    return where or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,3 +55,27 @@ def cut_table(df: DataFrame) -> DataFrame:
     where = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(where)
     return df.sparkSession.read.parquet(where)
+
+
+def few_entries(lists: DataFrame, column: str | None = None) -> bool:
+    """True where a table (and the arrays in ``column``) is small enough to be broadcast."""
+    size = F.sum(F.size(column)) if column else F.count("*")
+    got = lists.agg(F.count("*").alias("rows"), F.coalesce(size, F.lit(0)).alias("entries")).first()
+    return got.rows <= BROADCAST_LISTS and got.entries <= BROADCAST_ENTRIES
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns by their whole names, dots and backticks included."""
+    return [F.col(quote(c)) for c in df.columns]
+
+
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -19,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from veriframe.llm.common import hash_below, held_out
+from veriframe.llm.common import hash_below, held_out, quote
 
 BUCKETS = 1 << 16
 MAX_TRAIN_DOCS = 20_000
 SWITCH_PENALTY = 12.0
 #: A single word's evidence between two languages is limited to this, so that one odd word makes no span.
 WORD_LIMIT = 4.0
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 
 #: Unicode ranges of scripts (start, end, name).
 SCRIPT_RANGES = (
@@ -201,7 +202,7 @@ def _spans(path: np.ndarray) -> list[tuple[int, int, int]]:
 
 def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with_spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, n_spans (and the spans by word numbers, if asked for) of every document; columns
-    in ``keep`` come along under ``_keep_*`` names."""
+    in ``keep`` come along as ``_keep_0``, ``_keep_1``, ..."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the corpus
     schema = "doc_id long, lang_pred string, score double, n_spans int"
     kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()]
@@ -209,9 +210,10 @@ def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with
         schema += ", spans array<struct<first_word: long, end_word: long, lang: string>>"
         kinds.append(pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())])))
     names = ["doc_id", "lang_pred", "score", "n_spans", "spans"][: len(kinds)]
-    chosen = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    for c in keep:
-        schema += f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}"
+    chosen = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(quote(c)).alias(f"_keep_{k}") for k, c in enumerate(keep)])
+    fields = StructType.fromDDL(schema)
+    for k, c in enumerate(keep):
+        fields.add(f"_keep_{k}", docs.schema[c].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(shared.value)
@@ -236,6 +238,6 @@ def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with
                 for column, x in zip(out, row, strict=False):
                     column.append(x)
             made = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*made, *[batch.column(2 + k) for k in range(len(keep))]], names=[*names, *[f"_keep_{c}" for c in keep]])
+            yield pa.RecordBatch.from_arrays([*made, *[batch.column(2 + k) for k in range(len(keep))]], names=[*names, *[f"_keep_{k}" for k in range(len(keep))]])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(run, fields)

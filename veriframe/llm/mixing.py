@@ -19,12 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import WORD_PATTERN, cut
+from veriframe.llm.common import WORD_PATTERN, cut, few_entries, free_name, quoted
 
 #: Parts of a source's documents that are rounded on their own, so that a large source is many tasks' work.
 ROUND_PARTS = 16
-#: Documents whose copies (12 bytes each) are broadcast to them; more are joined by exchange.
-BROADCAST_ROWS = 1_000_000
 NEWTON_STEPS = 40
 TOLERANCE = 1e-9
 
@@ -199,7 +197,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, p
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with the columns it came with. The input must
     read the same rows in the same order each time (a table or a written intermediate result)."""
-    taken = cut(mix(docs, weights, cap).filter("copies > 0").select(F.col("uid").alias("_uid"), F.col("copies").cast("int").alias("_copies")))
-    side = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
-    placed = docs.withColumn("_uid", F.monotonically_increasing_id()).join(side, "_uid")
-    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    own, copies, copy = (free_name(docs, name) for name in ("uid", "copies", "copy"))
+    taken = cut(mix(docs, weights, cap).filter("copies > 0").select(F.col("uid").alias(own), F.col("copies").cast("int").alias(copies)))
+    placed = docs.withColumn(own, F.monotonically_increasing_id()).join(F.broadcast(taken) if few_entries(taken) else taken, own)
+    return placed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*quoted(docs))

@@ -1,53 +1,62 @@
 """Near-duplicate classes by BagMinHash signatures, banding and exact verification.
 
 A text is the multiset of its five-word shingles (shorter texts: one shingle of all words). The weighted Jaccard
-similarity of two multisets is the sum of smaller over the sum of larger multiplicities. BagMinHash: the weight axis
-is discretised into unit levels; every (shingle, level) cell has a Poisson process of points whose times and
-registers depend on the cell only, and a register keeps the earliest time of any cell below a shingle's weight.
-Points are drawn in rounds of rising time and only up to the limit at which every register is filled, so a text
-costs little more than one hash a shingle. Registers agree with the probability of the similarity.
-
-Signatures are cut into bands. Equal texts are one node. In every bucket of a band the nodes are first verified
-against the bucket's first node, so a group of close copies gives as many pairs as it has members; verified links
-form components. Buckets whose nodes still lie in several components are then searched in blocks: longer signatures
-(``FINE`` registers, a byte of each) of nodes in different components are compared inside a task, and pairs that come
-within four standard errors of the threshold are verified exactly: first each node's few most similar ones, which
-join nearly all that belongs together, then whatever pairs between components are left. So no link between
-components is lost to the choice of the first node, and no group is expanded into its pairs.
-
-Defined cases: null and blank texts have no shingles and are classes of their own; equal texts share a class;
-repeated rows are listed as often as they occur; texts are read whole; other columns are ignored; an empty table
-gives an empty table.
+similarity of two multisets is the sum of smaller over the sum of larger multiplicities.
+
+BagMinHash: the weight axis of a shingle is cut into the intervals [0, 1), [1, 2), [2, 4), [4, 8), ... and each
+interval has one Poisson process of points at a rate as large as the interval is long. Times, registers and places
+inside the interval depend on the shingle and the interval only; a point's place is found by halving its interval
+down to the unit level. A shingle of weight w uses the points placed below w, so it costs a number of processes
+that grows with the logarithm of its weight, and every register keeps the earliest time. Points are drawn in rising
+time and only up to the limit at which all registers are filled. Registers agree with the probability of the
+similarity.
+
+Signatures are cut into bands. Equal texts are one node. Nodes that share a bucket are candidates. In each bucket
+the centre is the node with the largest buckets in all; each node is verified exactly against the few centres it
+shares most bands with, and verified links form components. Buckets that still hold several components are searched
+whole: in blocks, a node of one component is compared with all nodes of others at once through an index of shingles,
+exactly, and only links that join components are given. Large buckets that overlap are searched as one family where
+that is less work. So no link between components is lost, no group is expanded into its pairs, and what is sent on
+grows with a group's size times its number of blocks.
+
+Defined cases: null texts and texts of white space only (as ``str.split`` sees it) have no shingles and are classes
+of their own; equal texts share a class; repeated rows are listed as often as they occur; texts are read whole;
+other columns are ignored, whatever their names; an empty table gives an empty table. The input must read the same
+rows in the same order each time (a table or a written intermediate result), as rows are told apart by their place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut
+from veriframe.llm.common import cut, cut_table, few_entries, free_name, quoted
 from veriframe.llm.components import components
+from veriframe.llm.rolling import shingle_hashes, text_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 32, 4
-REGISTERS = BANDS * ROWS
+#: A pair at the threshold shares no band with a probability of 3e-6.
+BANDS, ROWS = 42, 6
+#: Registers of a signature, a power of two; the bands take the first of them.
+REGISTERS = 256
+#: Centres that a node is verified against before buckets are searched whole.
+CENTRES = 3
 #: Members of a centre that are verified in one group; a centre with more is copied to as many groups.
 GROUP = 400
-#: Registers of the longer signatures, and the share of equal bytes that a pair needs: four standard errors below
-#: the threshold, and what chance equality of bytes adds.
-FINE = 512
-#: Most similar nodes that are verified first for each node of a block.
-BEST = 3
-#: Nodes of a bucket's part in the block search; parts are compared pairwise.
-BLOCK = 1000
-#: Node ids up to this number (16 bytes each) are broadcast to pick their texts; more are joined by exchange.
-BROADCAST_NODES = 1_000_000
-CACHE_ENTRIES = 400_000
+#: Shingles in a block of the search, on either side.
+BLOCK = 400_000
+#: Buckets with more nodes are searched together with those they overlap.
+LARGE = 100
+#: Shingles whose signatures are made at once, and texts.
+CHUNK, CHUNK_TEXTS = 200_000, 4_096
+#: Bytes of texts that are shingled at once.
+PART_BYTES = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,152 +65,205 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Hashes of a text's shingles; word hashes are cached in the worker up to a bound."""
-
-    def __init__(self):
-        self.words: dict[str, int] = {}
-
-    def _hash(self, word: str) -> int:
-        import xxhash
-
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            found = self.words[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        h = np.fromiter(map(self._hash, words), dtype=np.uint64, count=len(words))
-        n = max(1, len(h) - SHINGLE + 1)
-        out = np.zeros(n, dtype=np.uint64)
-        for k in range(min(SHINGLE, len(h))):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n] + np.uint64(k + 1))
-        return out
+def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of a column of texts, and where each text's shingles begin and end among them."""
+    return shingle_hashes(*text_bytes(texts), SHINGLE)
 
 
 def cells(shingles: np.ndarray) -> np.ndarray:
-    """One hash for every unit of weight: the first occurrence of a shingle is level 0, the next level 1, ..."""
+    """One hash for every unit of weight, for exact overlaps: the first occurrence of a shingle is level 0, the next
+    level 1, ... Two multisets share as many cells as the sum of their smaller multiplicities."""
     order = np.sort(shingles)
     first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
     level = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return _mix(order + level.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1))
+    return np.sort(_mix(order + level.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1)))
 
 
-def signatures(bags: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
-    """Signature rows of several texts (arrays of cell hashes, none empty): the hash of the earliest point in every
-    register. The time limit of a text starts where all registers are probably filled and doubles until they are."""
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
+    """Signature rows of several multisets (distinct shingles and their weights, none empty): the time of the
+    earliest point in every register, as 64 bits. The time limit of a text starts where its registers are probably
+    filled and grows until they are."""
     n = len(bags)
-    sizes = np.array([len(b) for b in bags])
+    element = np.concatenate([b[0] for b in bags])
+    weight = np.concatenate([b[1] for b in bags]).astype(np.int64)
+    owner = np.repeat(np.arange(n), [len(b[0]) for b in bags])
+    # the processes: interval [0, 1) of every shingle, then [1, 2), [2, 4), ... of those that reach into it
+    states, owners, lengths, below = [_mix(element + np.uint64(0x2545F4914F6CDD1D))], [owner], [np.ones(len(owner))], [np.zeros(len(owner), dtype=np.int64)]
+    size = 1
+    while True:
+        into = np.flatnonzero(weight > size)
+        if not len(into):
+            break
+        states.append(_mix(element[into] ^ np.uint64((size * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)))
+        owners.append(owner[into])
+        lengths.append(np.full(len(into), float(size)))
+        rest = weight[into] - size  # places below this one are used; 0: all of them
+        below.append(np.where(rest >= size, 0, rest))
+        size *= 2
+    waiting = (np.concatenate(states), np.concatenate(owners), np.zeros(sum(map(len, states))), -1.0 / (registers * np.concatenate(lengths)), np.concatenate(below))
     best = np.full(n * registers, np.inf)
-    mark = np.zeros(n * registers, dtype=np.uint64)
-    state = np.concatenate(bags)  # a cell's generator: each point is a function of the last
-    owner = np.repeat(np.arange(n), sizes)
-    time = np.zeros(len(state))
-    limit = (np.log(registers) + 3.0) / sizes  # points arrive at rate ``registers`` in a cell, so at rate 1 in each register
-    waiting = (state, owner, time)
+    total = np.bincount(owner, weights=weight, minlength=n)
+    limit = (np.log(registers) + 1.0) / total
     while True:
-        state, owner, time = waiting
+        state, owner, time, scale, part = waiting
         held: list[tuple] = []
         while len(state):
-            # the next point of each cell: its time is only taken up once it lies below the limit
-            nxt = _mix(state + np.uint64(0x9E3779B97F4A7C15))
-            gap = -np.log(((nxt >> np.uint64(11)).astype(np.float64) + 0.5) * (2.0**-53)) / registers
-            at = time + gap
+            point = _mix(state + np.uint64(0x9E3779B97F4A7C15))
+            at = time + np.log(((point >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * scale
             due = at <= limit[owner]
             if not due.all():
                 late = ~due
-                held.append((state[late], owner[late], time[late]))
-                nxt, at, owner = nxt[due], at[due], owner[due]
-            if not len(nxt):
-                break
-            value = _mix(nxt ^ np.uint64(0xA0761D6478BD642F))
-            slot = owner * registers + (value % np.uint64(registers)).astype(np.int64)
-            order = np.lexsort((at, slot))
-            lead = order[np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1]))]
-            better = at[lead] < best[slot[lead]]
-            lead = lead[better]
-            best[slot[lead]] = at[lead]
-            mark[slot[lead]] = value[lead]
-            state, time = nxt, at
-        open_docs = np.isinf(best).reshape(n, registers).any(axis=1)
-        if not open_docs.any():
-            return mark.reshape(n, registers)
-        limit = np.where(open_docs, limit * 2, 0.0)
+                held.append((state[late], owner[late], time[late], scale[late], part[late]))
+                point, at, owner, scale, part = point[due], at[due], owner[due], scale[due], part[due]
+            slot = owner * registers + (point & np.uint64(registers - 1)).astype(np.int64)
+            if part.any():
+                # the point's place in its interval, by halving: the bits of a second hash
+                length = np.rint(-1.0 / (registers * scale)).astype(np.int64)
+                place = (_mix(point ^ np.uint64(0xA0761D6478BD642F)) & (length - 1).astype(np.uint64)).astype(np.int64)
+                used = (part == 0) | (place < part)
+                np.minimum.at(best, slot[used], at[used])
+            else:
+                np.minimum.at(best, slot, at)
+            state, time = point, at
+        unfilled = np.isinf(best).reshape(n, registers).any(axis=1)
+        if not unfilled.any():
+            return best.view(np.uint64).reshape(n, registers)
+        limit = np.where(unfilled, limit * 1.4, 0.0)
         parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-        keep = open_docs[parts[1]]
+        keep = unfilled[parts[1]]
         waiting = tuple(x[keep] for x in parts)
 
 
-def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for every band of signature rows, as longs."""
-    n, m = signature.shape
-    parts = signature.reshape(n, m // rows, rows)
-    out = np.arange(m // rows, dtype=np.uint64)[None, :] + np.zeros((n, 1), dtype=np.uint64)
+    parts = signature[:, : bands * rows].reshape(len(signature), bands, rows)
+    out = np.arange(bands, dtype=np.uint64)[None, :] + np.zeros((len(signature), 1), dtype=np.uint64)
     for k in range(rows):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return out.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two texts' cell hashes: cells are unit weights, so it is plain set overlap."""
+    """Weighted Jaccard similarity of two texts' cells: cells are unit weights, so it is plain set overlap."""
     if not len(a) or not len(b):
         return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
+def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def parts_of(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts (in that column) have about PART_BYTES bytes."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes) - sizes) // PART_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(did, node, bands) of every text with a shingle; ``node`` is the same for equal texts."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64("text").alias("node"), "text").filter(F.col("text").rlike(r"\S"))
+    """(uid, doc_id, low, high, weight, bands) of every row: two hashes that are the text's identity, its number of
+    shingles, and its band keys; null hashes for rows without a shingle."""
+    own = _placed(docs).select("uid", "doc_id", F.xxhash64("text").alias("low"), F.xxhash64(F.lit("second"), "text").alias("high"), "text")
+    fields = (("uid", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64())))
+
+    def made(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # texts of like size side by side: the number of steps is that of the smallest text
+        held.sort(key=lambda r: r[4])
+        at = 0
+        while at < len(held):
+            end, size = at, 0
+            while end < len(held) and end - at < CHUNK_TEXTS and (end == at or size + len(held[end][5][0]) <= CHUNK):
+                size += len(held[end][5][0])
+                end += 1
+            keys = band_keys(signatures([r[5] for r in held[at:end]])).tolist()
+            yield _batch([(*r[:5], k) for r, k in zip(held[at:end], keys, strict=True)], fields)
+            at = end
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                bags = [cells(shingler(t.as_py())) for t in batch.column(2)]
-                some = [k for k, b in enumerate(bags) if len(b)]
-                keys = band_keys(signatures([bags[k] for k in some])).tolist() if some else []
-                lists: list = [None] * len(bags)
-                for k, key in zip(some, keys, strict=True):
-                    lists[k] = key
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["did", "node", "bands"])
-
-    return own.mapInArrow(run, "did long, node long, bands array<long>").filter("bands is not null")
-
-
-def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(columns of nodes, text): one row of the documents for each (node, did)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64("text").alias("node"), "text")
-    side = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    return texts.join(side, ["node", "did"])
-
-
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (centre, node) whose exact similarity reaches the threshold. ``reps`` has one row's id for each
-    node, so a node's text is read once however many copies it has."""
-    ends = pairs.select(F.col("centre").alias("node")).distinct().unionByName(pairs.select("node").distinct())
-    wanted = ends.distinct().join(reps, "node")
-    texts = _texts_of(cut(wanted), docs).select("node", "text").dropDuplicates(["node"])
-    groups = pairs.groupBy("centre").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
+        held: list[tuple] = []
+        blank: list[tuple] = []
+        size = 0
+        for batch in parts_of(batches, 4):
+            ids = [batch.column(k).to_pylist() for k in range(4)]
+            shingles, ends = shingles_of(batch.column(4))
+            for k, (uid, doc_id, low, high) in enumerate(zip(*ids, strict=True)):
+                own = shingles[ends[k] : ends[k + 1]]
+                if len(own):
+                    bag = np.unique(own, return_counts=True)
+                    held.append((uid, doc_id, low, high, len(own), bag))
+                    size += len(bag[0])
+                else:
+                    blank.append((uid, doc_id, None, None, 0, None))
+            if size > 5 * CHUNK or len(blank) > CHUNK:
+                yield from made(held)
+                yield _batch(blank, fields)
+                held, blank, size = [], [], 0
+        yield from made(held)
+        yield _batch(blank, fields)
+
+    return own.mapInArrow(run, "uid long, doc_id long, low long, high long, weight long, bands array<long>")
+
+
+def _with_cells(docs: DataFrame, lists: DataFrame, schema: str, entry: Callable[[dict], tuple], kinds: tuple) -> DataFrame:
+    """One row (entry's columns, node, cells) for each entry of ``lists`` (node, entries), a node being the place of
+    a row with its text. Lists are broadcast while they are few and short, so texts stay where they are."""
+    lists = cut_table(lists)
+    side = F.broadcast(lists) if few_entries(lists, "entries") else lists
+    rows = _placed(docs).select(F.col("uid").alias("node"), "text").join(side, "node").select("node", "text", "entries")
+    fields = (*kinds, ("node", pa.int64()), ("cells", pa.binary()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches, 1):
+            out: list[tuple] = []
+            size = 0
+            shingles, ends = shingles_of(batch.column(1))
+            for k, (node, entries) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                own = cells(shingles[ends[k] : ends[k + 1]]).tobytes()
+                for e in entries.as_py():
+                    out.append((*entry(e), node, own))
+                    size += len(own)
+                    if size > 8 * CHUNK:
+                        yield _batch(out, fields)
+                        out, size = [], 0
+            yield _batch(out, fields)
+
+    return rows.mapInArrow(run, f"{schema}, node long, cells binary")
+
+
+def _of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint64)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (centre, node) whose exact similarity reaches the threshold."""
+    groups = pairs.groupBy("centre").agg(F.count("*").alias("n")).select("centre", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
-    members = pairs.join(groups, "centre").select("centre", part.alias("part"), F.lit(1).alias("role"), "node")
-    heads = groups.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("centre").alias("node"))
-    rows = members.unionByName(heads).join(texts, "node").select("centre", "part", "role", "node", "text")
+    members = pairs.join(groups, "centre").select("node", F.struct("centre", part.alias("part"), F.lit(1).alias("role")).alias("e"))
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    heads = groups.select("centre", parts).select(F.col("centre").alias("node"), F.struct("centre", "part", F.lit(0).alias("role")).alias("e"))
+    lists = members.unionByName(heads).groupBy("node").agg(F.collect_list("e").alias("entries"))
+    kinds = (("centre", pa.int64()), ("part", pa.int32()), ("role", pa.int32()))
+    rows = _with_cells(docs, lists, "centre long, part int, role int", lambda e: (e["centre"], e["part"], e["role"]), kinds)
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "role")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, group, head = Shingler(), None, np.zeros(0, dtype=np.uint64)
+        group, head = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             out: list[tuple] = []
-            centres, parts, roles, nodes = (batch.column(k).to_pylist() for k in range(4))
-            for centre, part, role, node, text in zip(centres, parts, roles, nodes, batch.column(4), strict=True):
-                own = cells(shingler(text.as_py()))
+            ids = [batch.column(k).to_pylist() for k in range(4)]
+            for centre, part, role, node, raw in zip(*ids, batch.column(4), strict=True):
+                own = _of(raw.as_py())
                 if role == 0:
                     group, head = (centre, part), own
                 elif group == (centre, part) and (found := similarity(head, own)) >= threshold:
@@ -211,135 +273,166 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float
     return rows.mapInArrow(run, "centre long, node long, similarity double")
 
 
-def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
-def _fine(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, fine, keys): the longer signatures, one byte a register, and the keys of all bands."""
+def joining_links(block: list[tuple[int, int, bool, bytes]], within: bool, threshold: float) -> list[tuple[int, int, float]]:
+    """Links between components in a block of (node, root, left, cells): enough of those that reach the threshold to
+    join all components that they join. ``within``: both sides are the same nodes."""
+    left = [k for k, r in enumerate(block) if within or r[2]]
+    right = [k for k, r in enumerate(block) if within or not r[2]]
+    if not left or not right:
+        return []
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    bags = [_of(r[3]) for r in block]
+    known, code = np.unique(np.concatenate([bags[k] for k in right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(right)), [len(bags[k]) for k in right])
+    order = np.argsort(code, kind="stable")
+    posting, first = owner[order], np.append(0, np.cumsum(np.bincount(code, minlength=len(known))))
+    sizes = np.array([len(bags[k]) for k in right])
+    roots = np.array([block[k][1] for k in right])
+    out = []
+    for k in left:
+        node, root, _, _ = block[k]
+        own = bags[k]
+        if not (roots != root).any():
+            continue
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        at = at[known[at] == own]
+        n = first[at + 1] - first[at]
+        if not len(at):
+            continue
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1]) + np.repeat(first[at] - (ends - n), n)
+        both = np.bincount(posting[places], minlength=len(right))
+        share = both / (sizes + len(own) - both)
+        for j in np.flatnonzero((share >= threshold) & (roots != root)):
+            a, b = find(root), find(int(roots[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((node, block[right[j]][0], float(share[j])))
+    return out
+
+
+def _search(state: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links between components in the groups of ``state`` (gid, node, root, weight). The nodes of a group's largest
+    component are one side, cut in parts; the others are cut in parts that meet each other and all of that side."""
+    per = state.groupBy("gid", "root").agg(F.sum("weight").alias("w"))
+    per = per.groupBy("gid").agg(F.max(F.struct("w", "root")).alias("top"), F.sum("w").alias("w"))
+    per = per.select("gid", F.col("top.root").alias("main"), F.ceil((F.col("w") - F.col("top.w")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("top.w") / BLOCK).cast("int").alias("mains"))
+    is_main = F.col("root") == F.col("main")
+    part = F.pmod(F.xxhash64("node", F.lit("block")), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    placed = state.join(per, "gid").withColumn("part", part)
+    block = lambda a, b, left: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), left.alias("left"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    of_main = F.transform(upto(F.col("others")), lambda i: block(i, F.col("others") + F.col("part"), F.lit(False)))
+    among = F.transform(upto(F.col("others")), lambda i: block(F.least(i, F.col("part")), F.greatest(i, F.col("part")), F.col("part") <= i))
+    across = F.transform(upto(F.col("mains")), lambda i: block(F.col("part"), F.col("others") + i, F.lit(True)))
+    blocks = placed.select("gid", "node", "root", F.explode(F.when(is_main, of_main).otherwise(F.concat(among, across))).alias("k"))
+    lists = blocks.groupBy("node").agg(F.collect_list(F.struct("gid", "k.a", "k.b", "k.left", "root")).alias("entries"))
+    kinds = (("gid", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("left", pa.bool_()), ("root", pa.int64()))
+    rows = _with_cells(docs, lists, "gid long, a int, b int, left boolean, root long", lambda e: (e["gid"], e["a"], e["b"], e["left"], e["root"]), kinds)
+    rows = rows.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b", "node")
+    fields = (("centre", pa.int64()), ("node", pa.int64()), ("similarity", pa.float64()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                bags = [cells(shingler(t.as_py())) for t in batch.column(1)]
-                fine = [row.tobytes() for row in (signatures(bags, FINE) >> np.uint64(40)).astype(np.uint8)]
-                keys = [row.tobytes() for row in band_keys(signatures(bags))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary()), pa.array(keys, pa.binary())], names=["node", "fine", "keys"])
-
-    return _texts_of(nodes, docs).select("node", "text").mapInArrow(run, "node long, fine binary, keys binary").dropDuplicates(["node"])
-
-
-def _search(state: DataFrame, fine: DataFrame, threshold: float, best: int = 0) -> DataFrame:
-    """Pairs of nodes in one bucket but different components whose longer signatures may reach the threshold: all of
-    them, or each node's ``best`` most similar in a block."""
-    error = (threshold * (1 - threshold) / FINE) ** 0.5
-    least = threshold - 4 * error
-    least += (1 - least) / 256
-    parts = state.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int")
-    spread = state.join(parts, "band").withColumn("part", part)
-    # a node goes to every pair of parts that its own part is in: once where the bucket is one part
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    spread = spread.select("band", "node", "root", "part", other)
-    spread = spread.select("band", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "root")
-    rows = spread.join(fine, "node").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "part")
-    rows = rows.select("band", "a", "b", "part", "node", "root", "fine", "keys")
-    fields = (("centre", pa.int64()), ("node", pa.int64()))
-
-    def compare(group: list[tuple]) -> list[tuple]:
-        key = group[0][:3]
-        nodes, roots = (np.array([g[k] for g in group]) for k in (4, 5))
-        low = np.array([g[3] == key[1] for g in group])
-        marks = np.frombuffer(b"".join(g[6] for g in group), dtype=np.uint8).reshape(len(group), FINE)
-        keys = np.frombuffer(b"".join(g[7] for g in group), dtype=np.int64).reshape(len(group), BANDS)
-        within = key[1] == key[2]
-        left = np.arange(len(group)) if within else np.flatnonzero(low)
-        right = np.arange(len(group)) if within else np.flatnonzero(~low)
-        out = []
-        for i in left:
-            rest = right[(right > i) if within and not best else slice(None)]
-            rest = rest[roots[rest] != roots[i]]
-            if len(rest):
-                share = (marks[rest] == marks[i]).mean(axis=1)
-                near = rest[share >= least]
-                if best and len(near) > best:
-                    near = rest[np.argsort(-share, kind="stable")[:best]]
-                # a pair that shares several bands is given in the first of them alone
-                near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key[0]] if len(near) else near
-                out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in near]
-        return out
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        key, held = None, []
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    out += compare(group)
-                    group = []
-                group.append(row)
-            yield _batch(list(set(out)), fields)
-        if group:
-            yield _batch(list(set(compare(group))), fields)
-
-    return rows.mapInArrow(run, "centre long, node long").distinct()
-
-
-def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (did, node) of every text with a shingle, and verified links (centre, node, similarity)
-    between nodes that join all nodes of a class."""
-    rows = cut(sketch(docs))
-    nodes = rows.groupBy("node").agg(F.min("did").alias("did"), F.first("bands").alias("bands"))
-    reps = cut(nodes.select("node", "did"))
+            ids = [batch.column(k).to_pylist() for k in range(6)]
+            for gid, a, b, left, root, node, raw in zip(*ids, batch.column(6), strict=True):
+                if key != (gid, a, b):
+                    if held:
+                        out += joining_links(held, key[1] == key[2], threshold)
+                    key, held = (gid, a, b), []
+                held.append((node, root, left, raw.as_py()))
+            yield _batch(out, fields)
+        if held:
+            yield _batch(joining_links(held, key[1] == key[2], threshold), fields)
+
+    return rows.mapInArrow(run, "centre long, node long, similarity double")
+
+
+def _groups(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gid, node, root) of the groups that are to be searched: buckets with several components, of equal ones only
+    one; overlapping large buckets as one family where their pairs are more than the family's."""
+    state = buckets.join(roots, "node", "left").select("band", "node", "centre", "n", "tried", F.coalesce("root", "node").alias("root"))
+    # of two nodes that were verified already nothing is left to compare
+    seen = F.max((~F.col("tried") & (F.col("node") != F.col("centre"))).cast("int"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    mixed = state.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("n").alias("n"), seen.alias("untried"), *marks)
+    mixed = mixed.filter("least <> most and (n > 2 or untried = 1)").groupBy("n", "x1", "x2").agg(F.min("band").alias("band")).select("band")
+    state = cut(state.join(mixed, "band").select("band", "node", "centre", "n", "root"))
+    large = state.filter(F.col("n") > LARGE)
+    small = state.filter(F.col("n") <= LARGE).select(F.col("band").alias("gid"), "node", "root")
+    if not large.limit(1).count():
+        return small
+    family = cut(components(large.filter("node <> centre").select("centre", "node")).select("node", F.col("root").alias("family")))
+    large = large.join(family, "node")
+    work = large.groupBy("family").agg(F.sum("n").alias("pairs")).join(family.groupBy("family").agg(F.count("*").alias("m")), "family")
+    large = large.join(work.select("family", (F.col("m").cast("double") * F.col("m") <= F.col("pairs")).alias("whole")), "family")
+    one = large.filter("whole").select(F.xxhash64("family", F.lit("family")).alias("gid"), "node", "root").distinct()
+    return small.unionByName(large.filter("not whole").select(F.col("band").alias("gid"), "node", "root")).unionByName(one)
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(band, node, n, centre, tried) of all buckets with several nodes; ``tried`` where the bucket's centre is one
+    of the few that the node is verified against."""
     keyed = nodes.select("node", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    buckets = cut(keyed.join(shared, "band").select("band", "node", "centre"))
-    tried = cut(buckets.filter("node <> centre").select("centre", "node").distinct())
-    found = cut(verify(tried, reps, docs, threshold))
-    fine: DataFrame | None = None
-    for best in (BEST, 0):
-        rooted = components(found)
-        state = buckets.select("band", "node").join(rooted, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        mixed = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-        state = cut(state.join(mixed, "band"))
-        if fine is None:
-            fine = cut(_fine(cut(state.select("node").distinct().join(reps, "node")), docs))
-        ordered = tried.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node"))
-        more = cut(_search(state, fine, threshold, best).join(ordered, ["centre", "node"], "left_anti"))
-        found = cut(found.unionByName(verify(more, reps, docs, threshold)))
-        tried = tried.unionByName(more)
-    return rows.select("did", "node"), found
+    keyed = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("band"))).filter("n > 1").select("band", "node", "n"))
+    known = keyed.groupBy("node").agg(F.sum("n").alias("known"))
+    centres = keyed.join(known, "node").groupBy("band").agg(F.max(F.struct("known", "node")).alias("c")).select("band", F.col("c.node").alias("centre"))
+    of_node = Window.partitionBy("node")
+    both = keyed.join(centres, "band").withColumn("shared", F.count("*").over(Window.partitionBy("node", "centre")))
+    # the node's own buckets do not count among its centres
+    rank = F.dense_rank().over(of_node.orderBy(F.col("centre") == F.col("node"), F.desc("shared"), "centre"))
+    return cut(both.withColumn("tried", (rank <= CENTRES) & (F.col("centre") != F.col("node"))).drop("shared"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links (centre, node, similarity) between nodes (node, weight, bands) that join all nodes of a class."""
+    buckets = _buckets(nodes)
+    found = cut(verify(cut(buckets.filter("tried").select("centre", "node").distinct()), docs, threshold))
+    state = _groups(buckets, components(found)).join(nodes.select("node", "weight"), "node")
+    return cut(found.unionByName(_search(cut(state), docs, threshold)))
 
 
 def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows (uid, doc_id, root) with the class each row is in, root null for texts without a
-    shingle; classes (root, class_id, class_size, lead), lead being the row that stands for the class."""
-    _, found = links(docs, threshold)
-    rooted = components(found)
-    full = F.coalesce("text", F.lit("")).rlike(r"\S")
-    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.when(full, F.xxhash64("text")).alias("node"))
-    rows = cut(own.join(rooted, "node", "left").select("uid", "doc_id", F.coalesce("root", "node").alias("root")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))
-    named = rows.filter("root is not null").groupBy("root").agg(first.alias("first"), F.count("*").alias("class_size"))
-    return rows, named.select("root", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.uid").alias("lead"))
+    """(rows, classes): rows (uid, doc_id, low, high), and (low, high, class_id, class_size, lead) for every text of
+    a class with several rows, lead being the row that stands for the class."""
+    rows = cut_table(sketch(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")
+    nodes = rows.filter("low is not null").groupBy("low", "high").agg(F.min("uid").alias("node"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), first, F.count("*").alias("copies"))
+    nodes = cut_table(nodes)
+    rooted = components(links(docs, nodes.select("node", "weight", "bands"), threshold))
+    own = nodes.select("low", "high", "node", "first", "copies").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = cut(own.select("low", "high", "root", "first", "copies"))
+    named = own.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")).filter("class_size > 1")
+    named = own.select("low", "high", "root").join(named, "root")
+    return rows.select("uid", "doc_id", "low", "high"), cut(named.select("low", "high", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.uid").alias("lead")))
+
+
+def _with_classes(rows: DataFrame, named: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(named) if few_entries(named) else named, ["low", "high"], "left")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size, kept (true for one row of each class) for
     every row. Null and blank texts are classes of their own."""
-    rows, named = _labelled(docs, threshold)
-    alone = rows.filter("root is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    joined = rows.filter("root is not null").join(named, "root")
-    return joined.select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("lead")).alias("kept")).unionByName(alone)
+    found = _with_classes(*_labelled(docs, threshold))
+    alone = F.col("class_size").isNull()
+    return found.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), (alone | (F.col("uid") == F.col("lead"))).alias("kept"),
+    )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with one row of each class: that of the smallest id. Null and blank texts all stay. The input
-    must read the same rows in the same order each time (a table or a written intermediate result)."""
-    rows, named = _labelled(docs, threshold)
-    gone = cut(rows.filter("root is not null").join(named.filter("class_size > 1"), "root").filter("uid <> lead").select("uid"))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(side.withColumnRenamed("uid", "_uid"), "_uid", "left_anti").drop("_uid")
+    """The documents with one row of each class: that of the smallest id. Null and blank texts all stay."""
+    own = free_name(docs, "uid")
+    gone = cut(_with_classes(*_labelled(docs, threshold)).filter("uid <> lead").select(F.col("uid").alias(own)))
+    placed = docs.withColumn(own, F.monotonically_increasing_id())
+    return placed.join(F.broadcast(gone) if few_entries(gone) else gone, own, "left_anti").select(*quoted(docs))

@@ -27,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veriframe.llm import bwt
-from veriframe.llm.common import cut_table
+from veriframe.llm.common import cut_table, few_entries, quote
+from veriframe.llm.rolling import Hashes, mixed, text_bytes
 
 LENGTH = 200
 GRAM = 80
@@ -39,50 +41,6 @@ CHUNK = 1 << 20
 IN_TASK = 10_000
 #: Runs that a task holds before it gives them.
 FLUSH = 2_000
-#: Documents, and list entries in all (some 40 bytes each), that are broadcast at most; more are joined by exchange.
-BROADCAST_DOCS, BROADCAST_ENTRIES = 400_000, 1_000_000
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to n."""
-    size = 1 << max(12, n.bit_length())
-    if size not in _powers:
-        _powers.clear()
-        made = []
-        for b in (_BASE, _INVERSE):
-            p = np.ones(size, dtype=np.uint64)
-            p[1:] = np.uint64(b)
-            made.append(np.multiply.accumulate(p))
-        _powers[size] = tuple(made)
-    return _powers[size]
-
-
-class Hashes:
-    """Hashes of all substrings of a byte array, in constant time each."""
-
-    def __init__(self, data: np.ndarray):
-        self.forward, self.back = _power(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[data] * self.forward[: len(data)], out=sums[1:])
-        self.sums = sums
-
-    def all(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        return _mixed((self.sums[length:] - self.sums[:n]) * self.back[:n])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Smallest value of every ``width`` neighbours, from running minima of blocks in both directions."""
@@ -123,26 +81,13 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int =
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The column's UTF-8 bytes side by side, and where each text begins and ends. Nulls are empty."""
-    if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(offsets) else np.zeros(0, dtype=np.uint8)
-    return raw, offsets - (offsets[0] if len(offsets) else 0)
-
-
 def _placed(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), "text")
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Rows of the documents with their lists (uid, array); the lists are broadcast while they are few and short."""
-    size = lists.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size(lists.columns[1])), F.lit(0)).alias("entries")).first()
-    few = size.docs <= BROADCAST_DOCS and size.entries <= BROADCAST_ENTRIES
-    return docs.join(F.broadcast(lists) if few else lists, "uid", how)
+    return docs.join(F.broadcast(lists) if few_entries(lists, lists.columns[1]) else lists, "uid", how)
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -153,16 +98,16 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy()
-            text, first, n, anchor, whole = runs(*_text_bytes(batch.column(1)), length, gram)
+            text, first, n, anchor, whole = runs(*text_bytes(batch.column(1)), length, gram)
             yield pa.RecordBatch.from_arrays([pa.array(uid[text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["uid", "first", "n", "anchor", "whole"])
 
     found = placed.mapInArrow(find, "uid long, first int, n int, anchor long, whole long")
     by_anchor, by_run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
     found = found.withColumns({"low": F.min("whole").over(by_anchor), "high": F.max("whole").over(by_anchor)})
     found = found.withColumns({"same": F.count("*").over(by_run), "rn": F.row_number().over(by_run.orderBy("uid", "first"))})
-    mixed = (F.col("low") != F.col("high")) & (F.col("rn") == 1)
-    found = found.filter((F.col("same") > 1) | mixed)
-    kept = cut_table(found.select("uid", "first", "n", F.when(mixed, F.col("anchor")).alias("anchor"), (F.col("same") > 1).alias("repeats")))
+    differ = (F.col("low") != F.col("high")) & (F.col("rn") == 1)
+    found = found.filter((F.col("same") > 1) | differ)
+    kept = cut_table(found.select("uid", "first", "n", F.when(differ, F.col("anchor")).alias("anchor"), (F.col("same") > 1).alias("repeats")))
     whole = kept.filter("repeats").select("uid", "first", "n")
 
     fetch = kept.filter("anchor is not null").groupBy("uid").agg(F.collect_list(F.struct("first", "n", "anchor", "repeats")).alias("runs"))
@@ -210,7 +155,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             bounds = np.cumsum([0] + [len(r[4]) for r in rows])
             owner = np.repeat(np.arange(len(rows)), np.diff(bounds) - length + 1)
             starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            key = Hashes(data).of(starts, starts + length) ^ _mixed(np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64))[owner]
+            key = Hashes(data).of(starts, starts + length) ^ mixed(np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64))[owner]
             return batch_of((uid[owner], first[owner] + starts - bounds[owner], np.ones(len(owner), dtype=np.int64), key.view(np.int64), single[owner]), True)
 
         def give(rows: list[tuple], whole_groups: bool) -> pa.RecordBatch:
@@ -274,8 +219,8 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; columns in ``keep`` come along under
-    ``_keep_*`` names, and ``kept_text`` (cut at whole characters) if asked for."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; columns in ``keep`` come along as
+    ``_keep_0``, ``_keep_1``, ..., and ``kept_text`` (cut at whole characters) if asked for."""
     stretches = repeated_starts(docs, length, gram)
     lists = stretches.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("stretches"))
 
@@ -287,13 +232,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     # neighbouring stretches become one span before anything is sent on: a whole copy is a single entry
     lists = cut_table(lists.mapInArrow(join_up, "uid long, spans array<struct<start: long, end: long>>"))
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
+    kept = [F.col(quote(c)).alias(f"_keep_{k}") for k, c in enumerate(keep)]
+    names = [f"_keep_{k}" for k in range(len(keep))]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
-    types = {f.name: f.dataType for f in rows.schema.fields}
-    rows = _with_lists(rows, lists, "left").select("doc_id", "text", "spans", *[f"_keep_{c}" for c in keep])
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    for c in keep:
-        schema += f", `_keep_{c}` {types[f'_keep_{c}'].simpleString()}"
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    for name in names:
+        schema.add(name, rows.schema[name].dataType)
+    rows = _with_lists(rows, lists, "left").select("doc_id", "text", "spans", *names)
+    given = schema.names
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,8 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-            yield pa.RecordBatch.from_arrays([*[pa.array(v, k) for v, k in zip(out, kinds, strict=True)], *[batch.column(3 + k) for k in range(len(keep))]], names=[*names, *[f"_keep_{c}" for c in keep]])
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, k) for v, k in zip(out, kinds, strict=True)], *[batch.column(3 + k) for k in range(len(keep))]], names=given)
 
     return rows.mapInArrow(apply, schema)
 
@@ -332,7 +277,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     text = F.col("kept_text")
     columns = []
     for c in names:
-        own = text if c == "text" else F.col(f"_keep_{c}")
+        own = text if c == "text" else F.col(f"_keep_{others.index(c)}")
         if c == "n_chars":
             own = F.length(F.coalesce(text, F.lit(""))).cast(docs.schema[c].dataType)
         columns.append(own.alias(c))
