@@ -16,7 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a recognisable language (no letters at all) go; ``lang`` becomes the predicted language."""
     found = language.identify(docs, language.train(docs), keep=tuple(docs.columns))
     found = found.filter("lang_pred <> 'und'")
-    return found.select(*[F.col("lang_pred" if c == "lang" else f"_keep_{c}").alias(c) for c in docs.columns])
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"_keep_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

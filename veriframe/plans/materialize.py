@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is configured."""
+    """The cluster's checkpoint folder. Where none is configured: a folder in the warehouse, which a cluster shares
+    too, or with a local master (tests) a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="veriframe-checkpoint-"))
-    return context.getCheckpointDir()
+        local = context.master.split("[")[0] == "local"
+        own = tempfile.mkdtemp(prefix="veriframe-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/veriframe-checkpoint"
+        context.setCheckpointDir(where or own)
+    return (where or context.getCheckpointDir()).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
