@@ -141,13 +141,43 @@ def test_mix_of_odd_rows(spark):
     assert Counter(r.doc_id for r in out.collect()) == {k: v for k, v in per.items() if v}
 
 
-def test_prior_rates_tilt(spark, docs):
-    rows = mixing.mix(docs, prior=F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(0.5)).join(docs.select("doc_id", "source"), "doc_id").collect()
-    got = Counter()
-    for r in rows:
-        got[r.source] += r.rate * r.size
-    for r in rows:
-        assert got[r.source] == pytest.approx(r.target, rel=1e-6)
+def test_rates_are_tilted_by_newton_steps(spark, docs):
+    prior = F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(0.5)
+    for q in (None, prior):
+        rows = mixing.mix(docs, prior=q).join(docs.select("doc_id", "source"), "doc_id").collect()
+        got, by = Counter(), {}
+        for r in rows:
+            got[r.source] += r.rate * r.size
+            by.setdefault(r.source, []).append((r.size, r.rate, 1.0 if q is None else (2.0 if r.doc_id % 2 == 0 else 0.5)))
+        for r in rows:
+            assert got[r.source] == pytest.approx(r.target, rel=1e-6)
+        for found in by.values():
+            assert len({round(rate, 9) for _, rate, _ in found}) > 1
+            # log(rate / prior) is one multiple of the size, but where the ceiling holds
+            slopes = [np.log(rate / p) / size for size, rate, p in found if size and rate < 3 - 1e-9]
+            assert max(slopes) - min(slopes) <= 1e-9 + 1e-6 * max(map(abs, slopes))
+    base = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(1.0).alias("prior"))
+    steps = [r.steps for r in mixing.solve_dual(base, mixing.source_targets(base)).collect()]
+    assert max(steps) >= 3, steps
+
+
+def test_dual_equals_bisection(spark):
+    rng = random.Random(8)
+    sizes = [rng.randint(1, 400) for _ in range(300)] + [9_000, 20_000]
+    total, mean = sum(sizes), sum(sizes) / len(sizes)
+    shares = {"a": 0.3, "b": 1.4, "c": 2.6, "d": 3.0, "e": 1.0}
+    docs = spark.createDataFrame([(s, n, 1.0) for s in shares for n in sizes] + [("e", 0, 1.0)], "source string, size long, prior double")
+    targets = spark.createDataFrame([(s, total, share * total) for s, share in shares.items()] + [("none", 0, 0.0)], "source string, source_size long, target double")
+    got = {r.source: r for r in mixing.solve_dual(docs, targets).collect()}
+    assert got["e"].lam == 0 and got["e"].steps == 0 and got["none"].steps == 0
+    for name in "abcd":
+        low, high = -500.0, 500.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            words = sum(n * min(3.0, np.exp(min(mid * n / mean, 2.0))) for n in sizes)
+            low, high = (mid, high) if words < shares[name] * total - 1e-6 else (low, mid)
+        rate = lambda lam, n: min(3.0, np.exp(min(lam * n / mean, 2.0)))
+        assert all(rate(got[name].lam, n) == pytest.approx(rate(high, n), abs=1e-3) for n in sizes), name
 
 
 # ---- op4

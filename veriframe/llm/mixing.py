@@ -1,16 +1,19 @@
 """Mixing sources to target weights by entropy balancing.
 
-Targets are water-filled from cyclic weights with a ceiling of ``cap`` times a source's size. Rates minimise the
-token-weighted relative entropy to the documents' prior rates subject to one token constraint a source; the
-optimum is an exponential tilt ``prior * exp(lambda)``, clipped at ``cap``. The convex dual separates by source, so
-a Newton step is one aggregation (gradient and curvature for each source) that Spark runs over all documents.
-Rates are rounded to whole copies: systematic rounding inside small strata (source, size class, hash part), then
-a repair over all documents: from the counts of documents by size and copies it decides how many copies each size
-gains or loses, until a source's words are as near its target as that gets them, and hash ranks say which
-documents move. What is left is less than the smallest size that can still move.
-
-Defined cases: null or empty texts have size 0 and taken 0; a null source is a source of its own, last in order;
-an empty table gives an empty table; repeated rows are separate documents; other columns are ignored.
+Targets are water-filled from cyclic weights with a ceiling of ``cap`` times a source's size. The documents' rates
+have the least relative entropy to their prior rates among all that meet one token constraint a source,
+``sum(size * rate) = target``; so a rate is an exponential tilt by the document's tokens, ``prior * exp(lambda *
+size)``, held at ``cap`` at most. The convex dual has one multiplier a source and starts at 0; documents of equal
+source, size and prior are counted once, and a Newton step is one aggregation of these counts (gradient and curvature
+for each source). Sums are exact decimals, so reruns take the same steps.
+Rates are rounded to whole copies: systematic rounding along a running sum of rates inside strata (source, size
+class, hash part), then a repair over all documents: from the counts of documents by size and copies it decides how
+many copies each size gains or loses, until a source's words are as near its target as that gets them, and hash
+ranks say which documents move. What is left is less than the smallest size that can still move.
+
+Defined cases: null or empty texts have size 0, rate ``prior`` and taken 0; a null source is a source of its own, last
+in order; an empty table gives an empty table; repeated rows are separate documents; other columns are ignored,
+whatever their names. Newton steps that do not converge raise an error.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.common import WORD_PATTERN, cut, few_entries, free_name, quoted
 
-#: Parts of a source's documents that are rounded on their own, so that a large source is many tasks' work.
-ROUND_PARTS = 16
-NEWTON_STEPS = 40
-TOLERANCE = 1e-9
+#: Documents of a source and size class that are rounded in one part; more make more parts.
+PART_DOCS = 20_000
+#: Newton steps after which the dual counts as not converged, and the relative error of a target that ends them.
+NEWTON_STEPS = 100
+TOLERANCE = 1e-7
 
 
 def word_count(text: Column) -> Column:
@@ -56,35 +60,54 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     return per.select("source", "source_size", F.least(F.col("_cap"), F.col("_w") * level).alias("target"))
 
 
-def balance(docs: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
-    """Newton iterations on the dual. ``docs`` has source, size and prior (> 0); adds lambda's tilt as ``rate``."""
+def _exact(x: Column) -> Column:
+    """A sum that does not depend on the order of its rows."""
+    return F.coalesce(F.sum(x.cast("decimal(30,6)")).cast("double"), F.lit(0.0))
+
+
+def _tilted(cap: float) -> Column:
+    """``prior * exp(lam * size / mean)``, at most ``cap``; ``lam`` counts in documents of the source's mean size."""
+    room = F.log(F.lit(float(cap)) / F.col("prior"))
+    return F.when(F.col("size") == 0, F.least(F.col("prior"), F.lit(float(cap)))).otherwise(F.col("prior") * F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), room)))
+
+
+def solve_dual(docs: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
+    """source, source_size, target, mean, lam and steps (Newton steps taken) of every source. ``docs`` has source,
+    size and prior (> 0), ``targets`` the first three columns."""
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
-    start = F.when(F.col("source_size") > 0, F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-300)))).otherwise(0.0)
+    counted = cut(docs.filter("size > 0").groupBy("source", "size", "prior").agg(F.count("*").alias("n")))
+    means = counted.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     none = F.lit(None).cast("double")
-    state = cut(targets.select("source", "source_size", "target", start.alias("lam"), none.alias("low"), none.alias("high")))
+    state = targets.alias("t").join(F.broadcast(means.alias("d")), same, "left")
+    state = cut(state.select("t.source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), none.alias("low"), none.alias("high"), F.lit(0).alias("steps"), F.lit(True).alias("open")))
     for _ in range(NEWTON_STEPS):
-        rate = F.col("prior") * F.exp("lam")
-        sums = (
-            docs.alias("d").join(state.alias("t"), same)
-            .groupBy(F.col("t.source").alias("source"))
-            .agg(
-                F.sum(F.col("size") * F.least(rate, F.lit(cap))).alias("got"),
-                F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).alias("slope"),
-            )
-        )
+        tilted = counted.alias("d").join(F.broadcast(state.filter("open").alias("t")), same)
+        tilted = tilted.select("t.source", "size", "n", "mean", _tilted(cap).alias("rate"))
+        words = F.col("n") * F.col("size") * F.col("rate")
+        sums = tilted.groupBy("source").agg(_exact(words).alias("got"), _exact(F.when(F.col("rate") < cap * (1 - 1e-12), words * F.col("size") / F.col("mean"))).alias("slope"))
         off = F.col("target") - F.col("got")
-        open_ = (F.abs(off) > TOLERANCE * F.col("target")) & ((F.col("slope") > 0) | (off < 0))
-        # a step that leaves the bracket (the clipped dual has kinks) is replaced by the bracket's middle
-        step = F.col("lam") + F.when(F.col("slope") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide(off, F.col("slope"))))).otherwise(-0.5)
+        # decimals of six places: each count may be off by half of the last one
+        open_ = F.col("open") & (F.abs(off) > TOLERANCE * F.col("target")) & ((F.col("slope") > 0) | (off < 0))
         low = F.when(off > 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(off < 0, F.col("lam")).otherwise(F.col("high"))
-        moved = state.alias("t").join(sums.alias("d"), same, "left").select("t.source", "source_size", "target", "lam", low.alias("low"), high.alias("high"), step.alias("step"), F.coalesce(open_, F.lit(False)).alias("open"))
+        step = F.col("lam") + F.when(F.col("slope") > 0, off / F.col("slope")).otherwise(F.lit(-1.0))
+        moved = state.alias("t").join(F.broadcast(sums.alias("d")), same, "left")
+        moved = moved.select("t.source", "source_size", "target", "mean", "lam", "steps", low.alias("low"), high.alias("high"), step.alias("step"), F.coalesce(open_, F.lit(False)).alias("open"))
+        # a step that leaves the bracket (the clipped dual has kinks) is replaced by the bracket's middle
         inside = (F.col("low").isNull() | (F.col("step") > F.col("low"))) & (F.col("high").isNull() | (F.col("step") < F.col("high")))
         new = F.when(~F.col("open"), F.col("lam")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
-        state = cut(moved.select("source", "source_size", "target", new.alias("lam"), "low", "high", "open"))
+        state = cut(moved.select("source", "source_size", "target", "mean", new.alias("lam"), "low", "high", (F.col("steps") + F.col("open").cast("int")).alias("steps"), "open"))
         if not state.filter("open").limit(1).count():
-            break
-    return docs.alias("d").join(state.alias("t"), same).select("d.*", "source_size", "target", F.least(F.lit(cap), F.col("prior") * F.exp("lam")).alias("rate"))
+            return state.select("source", "source_size", "target", "mean", "lam", "steps")
+    raise RuntimeError(f"the mixture's dual did not converge in {NEWTON_STEPS} Newton steps")
+
+
+def balance(docs: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
+    """``docs`` (source, size, prior and others) with source_size, target and the tilted ``rate``."""
+    same = F.col("d.source").eqNullSafe(F.col("t.source"))
+    # one row a source
+    joined = docs.alias("d").join(F.broadcast(solve_dual(docs, targets, cap).alias("t")), same)
+    return joined.select("d.*", "source_size", "target", "mean", "lam").withColumn("rate", _tilted(cap)).drop("mean", "lam")
 
 
 def moved_units(gap: float, sizes: list[int], up: list[int], down: list[int], docs: list[int]) -> list[int]:
@@ -152,13 +175,16 @@ def round_to_copies(rated: DataFrame, cap: int = 3) -> DataFrame:
     """Whole copies for each document (uid, source, size, rate, target); reruns give the same copies."""
     h = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.lit("round"))
     size_class = F.length(F.conv(F.col("size").cast("string"), 10, 2))
-    strata = rated.withColumn("_h", h).withColumn("_class", size_class).withColumn("_part", F.pmod("_h", F.lit(ROUND_PARTS)))
+    strata = rated.withColumn("_h", h).withColumn("_class", size_class)
+    # one row for each source and size class
+    parts = strata.groupBy("source", "_class").agg(F.ceil(F.count("*") / PART_DOCS).alias("_parts"))
+    in_class = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._class") == F.col("p._class"))
+    strata = strata.alias("d").join(F.broadcast(parts.alias("p")), in_class).select("d.*", F.pmod("_h", "_parts").alias("_part"))
     within = Window.partitionBy("source", "_class", "_part").orderBy(F.xxhash64("_h"), "doc_id", "uid")
     start = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit("\0")), "_class", "_part"), F.lit(1 << 20)) / float(1 << 20)
-    upto = lambda k: F.floor(start + F.col("rate") * k + 1e-9)
-    nth = F.row_number().over(within)
-    copies = F.least(F.lit(cap), F.greatest(F.lit(0), upto(nth) - upto(nth - 1))).cast("long")
-    first = cut(strata.withColumn("copies", copies))
+    upto = F.sum("rate").over(within.rowsBetween(Window.unboundedPreceding, 0)) + start
+    copies = F.floor(F.col("_upto") + 1e-7) - F.coalesce(F.floor(F.lag("_upto").over(within) + 1e-7), F.lit(0))
+    first = cut(strata.withColumn("_upto", upto).withColumn("copies", F.least(F.lit(cap), F.greatest(F.lit(0), copies)).cast("long")).drop("_upto"))
     gaps = first.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
     gaps = gaps.filter("gap <> 0")
     # a source of n words has sqrt(2 n) different sizes at most, so one task can choose among them
@@ -172,7 +198,7 @@ def round_to_copies(rated: DataFrame, cap: int = 3) -> DataFrame:
     # the rest: by hash rank among the documents of the size at its level, counted in parts
     at_level = placed.filter("rest > 0 and copies = level").select("uid", "doc_id", "source", "size", "up", "rest", "_h", "_part")
     parts = at_level.groupBy("source", "size", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # ROUND_PARTS rows at most
+    before = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     in_part = Window.partitionBy("source", "size", "_part").orderBy(F.xxhash64("_h"), "doc_id", "uid")
     ranked = at_level.withColumn("_r", F.row_number().over(in_part))

@@ -373,7 +373,8 @@ def _groups(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     family = cut(components(large.filter("node <> centre").select("centre", "node")).select("node", F.col("root").alias("family")))
     large = large.join(family, "node")
     work = large.groupBy("family").agg(F.sum("n").alias("pairs")).join(family.groupBy("family").agg(F.count("*").alias("m")), "family")
-    large = large.join(work.select("family", (F.col("m").cast("double") * F.col("m") <= F.col("pairs")).alias("whole")), "family")
+    work = cut(work.select("family", (F.col("m").cast("double") * F.col("m") <= F.col("pairs")).alias("whole")))
+    large = large.join(F.broadcast(work) if few_entries(work) else work, "family")
     one = large.filter("whole").select(F.xxhash64("family", F.lit("family")).alias("gid"), "node", "root").distinct()
     return small.unionByName(large.filter("not whole").select(F.col("band").alias("gid"), "node", "root")).unionByName(one)
 
