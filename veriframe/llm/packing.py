@@ -1,14 +1,18 @@
 """Token pieces and best-fit packing into fixed-length sequences.
 
-Packing is bulk-synchronous best-fit decreasing. Pieces and gaps are kept as sorted runs of equal size, so a
-round works on every piece of one length at once: the successor sweep finds the smallest gaps that fit, ranks
-inside the length class say which piece gets which gap, the gaps shrink, and the next (shorter) length follows.
-A length is at most ``max_len``, so the run tables that the rounds work on have at most a few thousand rows
-whatever the corpus; ranks are computed and joined on the cluster.
+Packing is bulk-synchronous best-fit. Pieces of more than half a sequence open one each, as no two of them fit
+together. Then rounds follow, each over all pieces and gaps that are left. Both are put in the order of their size,
+largest first, gaps before pieces: a gap goes on a stack and a piece takes the gap on top, the smallest that is left
+for it. A gap's or piece's height on that stack comes from counts by size and its rank among its equals, which
+settles who of them is served; the gap below a piece is then its predecessor among those of the same height. So a
+round is a rank inside each size and a sweep inside each height, both spread over the cluster; only the counts by
+size (at most ``max_len`` of gaps and of pieces) are ordered in one place. Of the pieces that found no gap the
+largest open new sequences, ``open_share`` of those that they need together; gaps shrink, and the next round follows
+until no piece is left.
 
 Defined cases: a null text is the empty text (one piece that holds the end token only); an empty table gives an
 empty table; repeated rows are packed as often as they occur; other columns are ignored. Documents longer than
-``max_len`` are cut so that only the first piece is shorter.
+``max_len`` are cut so that only the first piece is shorter. Sequence ids are unique, not consecutive.
 """
 
 from __future__ import annotations
@@ -18,17 +22,20 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut
+from veriframe.llm.common import cut, cut_table, quote
 
 MAX_LEN = 1024
 END_ID = 2
-#: Parts that the pieces of one length are numbered in, so that a very common length is not one task's work.
-RANK_PARTS = 64
+#: Pieces (gaps) of one size that are numbered in one part; more make more parts.
+PART_ROWS = 50_000
+#: Share of the sequences that unplaced pieces need which a round opens: less gives fuller sequences in more rounds.
+OPEN_SHARE = 0.25
 #: Entries of a worker's word cache; it is emptied when full.
 CACHE_ENTRIES = 400_000
 
@@ -52,7 +59,9 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        # a text that holds one of the vocabulary's added tokens is encoded as a whole
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.single = None
         if ranks_file:
             import tiktoken
@@ -87,7 +96,7 @@ class WordCache(dict):
         regular = not (
             "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] == " " or text[:1] == " "
         )
-        if regular and not _OTHER_SPACE.search(text):
+        if regular and not _OTHER_SPACE.search(text) and not (self.added and self.added.search(text)):
             return b"".join(map(self.__getitem__, ("\0" + text).replace("\n", " \n \0").split(" ")))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -137,77 +146,76 @@ def token_pieces(
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(encode, schema)
 
 
-def plan_rounds(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over runs: ``counts`` has the number of pieces of each length. Returns rows
-    (length, rank_from, rank_to, first_sequence, pieces_per_sequence, offset): the pieces with these ranks fill
-    consecutive sequences, so many to each, from that offset on."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, sequences)
-    rows, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left, gap = 0, counts[length], length
-        while left:
-            while gap <= max_len and not gaps.get(gap):
-                gap += 1  # the successor: the smallest gap that fits
-            if gap > max_len:
-                per = max_len // length
-                gap, need = max_len, -(-left // per)
-                gaps.setdefault(gap, []).append((opened, need))
-                opened += need
-            first, number = gaps[gap].pop()
-            per = gap // length
-            full = min(number, left // per)
-            if full:
-                rows.append((length, rank, rank + full * per, first, per, max_len - gap))
-                gaps.setdefault(gap - full_used(per, length), []).append((first, full))
-                rank, left = rank + full * per, left - full * per
-                first, number = first + full, number - full
-            if number and left and left < per:
-                rows.append((length, rank, rank + left, first, per, max_len - gap))
-                gaps.setdefault(gap - left * length, []).append((first, 1))
-                rank, left = rank + left, 0
-                first, number = first + 1, number - 1
-            if number:
-                gaps[gap].append((first, number))
-    return rows
-
-
-def full_used(per: int, length: int) -> int:
-    return per * length
-
-
-def _part(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(RANK_PARTS)).cast("int")
-
-
-def pack(pieces: DataFrame, key: tuple[str, ...] = ("doc_id", "piece"), max_len: int = MAX_LEN) -> DataFrame:
-    """Add sequence_id and offset to pieces that have a ``length`` from 1 to ``max_len``. ``pieces`` should be
-    cheap to read twice."""
-    spark = pieces.sparkSession
-    parted = pieces.withColumn("_part", _part(*key))
-    runs = cut(parted.groupBy("length", "_part").agg(F.count("*").alias("n")))  # at most max_len x RANK_PARTS rows
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    counts = {r.length: r.n for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        plan_rounds(counts, max_len),
-        "length long, rank_from long, rank_to long, first_sequence long, per_sequence long, first_offset long",
-    )
-    order = Window.partitionBy("length", "_part").orderBy(*key, *[c for c in ("start", "ids_crc32") if c in pieces.columns])
-    ranked = parted.withColumn("_in_part", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["length", "_part"]).withColumn("_rank", F.col("_in_part") + F.col("_before"))
-    # the plan has a few rows for each of at most max_len lengths: bounded by the sequence length, not by the data
-    placed = ranked.alias("r").join(
-        F.broadcast(plan.withColumnRenamed("length", "plan_length")),
-        (F.col("length") == F.col("plan_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to")),
-    )
-    nth = F.col("_rank") - F.col("rank_from")
-    return placed.select(
-        *pieces.columns,
-        (F.col("first_sequence") + F.floor(nth / F.col("per_sequence"))).cast("long").alias("sequence_id"),
-        (F.col("first_offset") + F.pmod(nth, F.col("per_sequence")) * F.col("length")).cast("long").alias("offset"),
+def _classes(items: DataFrame, max_len: int, open_share: float) -> DataFrame:
+    """One row for each kind (0 gaps, 1 pieces) and size: n, parts, the stack's ``height`` before its first item, and
+    of pieces how many open a sequence. At most ``2 * max_len`` rows, so they are ordered in one task."""
+    counts = cut(items.groupBy("size", "kind").agg(F.count("*").alias("n")))
+    order = Window.orderBy(F.desc("size"), "kind")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    net = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(upto)
+    counts = counts.withColumn("net", net).withColumn("low", F.least(F.lit(0), F.min("net").over(upto)))
+    before = F.coalesce(F.lag("net").over(order), F.lit(0)) - F.coalesce(F.lag("low").over(order), F.lit(0))
+    counts = counts.withColumn("height", before)
+    left = F.when(F.col("kind") == 1, F.greatest(F.lit(0), F.col("n") - F.col("height"))).otherwise(F.lit(0))
+    whole = Window.partitionBy(F.lit(0))
+    counts = counts.withColumn("left", left).withColumn("need", F.ceil(F.sum(F.col("left") * F.col("size")).over(whole) * open_share / max_len))
+    larger = F.coalesce(F.sum("left").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opens = F.greatest(F.lit(0), F.least(F.col("left"), F.col("need") - larger))
+    least = F.min(F.when(F.col("kind") == 1, F.col("size"))).over(whole)
+    counts = counts.withColumn("opens", opens).withColumn("least", least)
+    return cut(counts.select("size", "kind", "n", "height", "opens", "least", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
+
+
+def _round(items: DataFrame, max_len: int, open_share: float) -> DataFrame:
+    """The items with what becomes of them: ``state`` placed (with sequence_id and offset), opens, stays, or gap (with
+    its new ``size``)."""
+    known = _classes(items, max_len, open_share)
+    parted = items.join(F.broadcast(known.drop("n")), ["size", "kind"]).filter("kind = 1 or size >= least")
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("uid", F.lit("rank")), F.col("parts")).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("size", "kind", "part").orderBy("uid")) - 1
+    if known.filter("parts > 1").limit(1).count():
+        numbers = parted.filter("parts > 1").groupBy("size", "kind", "part").agg(F.count("*").alias("m"))
+        before = F.sum("m").over(Window.partitionBy("size", "kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        parted = parted.join(F.broadcast(numbers.select("size", "kind", "part", F.coalesce(before, F.lit(0)).alias("before"))), ["size", "kind", "part"], "left")
+        rank = rank + F.coalesce("before", F.lit(0))
+    ranked = parted.withColumn("rank", rank)
+    is_gap = F.col("kind") == 0
+    served = is_gap | (F.col("rank") < F.col("height"))
+    level = F.when(is_gap, F.col("height") + F.col("rank")).when(served, F.col("height") - 1 - F.col("rank"))
+    # items without a level are dealt out by a key of their own
+    ranked = ranked.withColumn("level", F.coalesce(level, -1 - F.col("uid")))
+    sweep = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    seen = {name: F.lag(name).over(sweep) for name in ("uid", "size")}
+    swept = ranked.withColumns({"gap_uid": seen["uid"], "gap_size": seen["size"], "next_kind": F.lead("kind").over(sweep), "next_size": F.lead("size").over(sweep)})
+    opens = ~is_gap & ~served & (F.col("rank") - F.col("height") < F.col("opens"))
+    state = F.when(is_gap, F.lit("gap")).when(served, F.lit("placed")).when(opens, F.lit("opens")).otherwise(F.lit("stays"))
+    size = F.when(is_gap & (F.col("next_kind") == 1), F.col("size") - F.col("next_size")).otherwise(F.col("size"))
+    return swept.select(
+        "kind", "uid", "row", state.alias("state"), size.alias("size"),
+        F.when(served & ~is_gap, F.col("gap_uid")).when(opens, F.col("uid")).alias("sequence_id"),
+        F.when(served & ~is_gap, max_len - F.col("gap_size")).when(opens, F.lit(0)).cast("long").alias("offset"),
     )
 
 
+def pack(pieces: DataFrame, max_len: int = MAX_LEN, open_share: float = OPEN_SHARE) -> DataFrame:
+    """Add sequence_id and offset to pieces that have a ``length`` from 1 to ``max_len``."""
+    columns = pieces.columns
+    row = F.struct(*[F.col(quote(c)) for c in columns]).alias("row")
+    own = cut_table(pieces.select(F.monotonically_increasing_id().alias("uid"), F.col("length").alias("size"), row))
+    start = own.filter(F.col("size") > max_len // 2).select("row", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = [start]
+    gap_of = lambda df, size: df.select(F.lit(0).alias("kind"), "uid", F.lit(None).cast(own.schema["row"].dataType).alias("row"), size.alias("size"))
+    piece = lambda df: df.select(F.lit(1).alias("kind"), "uid", "row", "size")
+    items = gap_of(own.filter((F.col("size") > max_len // 2) & (F.col("size") < max_len)), max_len - F.col("size"))
+    items = items.unionByName(piece(own.filter(F.col("size") <= max_len // 2)))
+    while items.filter("kind = 1").limit(1).count():
+        done = cut_table(_round(items, max_len, open_share))
+        placed.append(done.filter("state in ('placed', 'opens')").select("row", "sequence_id", "offset"))
+        items = piece(done.filter("state = 'stays'")).unionByName(gap_of(done.filter("state = 'gap' and size > 0"), F.col("size")))
+        items = items.unionByName(gap_of(done.filter("state = 'opens'"), max_len - F.col("size")))
+    return reduce(DataFrame.unionByName, placed).select("row.*", "sequence_id", "offset")
+
+
 def pack_documents(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     """Tokenise, cut and pack whole documents."""
-    return pack(cut(token_pieces(docs, max_len=max_len)), max_len=max_len)
+    return pack(token_pieces(docs, max_len=max_len), max_len=max_len)
