@@ -330,9 +330,8 @@ def test_deduplicate_keeps_columns_and_characters(spark):
 def test_segments_are_maximal():
     rng = random.Random(7)
     for _ in range(300):
-        n = rng.randint(1, 25)
-        weights = {i: rng.uniform(0.3, 2) for i in range(n) if rng.random() < 0.4}
-        scores = [weights.get(i, -0.7) for i in range(n)]
+        n = rng.randint(0, 25)
+        scores = [rng.uniform(0.3, 2) if rng.random() < 0.4 else rng.uniform(-1.5, 0) for _ in range(n)]
 
         def maximal(a, b):
             if a >= b:
@@ -344,20 +343,66 @@ def test_segments_are_maximal():
             j = i - best[1]
             return maximal(a, i) + [(i, j, best[0])] + maximal(j, b)
 
-        got = toxicity.segments(sorted(weights.items()), -0.7)
+        got = toxicity.segments(np.array(scores))
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in maximal(0, n)]
 
 
+def test_segments_of_a_long_text_are_linear():
+    import time
+
+    falling = np.tile([1.0, -2.0], 500_000)
+    began = time.time()
+    assert len(toxicity.segments(falling)) == 500_000 and time.time() - began < 20
+
+
+def test_log_odds_equal_brute_force():
+    rng = random.Random(1)
+    clean, toxic = [rng.randint(0, 40) for _ in range(50)], [rng.randint(0, 9) for _ in range(50)]
+    clean[0] = toxic[0] = 0
+    got = toxicity.log_odds(np.array(clean, dtype=float), np.array(toxic, dtype=float))
+    n0, n1, total = sum(clean), sum(toxic), 0.1 * (sum(clean) + sum(toxic))
+    for y0, y1, value in zip(clean, toxic, got, strict=True):
+        if not y0 + y1:
+            assert value == 0
+            continue
+        a = 0.1 * (y0 + y1)
+        delta = np.log((y1 + a) / (n1 + total - y1 - a)) - np.log((y0 + a) / (n0 + total - y0 - a))
+        z2 = delta**2 / (1 / (y1 + a) + 1 / (y0 + a))
+        assert value == pytest.approx(delta * z2 / (z2 + 9))
+
+
+def test_maxima_are_fitted():
+    rng = np.random.default_rng(3)
+    words = rng.integers(20, 3000, 20_000).astype(float)
+    best = (np.log(0.04 * words) - np.log(-np.log(rng.random(len(words))))) / 0.7
+    lam, k = toxicity.fit_maxima(words, best)
+    assert lam == pytest.approx(0.7, rel=0.03) and k == pytest.approx(0.04, rel=0.1)
+
+
 def test_toxic_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
+    assert (model["table"] != 0).sum() > 1000
     rows = toxicity.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).join(labels, "doc_id").filter(common.held_out(F.col("doc_id"))).collect()
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit / sum(r.predicted for r in rows) > 0.75 and hit / sum(r.toxic for r in rows) > 0.75
-    odd = toxicity.score(frame(spark, ODD, extra=True), model, with_passages=True).collect()
-    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    assert len({round(r.score, 9) for r in rows}) > 100
+    odd = toxicity.score(frame(spark, [*ODD, "word " * 200_000], extra=True), model, with_passages=True).collect()
+    assert len(odd) == len(ODD) + 1 and all(0 <= r.score <= 1 for r in odd)
+    # the score again, step by step
+    some = docs.limit(40).collect()
+    got = {r.doc_id: r for r in toxicity.score(docs.limit(40), model, with_passages=True).collect()}
+    for d in some:
+        tokens = (d.text or "").split()
+        own = [float(model["table"][toxicity.bucket(t)]) - model["drift"] if toxicity.normal(t) else -model["drift"] for t in tokens]
+        values = [model["k"] * len(tokens) * np.exp(-model["lambda"] * s) for _, _, s in toxicity.segments(np.array(own))]
+        held = [np.log10(0.05 / e) for e in values if e <= 0.05]
+        x = min(12.0, sum(held)) if held else max([-6.0, *(np.log10(0.05 / e) for e in values)])
+        assert got[d.doc_id].score == pytest.approx(1 / (1 + np.exp(-(model["curve"][0] + model["curve"][1] * x))))
+        assert got[d.doc_id].n_passages == len(held) == len(got[d.doc_id].passages)
     none = toxicity.train(docs.limit(0), labels)
     assert toxicity.score(frame(spark, ["idiot"]), none).first().score == 0
+    assert toxicity.score(frame(spark, []), model).count() == 0
 
 
 # ---- op8

@@ -149,7 +149,7 @@ def token_pieces(
 def _classes(items: DataFrame, max_len: int, open_share: float) -> DataFrame:
     """One row for each kind (0 gaps, 1 pieces) and size: n, parts, the stack's ``height`` before its first item, and
     of pieces how many open a sequence. At most ``2 * max_len`` rows, so they are ordered in one task."""
-    counts = cut(items.groupBy("size", "kind").agg(F.count("*").alias("n")))
+    counts = items.groupBy("size", "kind").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.desc("size"), "kind")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     net = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(upto)
