@@ -29,3 +29,41 @@ def test_plain_paragraphs_stay_to_the_last():
     for n in (14, 40, 120):
         text = " ".join(["word"] * n)
         assert pages.main_text(f"<div class='x'><p>{text}</p><p>{text}</p></div>", TREE) == f"{text}\n\n{text}"
+
+
+def test_a_page_without_names():
+    page = f"<div><div><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div><div><h2>Title here</h2><p>{PARA}</p><p>Short.</p><p>{PARA}</p></div><div>Copyright 2024 us</div></div>"
+    assert pages.main_text(page, TREE) == f"Title here\n\n{PARA}\n\nShort.\n\n{PARA}"
+
+
+def test_short_blocks_after_links_stay():
+    got = pages.main_text(f"<nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></nav><article><h1>A short title</h1><p>{PARA}</p></article>", TREE)
+    assert got == f"A short title\n\n{PARA}"
+    got = pages.main_text(f"<article><p>{PARA}</p><p><a href=x>linked words only</a></p><p>Short one.</p><p>{PARA}</p></article>", TREE)
+    assert got == f"{PARA}\n\nlinked words only\n\nShort one.\n\n{PARA}"
+    for tag in ("article", "div"):
+        got = pages.main_text(f"<{tag}><h1>T</h1><p>{PARA}</p><p>{PARA}</p></{tag}><div><p>All rights reserved by the company 2024</p></div>", TREE)
+        assert got == f"T\n\n{PARA}\n\n{PARA}"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<!" * 20_000 + '<div a="' * 20_000, "<div>" * 100_000 + "</p>" * 100_000, "<script>" * 100_000, "<!--" * 100_000, '<div a="' * 100_000 + ">", "<p>x" * 100_000, "<a x='" * 100_000 + '">' * 1000])
+def test_broken_pages_are_read_in_linear_time(page):
+    import time
+
+    began = time.time()
+    pages.main_text(page, TREE)
+    assert time.time() - began < 8
+
+
+def test_the_table_needs_text_and_links():
+    rows, labels = pages.labelled()
+    wrong = lambda tree: sum((tree(tuple(r)) >= 0.5) != y for r, y in zip(rows, labels, strict=True))
+    assert wrong(TREE) == 0
+    assert wrong(pages.train(("furniture", "article", "heading"))) > 30
+    assert wrong(pages.train(tuple(f for f in pages.FEATURES if f not in ("furniture", "article")))) < 15
+
+
+def test_empty_table_and_other_columns(spark):
+    df = spark.createDataFrame([(1, "u", f"<article><p>{PARA}</p></article>", "x", "y")], "page_id long, url string, html string, text string, `a.b` string")
+    assert [r.text for r in pages.extract(df).collect()] == [PARA]
+    assert pages.extract(df.limit(0)).count() == 0

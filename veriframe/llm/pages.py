@@ -1,12 +1,15 @@
 """Main text of web pages.
 
-A page is read as a flat list of text blocks. Each block has its word count and link density, those of its
-neighbours, and whether it stands in page furniture, in the article, or in a heading. A decision tree (Gini splits)
-is trained on the small labelled table below and says which blocks are main text.
+A page is read as a flat list of text blocks in one pass. Each block has its word count and link density, those of
+its neighbours before and after it, and those of its neighbours in the same container and in the one around; weaker
+features say whether it is a heading and whether tags or class names speak of page furniture or of an article. A
+decision tree (Gini splits) is trained on the blocks of the small labelled example pages below and says which blocks
+are main text.
 
 Defined cases: a null or empty page, or one without main text, gives the empty string; unclosed tags, stray end
 tags and broken markup are read on; scripts, styles, comments, forms and hidden elements never give text; pages
-are read whole; repeated rows are treated alike; other columns are ignored.
+are read whole, in time in proportion to their length; repeated rows are treated alike; other columns are ignored,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,14 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|option|button|title|svg|math|iframe|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z][^>]*>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page.
+_RAW = frozenset("script style noscript template textarea select option button title svg math iframe object canvas".split())
+_OPEN = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Elements inside a line of text; all others end a block, but for line breaks, which are white space.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,52 +41,106 @@ _ARTICLE_WORDS = frozenset("article article-body main main-content post post-con
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "furniture", "article", "heading")
-#: The labelled table: blocks of example pages with FEATURES in order, then 1 for main text.
-LABELLED = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (4, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 4, 1.0, 60, 0.0, 0, 0, 0, 0), (12, 0.8, 5, 1.0, 7, 1.0, 1, 0, 0, 0),
-    (9, 0.0, 1, 1.0, 11, 0.0, 1, 0, 0, 0), (14, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0), (35, 0.0, 2, 1.0, 10, 0.0, 1, 0, 0, 0),
-    (80, 0.05, 12, 0.0, 70, 0.0, 1, 0, 0, 0), (25, 0.1, 60, 0.0, 0, 0.0, 1, 0, 0, 0), (8, 0.0, 45, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (16, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0), (6, 0.5, 30, 0.0, 0, 0.0, 1, 0, 0, 0), (20, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0, 0),
-    (7, 0.0, 20, 0.0, 41, 0.0, 1, 1, 0, 0), (45, 0.0, 60, 0.0, 12, 0.0, 1, 1, 0, 0), (5, 0.6, 40, 0.0, 33, 0.0, 1, 1, 0, 0),
-    (3, 0.0, 22, 0.0, 48, 0.0, 1, 1, 1, 0), (2, 0.0, 10, 0.0, 15, 0.0, 1, 0, 1, 0), (4, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0),
-    (10, 0.0, 9, 0.0, 40, 0.0, 0, 1, 1, 1), (4, 0.0, 60, 0.0, 55, 0.0, 0, 1, 1, 1), (12, 0.0, 14, 0.0, 12, 0.0, 0, 1, 1, 1),
-    (40, 0.0, 10, 0.0, 52, 0.0, 0, 1, 0, 1), (90, 0.0, 40, 0.0, 3, 0.0, 0, 1, 0, 1), (1, 0.0, 90, 0.0, 60, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 4, 0.0, 1, 0.0, 0, 1, 0, 1), (6, 0.0, 30, 0.0, 9, 0.0, 0, 1, 0, 1), (150, 0.02, 60, 0.0, 30, 0.0, 0, 1, 0, 1),
-    (30, 0.2, 60, 0.0, 45, 0.0, 0, 1, 0, 1), (22, 0.0, 18, 0.0, 16, 0.0, 0, 1, 0, 1), (11, 0.0, 75, 0.0, 16, 0.0, 0, 1, 0, 1),
-    (8, 0.3, 50, 0.0, 35, 0.0, 0, 1, 0, 1), (3, 1.0, 50, 0.0, 35, 0.0, 0, 1, 0, 1), (5, 1.0, 20, 0.0, 25, 0.0, 0, 1, 0, 1),
-    (38, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (25, 0.0, 1, 0.0, 70, 0.0, 0, 1, 0, 1), (55, 0.0, 80, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (7, 0.0, 1, 0.0, 2, 0.0, 0, 1, 0, 1), (3, 0.0, 140, 0.0, 200, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (16, 0.0, 33, 0.0, 14, 0.0, 0, 1, 0, 1), (9, 0.0, 24, 0.0, 12, 0.0, 0, 1, 0, 1), (250, 0.0, 12, 0.0, 8, 0.0, 0, 1, 0, 1),
-    (5, 0.0, 9, 0.0, 110, 0.0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (70, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 7, 0.0, 15, 0.0, 0, 1, 1, 1), (14, 0.0, 2, 1.0, 1, 0.0, 0, 1, 1, 1), (6, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1),
-    (20, 0.5, 14, 0.0, 11, 0.0, 0, 1, 0, 1), (4, 1.0, 4, 1.0, 4, 1.0, 0, 1, 0, 0), (13, 0.0, 5, 1.0, 6, 1.0, 0, 1, 0, 1),
-    (42, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 0), (160, 0.0, 70, 0.0, 90, 0.0, 1, 0, 0, 0), (65, 0.0, 30, 0.0, 20, 0.0, 1, 0, 0, 0),
-    (110, 0.0, 50, 0.0, 80, 0.0, 1, 1, 0, 0), (30, 0.0, 90, 0.0, 0, 0.0, 1, 1, 0, 0), (6, 0.0, 6, 0.0, 6, 0.0, 1, 1, 0, 0),
-    (60, 0.0, 8, 0.0, 44, 0.0, 0, 0, 0, 1), (35, 0.05, 60, 0.0, 28, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1),
-    (120, 0.01, 2, 1.0, 90, 0.0, 0, 0, 0, 1), (9, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 1), (5, 0.0, 45, 0.0, 66, 0.0, 0, 0, 1, 1),
-    (2, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (5, 0.4, 3, 1.0, 6, 0.5, 0, 0, 0, 0), (9, 0.6, 40, 0.0, 8, 0.7, 0, 0, 0, 0), (15, 0.9, 12, 0.8, 9, 1.0, 0, 0, 0, 0),
-    # lists of links in articles
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 5, 1.0, 0, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 0, 1, 0, 0),
-    (9, 1.0, 8, 1.0, 6, 1.0, 0, 1, 0, 0), (12, 0.9, 9, 1.0, 11, 0.9, 0, 1, 0, 0), (5, 1.0, 6, 1.0, 40, 0.0, 0, 1, 0, 0),
-    (7, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0, 0), (4, 1.0, 3, 1.0, 0, 0.0, 0, 1, 0, 0),
-    # prose beside them
-    (25, 0.0, 30, 0.0, 3, 1.0, 0, 1, 0, 1), (50, 0.0, 40, 0.0, 5, 1.0, 0, 1, 0, 1), (30, 0.0, 4, 1.0, 20, 0.0, 0, 1, 0, 1), (15, 0.1, 6, 1.0, 45, 0.0, 0, 1, 0, 1),
-    (40, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (25, 0.0, 30, 0.0, 4, 1.0, 0, 0, 0, 1), (90, 0.0, 50, 0.0, 10, 0.0, 0, 0, 0, 1), (14, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (60, 0.0, 1, 1.0, 3, 1.0, 0, 1, 0, 1), (45, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0, 1), (20, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1),
-    # long text without links under furniture names
-    (180, 0.0, 150, 0.0, 170, 0.0, 1, 0, 0, 1), (220, 0.02, 190, 0.0, 240, 0.0, 1, 0, 0, 1), (300, 0.0, 2, 1.0, 210, 0.0, 1, 0, 0, 1),
-    (260, 0.0, 200, 0.0, 3, 1.0, 1, 0, 0, 1), (400, 0.01, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (190, 0.0, 260, 0.0, 230, 0.0, 1, 1, 0, 1),
-    (200, 0.6, 190, 0.5, 210, 0.7, 1, 0, 0, 0), (240, 0.8, 3, 1.0, 200, 0.9, 1, 0, 0, 0),
+FEATURES = (
+    "words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "container_words", "container_link_density",
+    "container_share", "outer_words", "outer_link_density", "furniture", "article", "heading",
+)
+#: The labelled table: blocks of example pages as (containers, tag, words, linked words, 1 for main text). Blocks that
+#: follow each other with the same containers are in the same ones; a mark (') makes another container.
+EXAMPLES = (
+    # a news page
+    (("nav/ul", "li", 1, 1, 0), ("nav/ul", "li", 1, 1, 0), ("nav/ul", "li", 2, 2, 0), ("nav/ul", "li", 1, 1, 0), ("div.ad", "", 9, 0, 0),
+     ("article", "h1", 8, 0, 1), ("article", "p", 40, 0, 1), ("article", "p", 90, 0, 1), ("article", "p", 1, 0, 1), ("article", "p", 60, 0, 1),
+     ("article", "p", 2, 0, 1), ("article", "p", 150, 3, 1), ("article", "p", 30, 12, 1), ("footer", "", 12, 0, 0)),
+    # the same without names
+    (("div/ul", "li", 2, 2, 0), ("div/ul", "li", 1, 1, 0), ("div/ul", "li", 3, 3, 0), ("div/ul", "li", 2, 2, 0), ("div", "h1", 6, 0, 1), ("div", "p", 70, 0, 1),
+     ("div", "p", 45, 2, 1), ("div", "p", 4, 0, 1), ("div", "p", 120, 0, 1), ("div", "p", 15, 0, 1), ("div'", "p", 7, 0, 0)),
+    (("div", "p", 2, 2, 0), ("div", "p", 3, 3, 0), ("div'", "h1", 9, 0, 1), ("div'", "p", 200, 0, 1), ("div'", "p", 130, 0, 1), ("div'", "p", 6, 0, 1), ("div'", "p", 60, 4, 1),
+     ("div", "p", 8, 0, 0), ("div'", "p", 14, 2, 0)),
+    # linked and short paragraphs, and a list of links, inside an article
+    (("nav", "", 3, 3, 0), ("article", "h1", 5, 0, 1), ("article", "p", 50, 0, 1), ("article", "p", 4, 4, 1), ("article", "p", 2, 0, 1), ("article", "p", 80, 0, 1),
+     ("article/ul", "li", 3, 3, 0), ("article/ul", "li", 2, 2, 0), ("article/ul", "li", 5, 5, 0), ("article/ul", "li", 4, 4, 0), ("article", "p", 30, 0, 1)),
+    (("article", "p", 45, 0, 1), ("article", "p", 25, 0, 1), ("article/ul", "li", 3, 3, 0), ("article/ul", "li", 3, 3, 0), ("article/ul", "li", 9, 9, 0), ("article/ul", "li", 3, 3, 0)),
+    (("article", "p", 60, 0, 1), ("article", "p", 3, 3, 1), ("article", "p", 2, 0, 1), ("article", "p", 75, 0, 1)),
+    (("article", "p", 9, 0, 1), ("article", "p", 3, 3, 1), ("article", "p", 2, 0, 1), ("article", "p", 12, 0, 1)),
+    # titles in headers, asides and comments
+    (("header", "p", 3, 3, 0), ("article/header", "h1", 7, 0, 1), ("article/header", "p", 12, 0, 1), ("article", "p", 60, 0, 1), ("article", "p", 85, 0, 1),
+     ("article/aside", "p", 25, 0, 0), ("article", "p", 33, 0, 1), ("article/aside", "p", 40, 0, 0), ("article", "p", 28, 0, 1),
+     ("article/div.comments", "p", 20, 0, 0), ("article/div.comments", "p", 44, 0, 0), ("article/div.comments", "p", 9, 0, 0), ("footer", "p", 16, 0, 0)),
+    (("article", "p", 100, 0, 1), ("article", "p", 130, 0, 1), ("article", "p", 90, 0, 1), ("section.comments", "p", 120, 0, 0), ("section.comments", "p", 200, 0, 0), ("section.comments", "p", 80, 0, 0)),
+    (("main", "h1", 4, 0, 1), ("main", "p", 35, 0, 1), ("main", "p", 55, 0, 1), ("div.comments", "p", 30, 0, 0), ("div.comments", "p", 90, 0, 0), ("div.comments", "p", 140, 0, 0), ("div.comments", "p", 60, 0, 0)),
+    # furniture names around the only text of a page
+    (("div.banner", "p", 220, 0, 1), ("div.banner", "p", 240, 0, 1), ("div.banner", "p", 190, 4, 1)),
+    (("div.nav/ul", "li", 2, 2, 0), ("div.nav/ul", "li", 2, 2, 0), ("div.sidebar", "p", 180, 0, 1), ("div.sidebar", "p", 250, 0, 1), ("div.sidebar", "p", 90, 0, 1), ("div.sidebar", "p", 4, 0, 1)),
+    (("div.sidebar", "p", 25, 0, 0), ("footer", "p", 25, 0, 0)),
+    (("div.banner", "p", 150, 0, 1), ("div.banner", "p", 130, 0, 1)), (("div.menu", "p", 90, 0, 1), ("div.menu", "p", 140, 0, 1), ("div.menu", "p", 60, 0, 1)),
+    (("div.banner", "p", 40, 0, 0), ("div.banner", "p", 12, 0, 0)),
+    (("div.ad", "p", 30, 0, 0),),
+    # notices, lists of text, forms
+    (("div.cookie", "p", 30, 0, 0), ("div.cookie", "p", 2, 2, 0), ("main", "h1", 6, 0, 1), ("main", "p", 70, 0, 1), ("main", "p", 44, 0, 1), ("main/ul", "li", 9, 0, 1), ("main/ul", "li", 14, 1, 1),
+     ("main/ul", "li", 7, 0, 1), ("main", "h2", 3, 0, 1), ("main", "p", 40, 0, 1), ("form", "p", 8, 0, 0)),
+    (("div.notice", "p", 18, 0, 0), ("article", "h1", 5, 0, 1), ("article", "p", 22, 0, 1), ("article", "p", 11, 0, 1), ("article/div.notice", "p", 24, 0, 0), ("article", "p", 18, 0, 1)),
+    # teasers around prose
+    (("div", "p", 12, 12, 0), ("div", "p", 15, 13, 0), ("div", "p", 9, 9, 0), ("div'", "p", 60, 0, 1), ("div'", "p", 90, 0, 1), ("div'", "p", 70, 10, 1), ("div", "p", 18, 16, 0), ("div", "p", 20, 18, 0)),
+    (("article", "p", 60, 0, 1), ("article", "p", 75, 0, 1), ("article/div.related", "p", 10, 10, 0), ("article/div.related", "p", 12, 11, 0), ("article", "p", 25, 0, 1)),
+    # sections and tables
+    (("article/section", "h2", 2, 0, 1), ("article/section", "p", 50, 0, 1), ("article/section'", "h2", 4, 0, 1), ("article/section'", "p", 80, 0, 1), ("article/section'", "p", 12, 0, 1), ("article/section", "h2", 3, 0, 1), ("article/section", "p", 20, 0, 1)),
+    (("table/tr/td", "p", 2, 2, 0), ("table/tr/td", "p", 3, 3, 0), ("table/tr/td'", "p", 90, 0, 1), ("table/tr/td'", "p", 60, 0, 1), ("table/tr/td'", "p", 3, 0, 1), ("table/tr/td", "p", 10, 10, 0)),
+    # short articles
+    (("nav/ul", "li", 1, 1, 0), ("nav/ul", "li", 1, 1, 0), ("article", "h1", 3, 0, 1), ("article", "p", 12, 0, 1), ("footer", "", 9, 0, 0)),
+    (("nav/ul", "li", 1, 1, 0), ("div.ad", "", 11, 0, 0), ("article", "h1", 1, 0, 1), ("article", "p", 1, 0, 1), ("footer", "", 14, 0, 0)),
+    (("div.ad", "", 7, 0, 0), ("article", "h1", 2, 0, 1), ("article", "p", 2, 0, 1), ("article", "p", 5, 0, 1), ("div.ad", "", 10, 0, 0), ("footer", "", 7, 0, 0)),
+    (("article", "p", 1, 0, 1),),
+    (("div", "p", 14, 0, 1), ("div", "p", 14, 0, 1)), (("div", "p", 40, 0, 1), ("div", "p", 40, 0, 1)), (("div", "p", 120, 0, 1), ("div", "p", 120, 0, 1)),
+    (("", "h1", 4, 0, 1), ("", "p", 60, 0, 1), ("", "p", 80, 0, 1), ("", "p", 3, 0, 1), ("", "p", 20, 0, 1)),
+    # small containers beside short texts
+    (("div", "h1", 2, 0, 1), ("div", "p", 25, 0, 1), ("div", "p", 25, 0, 1), ("div'", "p", 7, 0, 0)),
+    (("article", "h1", 1, 0, 1), ("article", "p", 24, 0, 1), ("article", "p", 22, 0, 1), ("div", "p", 7, 0, 0), ("div'", "p", 12, 0, 0)),
+    (("div/div/ul", "li", 1, 1, 0), ("div/div/ul", "li", 1, 1, 0), ("div/div'", "h2", 2, 0, 1), ("div/div'", "p", 25, 0, 1), ("div/div'", "p", 1, 0, 1), ("div/div'", "p", 25, 0, 1), ("div/div", "", 3, 0, 0)),
+    (("div/div", "p", 50, 0, 1), ("div/div'", "p", 60, 0, 1), ("div/div", "p", 45, 0, 1), ("div/div'", "p", 30, 0, 1)),
+    (("div", "h1", 3, 0, 1), ("div", "p", 14, 0, 1), ("div", "p", 16, 0, 1), ("div'", "p", 4, 0, 0), ("div", "p", 5, 1, 0)),
+    # headings of furniture and of lists
+    (("aside", "h3", 1, 0, 0), ("aside", "p", 12, 0, 0), ("article", "h1", 4, 0, 1), ("article", "p", 40, 0, 1), ("article", "h2", 2, 0, 1), ("article", "p", 35, 0, 1), ("div.sidebar", "h2", 2, 0, 0), ("div.sidebar/ul", "li", 2, 2, 0),
+     ("footer", "h4", 2, 0, 0), ("footer", "p", 6, 0, 0)),
+    (("article", "h2", 3, 0, 1), ("article", "p", 80, 0, 1), ("article/div.related", "h3", 2, 0, 0), ("article/div.related", "p", 5, 5, 0), ("article/div.comments", "h3", 1, 0, 0), ("article/div.comments", "p", 15, 0, 0)),
+    (("div", "h3", 2, 0, 0), ("div", "p", 5, 5, 0), ("div", "p", 6, 6, 0), ("div", "p", 4, 4, 0), ("div'", "h1", 4, 0, 1), ("div'", "p", 60, 0, 1), ("div'", "p", 50, 0, 1), ("div", "h3", 2, 0, 0), ("div", "p", 7, 7, 0)),
+    (("article", "p", 23, 0, 1),), (("article", "p", 25, 0, 1),), (("article", "h1", 2, 0, 1), ("article", "p", 24, 0, 1)), (("div", "p", 24, 0, 1),), (("main", "p", 22, 0, 1), ("footer", "p", 9, 0, 0)),
+    # pages of links
+    (("div.content/ul", "li", 5, 5, 0), ("div.content/ul", "li", 4, 4, 0), ("div.content/ul", "li", 6, 6, 0), ("div.content/ul", "li", 5, 5, 0)),
+    (("article", "p", 4, 4, 0), ("article", "p", 5, 5, 0), ("article", "p", 3, 3, 0)),
+    (("div", "p", 2, 2, 0), ("div", "p", 3, 2, 0), ("div", "p", 6, 6, 0), ("div'", "p", 4, 4, 0)),
 )
 
 
+def example_page(rows: tuple) -> str:
+    """The HTML of an example page."""
+    out, open_ = [], []
+    for path, tag, words, linked, _ in rows:
+        names = [n for n in path.split("/") if n]
+        same = 0
+        while same < min(len(names), len(open_)) and names[same] == open_[same]:
+            same += 1
+        for name in reversed(open_[same:]):
+            out.append(f"</{name.rstrip(chr(39)).split('.')[0]}>")
+        for name in names[same:]:
+            kind, _, cls = name.rstrip("'").partition(".")
+            out.append(f'<{kind} class="{cls}">' if cls else f"<{kind}>")
+        open_ = names
+        text = (f"<a href=x>{'w ' * linked}</a>" if linked else "") + "w " * (words - linked)
+        out.append(f"<{tag}>{text}</{tag}>" if tag else text)
+    return "".join(out) + "".join(f"</{name.rstrip(chr(39)).split('.')[0]}>" for name in reversed(open_))
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the example pages' blocks."""
+    rows = [f for page in EXAMPLES for _, f in features(example_page(page))]
+    return np.array(rows, dtype=float), np.array([r[4] for page in EXAMPLES for r in page], dtype=float)
+
+
 class Tree:
     """A small classification tree."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 8):
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 12):
         self.value = float(labels.mean()) if len(labels) else 0.0
         self.split: tuple[int, float] | None = None
         if depth == 0 or self.value in (0.0, 1.0):
@@ -113,9 +165,11 @@ class Tree:
         return node.value
 
 
-def train(labelled: tuple = LABELLED) -> Tree:
-    table = np.array(labelled, dtype=float)
-    return Tree(table[:, :-1], table[:, -1])
+def train(columns: tuple[str, ...] = FEATURES) -> Tree:
+    """The tree of the labelled table; features that are not among ``columns`` are held at 0."""
+    rows, labels = labelled()
+    rows[:, [k for k, name in enumerate(FEATURES) if name not in columns]] = 0.0
+    return Tree(rows, labels)
 
 
 def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
@@ -132,84 +186,134 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
     return furniture, article, bool(_HIDDEN.search(attrs))
 
 
-def blocks(page: str) -> list[tuple[str, tuple]]:
-    """The page's text blocks in order with (words, link density, furniture, article, heading)."""
-    out: list[tuple[str, tuple]] = []
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, tag, end, attributes): the text before each tag and the tag, empty for what is passed over and at the
+    end. Every search either moves on by what it read or is not repeated."""
+    lower = None
+    at = start = 0
+    last = page.rfind(">")
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last and not page.startswith("<!--", at):
+            break  # no tag ends after this
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield page[start:at], "", False, ""
+            at = start = len(page) if end < 0 else end + 3
+            continue
+        m = _OPEN.match(page, at)
+        if m:
+            tag = m["tag"].lower()
+            yield page[start:at], tag, bool(m["end"]), m["attrs"]
+            at = start = m.end()
+            if tag in _RAW and not m["end"]:
+                if lower is None:
+                    lower = page.lower() if len(page.lower()) == len(page) else page.translate(_ASCII_LOWER)
+                end = lower.find("</" + tag, at)
+                end = len(page) if end < 0 else page.find(">", end)
+                at = start = len(page) if end < 0 or end == len(page) else end + 1
+        elif page[at + 1 : at + 2] in ("!", "?", "/") or page[at + 1 : at + 2].isalpha():
+            # a declaration or broken markup: up to the next end of a tag
+            yield page[start:at], "", False, ""
+            at = start = page.find(">", at) + 1
+        else:
+            at += 1
+    yield page[start:], "", False, ""
+
+
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Elements that hold one block; their neighbours are in the element around.
+_LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd pre figcaption caption".split())
+
+
+def features(page: str) -> list[tuple[str, tuple]]:
+    """The page's text blocks in order with their FEATURES."""
+    found: list[tuple] = []  # text, words, link density, furniture, article, heading, container
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: tag, furniture, article, hidden
+    above = [0]  # the container around each container; 0 is the page
+    sums = [[0, 0]]  # words and linked words in each container
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # open elements: tag, furniture, article, hidden, container
+    opened: dict[str, int] = {}
     link = heading = 0
 
     def flush() -> None:
-        nonlocal heading
         if parts:
             words = html.unescape("".join(parts)).split()
             if words and not (stack and stack[-1][3]):
-                links = len(html.unescape(" ".join(linked)).split())
-                furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((" ".join(words), (len(words), min(1.0, links / len(words)), int(furniture), int(article), int(bool(heading)))))
+                links = min(len(words), len(html.unescape(" ".join(linked)).split()))
+                _, furniture, article, _, at = stack[-1] if stack else ("", False, False, False, 0)
+                if stack and stack[-1][0] in _LEAVES:
+                    at = above[at]
+                sums[at][0] += len(words)
+                sums[at][1] += links
+                found.append((" ".join(words), len(words), links / len(words), int(furniture), int(article), int(bool(heading)), at))
             parts.clear()
             linked.clear()
 
-    def text(piece: str) -> None:
-        if piece:
-            parts.append(piece)
+    def close(n: int) -> None:
+        for tag, *_ in stack[n:]:
+            opened[tag] -= 1
+        del stack[n:]
+
+    for text, tag, end, attrs in tokens(page):
+        if text:
+            parts.append(text)
             if link:
-                linked.append(piece)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+                linked.append(text)
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
-            link = 0 if m["end"] else 1
+            link = 0 if end else 1
         elif tag == "br":
             parts.append(" ")
         elif tag not in _INLINE:
             flush()
             link = 0
             if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-                heading = 0 if m["end"] else 1
+                heading = 0 if end else 1
             elif tag in ("p", "li"):
                 heading = 0
             if tag in _VOID:
                 continue
-            if m["end"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-            else:
-                if tag in ("p", "li", "dt", "dd", "tr", "td", "th") or heading:
-                    # these close of themselves when the next begins
-                    while stack and stack[-1][0] == tag or stack and stack[-1][0] == "p" and tag == "p":
-                        stack.pop()
-                elif stack and stack[-1][0] == "p":
-                    stack.pop()
-                furniture, article, hidden = _marks(tag, m["attrs"])
-                above = stack[-1] if stack else ("", False, False, False)
-                if tag == "header" and above[2]:
-                    furniture = False  # an article's own header holds its title
-                inherited = above[1] and tag not in _ARTICLE_TAGS
-                stack.append((tag, furniture or inherited, article or above[2], hidden or above[3]))
-    text(page[at:])
+            if end:
+                if opened.get(tag):
+                    n = len(stack) - 1
+                    while stack[n][0] != tag:
+                        n -= 1
+                    close(n)
+                continue
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") or heading:
+                # these close of themselves when the next begins
+                while stack and (stack[-1][0] == tag or stack[-1][0] == "p"):
+                    close(len(stack) - 1)
+            elif stack and stack[-1][0] == "p":
+                close(len(stack) - 1)
+            furniture, article, hidden = _marks(tag, attrs)
+            _, was_furniture, was_article, was_hidden, at = stack[-1] if stack else ("", False, False, False, 0)
+            if tag == "header" and was_article:
+                furniture = False  # an article's own header holds its title
+            above.append(at)
+            sums.append([0, 0])
+            opened[tag] = opened.get(tag, 0) + 1
+            stack.append((tag, furniture or was_furniture and tag not in _ARTICLE_TAGS, article or was_article, hidden or was_hidden, len(above) - 1))
     flush()
+    for at in range(len(above) - 1, 0, -1):  # inner containers come later
+        for k in (0, 1):
+            sums[above[at]][k] += sums[at][k]
+    density = lambda at: sums[at][1] / max(1, sums[at][0])
+    out = []
+    none = (None, 0, 0.0)
+    for k, (text, words, links, furniture, article, is_heading, at) in enumerate(found):
+        before = found[k - 1] if k else none
+        after = found[k + 1] if k + 1 < len(found) else none
+        around = above[at]
+        out.append((text, (words, links, before[1], before[2], after[1], after[2], sums[at][0], density(at), sums[at][0] / max(1, sums[0][0]), sums[around][0], density(around), furniture, article, is_heading)))
     return out
 
 
 def main_text(page: str | None, tree: Tree) -> str:
-    found = blocks(page or "")
-    kept = []
-    for k, (text, (words, density, furniture, article, heading)) in enumerate(found):
-        before = found[k - 1][1] if k else (0, 0.0)
-        after = found[k + 1][1] if k + 1 < len(found) else (0, 0.0)
-        if tree((words, density, before[0], before[1], after[0], after[1], furniture, article, heading)) >= 0.5:
-            kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(text for text, row in features(page or "") if tree(row) >= 0.5)
 
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
