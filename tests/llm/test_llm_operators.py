@@ -51,6 +51,26 @@ def test_fingerprints_follow_the_next_document(spark):
         assert r.near_next == pytest.approx(fingerprints.likeness(simhash(a), simhash(b)))
 
 
+def test_votes_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(fingerprints, "CHUNK", 7)
+    rng = random.Random(4)
+    word = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+    spread = lambda x, salt: int(fingerprints._spread(np.array([x], dtype=np.uint64), salt)[0])
+    for _ in range(20):
+        words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 40))]
+        if len(words) > 1:
+            terms = [((spread(word(a), 1) + 3 * spread(word(b), 2)) % 2**64, len(a) + len(b)) for a, b in zip(words, words[1:], strict=False)]
+        else:
+            terms = [(word(w), len(w)) for w in words]
+        bits = [0] * 128
+        for term, weight in terms:
+            raw = spread(term, 3).to_bytes(8, "little") + spread(term, 4).to_bytes(8, "little")
+            for k in range(128):
+                bits[k] += weight if raw[k // 8] >> (7 - k % 8) & 1 else -weight
+        want = bytes(sum((bits[8 * j + k] > 0) << (7 - k) for k in range(8)) for j in range(16))
+        assert fingerprints.Simhasher()(" ".join(words)) == want
+
+
 def test_one_document_and_no_document(spark):
     one = fingerprints.fingerprint_with_edits(frame(spark, ["ab cd"])).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"ab ab").hexdigest()
@@ -508,6 +528,36 @@ def test_components(spark):
 
 # ---- op9
 
+def test_ordinal_loss_and_gradient():
+    rng = np.random.default_rng(5)
+    n, size = 40, 12
+    dense = rng.normal(size=(n, size)) * (rng.random((n, size)) < 0.4)
+    owner, index = np.nonzero(dense)
+    value, y = dense[owner, index], rng.integers(0, 4, n)
+    weights, free = rng.normal(size=size), np.array([-0.5, 0.1, -0.3])
+
+    def brute(w, f):
+        cuts = [f[0], f[0] + np.exp(f[1]), f[0] + np.exp(f[1]) + np.exp(f[2])]
+        total = 0.0
+        for row, grade in zip(dense, y, strict=True):
+            above = [1.0, *(1 / (1 + np.exp(-(row @ w - c))) for c in cuts), 0.0]
+            total -= np.log(above[grade] - above[grade + 1])
+        return total / n + ordinal_quality.RIDGE / 2 * (w @ w)
+
+    got, by_weight, by_free = ordinal_quality.loss(weights, free, index, value, owner, y)
+    assert got == pytest.approx(brute(weights, free))
+    for k in range(size):
+        step = np.eye(size)[k] * 1e-6
+        assert by_weight[k] == pytest.approx((brute(weights + step, free) - brute(weights - step, free)) / 2e-6, abs=1e-6)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert by_free[k] == pytest.approx((brute(weights, free + step) - brute(weights, free - step)) / 2e-6, abs=1e-6)
+
+
+def test_shapes_are_whole():
+    assert ordinal_quality.shape("Aa0-" * 30) == "Aa0-" * 30
+
+
 def test_ordinal_scores_separate(spark, docs, labels):
     ratings = labels.select("doc_id", ordinal_quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     model = ordinal_quality.train(docs, ratings)
@@ -537,6 +587,25 @@ def test_language_held_out_and_mixed(spark, docs):
     assert language.identify(frame(spark, ["abc"]), language.train(docs.limit(0))).first().lang_pred == "und"
 
 
+def test_word_scores_equal_brute_force():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(30)] + ["", "пример", "aпb"]
+    log = np.log(np.random.default_rng(2).random((language.BUCKETS, 3))).astype(np.float32)
+    model = {"langs": ["a", "b", "c"], "log": log, "scripts": {"latin": [0, 1], "cyrillic": [2]}}
+    got = language.word_scores(words, model)
+    for word, row in zip(words, got, strict=True):
+        if not word:
+            assert (row == 0).all()
+            continue
+        grams = language.gram_hashes([word])[0]
+        sums = log[grams].astype(float).sum(axis=0) * min(1.0, 12 / len(grams))
+        if word == "пример":
+            sums[:2] = -1e9
+        elif word != "aпb":  # of two scripts: all three languages stay
+            sums[2] = -1e9
+        assert row == pytest.approx(np.maximum(sums - sums.max(), -language.WORD_LIMIT))
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     from itertools import product

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut
@@ -135,11 +135,11 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
             yield _batch([(last[0], len(last[1]), None, last[2].hex(), *blank, "open", part, last[1])], fields)
 
     made = cut(ordered.mapInArrow(run, f"{_SCHEMA}, kind string, part int, text string"))
-    nth = F.row_number().over(Window.orderBy("part"))  # one head and one open row for each non-empty range
-    heads = made.filter("kind = 'head'").select(nth.alias("n"), F.col("text").alias("next_text"))
-    opens = made.filter("kind = 'open'").select("doc_id", "text", "part")
-    count = F.count("*").over(Window.partitionBy(F.lit(1)))
-    opens = opens.withColumn("n", F.pmod(nth, count) + 1).select("n", "doc_id", "text")
+    # the ranges that hold documents, by number: as many as the exchange has partitions
+    parts = [r.part for r in made.filter("kind = 'head'").select("part").sort("part").collect()]
+    following = made.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")
+    heads = made.filter("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
+    opens = made.filter("kind = 'open'").select("part", "doc_id", "text").join(F.broadcast(following), "part")
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         simhash = Simhasher()
@@ -147,7 +147,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
             rows = [_pair(simhash, i, a, simhash(a), b, simhash(b)) for i, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield _batch(rows, _FIELDS)
 
-    ends = opens.join(heads, "n").select("doc_id", "text", "next_text").mapInArrow(finish, _SCHEMA)
+    ends = opens.join(heads, "next_part").select("doc_id", "text", "next_text").mapInArrow(finish, _SCHEMA)
     return made.filter("kind = 'done'").select(*[n for n, _ in _FIELDS]).unionByName(ends)
 
 

@@ -1,7 +1,7 @@
 """Language identification of whole, possibly mixed texts.
 
 Each word gets a score for every learned language (hashed character n-gram log-likelihoods, smoothed). The
-word's scripts, read off Unicode ranges, narrow the candidates to languages that use that script in training. A
+scripts of the word's letters, read off Unicode ranges, narrow the candidates to languages that use one of them in training. A
 Viterbi pass over the words with a fixed penalty for a switch then labels spans; the text's language is the one
 whose spans hold the most letters.
 
@@ -14,6 +14,7 @@ hash-chosen sample of the labelled rows (``max_train_docs``, an expected number)
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,22 @@ def letters_of(token: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in token.lower()).split())
 
 
-def script_of(word: str) -> str:
-    point = ord(word[0]) if word else 0
+@lru_cache(maxsize=1 << 16)
+def script_of(letter: str) -> str:
+    point = ord(letter)
     for low, high, name in SCRIPT_RANGES:
         if low <= point <= high:
             return name
     return "other"
 
 
+def scripts_of(word: str) -> set[str]:
+    """The scripts of all letters of a normalised word."""
+    if word.isascii():
+        return {"latin"} if word else set()
+    return {script_of(c) for c in word if c != " "}
+
+
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the 1- to 4-grams of all words (edges marked by a space) and each word's first position
     in that array; grams that would cross into the next word are folded onto a word's own unigrams."""
@@ -92,7 +101,8 @@ def train(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
                 own = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 own += np.bincount(gram_hashes(words)[0], minlength=BUCKETS)
                 for w in words:
-                    scripts[lang, script_of(w)] = scripts.get((lang, script_of(w)), 0) + 1
+                    for name in scripts_of(w):
+                        scripts[lang, name] = scripts.get((lang, name), 0) + 1
         rows = [(lang, "", int(b), int(own[b])) for lang, own in sums.items() for b in np.flatnonzero(own)]
         rows += [(lang, s, -1, n) for (lang, s), n in scripts.items()]
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -127,8 +137,10 @@ def word_scores(words: list[str], model: dict) -> np.ndarray:
         lengths = np.diff(np.append(starts, len(grams)))[:, None]
         sums *= np.minimum(1.0, 12.0 / lengths)  # overlapping n-grams repeat each other's evidence
         for row, i in enumerate(full):
-            allowed = model["scripts"].get(script_of(words[i]))
-            if allowed is None:
+            # a word of several scripts may be of any language that uses one of them
+            used = scripts_of(words[i])
+            allowed = model["scripts"].get(next(iter(used))) if len(used) == 1 else sorted({k for name in used for k in model["scripts"].get(name, ())})
+            if not allowed:
                 sums[row] = 0.0
             elif len(allowed) < sums.shape[1]:
                 barred = np.ones(sums.shape[1], dtype=bool)

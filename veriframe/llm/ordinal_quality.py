@@ -4,7 +4,7 @@ A text is a hashed bag of its words, of word shapes (classes of characters, runs
 that repeat their neighbour. One weight vector is shared by all grades; ordered thresholds cut its score, and the
 logistic link gives P(grade >= k). The expected grade and the tail probability select documents.
 
-Ratings: ``grade`` from 0 up. Defined cases: null and empty texts have no features and get the thresholds' own
+Ratings: ``grade`` from 0 up; an empty table gives an empty table. Defined cases: null and empty texts have no features and get the thresholds' own
 probabilities; rows with a null grade are ignored; a document rated twice counts with its lowest grade; with fewer
 than two grades every document is kept with tail probability 1; texts are read whole; repeated rows score alike;
 other columns are ignored. The fit reads a bounded, hash-chosen sample of ratings (``max_train_docs``, an expected
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from veriframe.llm.common import hash_below, held_out
 
 BUCKETS = 1 << 15
+#: The feature beside the hashed ones: words that repeat their neighbour.
+REPEATS = BUCKETS
 MAX_TRAIN_DOCS = 5_000
 STEPS = 150
 RATE = 0.1
@@ -39,7 +41,7 @@ def shape(word: str) -> str:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 class Features:
@@ -63,7 +65,7 @@ class Features:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         both = np.array(list(map(self._of, words)), dtype=np.int64)
         same = int((both[1:, 0] == both[:-1, 0]).sum())
-        ids = np.concatenate([both.ravel(), np.full(same, 7)])
+        ids = np.concatenate([both.ravel(), np.full(same, REPEATS)])
         index, times = np.unique(ids, return_counts=True)
         value = np.log1p(times)
         return index, value / np.sqrt((value**2).sum())
@@ -73,39 +75,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def cuts_of(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from free numbers: the first, and the logarithms of the steps to the next."""
+    return np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
+
+
+def loss(weights: np.ndarray, free: np.ndarray, index: np.ndarray, value: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood with the ridge penalty, and its gradients by weights and by free thresholds. The
+    sparse rows are given as features, values and row numbers."""
+    n, cuts = len(y), cuts_of(free)
+    score = np.bincount(owner, weights=value * weights[index], minlength=n)
+    tail = _sigmoid(score[:, None] - cuts[None, :])  # P(y >= k)
+    edge = np.hstack([np.ones((n, 1)), tail, np.zeros((n, 1))])
+    at = np.arange(n)
+    p = np.maximum(edge[at, y] - edge[at, y + 1], 1e-12)
+    slope = edge * (1 - edge)
+    by_score = -(slope[at, y] - slope[at, y + 1]) / p / n
+    by_cut = np.array([(((y == k + 1) * slope[:, k + 1] - (y == k) * slope[:, k + 1]) / p).sum() / n for k in range(len(cuts))])
+    by_free = np.array([by_cut.sum(), *(by_cut[k + 1 :].sum() * np.exp(free[k + 1]) for k in range(len(cuts) - 1))])
+    by_weight = np.bincount(index, weights=value * by_score[owner], minlength=len(weights)) + RIDGE * weights
+    return float(-np.log(p).mean() + RIDGE / 2 * (weights**2).sum()), by_weight, by_free
+
+
 def fit(rows: list[tuple[list[int], list[float], int]], grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered thresholds by gradient steps on the penalised likelihood."""
-    sizes = np.array([len(r[0]) for r in rows])
     index = np.concatenate([np.asarray(r[0], dtype=np.int64) for r in rows])
     value = np.concatenate([np.asarray(r[1], dtype=float) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows])
-    above = np.array([[float((y >= k).mean())] for k in range(1, grades)]).ravel().clip(1e-3, 1 - 1e-3)
+    above = np.array([float((y >= k).mean()) for k in range(1, grades)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(above / (1 - above))  # P(y >= k) = sigmoid(score - threshold_k)
-    free = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
-    weights = np.zeros(BUCKETS)
-    moments = [np.zeros(BUCKETS + len(free)), np.zeros(BUCKETS + len(free))]
+    size = BUCKETS + 1
+    at = np.concatenate([np.zeros(size), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
+    moments = [np.zeros(len(at)), np.zeros(len(at))]
     for step in range(1, STEPS + 1):
-        gaps = np.exp(free[1:])
-        cuts = np.concatenate([[free[0]], free[0] + np.cumsum(gaps)])
-        score = np.bincount(owner, weights=value * weights[index], minlength=len(rows))
-        tail = _sigmoid(score[:, None] - cuts[None, :])
-        edge = np.hstack([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))])
-        at = np.arange(len(rows))
-        p = np.maximum(edge[at, y] - edge[at, y + 1], 1e-12)
-        slope = edge * (1 - edge)
-        by_score = -(slope[at, y] - slope[at, y + 1]) / p / len(rows)
-        by_cut = np.zeros((len(rows), grades - 1))
-        for k in range(grades - 1):
-            by_cut[:, k] = ((y == k + 1) * slope[:, k + 1] - (y == k) * slope[:, k + 1]) / p / len(rows)
-        g_cut = by_cut.sum(axis=0)
-        g_free = np.concatenate([[g_cut.sum()], [g_cut[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]])
-        g = np.concatenate([np.bincount(index, weights=value * by_score[owner], minlength=BUCKETS) + RIDGE * weights, g_free])
+        g = np.concatenate(loss(at[:size], at[size:], index, value, owner, y)[1:])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
-        move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-        weights, free = weights - move[:BUCKETS], free - move[BUCKETS:]
-    return weights, np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
+        at = at - RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
+    return at[:size], cuts_of(at[size:])
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -130,7 +138,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_train_docs: int = MAX_TRAIN_D
     rows = [(r.index_, r.value, r.grade) for r in joined.mapInArrow(run, "index array<long>, value array<double>, grade int").withColumnRenamed("index", "index_").collect()]
     grades = sorted({r[2] for r in rows})
     if len(grades) < 2:
-        return {"grades": grades, "weights": np.zeros(BUCKETS), "cuts": np.zeros(0)}
+        return {"grades": grades, "weights": np.zeros(BUCKETS + 1), "cuts": np.zeros(0)}
     weights, cuts = fit([(i, v, grades.index(y)) for i, v, y in rows], len(grades))
     return {"grades": grades, "weights": weights, "cuts": cuts}
 

@@ -147,8 +147,8 @@ def _best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[floa
     return best
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> list[list[Condition]]:
-    """The decision list's rejecting rules, in order."""
+def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[list[Condition]]:
+    """The decision list's rejecting rules, in order; ``max_rules`` and ``max_conditions`` bound its size."""
     own = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((1 - F.min("quality")).alias("low"))
     # about max_train_docs ids and labels, so they may be broadcast and the texts stay where they are
@@ -160,12 +160,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     got = rows.agg(*[F.percentile_approx(F.when(F.col("low") == y, F.col(s)), levels, 2000).alias(f"{s}_{y}") for s in SIGNALS for y in (0, 1)]).first()
     cuts = {s: sorted({float(f"{v:.6g}") for y in (0, 1) for v in (got[f"{s}_{y}"] or [])}) for s in SIGNALS}
     rules: list[list[Condition]] = []
-    while len(rules) < MAX_RULES:
+    while len(rules) < max_rules:
         left = rows
         for rule in rules:
             left = left.filter(~_all(rule))
         rule: list[Condition] = []
-        while len(rule) < MAX_CONDITIONS:
+        while len(rule) < max_conditions:
             _, found, precision = _best_condition(left.filter(F.col("grow") & _all(rule)), cuts)
             if found is None:
                 break

@@ -6,9 +6,9 @@ a round, so the transforms are not built over the whole corpus but over the part
 
 Every LENGTH-byte string has one anchor, its leftmost smallest hash of a GRAM-byte piece. Equal strings have equal
 anchors at the same place, so only strings that share an anchor can be equal. Neighbouring strings with one anchor
-form a run; a run is one small row (anchor, hash of the run's bytes, place). Runs are exchanged by anchor once. A run
-with an anchor of its own cannot repeat. Runs of the same bytes are one string of the collection, repeated as a
-whole. Where runs of one anchor differ, one copy of each distinct run's bytes is fetched and the runs of a task are
+form a run; equal runs (by anchor and hash, 128 bits in all) that are read together are one small row with their
+places. Rows are exchanged by anchor once. A run with an anchor of its own cannot repeat. Runs of the same bytes are
+one string of the collection, repeated as a whole. Where runs of one anchor differ, one copy of each distinct run's bytes is fetched and the runs of a task are
 indexed as shards and merged. Runs of an anchor that has very many distinct ones are dealt out by string hash
 instead. Equal runs are never compared pairwise, so nothing depends on how often a passage occurs.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veriframe.llm import bwt
-from veriframe.llm.common import cut_table, few_entries, quote
+from veriframe.llm.common import cut, cut_table, few_entries, quote
 from veriframe.llm.rolling import Hashes, mixed, text_bytes
 
 LENGTH = 200
@@ -96,21 +96,36 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     placed = _placed(docs)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.struct([("uid", pa.int64()), ("first", pa.int32())])
         for batch in batches:
             uid = batch.column(0).to_numpy()
             text, first, n, anchor, whole = runs(*text_bytes(batch.column(1)), length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], names=["uid", "first", "n", "anchor", "whole"])
-
-    found = placed.mapInArrow(find, "uid long, first int, n int, anchor long, whole long")
+            # equal runs are one row: one place, and the further ones as a list
+            order = np.lexsort((whole, anchor))
+            text, first, n, anchor, whole = (x[order] for x in (text, first, n, anchor, whole))
+            new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))) if len(anchor) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.append(new, len(anchor)))
+            further = np.ones(len(anchor), dtype=bool)
+            further[new] = False
+            places = pa.StructArray.from_arrays([pa.array(uid[text[further]]), pa.array(first[further].astype(np.int32))], fields=list(place))
+            offsets = np.append(0, np.cumsum(times - 1)).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(times == 1, False)), places)
+            columns = [uid[text[new]], first[new].astype(np.int32), n[new].astype(np.int32), anchor[new].view(np.int64), whole[new].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), more], names=["uid", "first", "n", "anchor", "whole", "more"])
+
+    found = placed.mapInArrow(find, "uid long, first int, n int, anchor long, whole long, more array<struct<uid: long, first: int>>")
     by_anchor, by_run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
-    found = found.withColumns({"low": F.min("whole").over(by_anchor), "high": F.max("whole").over(by_anchor)})
-    found = found.withColumns({"same": F.count("*").over(by_run), "rn": F.row_number().over(by_run.orderBy("uid", "first"))})
-    differ = (F.col("low") != F.col("high")) & (F.col("rn") == 1)
+    times = 1 + F.coalesce(F.size("more"), F.lit(0))
+    found = found.withColumns({"same": F.sum(times).over(by_run), "leads": (F.row_number().over(by_run.orderBy("uid", "first")) == 1).cast("int")})
+    found = found.withColumn("kinds", F.sum("leads").over(by_anchor))
+    differ = (F.col("kinds") > 1) & (F.col("leads") == 1)
     found = found.filter((F.col("same") > 1) | differ)
-    kept = cut_table(found.select("uid", "first", "n", F.when(differ, F.col("anchor")).alias("anchor"), (F.col("same") > 1).alias("repeats")))
+    kept = cut_table(found.select("uid", "first", "n", F.when(differ, F.col("anchor")).alias("anchor"), (F.col("same") > 1).alias("repeats"), (F.col("kinds") > IN_TASK).alias("huge"), "more"))
     whole = kept.filter("repeats").select("uid", "first", "n")
+    further = kept.filter("more is not null").select(F.explode("more").alias("p"), "n").select("p.uid", "p.first", "n")
+    whole = whole.unionByName(further)
 
-    fetch = kept.filter("anchor is not null").groupBy("uid").agg(F.collect_list(F.struct("first", "n", "anchor", "repeats")).alias("runs"))
+    fetch = kept.filter("anchor is not null").groupBy("uid").agg(F.collect_list(F.struct("first", "n", "anchor", "repeats", "huge")).alias("runs"))
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,18 +133,18 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 uid, text, rows = (batch.column(k)[at].as_py() for k in range(3))
                 raw = text.encode()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uid] * len(rows), pa.int64()), pa.array([r["first"] for r in rows], pa.int32()), pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["repeats"] for r in rows], pa.bool_()), pa.array([raw[r["first"] : r["first"] + r["n"] - 1 + length] for r in rows], pa.binary())],
-                    names=["uid", "first", "anchor", "repeats", "bytes"],
+                    [pa.array([uid] * len(rows), pa.int64()), pa.array([r["first"] for r in rows], pa.int32()), pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["repeats"] for r in rows], pa.bool_()), pa.array([r["huge"] for r in rows], pa.bool_()), pa.array([raw[r["first"] : r["first"] + r["n"] - 1 + length] for r in rows], pa.binary())],
+                    names=["uid", "first", "anchor", "repeats", "huge", "bytes"],
                 )
 
-    pieces = _with_lists(placed, cut_table(fetch), "inner").select("uid", "text", "runs").mapInArrow(cut_out, "uid long, first int, anchor long, repeats boolean, bytes binary")
-    pieces = pieces.repartition("anchor").sortWithinPartitions("anchor")
+    pieces = _with_lists(placed, cut_table(fetch), "inner").select("uid", "text", "runs").mapInArrow(cut_out, "uid long, first int, anchor long, repeats boolean, huge boolean, bytes binary")
+    # the runs of an anchor with very many kinds are not compared in one place, so they may lie anywhere
+    salt = F.when(F.col("huge"), F.pmod(F.xxhash64("uid", "first"), F.lit(1 << 16))).otherwise(0)
+    pieces = pieces.withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("huge", "anchor").drop("salt")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings of the distinct runs of each anchor that occur in two of them; runs of an anchor that has very
         many are passed on as (string hash, place)."""
-        held: list[tuple] = []
-        size = {"anchor": None, "n": 0}
 
         def batch_of(columns: tuple, is_open: bool) -> pa.RecordBatch:
             uid, first, n, key, single = columns
@@ -141,7 +156,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
         def indexed(rows: list[tuple]) -> pa.RecordBatch:
             uid, first, single = columns_of(rows)
-            owner, offset = bwt.repeated([r[4] for r in rows], length)
+            owner, offset = bwt.repeated([r[5] for r in rows], length)
             keep = single[owner]
             order = np.lexsort((offset[keep], owner[keep]))
             own, place = owner[keep][order], offset[keep][order]
@@ -151,45 +166,29 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
         def passed_on(rows: list[tuple]) -> pa.RecordBatch:
             uid, first, single = columns_of(rows)
-            data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
-            bounds = np.cumsum([0] + [len(r[4]) for r in rows])
+            data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
+            bounds = np.cumsum([0] + [len(r[5]) for r in rows])
             owner = np.repeat(np.arange(len(rows)), np.diff(bounds) - length + 1)
             starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
             key = Hashes(data).of(starts, starts + length) ^ mixed(np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64))[owner]
             return batch_of((uid[owner], first[owner] + starts - bounds[owner], np.ones(len(owner), dtype=np.int64), key.view(np.int64), single[owner]), True)
 
-        def give(rows: list[tuple], whole_groups: bool) -> pa.RecordBatch:
-            return indexed(rows) if whole_groups else passed_on(rows)
-
-        huge = False
+        held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] != size["anchor"]:
-                    if huge:
-                        if held:
-                            yield give(held, False)
-                        held, huge = [], False
-                    elif len(held) > FLUSH:
-                        yield give(held, True)
-                        held = []
-                    size.update(anchor=row[2], n=0)
-                size["n"] += 1
-                if size["n"] > IN_TASK and not huge:
-                    done = [r for r in held if r[2] != row[2]]
-                    if done:
-                        yield give(done, True)
-                    held, huge = held[len(done) :], True
-                held.append(row)
-                if huge and len(held) > FLUSH:
-                    yield give(held, False)
+                # the huge ones come last
+                if len(held) > FLUSH and (row[4] or row[2] != held[-1][2]) or held and row[4] != held[-1][4]:
+                    yield (passed_on if held[-1][4] else indexed)(held)
                     held = []
+                held.append(row)
         if held:
-            yield give(held, not huge)
+            yield (passed_on if held[-1][4] else indexed)(held)
 
     counted = cut_table(pieces.mapInArrow(count, "uid long, first int, n int, key long, single boolean, open boolean"))
     closed = counted.filter("not open").select("uid", "first", "n")
-    opened = counted.filter("open").withColumn("times", F.count("*").over(Window.partitionBy("key")))
-    opened = opened.filter("times > 1 and single").select("uid", "first", "n")
+    opened = counted.filter("open")
+    twice = cut(opened.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
+    opened = opened.filter("single").join(F.broadcast(twice) if few_entries(twice) else twice, "key", "left_semi").select("uid", "first", "n")
     return whole.unionByName(closed).unionByName(opened)
 
 
