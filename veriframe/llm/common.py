@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,32 @@ HELD_OUT_REMAINDER = 2
 BROADCAST_LISTS, BROADCAST_ENTRIES = 400_000, 1_000_000
 
 
+#: Rows of a batch that goes to a Python worker, and bytes of text that are worked on at once: texts may be long.
+BATCH_ROWS, PART_BYTES = 2_000, 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches that Python workers get small; a session that asks for smaller ones is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def parts_of(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts (in that column) have about PART_BYTES bytes."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes) - sizes) // PART_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

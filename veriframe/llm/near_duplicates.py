@@ -31,11 +31,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut, cut_table, few_entries, free_name, quoted
+from veriframe.llm.common import cut, cut_table, few_entries, free_name, parts_of, quoted
 from veriframe.llm.components import components
 from veriframe.llm.rolling import shingle_hashes, text_bytes
 
@@ -54,9 +53,7 @@ BLOCK = 400_000
 #: Buckets with more nodes are searched together with those they overlap.
 LARGE = 100
 #: Shingles whose signatures are made at once, and texts.
-CHUNK, CHUNK_TEXTS = 200_000, 4_096
-#: Bytes of texts that are shingled at once.
-PART_BYTES = 1 << 20
+CHUNK, CHUNK_TEXTS = 100_000, 2_048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -156,17 +153,6 @@ def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def parts_of(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts whose texts (in that column) have about PART_BYTES bytes."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(sizes) - sizes) // PART_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def _placed(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 

@@ -30,17 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veriframe.llm import bwt
-from veriframe.llm.common import cut, cut_table, few_entries, quote
+from veriframe.llm.common import cut, cut_table, few_entries, parts_of, quote
 from veriframe.llm.rolling import Hashes, mixed, text_bytes
 
 LENGTH = 200
 GRAM = 80
 #: String starts that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct runs of one anchor that a task counts by itself.
-IN_TASK = 10_000
+IN_TASK = 4_000
 #: Runs that a task holds before it gives them.
-FLUSH = 2_000
+FLUSH = 500
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Smallest value of every ``width`` neighbours, from running minima of blocks in both directions."""
@@ -97,7 +97,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = pa.struct([("uid", pa.int64()), ("first", pa.int32())])
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             uid = batch.column(0).to_numpy()
             text, first, n, anchor, whole = runs(*text_bytes(batch.column(1)), length, gram)
             # equal runs are one row: one place, and the further ones as a list
@@ -116,7 +116,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     found = placed.mapInArrow(find, "uid long, first int, n int, anchor long, whole long, more array<struct<uid: long, first: int>>")
     by_anchor, by_run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
     times = 1 + F.coalesce(F.size("more"), F.lit(0))
-    found = found.withColumns({"same": F.sum(times).over(by_run), "leads": (F.row_number().over(by_run.orderBy("uid", "first")) == 1).cast("int")})
+    # one exchange: equal runs have equal anchors
+    found = found.repartition("anchor").withColumns({"same": F.sum(times).over(by_run), "leads": (F.row_number().over(by_run.orderBy("uid", "first")) == 1).cast("int")})
     found = found.withColumn("kinds", F.sum("leads").over(by_anchor))
     differ = (F.col("kinds") > 1) & (F.col("leads") == 1)
     found = found.filter((F.col("same") > 1) | differ)

@@ -59,7 +59,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes that are hashed at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 #: The one-byte white space of ``str.split``; its longer characters as UTF-8.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20]] = True
