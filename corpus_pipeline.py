@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.llm import language, mixing, near_duplicates, packing, repeats
-from veriframe.llm.common import shared_dir
+from veriframe.llm.common import shared_dir, small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (no letters at all) go; ``lang`` becomes the predicted language."""
+    small_batches(spark)
     found = language.identify(docs, language.train(docs), keep=tuple(docs.columns))
     found = found.filter("lang_pred <> 'und'")
     return found.select(*[F.col("lang_pred" if c == "lang" else f"_keep_{k}").alias(c) for k, c in enumerate(docs.columns)])
@@ -21,20 +22,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest id, of equal ids the first text."""
+    small_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes and more that occur elsewhere are cut out of the texts; no document goes."""
+    small_batches(spark)
     return repeats.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it."""
+    small_batches(spark)
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
