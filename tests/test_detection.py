@@ -55,3 +55,20 @@ def test_one_class_and_empty(spark):
 def test_separated_and_inverted(spark):
     assert detection.equal_error_rate(detection.roc(scored(spark, [(0.9, 1), (0.1, 0)]))).first().eer == 0
     assert detection.equal_error_rate(detection.roc(scored(spark, [(0.1, 1), (0.9, 0)]))).first().eer == 100
+
+
+def test_det_rates_by_row(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randint(0, 6) / 10, int(rng.random() < 0.4)) for k in range(60)]
+    df = spark.createDataFrame(rows, "line_no long, score double, label int").repartition(4)
+    got = [(r.line_no, r.fnr, r.fpr) for r in detection.det_rates_by_row(df).orderBy("ordinal").collect()]
+    pos, neg = sum(y for _, _, y in rows), sum(1 - y for _, _, y in rows)
+    p = n = 0
+    for (line, _, y), (at, fnr, fpr) in zip(sorted(rows, key=lambda r: (r[1], r[0])), got, strict=True):
+        p, n = p + y, n + 1 - y
+        assert (at, fnr, fpr) == (line, pytest.approx(p / pos), pytest.approx(1 - n / neg))
+
+
+def test_trials_without_a_score_are_counted_only(spark):
+    r = detection.evaluation_report(scored(spark, [(0.9, 1), (0.1, 0), (None, 1)])).first()
+    assert (r.n_trials, r.n_pos, r.eer) == (3, 2, 0)

@@ -70,7 +70,9 @@ def class_scores(rows: DataFrame, classes: DataFrame, kind: str = "softmax", sca
     if kind == "dot":
         score = vectors.dot(F.col("embedding"), F.col("w"), dim)
     else:
-        score = vectors.margin_logit(vectors.cosine(F.col("embedding"), F.col("w"), dim), own, scale, margin, kind)
+        # the cosine in a projection of its own: the margin uses it several times
+        pairs = pairs.withColumn("_cos", vectors.cosine(F.col("embedding"), F.col("w"), dim))
+        score = vectors.margin_logit(F.col("_cos"), own, scale, margin, kind)
     return pairs.select("row_id", "label", "cls", score.alias("score"), own.alias("is_target"))
 
 

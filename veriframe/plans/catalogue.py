@@ -142,6 +142,17 @@ def det_rates(spark, sf_dir):
     return detection.det_rates(trials(spark, sf_dir)).withColumns({"fpr": rounded("fpr", 9), "fnr": rounded("fnr", 9)})
 
 
+@query(
+    f"""WITH {_T}, s AS (SELECT ref, com, label, score, row_number() OVER (ORDER BY score, ref, com) AS ordinal FROM t)
+ SELECT ordinal, ref, com, score AS threshold, round(CAST(sum(label) OVER (ORDER BY ordinal) AS DOUBLE) / sum(label) OVER (), 9) AS fnr,
+  round(1 - CAST(sum(1 - label) OVER (ORDER BY ordinal) AS DOUBLE) / sum(1 - label) OVER (), 9) AS fpr FROM s"""
+)
+def det_rates_by_row(spark, sf_dir):
+    own = trials(spark, sf_dir).withColumn("line_no", F.struct("ref", "com"))
+    out = detection.det_rates_by_row(own)
+    return out.select("ordinal", "line_no.ref", "line_no.com", "threshold", rounded("fnr", 9).alias("fnr"), rounded("fpr", 9).alias("fpr"))
+
+
 @query(
     f"""WITH {_R} SELECT round((10.0 * fnr * 0.01 + 1.0 * fpr * (1 - 0.01)) / 0.1, 6) AS min_dcf, threshold AS dcf_threshold FROM d
  ORDER BY 10.0 * fnr * 0.01 + 1.0 * fpr * (1 - 0.01), ordinal LIMIT 1"""
