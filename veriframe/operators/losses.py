@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import vectors
-from veriframe.functions.scalars import seeded_int
+from veriframe.functions.scalars import seeded_int, seeded_uniform
 from veriframe.operators.scoring import against_classes, group_sums
 
 
@@ -87,10 +87,11 @@ def combined_loss(rows: DataFrame, classes: DataFrame, batch: DataFrame) -> Data
     return a.crossJoin(b).select((F.col("a") + F.col("b")).alias("loss"))  # one-row tables
 
 
-def mined_negatives(batch: DataFrame, kind: str = "semi_hard", margin: float = 0.1, hard_rank: int = 0, seed: int = 0) -> DataFrame:
+def mined_negatives(batch: DataFrame, kind: str = "semi_hard", margin: float = 0.1, hard_rank: int = 0, seed: int = 0, hard_prob: float = 1.0) -> DataFrame:
     """One negative for each anchor (slot 0) among the batch's other speakers (slot 1), by similarity -||a - b||^2:
     the hash-first of those between the positive's similarity minus the margin and it (``semi_hard``, any negative
-    where none is), or the hash-first of the ``hard_rank + 1`` most similar (``rank``)."""
+    where none is), or (``rank``), for a share ``hard_prob`` of the anchors chosen by hash, the hash-first of the
+    ``hard_rank + 1`` most similar, and for the other anchors the hash-first of all."""
     anchors = batch.filter("slot = 0").select("batch_id", "speaker", F.col("embedding").alias("a"))
     others = batch.filter("slot = 1").select("batch_id", F.col("speaker").alias("neg"), F.col("embedding").alias("b"))
     pairs = anchors.join(others, "batch_id").withColumn("sim", -vectors.squared_distance(F.col("a"), F.col("b"), eps=1e-6))
@@ -101,7 +102,8 @@ def mined_negatives(batch: DataFrame, kind: str = "semi_hard", margin: float = 0
         fits = (F.col("sim") < F.col("pos_sim")) & (F.col("sim") > F.col("pos_sim") - margin)
         rest = rest.withColumn("_out", (~fits).cast("int"))
     else:
-        rest = rest.withColumn("_out", (F.row_number().over(by.orderBy(F.desc("sim"), "neg")) > hard_rank + 1).cast("int"))
+        hard = seeded_uniform(seed, F.col("speaker"), F.lit("hard")) < hard_prob
+        rest = rest.withColumn("_out", (hard & (F.row_number().over(by.orderBy(F.desc("sim"), "neg")) > hard_rank + 1)).cast("int"))
     first = F.row_number().over(by.orderBy("_out", "_h", "neg"))
     return rest.withColumn("_r", first).filter("_r = 1").select("batch_id", "speaker", "neg", "pos_sim", F.col("sim").alias("neg_sim"))
 
