@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veriframe.llm.common import hash_below, held_out, quote
+from veriframe.llm.common import hash_below, held_out, quote, tidy
 
 BUCKETS = 1 << 16
 MAX_TRAIN_DOCS = 20_000
@@ -108,7 +108,7 @@ def train(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "script", "bucket", "n"])
 
-    counted = chosen.mapInArrow(count, "lang string, script string, bucket long, n long")
+    counted = chosen.mapInArrow(tidy(count), "lang string, script string, bucket long, n long")
     # at most BUCKETS rows a language: bounded by the hash table, not by the corpus
     got = counted.groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
@@ -252,4 +252,4 @@ def identify(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, with
             made = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*made, *[batch.column(2 + k) for k in range(len(keep))]], names=[*names, *[f"_keep_{k}" for k in range(len(keep))]])
 
-    return chosen.mapInArrow(run, fields)
+    return chosen.mapInArrow(tidy(run), fields)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut, cut_table, few_entries, free_name, parts_of, quoted
+from veriframe.llm.common import cut, cut_table, few_entries, free_name, parts_of, quoted, tidy
 from veriframe.llm.components import components
 from veriframe.llm.rolling import shingle_hashes, text_bytes
 
@@ -198,7 +198,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         yield from made(held)
         yield _batch(blank, fields)
 
-    return own.mapInArrow(run, "uid long, doc_id long, low long, high long, weight long, bands array<long>")
+    return own.mapInArrow(tidy(run), "uid long, doc_id long, low long, high long, weight long, bands array<long>")
 
 
 def _with_cells(docs: DataFrame, lists: DataFrame, schema: str, entry: Callable[[dict], tuple], kinds: tuple) -> DataFrame:
@@ -224,7 +224,7 @@ def _with_cells(docs: DataFrame, lists: DataFrame, schema: str, entry: Callable[
                         out, size = [], 0
             yield _batch(out, fields)
 
-    return rows.mapInArrow(run, f"{schema}, node long, cells binary")
+    return rows.mapInArrow(tidy(run), f"{schema}, node long, cells binary")
 
 
 def _of(raw: bytes) -> np.ndarray:
@@ -256,7 +256,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> D
                     out.append((centre, node, found))
             yield _batch(out, (("centre", pa.int64()), ("node", pa.int64()), ("similarity", pa.float64())))
 
-    return rows.mapInArrow(run, "centre long, node long, similarity double")
+    return rows.mapInArrow(tidy(run), "centre long, node long, similarity double")
 
 
 def joining_links(block: list[tuple[int, int, bool, bytes]], within: bool, threshold: float) -> list[tuple[int, int, float]]:
@@ -339,7 +339,7 @@ def _search(state: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield _batch(joining_links(held, key[1] == key[2], threshold), fields)
 
-    return rows.mapInArrow(run, "centre long, node long, similarity double")
+    return rows.mapInArrow(tidy(run), "centre long, node long, similarity double")
 
 
 def _groups(buckets: DataFrame, roots: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut, cut_table, quote
+from veriframe.llm.common import cut, cut_table, quote, tidy
 
 MAX_LEN = 1024
 END_ID = 2
@@ -143,7 +143,7 @@ def token_pieces(
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, fields, strict=True)], names=[n for n, _ in fields])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(encode, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(encode), schema)
 
 
 def _classes(items: DataFrame, max_len: int, open_share: float) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veriframe.llm import bwt
-from veriframe.llm.common import cut, cut_table, few_entries, parts_of, quote
+from veriframe.llm.common import cut, cut_table, few_entries, parts_of, quote, tidy
 from veriframe.llm.rolling import Hashes, mixed, text_bytes
 
 LENGTH = 200
@@ -113,7 +113,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             columns = [uid[text[new]], first[new].astype(np.int32), n[new].astype(np.int32), anchor[new].view(np.int64), whole[new].view(np.int64)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), more], names=["uid", "first", "n", "anchor", "whole", "more"])
 
-    found = placed.mapInArrow(find, "uid long, first int, n int, anchor long, whole long, more array<struct<uid: long, first: int>>")
+    found = placed.mapInArrow(tidy(find), "uid long, first int, n int, anchor long, whole long, more array<struct<uid: long, first: int>>")
     by_anchor, by_run = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
     times = 1 + F.coalesce(F.size("more"), F.lit(0))
     # one exchange: equal runs have equal anchors
@@ -138,7 +138,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     names=["uid", "first", "anchor", "repeats", "huge", "bytes"],
                 )
 
-    pieces = _with_lists(placed, cut_table(fetch), "inner").select("uid", "text", "runs").mapInArrow(cut_out, "uid long, first int, anchor long, repeats boolean, huge boolean, bytes binary")
+    pieces = _with_lists(placed, cut_table(fetch), "inner").select("uid", "text", "runs").mapInArrow(tidy(cut_out), "uid long, first int, anchor long, repeats boolean, huge boolean, bytes binary")
     # the runs of an anchor with very many kinds are not compared in one place, so they may lie anywhere
     salt = F.when(F.col("huge"), F.pmod(F.xxhash64("uid", "first"), F.lit(1 << 16))).otherwise(0)
     pieces = pieces.withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("huge", "anchor").drop("salt")
@@ -185,7 +185,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         if held:
             yield (passed_on if held[-1][4] else indexed)(held)
 
-    counted = cut_table(pieces.mapInArrow(count, "uid long, first int, n int, key long, single boolean, open boolean"))
+    counted = cut_table(pieces.mapInArrow(tidy(count), "uid long, first int, n int, key long, single boolean, open boolean"))
     closed = counted.filter("not open").select("uid", "first", "n")
     opened = counted.filter("open")
     twice = cut(opened.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], names=["uid", "spans"])
 
     # neighbouring stretches become one span before anything is sent on: a whole copy is a single entry
-    lists = cut_table(lists.mapInArrow(join_up, "uid long, spans array<struct<start: long, end: long>>"))
+    lists = cut_table(lists.mapInArrow(tidy(join_up), "uid long, spans array<struct<start: long, end: long>>"))
     kept = [F.col(quote(c)).alias(f"_keep_{k}") for k, c in enumerate(keep)]
     names = [f"_keep_{k}" for k in range(len(keep))]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
             yield pa.RecordBatch.from_arrays([*[pa.array(v, k) for v, k in zip(out, kinds, strict=True)], *[batch.column(3 + k) for k in range(len(keep))]], names=given)
 
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(tidy(apply), schema)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
