@@ -223,28 +223,17 @@ def closed_set_topk(spark, sf_dir):
     return one.crossJoin(losses.top_k_accuracy(scored, ["row_id"], 3).select(F.round("topk_pct", 6).alias("top3_pct")))  # one-row tables
 
 
-_B = f"""{_E}, b0 AS (SELECT vec_id % 5 AS batch_id, label AS speaker, row_number() OVER (PARTITION BY vec_id % 5, label ORDER BY vec_id) - 1 AS slot, count(*) OVER (PARTITION BY vec_id % 5, label) AS n, v FROM e),
- b AS (SELECT batch_id, speaker, slot, v FROM b0 WHERE slot < 3 AND n >= 3),
- q AS (SELECT batch_id, speaker, v FROM b WHERE slot = 0), c AS (SELECT batch_id, s1.speaker AS cls, list_transform(list_zip(s1.v, s2.v), lambda x: (x[1] + x[2]) / 2) AS v FROM b s1 JOIN b s2 USING (batch_id, speaker) WHERE s1.slot = 1 AND s2.slot = 2)"""
 _CE = "SELECT round(avg(top + ln(z) - own), 5) AS loss, round(100 * avg(CASE WHEN own >= top THEN 1.0 ELSE 0.0 END), 5) AS accuracy, count(*) AS n_rows FROM (SELECT {key}, max(top) AS top, sum(exp(score - top)) AS z, max(CASE WHEN is_target THEN score END) AS own FROM (SELECT *, max(score) OVER (PARTITION BY {key}) AS top FROM s) GROUP BY {key})"
 
 
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three slots for each speaker of five batches."""
-    e = embeddings(spark, sf_dir).select(F.pmod("vec_id", F.lit(5)).alias("batch_id"), F.col("label").alias("speaker"), "vec_id", "embedding")
-    by = Window.partitionBy("batch_id", "speaker")
-    e = e.withColumn("slot", F.row_number().over(by.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(by))
-    return e.filter("slot < 3 and n >= 3").select("batch_id", "speaker", "slot", "embedding")
-
-
-#: As _B, of every full tuple of every speaker.
-_W = f"""{_E}, w0 AS (SELECT label AS speaker, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, v FROM e),
+#: Every full tuple of three of every speaker.
+_B = f"""{_E}, w0 AS (SELECT label AS speaker, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, v FROM e),
  w1 AS (SELECT speaker, k // 3 AS round, k % 3 AS slot, v FROM w0 WHERE k < n - n % 3), u AS (SELECT round, count(DISTINCT speaker) AS n FROM w1 GROUP BY round),
  b AS (SELECT concat_ws('-', round, CAST('0x' || substr(md5(concat_ws('|', '7', speaker, round)), 1, 8) AS BIGINT) % CAST(ceil(n / {WIDTH}) AS BIGINT)) AS batch_id, speaker, slot, v FROM w1 JOIN u USING (round)),
  q AS (SELECT batch_id, speaker, v FROM b WHERE slot = 0), c AS (SELECT batch_id, s1.speaker AS cls, list_transform(list_zip(s1.v, s2.v), lambda x: (x[1] + x[2]) / 2) AS v FROM b s1 JOIN b s2 USING (batch_id, speaker) WHERE s1.slot = 1 AND s2.slot = 2)"""
 
 
-def whole_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every full tuple of three of every speaker."""
     e = embeddings(spark, sf_dir).select(F.col("label").alias("speaker"), "vec_id", "embedding")
     return prepare.tuple_batches(prepare.tuples(e, "speaker", "vec_id", 3), "speaker", 7, WIDTH).select("batch_id", "speaker", "slot", "embedding")
@@ -336,38 +325,6 @@ def combined_loss(spark, sf_dir):
     return losses.combined_loss(*_classes(spark, sf_dir), batch(spark, sf_dir)).select(F.round("loss", 4).alias("loss"))
 
 
-# the losses above score five batches of at most three vectors a speaker, as their SQL says; these score every tuple
-
-@query(ORACLES["proto_loss"].replace(_B, _W))
-def proto_loss_whole(spark, sf_dir):
-    return _loss(losses.prototypical_loss(whole_batches(spark, sf_dir), "proto"))
-
-
-@query(ORACLES["angleproto_loss"].replace(_B, _W))
-def angleproto_loss_whole(spark, sf_dir):
-    return _loss(losses.prototypical_loss(whole_batches(spark, sf_dir), "angular"))
-
-
-@query(ORACLES["ge2e_loss"].replace(_B, _W))
-def ge2e_loss_whole(spark, sf_dir):
-    return _loss(losses.ge2e_loss(whole_batches(spark, sf_dir)))
-
-
-@query(ORACLES["triplet_hinge"].replace(_B, _W))
-def triplet_hinge_whole(spark, sf_dir):
-    return losses.triplet_loss(whole_batches(spark, sf_dir)).select(F.round("loss", 5).alias("loss"), "n_rows")
-
-
-@query(ORACLES["hard_negatives"].replace(_B, _W))
-def hard_negatives_whole(spark, sf_dir):
-    return losses.mined_negatives(whole_batches(spark, sf_dir), "rank", hard_rank=2).select("batch_id", "speaker", "neg", rounded("neg_sim").alias("neg_sim"))
-
-
-@query(ORACLES["combined_loss"].replace(_B, _W))
-def combined_loss_whole(spark, sf_dir):
-    return losses.combined_loss(*_classes(spark, sf_dir), whole_batches(spark, sf_dir)).select(F.round("loss", 4).alias("loss"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1")
 def merge_results(spark, sf_dir):
     parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -403,20 +360,6 @@ def distill_kl(spark, sf_dir):
     return losses.distillation(*_teacher(spark, sf_dir), "kl", 2.0).select(rounded("distance").alias("distance"), "n_rows")
 
 
-@query(
-    f"""WITH {_T}, h AS (SELECT a.vec_id AS side, b.vec_id AS cid, -list_distance(a.v, b.v) AS s FROM e a, e b WHERE b.label = 0),
- g AS (SELECT side, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY s DESC, cid) AS r FROM h) WHERE r <= 20 GROUP BY side)
- SELECT ref, com, round(((score - x.mu) / (x.sd + 1e-6) + (score - y.mu) / (y.sd + 1e-6)) / 2, 4) AS norm_score FROM t JOIN g x ON ref = x.side JOIN g y ON com = y.side WHERE com = ref + 1"""
-)
-def snorm_scores(spark, sf_dir):
-    e = embeddings(spark, sf_dir)
-    classes = e.filter("label = 0").select(F.col("vec_id").alias("cls"), F.col("embedding").alias("w"))
-    cohort = scoring.against_classes(e.select(F.col("vec_id").alias("side"), "embedding"), classes)
-    cohort = cohort.select("side", F.col("cls").alias("cohort_id"), (-vectors.distance(F.col("embedding"), F.col("w"), DIM)).alias("cohort_score"))
-    near = trials(spark, sf_dir).filter("com = ref + 1")
-    return scoring.score_normalized(near, cohort, 20).select("ref", "com", F.round("norm_score", 4).alias("norm_score"))
-
-
 # of every trial, against the speakers' prototypes: the cohort has a row a speaker, however long the table
 
 @query(
@@ -424,7 +367,7 @@ def snorm_scores(spark, sf_dir):
  g AS (SELECT side, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY s DESC, cid) AS r FROM h) WHERE r <= 20 GROUP BY side)
  SELECT ref, com, round(((score - x.mu) / (x.sd + 1e-6) + (score - y.mu) / (y.sd + 1e-6)) / 2, 4) AS norm_score FROM t JOIN g x ON ref = x.side JOIN g y ON com = y.side"""
 )
-def snorm_scores_whole(spark, sf_dir):
+def snorm_scores(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     classes = scoring.prototypes(e, "label").select(F.col("label").alias("cls"), F.col("centroid").alias("w"))
     cohort = scoring.against_classes(e.select(F.col("vec_id").alias("side"), "embedding"), classes)
@@ -548,15 +491,8 @@ def trial_balance(spark, sf_dir):
     return prepare.trial_balance(trials(spark, sf_dir)).withColumn("positive_pct", rounded(F.col("positive_pct").cast("double")))
 
 
-@query("SELECT count(*) AS n_shared FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
-def leakage_check(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("speaker"))
-    b = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("speaker"))
-    return prepare.leakage(a, b).agg(F.count("*").alias("n_shared"))
-
-
 @query("SELECT count(*) AS n_shared FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)")
-def leakage_check_whole(spark, sf_dir):
+def leakage_check(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("speaker"))
     b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("speaker"))
     return prepare.leakage(a, b).agg(F.count("*").alias("n_shared"))
@@ -853,3 +789,8 @@ def stream_rate(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     out = _drained(monitor.progress_rate(stream, "ts"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("items_per_s", 9).alias("items_per_s"))
+
+
+# these took part of their tables once; their other names stay
+for _name in ("proto_loss", "angleproto_loss", "ge2e_loss", "triplet_hinge", "hard_negatives", "combined_loss", "snorm_scores", "leakage_check"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
