@@ -22,15 +22,19 @@ HELD_OUT_REMAINDER = 2
 BROADCAST_LISTS, BROADCAST_ENTRIES = 400_000, 1_000_000
 
 
-#: Rows of a batch that goes to a Python worker, and bytes of text that are worked on at once: texts may be long.
-BATCH_ROWS, PART_BYTES = 2_000, 1 << 20
+#: Rows and bytes of a batch that goes to a Python worker, and bytes of text that are worked on at once: texts may be
+#: long. A batch lies in an executor's memory outside its heap twice over, as vectors and as the bytes that are sent.
+BATCH_ROWS, BATCH_BYTES, PART_BYTES = 2_000, 2 << 20, 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the batches that Python workers get small; a session that asks for smaller ones is left alone."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Keep the batches that Python workers get and give small; a session that asks for smaller ones is left alone."""
+    most = {"maxRecordsPerBatch": BATCH_ROWS, "maxBytesPerBatch": BATCH_BYTES, "maxBytesPerOutputBatch": BATCH_BYTES}
+    for name, value in most.items():
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= value):
+            spark.conf.set(name, str(value))
 
 
 def parts_of(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
