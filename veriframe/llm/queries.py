@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import fingerprints, language, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
+from veriframe.llm import fingerprints, hard_negatives, language, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
 from veriframe.llm.common import cut, held_out, table
 
 
@@ -64,11 +64,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.valid_rows(table(spark, sf_dir, "embeddings"), moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_page_text, op3_mix, op4_pack, op5_quality_rules, op6_repeats, op7_toxicity,
-        op8_near_duplicates, op9_ordinal_quality, op10_language,
+        op8_near_duplicates, op9_ordinal_quality, op10_language, op12_hard_negatives,
     )
 }
 
@@ -89,4 +95,12 @@ k AS (SELECT node, min(root) AS root FROM r GROUP BY node),
 d AS (SELECT w.doc_id, k.root FROM w JOIN t ON t.text = w.text JOIN k ON k.node = t.rep)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size, doc_id = min(doc_id) OVER (PARTITION BY root) AS kept FROM d
 UNION ALL SELECT doc_id, doc_id, 1, true FROM w WHERE len(ws) = 0""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
