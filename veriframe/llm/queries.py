@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import fingerprints, hard_negatives, language, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
+from veriframe.llm import fingerprints, hard_negatives, language, lexical_search, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
 from veriframe.llm.common import cut, held_out, table
 
 
@@ -64,6 +64,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.valid_rows(table(spark, sf_dir, "embeddings"), moved)
@@ -74,7 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_page_text, op3_mix, op4_pack, op5_quality_rules, op6_repeats, op7_toxicity,
-        op8_near_duplicates, op9_ordinal_quality, op10_language, op12_hard_negatives,
+        op8_near_duplicates, op9_ordinal_quality, op10_language, op11_lexical_search, op12_hard_negatives,
     )
 }
 
@@ -95,6 +99,16 @@ k AS (SELECT node, min(root) AS root FROM r GROUP BY node),
 d AS (SELECT w.doc_id, k.root FROM w JOIN t ON t.text = w.text JOIN k ON k.node = t.rep)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size, doc_id = min(doc_id) OVER (PARTITION BY root) AS kept FROM d
 UNION ALL SELECT doc_id, doc_id, 1, true FROM w WHERE len(ws) = 0""",
+    "op11_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+g AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY term, n_docs),
+i AS (SELECT p.row, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ts) * n_docs) // n_terms)) AS impact FROM p JOIN d USING (row), g),
+s AS (SELECT item_id, row, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN i USING (term) JOIN w USING (term) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s JOIN d USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 50""",
     "op12_hard_negatives": """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
