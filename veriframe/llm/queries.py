@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import fingerprints, hard_negatives, language, lexical_search, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
+from veriframe.llm import fingerprints, hard_negatives, language, lexical_search, maxent_lm, mixing, near_duplicates, ordinal_quality, packing, pages, quality_rules, repeats, toxicity
 from veriframe.llm.common import cut, held_out, table
 
 
@@ -74,11 +74,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(*maxent_lm.train(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_page_text, op3_mix, op4_pack, op5_quality_rules, op6_repeats, op7_toxicity,
-        op8_near_duplicates, op9_ordinal_quality, op10_language, op11_lexical_search, op12_hard_negatives,
+        op8_near_duplicates, op9_ordinal_quality, op10_language, op11_lexical_search, op12_hard_negatives, op13_language_model,
     )
 }
 

@@ -51,7 +51,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes side by side, and where each text begins and ends. Nulls are empty."""
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    if column.type != pa.large_binary():
+        column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(offsets) else np.zeros(0, dtype=np.uint8)
