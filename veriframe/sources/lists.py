@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +84,14 @@ def speaker_directories(spark: SparkSession, root: str, prefix: str = "id") -> D
 
 
 def noise_pool(spark: SparkSession, root: str) -> DataFrame:
-    """(category, path): the category is the third segment from the end."""
-    files = media_files(spark, root, ("wav",))
-    return files.select(F.try_element_at(F.split("path", "/"), F.lit(-3)).alias("category"), "path")
+    """(category, path) of ``root/category/any/name.wav``; without the folder, or with none, an empty pool."""
+    from veriframe.sources.sinks import Store
+
+    if not root or not Store(spark, root).exists():
+        return spark.createDataFrame([], "category string, path string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root).select("path")
+    depth = F.size(F.split(F.regexp_extract("path", rf"{re.escape(root.strip('/').split(':', 1)[-1].strip('/'))}/(.*)$", 1), "/"))
+    return files.filter(depth == 3).select(F.try_element_at(F.split("path", "/"), F.lit(-3)).alias("category"), "path")
 
 
 def checksum_verdicts(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:

@@ -36,13 +36,16 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_run_arguments(files: DataFrame) -> DataFrame:
-    """(file, run_ts, args) from ``file`` and ``value``, a dump like Namespace(key='text', other=1.5)."""
+    """(file, run_ts, args) from ``file`` and ``value``, a dump like Namespace(key='text', other=1.5). Of a key that
+    occurs several times the last value counts."""
     pair = r"(\w+)=('[^']*'|\"[^\"]*\"|\[[^\]]*\]|[^,)]*)"
     keys = F.regexp_extract_all("value", F.lit(pair), F.lit(1))
     values = F.transform(F.regexp_extract_all("value", F.lit(pair), F.lit(2)), lambda x: F.regexp_replace(x, r"^['\"]|['\"]$", ""))
     stamp = F.nullif(F.regexp_extract("file", r"run(\d{14})\.cmd", 1), F.lit(""))
-    pairs = F.map_from_entries(F.array_distinct(F.arrays_zip(keys.alias("k"), values.alias("v"))))
-    return files.select("file", F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")).alias("run_ts"), pairs.alias("args"))
+    named = files.select("file", F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")).alias("run_ts"), keys.alias("_k"), values.alias("_v"))
+    later = lambda i: F.slice("_k", i + 2, F.size("_k"))
+    pairs = F.filter(F.arrays_zip(F.col("_k").alias("k"), F.col("_v").alias("v")), lambda p, i: ~F.array_contains(later(i), p["k"]))
+    return named.select("file", "run_ts", F.map_from_entries(pairs).alias("args"))
 
 
 def read_run_arguments(spark: SparkSession, path: str) -> DataFrame:

@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from veriframe.sources.line_files import tail
 from veriframe.sources.logs import parse_log
 
 
 def live_log(spark: SparkSession, path: str) -> DataFrame:
-    """Typed records of log files as they appear in a folder."""
-    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return parse_log(lines, keep=("file",))
+    """Typed records (file, offset, kind, ...) of the log files below a folder, as lines are appended to them."""
+    return parse_log(tail(spark, path), keep=("file", "offset"))
 
 
 #: The state store that arbitrary state needs.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in STATE_STORE; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 class BestMonitor(StatefulProcessor):
     """Keeps best, records since the last improvement, and whether a run has stopped; emits improvements and the
     stop. Rows of a micro-batch are taken in ``seq`` order."""
@@ -55,8 +68,7 @@ class BestMonitor(StatefulProcessor):
 
 
 def monitored(stream: DataFrame, patience: int) -> DataFrame:
-    """Events (run, seq, event, best) of a stream (run, seq, value)."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Events (run, seq, event, best) of a stream (run, seq, value); start it inside ``state_store``."""
     return stream.groupBy("run").transformWithStateInPandas(statefulProcessor=BestMonitor(patience), outputStructType="run long, seq long, event string, best double", outputMode="Append", timeMode="None")
 
 
