@@ -6,10 +6,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.scalars import frames_to_samples, level_db, mixed, noise_gain, seeded_int, seeded_uniform
+from veriframe.plans.prefix_sum import numbered_within
 
 #: Category, lowest and highest signal-to-noise ratio (dB), fewest and most noises.
 NOISE_POLICY = (("noise", 0, 15, 1, 1), ("speech", 13, 20, 3, 7), ("music", 5, 15, 1, 1))
@@ -51,42 +53,95 @@ def augmentation_plan(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return rows.withColumn("augmentation", F.element_at(F.array(*[F.lit(a) for a in AUGMENTATIONS]), (kind + 1).cast("int")))
 
 
+def distinct_draws(n: Column, k: Column, seed: int, *key: Column) -> Column:
+    """``k`` different numbers of 0 to n - 1 (k <= n), every set of them equally likely: the i-th draw is uniform over
+    the first n - k + i + 1 numbers, and one that was drawn before gives way to the newest of these."""
+    draw = lambda i: F.pmod(seeded_int(seed, *key, i), n - k + i + 1)
+    step = lambda had, i: F.array_append(had, F.when(F.array_contains(had, draw(i)), n - k + i).otherwise(draw(i)))
+    none = F.array().cast("array<bigint>")
+    return F.when(k > 0, F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint") - 1), none, step)).otherwise(none)
+
+
 def noise_plan(rows: DataFrame, key: str, pool: DataFrame, policy: tuple = NOISE_POLICY, seed: int = 0) -> DataFrame:
-    """Distinct noises for each row by its ``augmentation`` category: a seeded count, that many different files and
-    a uniform ratio each. Pool files are numbered in their category, and a row takes consecutive numbers from a
-    seeded start, so the plan is an equi-join and rows are not multiplied by the pool."""
-    numbered = pool.withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("path")) - 1)
+    """Noises for each row by its ``augmentation`` category: a seeded count, that many different files drawn
+    independently of each other, and a uniform ratio each. Pool files (category, path; unique) are numbered in their
+    category by running counts, and the drawn numbers are joined to them, so rows are not multiplied by the pool. A
+    category without files, or an empty pool, gives no rows."""
+    numbered = numbered_within(pool, ["category"], ["path"])
     sizes = pool.groupBy("category").agg(F.count("*").alias("pool_size"))
-    spark = rows.sparkSession
-    rules = spark.createDataFrame(list(policy), "category string, snr_lo int, snr_hi int, n_lo int, n_hi int")
+    rules = rows.sparkSession.createDataFrame(list(policy), "category string, snr_lo int, snr_hi int, n_lo int, n_hi int")
     chosen = rows.withColumnRenamed("augmentation", "category").join(F.broadcast(rules), "category").join(F.broadcast(sizes), "category")  # one row a category
-    k = F.col("n_lo") + F.pmod(seeded_int(seed + 1, F.col(key)), F.col("n_hi") - F.col("n_lo") + 1)
-    chosen = chosen.withColumn("n_noises", F.least(k, F.col("pool_size")).cast("int"))
-    chosen = chosen.withColumn("noise_no", F.explode(F.sequence(F.lit(0), F.col("n_noises") - 1)))
-    chosen = chosen.withColumn("nth", F.pmod(seeded_int(seed + 2, F.col(key)) + F.col("noise_no"), F.col("pool_size")).cast("int"))
+    k = F.least(F.col("n_lo") + F.pmod(seeded_int(seed + 1, F.col(key)), F.col("n_hi") - F.col("n_lo") + 1), F.col("pool_size"))
+    drawn = chosen.withColumn("n_noises", k).select("*", F.posexplode(distinct_draws(F.col("pool_size"), F.col("n_noises"), seed + 2, F.col(key))).alias("noise_no", "nth"))
     snr = F.col("snr_lo") + seeded_uniform(seed + 3, F.col(key), F.col("noise_no")) * (F.col("snr_hi") - F.col("snr_lo"))
-    return chosen.join(numbered, ["category", "nth"]).select(key, "category", "noise_no", "path", snr.alias("snr_db"))
+    return drawn.join(numbered, ["category", "nth"]).select(key, "category", "noise_no", "path", snr.alias("snr_db"))
 
 
 def apply_noise(rows: DataFrame, clean: str, noise: str, snr: str) -> DataFrame:
     """Adds ``mixed``: the clean samples plus the noise at the wanted ratio."""
-    gain = noise_gain(level_db(F.col(clean)), level_db(F.col(noise)), F.col(snr))
-    return rows.withColumn("_gain", gain).withColumn("mixed", mixed(F.col(clean), F.col(noise), F.col("_gain"))).drop("_gain")
+    one = F.array(F.struct(F.col(noise).alias("samples"), F.col(snr).alias("snr_db")))
+    return apply_noises(rows.withColumn("_noises", one), clean, "_noises").drop("_noises")
+
+
+def apply_noises(rows: DataFrame, clean: str, noises: str) -> DataFrame:
+    """Adds ``mixed``: the clean samples plus all noises (array of samples, snr_db), each scaled to its own ratio to the
+    clean level. Shorter noises end early; without noises the clip stays."""
+    level = rows.withColumn("_level", level_db(F.col(clean)))
+    gain = lambda x: noise_gain(F.col("_level"), level_db(x["samples"]), x["snr_db"])
+    total = F.aggregate(noises, F.transform(clean, lambda x: x.cast("double")), lambda a, x: mixed(a, x["samples"], gain(x)))
+    return level.withColumn("mixed", F.coalesce(total, F.transform(clean, lambda x: x.cast("double")))).drop("_level")
+
+
+def mix_noises(clips: DataFrame, plan: DataFrame, noises: DataFrame, key: str, samples: str = "samples") -> DataFrame:
+    """Adds ``mixed`` to clips (key, samples) by a noise plan and the noises' samples (path, samples). A clip's noises are
+    few (the policy's most), so they are gathered; clips without any stay as they are."""
+    own = plan.join(noises.select("path", F.col(samples).alias("_samples")), "path")
+    gathered = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("noise_no", F.col("_samples").alias("samples"), "snr_db"))).alias("_noises"))
+    return apply_noises(clips.join(gathered, key, "left"), samples, "_noises").drop("_noises")
+
+
+def overlap_add(x: np.ndarray, response: np.ndarray, spectra: dict | None = None) -> np.ndarray:
+    """The first ``len(x)`` samples of the convolution with ``response``, in blocks of Fourier transforms: n log m
+    steps for n samples and m of the response. ``spectra`` keeps responses' spectra from call to call."""
+    m = len(response)
+    size = 1 << max(10, (4 * m - 1).bit_length())
+    step = size - m + 1
+    name = response.tobytes()
+    spectra = {} if spectra is None else spectra
+    if name not in spectra:
+        if len(spectra) >= 16:
+            spectra.clear()
+        spectra[name] = np.fft.rfft(response, size)
+    n_blocks = -(-len(x) // step)
+    out = np.zeros((n_blocks + 1) * step)
+    for a in range(0, n_blocks, 256):  # so many blocks at once
+        part = x[a * step : (a + 256) * step]
+        rows = -(-len(part) // step)
+        blocks = np.zeros((rows, step))
+        blocks.reshape(-1)[: len(part)] = part
+        made = np.fft.irfft(np.fft.rfft(blocks, size, axis=1) * spectra[name], size, axis=1)
+        own = out[a * step : (a + rows + 1) * step].reshape(-1, step)
+        own[:-1] += made[:, :step]
+        own[1:, : m - 1] += made[:, step:]
+    return out[: len(x)]
 
 
 def apply_reverb(rows: DataFrame, samples: str, response: str) -> DataFrame:
-    """Adds ``reverbed``: convolution with the unit-energy response, cut to the clip's length."""
+    """Adds ``reverbed``: convolution with the unit-energy response, cut to the clip's length. A clip without response
+    (null or empty) stays; a null clip is null."""
 
     @F.pandas_udf("array<double>")
-    def convolve(x: pd.Series, h: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, h, strict=True):
-            if a is None or b is None or not len(a) or not len(b):
-                out.append(None if a is None else list(a))
-                continue
-            b = np.asarray(b, dtype=float)
-            out.append(np.convolve(np.asarray(a, dtype=float), b / np.sqrt(max((b**2).sum(), 1e-12)))[: len(a)].tolist())
-        return pd.Series(out)
+    def convolve(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        spectra: dict = {}
+        for x, h in parts:
+            out = []
+            for a, b in zip(x, h, strict=True):
+                if a is None or b is None or not len(a) or not len(b):
+                    out.append(None if a is None else list(a))
+                    continue
+                b = np.asarray(b, dtype=float)
+                out.append(overlap_add(np.asarray(a, dtype=float), b / np.sqrt(max((b**2).sum(), 1e-12)), spectra))
+            yield pd.Series(out)
 
     return rows.withColumn("reverbed", convolve(samples, response))
 
@@ -100,26 +155,44 @@ def mel_filters(n_mels: int, n_fft: int, rate: int) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
+#: Frames whose spectra are made at once.
+FRAMES = 4_096
+
+
+def mel_spectra(x: np.ndarray, filters: np.ndarray, n_fft: int, window: int, hop: int, log: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(first frame, mel values of up to FRAMES frames): frame k is centred on sample k * hop, the clip is mirrored at
+    its ends, and the periodic Hamming window lies in the middle of the transform. 1 + len(x) // hop frames in all."""
+    taper = np.zeros(n_fft)
+    lead = (n_fft - window) // 2
+    taper[lead : lead + window] = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(window) / window)
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, n_fft // 2, mode="reflect"), n_fft)[::hop][: 1 + len(x) // hop]
+    for a in range(0, len(frames), FRAMES):
+        mel = (np.abs(np.fft.rfft(frames[a : a + FRAMES] * taper, axis=1)) ** 2) @ filters.T + 1e-6
+        yield a, np.log(mel) if log else mel
+
+
 def log_mel_frames(rows: DataFrame, key: str, samples: str, n_mels: int = 40, n_fft: int = 512, window: int = 400, hop: int = 160, rate: int = 16_000, log: bool = True, emphasis: float = 0.0) -> DataFrame:
-    """(key, frame, mel): Hamming-windowed power spectra through mel filters, plus 1e-6, optionally in logs."""
-    filters, taper = mel_filters(n_mels, n_fft, rate), np.hamming(window)
-    kind = rows.schema[key].dataType.simpleString()
+    """(key, frame, mel): Hamming-windowed power spectra through mel filters, plus 1e-6, optionally in logs. Frames are
+    centred and clips mirrored at their ends (short ones as often as it takes), so a clip of n samples has 1 + n // hop
+    frames. Null and empty clips have none."""
+    filters = mel_filters(n_mels, n_fft, rate)
+    kind = rows.schema[key].dataType
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for utt, x in zip(batch["key"], batch["samples"], strict=True):
-                if x is None or len(x) < window:
+            for row in range(batch.num_rows):
+                x = batch.column(1)[row].values
+                if x is None or not len(x):
                     continue
-                x = np.asarray(x, dtype=float)
+                x = x.to_numpy(zero_copy_only=False).astype(float)
                 if emphasis:
-                    x = x - emphasis * np.append(x[1], x[:-1])
-                frames = np.lib.stride_tricks.sliding_window_view(x, window)[::hop] * taper
-                mel = (np.abs(np.fft.rfft(frames, n_fft)) ** 2) @ filters.T + 1e-6
-                out += [(utt, k, m.tolist()) for k, m in enumerate(np.log(mel) if log else mel)]
-            yield pd.DataFrame(out, columns=["key", "frame", "mel"])
+                    x = x - emphasis * np.append(x[min(1, len(x) - 1)], x[:-1])
+                for first, mel in mel_spectra(x, filters, n_fft, window, hop, log):
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(mel) + 1) * n_mels, pa.int32()), pa.array(mel.ravel()))
+                    own = batch.column(0).take(pa.array(np.full(len(mel), row)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(first, first + len(mel)), pa.int32()), values], ["key", "frame", "mel"])
 
-    made = rows.select(F.col(key).alias("key"), F.col(samples).alias("samples")).mapInPandas(run, f"key {kind}, frame int, mel array<double>")
+    made = rows.select(F.col(key).alias("key"), F.col(samples).alias("samples")).mapInArrow(run, f"key {kind.simpleString()}, frame int, mel array<double>")
     return made.withColumnRenamed("key", key)
 
 
@@ -152,3 +225,36 @@ def extract_embeddings(rows: DataFrame, model, dim: int | None = None) -> DataFr
             yield pd.DataFrame({"utt": batch["utt"], "crop_id": batch["crop_id"], "embedding": [v.tolist() for v in made]})
 
     return rows.select("utt", "crop_id", "samples").mapInPandas(run, "utt string, crop_id int, embedding array<float>")
+
+
+def vector_mean(vector: str | Column) -> Column:
+    """Element-wise mean of a group's vectors of one length (an Arrow aggregate); nulls are left out. The group is held
+    in one task: for hot groups use ``scoring.prototypes``, which sums by position."""
+    return _mean_udf()(vector)
+
+
+def _mean_udf():
+    def mean(vectors: pa.Array) -> list:
+        known = vectors.drop_null()
+        if not len(known):
+            return None
+        return known.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(known), -1).mean(axis=0).tolist()
+
+    return F.arrow_udf(mean, "array<double>")
+
+
+class Crops:
+    """As ``evaluation_crops``, a table function for lateral joins: a row for each crop of a clip of n samples."""
+
+    def eval(self, n: int, frames: int, crops: int) -> Iterator[tuple[int, int, int]]:
+        size = frames * 160 + 240
+        full = size + 1 if n <= size else n
+        for k in range(crops):
+            yield k, k * (full - size) // max(crops - 1, 1), size
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions: ``vector_mean(vector)``, an aggregate, and the table function ``crops(n, frames, crops)`` with rows
+    (crop_id, start, length)."""
+    spark.udf.register("vector_mean", _mean_udf())
+    spark.udtf.register("crops", F.udtf(Crops, returnType="crop_id int, start long, length long"))

@@ -29,8 +29,8 @@ def operating_points(counts: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(totals))  # one row
 
 
-def roc_curve(counts: DataFrame, prune: bool = True) -> DataFrame:
-    points = operating_points(counts)
+def roc_curve(counts: DataFrame, prune: bool = True, points: DataFrame | None = None) -> DataFrame:
+    points = operating_points(counts) if points is None else points
     if prune:
         inside = (F.col("ordinal") > 1) & (F.col("ordinal") < F.col("n_points")) & (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg")) & (F.col("n_points") > 2)
         points = points.filter(~inside)
@@ -43,8 +43,8 @@ def roc_curve(counts: DataFrame, prune: bool = True) -> DataFrame:
     return head.unionByName(out)
 
 
-def det_curve(counts: DataFrame) -> DataFrame:
-    points = operating_points(counts)
+def det_curve(counts: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    points = operating_points(counts) if points is None else points
     rejected = lambda name: F.col(f"total_{name}") - F.col(f"cum_{name}") + F.col(name)
     return points.select(
         (F.col("n_points") + 1 - F.col("ordinal")).cast("long").alias("ordinal"), F.col("score").cast("double").alias("threshold"),
@@ -104,11 +104,14 @@ def evaluation_report(scored: DataFrame, p_target: float = 0.05, c_miss: float =
     """One row: n_trials, n_pos, eer, eer_threshold, min_dcf, dcf_threshold."""
     counts = score_counts(scored)
     n = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_trials"), F.coalesce(F.sum("pos"), F.lit(0)).cast("long").alias("n_pos"))
-    return n.crossJoin(equal_error_rate(roc_curve(counts))).crossJoin(min_dcf(det_curve(counts), p_target, c_miss, c_fa))  # three one-row tables
+    points = operating_points(counts)  # sorted once
+    return n.crossJoin(equal_error_rate(roc_curve(counts, points=points))).crossJoin(min_dcf(det_curve(counts, points), p_target, c_miss, c_fa))  # three one-row tables
 
 
 def roc_series(scored: DataFrame) -> DataFrame:
-    """The full curve with a marker on its equal-error point."""
-    curve = materialize(roc(scored, prune=False))
-    mark = curve.filter("fpr is not null and fnr is not null").agg(F.min(F.struct(F.abs(F.col("fnr") - F.col("fpr")).alias("gap"), "ordinal")).alias("b")).select(F.col("b.ordinal").alias("mark"))
+    """The full curve with a marker on its equal-error point; curve and marker come from one sorted pass."""
+    counts = score_counts(scored)
+    curve = roc_curve(counts, prune=False, points=operating_points(counts))
+    gap = F.struct(F.abs(F.col("fnr") - F.col("fpr")).alias("gap"), "ordinal")
+    mark = curve.filter("fpr is not null and fnr is not null").agg(F.min(gap).alias("b")).select(F.col("b.ordinal").alias("mark"))
     return curve.crossJoin(F.broadcast(mark)).select("ordinal", "threshold", "fpr", "fnr", (F.col("ordinal") == F.col("mark")).alias("is_eer"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import vectors
+from veriframe.functions.registry import Registry
 from veriframe.functions.scalars import seeded_int, seeded_uniform
 from veriframe.operators.scoring import against_classes, group_sums
 
@@ -122,12 +125,12 @@ def triplet_trials(batch: DataFrame, **options) -> DataFrame:
 
 
 def distillation(student: DataFrame, teacher: DataFrame, kind: str = "mse", temperature: float = 1.0) -> DataFrame:
-    """Mean distance of student and teacher embeddings of the same utterance: mse (of vectors over the temperature),
-    cosine (1 - cos), or kl (batch mean of the softened divergence)."""
+    """Mean distance of student and teacher embeddings of the same utterance: mse (of unit-length vectors over the
+    temperature), cosine (1 - cos), or kl (batch mean of the softened divergence)."""
     pairs = student.select("utt", F.col("embedding").alias("s")).join(teacher.select("utt", F.col("embedding").alias("t")), "utt")
     s, t = F.col("s"), F.col("t")
     value: Column = {
-        "mse": vectors.squared_distance(s, t) / (temperature**2) / F.size("s"),
+        "mse": vectors.squared_distance(vectors.normalized(s), vectors.normalized(t)) / (temperature**2) / F.size("s"),
         "cosine": 1 - vectors.cosine(s, t),
         "kl": vectors.kl_divergence(s, t, temperature),
     }[kind]
@@ -136,3 +139,15 @@ def distillation(student: DataFrame, teacher: DataFrame, kind: str = "mse", temp
 
 def blended(classification: Column, distance: Column, alpha: float) -> Column:
     return (1 - alpha) * classification + alpha * distance
+
+
+#: Losses over (rows, classes) or over a batch, by name; every one gives a row (loss, ...).
+class_losses: Registry[Callable[..., DataFrame]] = Registry("class loss")
+batch_losses: Registry[Callable[..., DataFrame]] = Registry("batch loss")
+class_losses.register("softmax", lambda rows, classes, **o: classification_loss(rows, classes, "dot", **o))
+class_losses.register("amsoftmax", lambda rows, classes, **o: classification_loss(rows, classes, "am", **o))
+class_losses.register("aamsoftmax", lambda rows, classes, **o: classification_loss(rows, classes, "aam", **o))
+batch_losses.register("proto", lambda batch, **o: prototypical_loss(batch, "proto", **o))
+batch_losses.register("angleproto", lambda batch, **o: prototypical_loss(batch, "angular", **o))
+batch_losses.register("ge2e", ge2e_loss)
+batch_losses.register("triplet", triplet_loss)

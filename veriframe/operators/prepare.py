@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.scalars import round_down, seeded_int, seeded_key, speaker_of
-from veriframe.plans.prefix_sum import running_sums
+from veriframe.plans.prefix_sum import numbered_within, running_sums
 
 
 def restrict_manifest(manifest: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -75,34 +75,35 @@ def sample_keys(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def balance_quotas(positive: int, negative: int, ratio: float) -> tuple[int, int]:
-    """How many trials of each class a list with this share of positives takes."""
-    total = 2 * min(positive, negative)
-    want = int(total * ratio)
-    other = total - want
-    if want > positive:
-        want, other = positive, int(positive * (1 - ratio) / ratio)
-    if other > negative:
-        want, other = int(negative * ratio / (1 - ratio)), negative
-    return want, other
+    """How many trials of each class a list with this share of positives takes: sized by twice the smaller class, else by
+    all positives, else by all negatives, whichever is the first that both classes can fill. Parts are cut down to whole
+    trials."""
+    both = 2 * min(positive, negative)
+    by_total = int(both * ratio), both - int(both * ratio)
+    if by_total[0] <= positive and by_total[1] <= negative:
+        return by_total
+    by_positives = positive, int(positive * (1 - ratio) / ratio) if ratio else negative + 1
+    return by_positives if by_positives[1] <= negative else (int(negative * ratio / (1 - ratio)), negative)
 
 
 def balanced_trials(trials: DataFrame, order: Column, tie: list[str], ratio: float = 0.5) -> DataFrame:
     """A seeded sample with the given share of positives; without one of the classes, all trials. Each class takes
-    its first rows by the order key, a top-n and not a ranking of the class in one task."""
+    its first rows by the order key, a top-n and not a ranking of the class in one task. ``order_key`` stays on the
+    rows: a list that is written in its order is shuffled."""
     counted = trials.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     pos, neg = counted.p, counted.n - counted.p
+    keyed = trials.withColumn("order_key", order)
     if not pos or not neg:
-        return trials
+        return keyed
     take = balance_quotas(pos, neg, ratio)
-    keyed = trials.withColumn("_k", order)
-    parts = [keyed.filter(F.col("label") == y).orderBy("_k", *tie).limit(n) for y, n in ((1, take[0]), (0, take[1]))]
-    return parts[0].unionByName(parts[1]).drop("_k")
+    parts = [keyed.filter(F.col("label") == y).orderBy("order_key", *tie).limit(n) for y, n in ((1, take[0]), (0, take[1]))]
+    return parts[0].unionByName(parts[1])
 
 
 def encode_labels(rows: DataFrame, column: str) -> DataFrame:
-    """Adds ``<column>_idx``: the value's place among the sorted distinct values."""
-    ranked = rows.select(column).distinct().withColumn(f"{column}_idx", F.row_number().over(Window.orderBy(column)) - 1)  # one row a speaker
-    return rows.join(ranked, column)
+    """Adds ``<column>_idx``: the value's place among the sorted distinct values, by running counts."""
+    ranked = running_sums(rows.select(column).filter(F.col(column).isNotNull()).distinct(), column, [])
+    return rows.join(ranked.select(column, (F.col("ordinal") - 1).alias(f"{column}_idx")), column)
 
 
 def capped_groups(rows: DataFrame, speaker: str, key: str, seed: int, max_per_speaker: int, per_group: int) -> DataFrame:
@@ -120,12 +121,21 @@ def capped_groups(rows: DataFrame, speaker: str, key: str, seed: int, max_per_sp
 def batch_plan(groups: DataFrame, speaker: str, seed: int, batch_size: int) -> DataFrame:
     """Round batching: the n-th tuples of all speakers form round n, are ordered by hash and cut into batches; a
     round's remainder is dropped. Speakers in a batch are distinct by construction. Expects one row for each tuple
-    (speaker, group_no); adds round, batch_in_round and slot_in_batch."""
-    within = Window.partitionBy("group_no").orderBy("_k", speaker)
-    size = F.count("*").over(Window.partitionBy("group_no"))
-    ranked = groups.withColumn("_k", seeded_key(seed, F.col(speaker), F.col("group_no"))).withColumn("_r", F.row_number().over(within) - 1).withColumn("_n", size)
-    kept = ranked.filter(F.col("_r") < F.col("_n") - F.pmod(F.col("_n"), F.lit(batch_size)))
-    return kept.withColumn("batch_in_round", F.floor(F.col("_r") / batch_size).cast("long")).withColumn("slot_in_batch", F.pmod(F.col("_r"), F.lit(batch_size)).cast("int")).withColumnRenamed("group_no", "round").drop("_k", "_r", "_n")
+    (speaker, group_no); adds round, batch_in_round and slot_in_batch. Places are running counts, so no task holds a round."""
+    kept = _in_rounds(groups, speaker, seed).filter(F.col("_r") < round_down(F.col("n__r"), batch_size))
+    kept = kept.withColumn("batch_in_round", F.floor(F.col("_r") / batch_size).cast("long")).withColumn("slot_in_batch", F.pmod(F.col("_r"), F.lit(batch_size)).cast("int"))
+    return kept.withColumnRenamed("group_no", "round").drop("_k", "_r", "n__r")
+
+
+def _in_rounds(groups: DataFrame, speaker: str, seed: int) -> DataFrame:
+    return numbered_within(groups.withColumn("_k", seeded_key(seed, F.col(speaker), F.col("group_no"))), ["group_no"], ["_k", speaker], "_r")
+
+
+def batch_counts(groups: DataFrame, batch_size: int) -> DataFrame:
+    """(round, n_tuples, n_batches, n_kept, n_dropped) of ``batch_plan`` over the same tuples."""
+    n = groups.groupBy(F.col("group_no").alias("round")).agg(F.count("*").alias("n_tuples"))
+    kept = round_down(F.col("n_tuples"), batch_size)
+    return n.select("round", "n_tuples", F.floor(F.col("n_tuples") / batch_size).cast("long").alias("n_batches"), kept.alias("n_kept"), (F.col("n_tuples") - kept).alias("n_dropped"))
 
 
 def tuples(rows: DataFrame, speaker: str, key: str, size: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.scalars import decayed_rate
+from veriframe.plans.prefix_sum import running_sums
 
 
 def segments(records: DataFrame, run: str, order: str, epoch: str = "epoch") -> DataFrame:
@@ -57,10 +58,13 @@ def gap_to_baseline(best: DataFrame, run: str, baseline: str | int, value: str =
     return joined.select(run, value, (F.col(value) - F.col("base")).alias("gap"), F.try_divide(100 * (F.col(value) - F.col("base")), F.col("base")).alias("gap_pct"))
 
 
-def efficiency(best: DataFrame, size: str, value: str = "best_value") -> DataFrame:
-    """Value per unit of size, ranked; the table has one row a run."""
-    ratio = best.withColumn("ratio", F.try_divide(F.col(value), F.col(size)))
-    return ratio.withColumn("rank", F.rank().over(Window.orderBy("ratio")))
+def efficiency(best: DataFrame, size: str, value: str = "best_value", digits: int = 9) -> DataFrame:
+    """Adds value per unit of size (``ratio``, rounded) and its ``rank``; equal ratios share one, null ratios have none.
+    Ranks are running counts over the distinct ratios."""
+    ratio = best.withColumn("ratio", F.round(F.try_divide(F.col(value), F.col(size)), digits))
+    known = ratio.filter("ratio is not null").groupBy("ratio").agg(F.count("*").alias("same"))
+    ranks = running_sums(known, "ratio", ["same"]).select("ratio", (F.col("cum_same") - F.col("same") + 1).alias("rank"))
+    return ratio.join(ranks, "ratio", "left").select(*best.columns, "ratio", "rank")
 
 
 def loss_shares(records: DataFrame, classification: str, distance: str, alpha: float) -> DataFrame:

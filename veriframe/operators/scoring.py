@@ -8,20 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import vectors
+from veriframe.functions.registry import Registry
 
 Scorer = Callable[[Column, Column], Column]
-_scorers: dict[str, Scorer] = {}
+scorers: Registry[Scorer] = Registry("scorer")
 
 
 def register_scorer(name: str, scorer: Scorer) -> None:
     """Make a pairwise score available by name."""
-    _scorers[name] = scorer
+    scorers.register(name, scorer)
 
 
 def scorer(name: str) -> Scorer:
-    if name not in _scorers:
-        raise KeyError(f"no scorer {name!r}; there are {sorted(_scorers)}")
-    return _scorers[name]
+    return scorers[name]
 
 
 register_scorer("euclidean", lambda a, b: -vectors.distance(a, b))
@@ -82,11 +81,11 @@ def leave_one_out(embeddings: DataFrame, group: str) -> DataFrame:
     return joined.select(*embeddings.columns, rest.alias("loo_centroid"))
 
 
-def against_classes(rows: DataFrame, classes: DataFrame, max_classes: int = 100_000) -> DataFrame:
-    """Every row with every class: the class table (cls, w) is broadcast, behind a check of its size."""
-    n = classes.limit(max_classes + 1).count()
-    if n > max_classes:
-        raise ValueError(f"more than {max_classes} classes: block the class table and call for each block")
+def against_classes(rows: DataFrame, classes: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
+    """Every row with every class: the class table (cls, w) is broadcast, behind a check of its bytes."""
+    size = classes.agg(F.coalesce(F.sum(8 * F.size("w") + 16), F.lit(0)).alias("bytes")).first().bytes
+    if size > max_bytes:
+        raise ValueError(f"the classes have {size} bytes, more than {max_bytes}: score in blocks (cohort.top_statistics)")
     return rows.crossJoin(F.broadcast(classes))
 
 

@@ -34,3 +34,13 @@ def running_sums(df: DataFrame, key: str, values: list[str], ascending: bool = T
         (F.row_number().over(within) + F.col("_b_n")).alias("ordinal"),
         *[F.coalesce(F.lead(c).over(within), F.col(f"_l_{c}")).alias(f"next_{c}") for c in next_of],
     )
+
+
+def numbered_within(df: DataFrame, group: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """Adds ``name``, a row's place from 0 among its group's rows by ``order`` (group and order together are unique), and
+    ``n_<name>``, the group's rows. Numbered by running counts over all groups, so that no task holds a group."""
+    ordinals = running_sums(df.withColumn("_key", F.struct(*group, *order)), "_key", [])
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    spans = ordinals.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group]).agg(F.min("ordinal").alias("_first"), F.count("*").alias(f"n_{name}"))
+    joined = ordinals.join(spans, same)
+    return joined.select(*df.columns, (F.col("ordinal") - F.col("_first")).alias(name), f"n_{name}")
