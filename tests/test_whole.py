@@ -22,14 +22,14 @@ def test_every_full_tuple_is_batched(spark):
 def test_whole_losses_score_every_tuple(spark, sf_dir):
     e = catalogue.embeddings(spark, sf_dir)
     tuples = e.groupBy("label").count().agg(F.sum(F.floor(F.col("count") / 3)).alias("n")).first().n
-    assert catalogue.QUERIES["proto_loss_whole"](spark, sf_dir).first().n_rows == tuples
-    assert catalogue.QUERIES["ge2e_loss_whole"](spark, sf_dir).first().n_rows == 3 * tuples
+    assert catalogue.QUERIES["proto_loss"](spark, sf_dir).first().n_rows == tuples
+    assert catalogue.QUERIES["ge2e_loss"](spark, sf_dir).first().n_rows == 3 * tuples
 
 
 def test_every_trial_is_normalised(spark, sf_dir):
-    assert catalogue.QUERIES["snorm_scores_whole"](spark, sf_dir).count() == catalogue.trials(spark, sf_dir).count()
+    assert catalogue.QUERIES["snorm_scores"](spark, sf_dir).count() == catalogue.trials(spark, sf_dir).count()
 
 
 def test_leakage_of_all_keys(spark, sf_dir):
     keys = [{r[0] for r in catalogue.table(spark, sf_dir, t).select(c).collect()} for t, c in (("customer", "c_custkey"), ("orders", "o_custkey"))]
-    assert catalogue.QUERIES["leakage_check_whole"](spark, sf_dir).first().n_shared == len(keys[0] & keys[1])
+    assert catalogue.QUERIES["leakage_check"](spark, sf_dir).first().n_shared == len(keys[0] & keys[1])

@@ -115,8 +115,7 @@ def roc_full(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_R}, b AS (SELECT ordinal AS o FROM f ORDER BY abs(fnr - fpr), ordinal LIMIT 1)
- SELECT ordinal, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr, ordinal = o AS is_eer FROM f, b"""
+    f"""WITH {_R} SELECT ordinal, round(fpr, 9) AS fpr, round(fnr, 9) AS fnr, ordinal = first_value(ordinal) OVER (ORDER BY abs(fnr - fpr), ordinal) AS is_eer FROM f"""
 )
 def roc_series(spark, sf_dir):
     return detection.roc_series(trials(spark, sf_dir)).select("ordinal", rounded("fpr", 9).alias("fpr"), rounded("fnr", 9).alias("fnr"), "is_eer")
@@ -342,9 +341,16 @@ def _teacher(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return e, e.withColumn("embedding", F.reverse("embedding"))
 
 
-@query(f"WITH {_E} SELECT round(avg(pow(list_distance(v, list_reverse(v)), 2) / 4 / len(v)), 6) AS distance, count(*) AS n_rows FROM e")
+@query(
+    f"""WITH {_E}, u AS (SELECT list_transform(v, lambda x: x * (vec_id % 5 + 1)) AS s, list_transform(list_reverse(v), lambda x: x * (vec_id % 3 + 1)) AS t FROM e),
+ n AS (SELECT list_transform(s, lambda x: x / greatest(sqrt(list_dot_product(s, s)), 1e-12)) AS s, list_transform(t, lambda x: x / greatest(sqrt(list_dot_product(t, t)), 1e-12)) AS t FROM u)
+ SELECT round(avg(pow(list_distance(s, t), 2) / 4 / len(s)), 6) AS distance, count(*) AS n_rows FROM n"""
+)
 def distill_mse(spark, sf_dir):
-    return losses.distillation(*_teacher(spark, sf_dir), "mse", 2.0).select(rounded("distance").alias("distance"), "n_rows")
+    """Vectors of unequal length: the distance does not depend on it."""
+    long = lambda df, k: df.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (F.pmod("utt", F.lit(k)) + 1)))
+    student, teacher = _teacher(spark, sf_dir)
+    return losses.distillation(long(student, 5), long(teacher, 3), "mse", 2.0).select(rounded("distance").alias("distance"), "n_rows")
 
 
 @query(f"WITH {_E} SELECT round(avg(1 - list_dot_product(v, list_reverse(v)) / greatest(list_dot_product(v, v), 1e-12)), 6) AS distance, count(*) AS n_rows FROM e")
@@ -364,7 +370,7 @@ def distill_kl(spark, sf_dir):
 
 @query(
     f"""WITH {_T}, {_P}, h AS (SELECT a.vec_id AS side, cls AS cid, -list_distance(a.v, w) AS s FROM e a, pr),
- g AS (SELECT side, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY s DESC, cid) AS r FROM h) WHERE r <= 20 GROUP BY side)
+ g AS (SELECT side, avg(s) AS mu, stddev_pop(s) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY s DESC, cid) AS r FROM h) WHERE r <= 5 GROUP BY side)
  SELECT ref, com, round(((score - x.mu) / (x.sd + 1e-6) + (score - y.mu) / (y.sd + 1e-6)) / 2, 4) AS norm_score FROM t JOIN g x ON ref = x.side JOIN g y ON com = y.side"""
 )
 def snorm_scores(spark, sf_dir):
@@ -372,7 +378,7 @@ def snorm_scores(spark, sf_dir):
     classes = scoring.prototypes(e, "label").select(F.col("label").alias("cls"), F.col("centroid").alias("w"))
     cohort = scoring.against_classes(e.select(F.col("vec_id").alias("side"), "embedding"), classes)
     cohort = cohort.select("side", F.col("cls").alias("cohort_id"), (-vectors.distance(F.col("embedding"), F.col("w"), DIM)).alias("cohort_score"))
-    return scoring.score_normalized(trials(spark, sf_dir), cohort, 20).select("ref", "com", F.round("norm_score", 4).alias("norm_score"))
+    return scoring.score_normalized(trials(spark, sf_dir), cohort, 5).select("ref", "com", F.round("norm_score", 4).alias("norm_score"))
 
 
 # ---- manifests and trial lists ----------------------------------------------------------------------------------
@@ -443,7 +449,7 @@ def restrict_trials(spark, sf_dir):
 
 @query(
     f"""WITH {_T}, n AS (SELECT CAST(sum(label) AS BIGINT) AS p, CAST(sum(1 - label) AS BIGINT) AS g FROM t), q AS (SELECT least(p, g) AS k FROM n),
- r AS (SELECT ref, com, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '3', ref, com)), ref, com) AS i FROM t) SELECT ref, com, label FROM r, q WHERE i <= k"""
+ r AS (SELECT ref, com, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '3', ref, com)), ref, com) AS i FROM t) SELECT ref, com, label, md5(concat_ws('|', '3', ref, com)) AS order_key FROM r, q WHERE i <= k"""
 )
 def balanced_trials(spark, sf_dir):
     own = trials(spark, sf_dir).select("ref", "com", "label")
@@ -594,8 +600,7 @@ def time_to_best(spark, sf_dir):
 @query(f"WITH {_TOP}, r AS (SELECT run, round(best_value / (run % 10 + 1), 9) AS ratio FROM b) SELECT run, ratio, rank() OVER (ORDER BY ratio) AS rank FROM r")
 def efficiency_rank(spark, sf_dir):
     best = runs.best_epoch(records(spark, sf_dir), ["run"], "epoch", "veer").withColumn("size", F.pmod("run", F.lit(10)) + 1)
-    out = best.withColumn("ratio", F.round(F.col("best_value") / F.col("size"), 9))
-    return out.withColumn("rank", F.rank().over(Window.orderBy("ratio")).cast("long")).select("run", "ratio", "rank")  # one row a run
+    return runs.efficiency(best, "size").select("run", "ratio", "rank")
 
 
 @query(f"WITH {_V} SELECT run % 5 AS argument, min(veer) AS best_value, count(DISTINCT run) AS n_runs FROM ev GROUP BY 1")
@@ -606,13 +611,14 @@ def ablation_table(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_V}, a AS (SELECT run, epoch, veer AS tloss FROM ev WHERE event_id % 3 > 0), b AS (SELECT run, epoch, veer AS veer FROM ev WHERE event_id % 3 < 2)
+    f"""WITH {_V}, a AS (SELECT run, epoch, veer AS tloss FROM ev), b AS (SELECT run, epoch + 1 AS epoch, veer FROM ev)
  SELECT coalesce(a.run, b.run) AS run, coalesce(a.epoch, b.epoch) AS epoch, tloss, veer FROM a FULL JOIN b ON a.run = b.run AND a.epoch = b.epoch"""
 )
 def wide_epochs(spark, sf_dir):
+    """All records on both sides, validation an epoch late: a run's first and last epochs have no partner."""
     own = records(spark, sf_dir)
-    train = own.filter("event_id % 3 > 0").select("run", "epoch", F.col("veer").alias("tloss"))
-    return runs.wide_epochs(train, own.filter("event_id % 3 < 2").select("run", "epoch", "veer"), ["run", "epoch"])
+    train = own.select("run", "epoch", F.col("veer").alias("tloss"))
+    return runs.wide_epochs(train, own.select("run", (F.col("epoch") + 1).alias("epoch"), "veer"), ["run", "epoch"])
 
 
 @query(f"WITH {_V} SELECT run, epoch, CASE WHEN (1 - 0.7) * veer + 0.7 * epoch <> 0 THEN round(100 * ((1 - 0.7) * veer) / ((1 - 0.7) * veer + 0.7 * epoch), 5) END AS class_share_pct FROM ev")
@@ -691,12 +697,12 @@ def parse_score_log(spark, sf_dir):
     return logs.parse_log(made, keep=("run",)).select("run", "epoch", "veer", "min_dcf")
 
 
-@query("SELECT event_id, event_type AS model, user_id AS width FROM events")
+@query("SELECT event_id, TIMESTAMP '2025-10-29 03:51:50' AS run_ts, event_type AS model, user_id AS width FROM events")
 def parse_run_args(spark, sf_dir):
-    text = F.concat(F.lit("Namespace(model='"), F.col("event_type"), F.lit("', empty='', lr=0.001, width="), F.col("user_id").cast("string"), F.lit(", eval=False)"))
+    text = F.concat(F.lit("Namespace(model='"), F.col("event_type"), F.lit("', empty='', lr=0.001, width=0, names=['width=1', 'b'], width="), F.col("user_id").cast("string"), F.lit(", eval=False)"))
     made = table(spark, sf_dir, "events").select(F.concat(F.lit("run20251029035150.cmd#"), F.col("event_id").cast("string")).alias("file"), text.alias("value"))
     parsed = logs.parse_run_arguments(made)
-    return parsed.select(F.substring_index("file", "#", -1).cast("long").alias("event_id"), F.try_element_at("args", F.lit("model")).alias("model"), F.try_element_at("args", F.lit("width")).cast("long").alias("width"))
+    return parsed.select(F.substring_index("file", "#", -1).cast("long").alias("event_id"), F.col("run_ts").cast("timestamp_ntz").alias("run_ts"), F.try_element_at("args", F.lit("model")).alias("model"), F.try_element_at("args", F.lit("width")).cast("long").alias("width"))
 
 
 # ---- audio plans ------------------------------------------------------------------------------------------------
@@ -735,13 +741,14 @@ def augment_plan(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_A}, r AS (SELECT * FROM (VALUES ('noise', 0, 15, 1, 1), ('speech', 13, 20, 3, 7), ('music', 5, 15, 1, 1)) AS r(category, lo, hi, n_lo, n_hi)),
+    f"""WITH RECURSIVE {_A}, r AS (SELECT * FROM (VALUES ('noise', 0, 15, 1, 1), ('speech', 13, 20, 3, 7), ('music', 5, 15, 1, 1)) AS r(category, lo, hi, n_lo, n_hi)),
  pool AS (SELECT ['noise', 'speech', 'music'][p_partkey % 3 + 1] AS category, concat('p/', lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS path FROM part),
  num AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY path) - 1 AS nth FROM pool), sz AS (SELECT category, count(*) AS pool_size FROM pool GROUP BY category),
  k AS (SELECT doc_id, a.category, lo, hi, pool_size, least(n_lo + {_U.format(seed=1, key='doc_id')} % (n_hi - n_lo + 1), pool_size) AS k FROM a JOIN r USING (category) JOIN sz USING (category)),
- x AS (SELECT *, unnest(range(0, k)) AS noise_no FROM k)
- SELECT doc_id, x.category, noise_no, path, round(lo + {_U.format(seed=3, key='doc_id, noise_no')} / 4294967296.0 * (hi - lo), 6) AS snr_db
- FROM x JOIN num ON num.category = x.category AND num.nth = ({_U.format(seed=2, key='doc_id')} + noise_no) % pool_size"""
+ f(doc_id, category, lo, hi, n, k, i, had) AS (SELECT doc_id, category, lo, hi, pool_size, k, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM k
+  UNION ALL SELECT doc_id, category, lo, hi, n, k, i + 1, list_append(had, CASE WHEN list_contains(had, t) THEN n - k + i ELSE t END) FROM (SELECT *, {_U.format(seed=2, key='doc_id, i')} % (n - k + i + 1) AS t FROM f WHERE i < k)),
+ x AS (SELECT *, unnest(had) AS nth, generate_subscripts(had, 1) - 1 AS noise_no FROM f WHERE i = k)
+ SELECT doc_id, x.category, noise_no, path, round(lo + {_U.format(seed=3, key='doc_id, noise_no')} / 4294967296.0 * (hi - lo), 6) AS snr_db FROM x JOIN num USING (category, nth)"""
 )
 def noise_plan(spark, sf_dir):
     p = F.col("p_partkey")
@@ -770,7 +777,9 @@ def _drained(stream: DataFrame) -> DataFrame:
     from veriframe.plans.materialize import shared_folder
 
     where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with monitor.state_store(spark):
+        query = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
@@ -789,8 +798,3 @@ def stream_rate(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     out = _drained(monitor.progress_rate(stream, "ts"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("items_per_s", 9).alias("items_per_s"))
-
-
-# these took part of their tables once; their other names stay
-for _name in ("proto_loss", "angleproto_loss", "ge2e_loss", "triplet_hinge", "hard_negatives", "combined_loss", "snorm_scores", "leakage_check"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]
