@@ -142,9 +142,8 @@ def test_monitor_resumes(spark, tmp_path):
     for step in range(2):
         rows = [(run, i, v[i]) for run, v in values.items() for i in range(step * 20, step * 20 + 20)]
         spark.createDataFrame(rows, "run long, seq long, value double").coalesce(1).write.mode("append").parquet(src)
-        stream = monitor.monitored(spark.readStream.schema("run long, seq long, value double").parquet(src), 8)
-        with monitor.state_store(spark):
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        stream = monitor.monitored(monitor.state_session(spark).readStream.schema("run long, seq long, value double").parquet(src), 8)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.run, r.seq, r.event) for r in spark.read.parquet(out).collect())
     want = []
     for run, v in values.items():

@@ -771,14 +771,12 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
-def _drained(stream: DataFrame) -> DataFrame:
+def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Run a stream over all that is there into a table in the shared folder, and read it."""
-    spark = stream.sparkSession
     from veriframe.plans.materialize import shared_folder
 
     where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    with monitor.state_store(spark):
-        query = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
@@ -788,13 +786,14 @@ def _drained(stream: DataFrame) -> DataFrame:
  SELECT s.run, s.epoch AS seq, CASE WHEN improved THEN 'improved' ELSE 'stopped' END AS event, least(veer, coalesce(best, veer)) AS best FROM s LEFT JOIN z USING (run) WHERE (improved AND (stop_at IS NULL OR epoch < stop_at)) OR epoch = stop_at"""
 )
 def stream_best_monitor(spark, sf_dir):
-    numbered = records(spark, sf_dir).select("event_id", F.col("epoch").alias("seq"))
-    stream = _event_stream(spark, sf_dir).select("event_id", F.col("user_id").alias("run"), F.col("value"))
-    return _drained(monitor.monitored(stream.join(numbered, "event_id").select("run", "seq", "value"), 20))
+    own = monitor.state_session(spark)
+    numbered = records(own, sf_dir).select("event_id", F.col("epoch").alias("seq"))
+    stream = _event_stream(own, sf_dir).select("event_id", F.col("user_id").alias("run"), F.col("value"))
+    return _drained(monitor.monitored(stream.join(numbered, "event_id").select("run", "seq", "value"), 20), spark)
 
 
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n, max(date_trunc('hour', max(ts))) OVER () AS last FROM events GROUP BY 1) SELECT start, n, round(n / 3600.0, 9) AS items_per_s FROM h WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 def stream_rate(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drained(monitor.progress_rate(stream, "ts"))
+    out = _drained(monitor.progress_rate(stream, "ts"), spark)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("items_per_s", 9).alias("items_per_s"))

@@ -141,14 +141,13 @@ _LIVE = _BEST.replace("user_id AS run", "user_id % 4 AS run").replace("PARTITION
 )
 def live_best_monitor(spark, sf_dir):
     """Best values and stops of runs whose logs grow in ten steps; the state outlives a restart."""
-    rows = _log_records(spark, sf_dir)
+    rows, own = _log_records(spark, sf_dir), monitor.state_session(spark)
     source, out, state = (folder(spark, x) for x in ("source", "events", "state"))
 
     def start() -> StreamingQuery:
-        lines = monitor.live_log(spark, source).filter("kind = 'validation'")
+        lines = monitor.live_log(own, source).filter("kind = 'validation'")
         numbered = lines.select(F.regexp_extract("file", r"run=(\d+)", 1).cast("long").alias("run"), F.col("epoch").cast("long").alias("seq"), F.col("veer").alias("value"))
-        with monitor.state_store(spark):
-            return monitor.monitored(numbered, 200).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
+        return monitor.monitored(numbered, 200).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
 
     _written_live(rows, source, start)
     return spark.read.parquet(out)

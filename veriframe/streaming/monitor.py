@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +22,14 @@ def live_log(spark: SparkSession, path: str) -> DataFrame:
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started inside keep their state in STATE_STORE; the session's own setting comes back after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STATE_STORE)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of its own whose streams keep their state in STATE_STORE; the caller's session stays as it is. Streams
+    read the setting some time after they are started, so it cannot be lent for a moment."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return own
 
 
 class BestMonitor(StatefulProcessor):
@@ -68,7 +65,7 @@ class BestMonitor(StatefulProcessor):
 
 
 def monitored(stream: DataFrame, patience: int) -> DataFrame:
-    """Events (run, seq, event, best) of a stream (run, seq, value); start it inside ``state_store``."""
+    """Events (run, seq, event, best) of a stream (run, seq, value) that was made in a ``state_session``."""
     return stream.groupBy("run").transformWithStateInPandas(statefulProcessor=BestMonitor(patience), outputStructType="run long, seq long, event string, best double", outputMode="Append", timeMode="None")
 
 
