@@ -1,5 +1,8 @@
 """Names and tags are only hints: the text and the links of a block can outweigh them."""
 
+from html.parser import HTMLParser
+
+import numpy as np
 import pytest
 
 from veriframe.llm import pages
@@ -46,6 +49,100 @@ def test_short_blocks_after_links_stay():
         assert got == f"T\n\n{PARA}\n\n{PARA}"
 
 
+def words(n):
+    return " ".join(f"x{k}" for k in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 30, 45, 60])
+def test_notices_adverts_comments_and_forms_go(n):
+    title, para, text = "<h1>A title</h1>", f"<p>{PARA}</p>", words(n)
+    article, want = f"<article>{title}{para}{para}</article>", f"A title\n\n{PARA}\n\n{PARA}"
+    notice = f"<div class='cookie-notice'><p>{text}</p></div>"
+    menu, foot = "<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<footer><p>copyright</p></footer>"
+    comments = lambda h: f"<h3>{h}</h3><p>{text}</p><p>{words(9)}</p>"
+    inside = lambda x: f"<article>{title}{para}{x}{para}</article>"
+    for page in (
+        notice + article, article + notice, menu + notice + article + foot, f"<div id='notice_bar'>{text}</div>{article}", article + f"<div class='promo-box'><h3>Offer</h3><p>{text}</p></div>",
+        inside(f"<div class='ad-slot'><p>{text}</p></div>"), inside(f"<div class='ad-banner'>{text}</div>"), article + f"<form><p>{text}</p></form>", inside(f"<form><p>{text}</p></form>"),
+        f"{article}<div>{comments('Comments')}</div>", article + comments("Comments"), f"<article>{title}{para}{para}{comments('Comments (3)')}</article>", f"<article>{title}{para}{para}<div>{comments('Leave a reply')}</div></article>",
+    ):
+        assert pages.main_text(f"<body>{page}</body>", TREE) == want, page[:200]
+    for name in ("layout has-sidebar", "no-ads", "main-content"):
+        assert pages.main_text(f"<div class='{name}'>{title}{para}{para}</div>", TREE) == want
+    assert pages.main_text(f"<body>{inside(f'<p>{text}</p>')}</body>", TREE) == f"A title\n\n{PARA}\n\n{text}\n\n{PARA}"
+
+
+def test_every_split_is_the_best():
+    """The tree's splits against all others, by the definition of Gini impurity."""
+    rows, labels = pages.labelled()
+    rng = np.random.default_rng(0)
+    some = rng.choice(len(labels), 400, replace=False)
+    rows, labels = rows[some], labels[some]
+    impurity = lambda y: 2 * len(y) * y.mean() * (1 - y.mean()) if len(y) else 0.0
+
+    def check(tree, rows, labels):
+        assert tree.value == labels.mean()
+        if not tree.split:
+            return
+        f, at = tree.split
+        low = rows[:, f] <= at
+        got = impurity(labels[low]) + impurity(labels[~low])
+        every = [impurity(labels[rows[:, g] <= v]) + impurity(labels[rows[:, g] > v]) for g in range(rows.shape[1]) for v in np.unique(rows[:, g])[:-1]]
+        assert got == pytest.approx(min(every))
+        check(tree.low, rows[low], labels[low])
+        check(tree.high, rows[~low], labels[~low])
+
+    check(pages.Tree(rows, labels), rows, labels)
+
+
+class Blocks(HTMLParser):
+    """Blocks of well-formed example pages with what stands around them, by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.blocks, self.count, self.link = [], [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = 1
+            return
+        self.count += 1
+        self.path.append((self.count, tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = 0
+        else:
+            self.path.pop()
+
+    def handle_data(self, data):
+        at = tuple(self.path)
+        if not self.blocks or self.blocks[-1][0] != at:
+            self.blocks.append([at, 0, 0])
+        self.blocks[-1][1] += len(data.split())
+        self.blocks[-1][2] += self.link * len(data.split())
+
+
+def test_features_by_another_parser():
+    for example in list(pages.varied(60, 5)):
+        page = pages.example_page(example)
+        parser = Blocks()
+        parser.feed(page)
+        blocks = parser.blocks
+        got = [f for _, f in pages.features(page)]
+        assert len(got) == len(blocks) == len(example)
+        held = [p[:-1] if p and p[-1][1] in ("p", "li", "h1", "h2", "h3") else p for p, _, _ in blocks]
+        within = lambda box: [(n, k) for p, n, k in blocks if p[: len(box)] == box]  # noqa: B023, E731
+        for k, ((path, n, links), f) in enumerate(zip(blocks, got, strict=True)):
+            own, outer = within(held[k]), within(held[k][:-1])
+            share = lambda rows: sum(b for _, b in rows) / max(1, sum(a for a, _ in rows))
+            before, after = (blocks[j] if 0 <= j < len(blocks) else (0, 0, 0) for j in (k - 1, k + 1))
+            assert f[:6] == (n, links / n, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]))
+            assert f[6:11] == pytest.approx((sum(a for a, _ in own), share(own), sum(a for a, _ in own) / sum(b[1] for b in blocks), sum(a for a, _ in outer), share(outer)))
+            assert f[12] == any(t in ("article", "main") or c == "content" for _, t, c in path) and f[13] == (path[-1][1] in ("h1", "h2", "h3") if path else 0)
+            assert f[14] == any("-" in c for _, _, c in path)
+
+
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<!" * 20_000 + '<div a="' * 20_000, "<div>" * 100_000 + "</p>" * 100_000, "<script>" * 100_000, "<!--" * 100_000, '<div a="' * 100_000 + ">", "<p>x" * 100_000, "<a x='" * 100_000 + '">' * 1000])
 def test_broken_pages_are_read_in_linear_time(page):
     import time
@@ -59,8 +156,9 @@ def test_the_table_needs_text_and_links():
     rows, labels = pages.labelled()
     wrong = lambda tree: sum((tree(tuple(r)) >= 0.5) != y for r, y in zip(rows, labels, strict=True))
     assert wrong(TREE) == 0
-    assert wrong(pages.train(("furniture", "article", "heading"))) > 30
-    assert wrong(pages.train(tuple(f for f in pages.FEATURES if f not in ("furniture", "article")))) < 15
+    # shares of the table, which has had more pages since these were counts (30 and 15 of 337)
+    assert wrong(pages.train(("furniture", "article", "heading"))) > 0.09 * len(labels)
+    assert wrong(pages.train(tuple(f for f in pages.FEATURES if f not in ("furniture", "article")))) < 0.045 * len(labels)
 
 
 def test_empty_table_and_other_columns(spark):
