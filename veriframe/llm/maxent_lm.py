@@ -36,8 +36,8 @@ from veriframe.llm.words import WORD_BYTES, split_words
 #: Known words at most, and bytes of one; classes of head words and words in each; classes of body words (both powers of
 #: two); neighbours that describe a head word; rows of a weight table.
 KNOWN, KNOWN_BYTES, HEADS, SLOTS, BODIES, HUBS, BUCKETS = 65_536, 64, 16, 32, 16, 128, 1 << 15
-#: Rounds of training, tokens of a step, learning rate, tokens of a task and tasks of a round at most, rows of a block.
-ROUNDS, STEP, RATE, TASK_TOKENS, TASKS, BLOCK_ROWS = 3, 8_192, 0.3, 2_000_000, 1_024, 256
+#: Rounds of training, tokens of a task's first and of its later steps, learning rate, tokens of a task and tasks of a round at most, rows of a block.
+ROUNDS, FIRST_STEP, STEP, RATE, TASK_TOKENS, TASKS, BLOCK_ROWS = 3, 128, 8_192, 0.3, 2_000_000, 1_024, 256
 CLASSES = HEADS + BODIES + 1
 END, START, NEVER = b"\n", KNOWN, np.float32(-1e30)
 SMOOTH = 0.1
@@ -98,6 +98,8 @@ class Model:
     rest: float  # smoothed count of the last class
     class_weights: np.ndarray
     slot_weights: np.ndarray
+    class_met: np.ndarray  # how often a task met each row so far
+    slot_met: np.ndarray
 
 
 def _encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
@@ -211,15 +213,15 @@ def _untrained(encoded: DataFrame, words: list[bytes], counts: np.ndarray, n: in
         label = np.where(np.arange(len(words)) < head, kind[: len(words)], -1)
         near = _pair_counts(encoded, label, HEADS)[head:]
         kind[head : len(words)] = HEADS + split_alike(near, smooth[head:], BODIES)
-    mass = np.bincount(kind[: len(words)], weights=smooth, minlength=CLASSES)
+    mass = np.bincount(kind[: len(words)], weights=smooth, minlength=CLASSES).astype(float)
     mass[-1] = rest = (n - counts.sum()) + SMOOTH * (v - len(words) + 1)
     with np.errstate(divide="ignore"):
-        class_bias = np.maximum(np.log(mass / mass.sum()), NEVER).astype(np.float32)
+        class_bias = np.maximum(np.log(mass / mass.sum()), float(NEVER)).astype(np.float32)
     slot_bias = np.full((HEADS, SLOTS), NEVER, dtype=np.float32)
     slot_bias[kind[:head], slot[:head]] = np.log(smooth[:head])
     share = np.zeros(KNOWN + 1)
     share[: len(words)] = np.log(smooth / mass[kind[: len(words)]])
-    return Model(words, counts, n, v, kind, slot, class_bias, slot_bias, share, float(rest), np.zeros((BUCKETS, CLASSES), dtype=np.float32), np.zeros((BUCKETS, SLOTS), dtype=np.float32))
+    return Model(words, counts, n, v, kind, slot, class_bias, slot_bias, share, float(rest), np.zeros((BUCKETS, CLASSES), dtype=np.float32), np.zeros((BUCKETS, SLOTS), dtype=np.float32), np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64))
 
 
 def _features(model: Model, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,10 +261,10 @@ def _slot_logs(model: Model, hashed: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 class _Learner:
     """Gradient steps on one table of weights; ``met`` counts how often each row was met, and a row's steps shrink with
-    the root of that."""
+    the root of that and of ``before``, how often it was met in earlier rounds."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.met = weights, np.zeros(len(weights), dtype=np.int64)
+    def __init__(self, weights: np.ndarray, before: np.ndarray | int = 0):
+        self.weights, self.met, self.before = weights, np.zeros(len(weights), dtype=np.int64), np.zeros(len(weights), dtype=np.int64) + before
 
     def step(self, rows: np.ndarray, logs: np.ndarray, true: np.ndarray, draw: np.ndarray) -> None:
         """Ascend the likelihood of ``true`` outcomes under ``logs``. The expected part of the gradient is taken at one
@@ -273,7 +275,7 @@ class _Learner:
         wrong = np.flatnonzero(drawn != true)  # elsewhere both parts cancel
         self.met += np.bincount(rows.ravel(), minlength=len(self.met))
         own = rows[wrong].ravel()
-        size = (RATE / np.sqrt(self.met[own])).astype(np.float32)
+        size = (RATE / np.sqrt(self.met[own] + self.before[own])).astype(np.float32)
         flat, k = self.weights.reshape(-1), rows.shape[1]
         np.add.at(flat, own * width + np.repeat(true[wrong], k), size)  # one-dimensional: many times faster
         np.add.at(flat, own * width + np.repeat(drawn[wrong], k), -size)
@@ -303,11 +305,15 @@ def _round(encoded: DataFrame, model: Model, number: int, tasks: int) -> None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own = Model(**{**own.__dict__, "class_weights": own.class_weights.copy(), "slot_weights": own.slot_weights.copy()})
-        classes, slots, draws = _Learner(own.class_weights), _Learner(own.slot_weights), np.random.default_rng(number)
+        classes, slots, draws = _Learner(own.class_weights, own.class_met), _Learner(own.slot_weights, own.slot_met), np.random.default_rng(number)
+        seen = 0
         for _, codes, one, two, _ in _stream(batches, 0):
-            for a in range(0, len(codes), STEP):
-                at = slice(a, a + STEP)
+            a = 0
+            while a < len(codes):
+                at = slice(a, a + min(STEP, FIRST_STEP + seen // 8))  # steps grow as the weights settle
                 learn(own, codes[at], one[at], two[at], classes, slots, draws)
+                seen += len(codes[at])
+                a = at.stop
         for name, learner in (("class", classes), ("slot", slots)):
             for block in learner.blocks(name):
                 yield pa.RecordBatch.from_pylist([block])
@@ -325,10 +331,12 @@ def _round(encoded: DataFrame, model: Model, number: int, tasks: int) -> None:
     docs = encoded.filter(F.col("learned") & (F.pmod(F.xxhash64("uid"), F.lit(ROUNDS)) == number)).select("codes").coalesce(tasks)
     # the blocks of one model, whatever the input's size
     for r in docs.mapInArrow(tidy(run), schema).groupBy("name", "block").applyInArrow(average, schema).collect():
-        table = model.class_weights if r.name == "class" else model.slot_weights
-        met = np.frombuffer(r.met, dtype=np.int64) > 0
-        at = r.block * BLOCK_ROWS + np.flatnonzero(met)
-        table[at] = np.frombuffer(r.weights, dtype=np.float32).reshape(len(met), -1)[met]
+        table, before = (model.class_weights, model.class_met) if r.name == "class" else (model.slot_weights, model.slot_met)
+        met = np.frombuffer(r.met, dtype=np.int64)
+        own = np.flatnonzero(met)
+        at = r.block * BLOCK_ROWS + own
+        table[at] = np.frombuffer(r.weights, dtype=np.float32).reshape(len(met), -1)[own]
+        before[at] += -(-met[own] // tasks)
     shared.unpersist()
 
 
