@@ -84,9 +84,26 @@ def test_block_tables_find_all_within_the_radius(spark):
     hexes = [f"{v:032x}" for v in values]
     df = spark.createDataFrame([(h,) for h in hexes + hexes[:5]], "fingerprint string")
     queries = spark.createDataFrame([(h,) for h in hexes[::3]], "fingerprint string")
-    got = {(r["query"], r["match"], r["distance"]) for r in fingerprints.within_radius(queries, df).collect()}
-    want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in values[::3] for b in values if a != b and (a ^ b).bit_count() <= 3}
-    assert got == want and want
+    for radius, blocks in ((3, 5), (fingerprints.RADIUS, fingerprints.BLOCKS), (0, 1)):
+        got = [(r["query"], r["match"], r["distance"]) for r in fingerprints.within_radius(queries, df, radius, blocks).collect()]
+        want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in values[::3] for b in values if a != b and (a ^ b).bit_count() <= radius}
+        assert set(got) == want and len(got) == len(want) and (want or not radius)
+
+
+def test_search_in_several_blocks(spark, monkeypatch):
+    """Hot keys, several blocks of queries and batches, and few candidates at once give what all pairs give."""
+    rng = np.random.default_rng(11)
+    centres = rng.integers(0, 2, (4, 128))
+    bits = np.concatenate([centres[rng.integers(0, 4, 300)] ^ (rng.random((300, 128)) < 0.08), np.zeros((1, 128), dtype=int)])
+    hexes = [np.packbits(b.astype(np.uint8)).tobytes().hex() for b in bits]
+    for name, value in (("QUERIES", 40), ("PRINTS", 70), ("PAIRS", 50)):
+        monkeypatch.setattr(fingerprints, name, value)
+    df = spark.createDataFrame([(h,) for h in [*hexes, None]], "fingerprint string")
+    got = {(r["query"], r["match"], r["distance"]) for r in fingerprints.within_radius(df.filter("substr(fingerprint, 1, 1) < '8'"), df, 20, 22).collect()}
+    value = {h: int(h, 16) for h in hexes}
+    want = {(a, b, (value[a] ^ value[b]).bit_count()) for a in value if a[0] < "8" for b in value if a != b and (value[a] ^ value[b]).bit_count() <= 20}
+    assert got == want and len(want) > 1000
+    assert fingerprints.within_radius(df.filter("false"), df).count() == 0
 
 
 # ---- op2

@@ -1,9 +1,12 @@
 """SimHash document fingerprints and search within a Hamming radius.
 
 Every pair of neighbouring words of a text is a term; each occurrence votes with the term's length on 128 signed
-bits of its hash. Likeness of two fingerprints is the share of equal bits. The search copies fingerprints into one
-table for each way to choose ``blocks - radius`` blocks: two fingerprints within the radius agree on at least one
-such choice, so an equi-join on the chosen bits finds them all and an exact bit count decides.
+bits of its hash. Likeness of two fingerprints is the share of equal bits. The search has one permuted table for each
+way to choose ``blocks - radius`` of the fingerprint's blocks: two fingerprints within the radius agree on at least one
+such choice, so looking up the chosen bits in every table finds them all, and an exact bit count decides. Distinct
+fingerprints are packed, queries into blocks of QUERIES and the others into batches of PRINTS; every batch meets every
+block of queries (a stated query set) in one tile, which sorts its tables and looks up in memory, so no table is sent
+anywhere and no key can be hot.
 
 Defined cases: null texts count as empty; texts without words have the all-zero fingerprint; a text of one word
 votes with that word alone; equal texts have equal fingerprints; a table of one document is its own successor;
@@ -19,13 +22,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut
+from veriframe.llm.common import cut, tidy
 
 BITS = 128
-RADIUS, BLOCKS = 3, 5
+#: Near copies (a fifth of the five-word shingles differs at most) lie about 10 to 20 bits apart.
+RADIUS, BLOCKS = 20, 22
+#: Queries of a block, fingerprints of a batch, and candidates that are compared at once.
+QUERIES, PRINTS, PAIRS = 50_000, 20_000, 1 << 20
 CACHE_ENTRIES = 400_000
 CHUNK = 50_000
 
@@ -151,10 +157,55 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     return made.filter("kind = 'done'").select(*[n for n, _ in _FIELDS]).unionByName(ends)
 
 
-def _halves(fp: Column) -> tuple[Column, Column]:
-    """The fingerprint's two 64-bit halves as longs (two's complement)."""
-    part = lambda at: F.shiftleft(F.conv(F.substring(fp, at, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(fp, at + 8, 8), 16, 10).cast("long"))
-    return part(1), part(17)
+def _values(prints: np.ndarray, blocks: int) -> tuple[np.ndarray, list[int]]:
+    """The blocks of packed fingerprints as numbers, and each block's width."""
+    edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
+    bits = np.unpackbits(prints, axis=1).astype(np.int64)
+    values = np.stack([bits[:, a:b] @ (1 << np.arange(b - a)) for a, b in zip(edges, edges[1:], strict=False)], axis=1)
+    return values, np.diff(edges).tolist()
+
+
+def _keys(values: np.ndarray, widths: list[int], chosen: tuple[int, ...]) -> np.ndarray:
+    key = np.zeros(len(values), dtype=np.int64)
+    for k in chosen:
+        key = key << widths[k] | values[:, k]
+    return key
+
+
+def matches(queries: np.ndarray, prints: np.ndarray, radius: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, print, distance) of all pairs of different packed fingerprints (16 bytes a row) within the radius."""
+    (q_values, widths), (p_values, _) = _values(queries, blocks), _values(prints, blocks)
+    q_words, p_words = (np.ascontiguousarray(x).view(np.uint64) for x in (queries, prints))
+    found: list[np.ndarray] = []
+    for chosen in combinations(range(blocks), blocks - radius):
+        q_keys = _keys(q_values, widths, chosen)
+        order = np.argsort(q_keys, kind="stable")
+        ranked, p_keys = q_keys[order], _keys(p_values, widths, chosen)
+        low = np.searchsorted(ranked, p_keys)
+        n = np.searchsorted(ranked, p_keys, side="right") - low
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, side="right")))
+            row = np.repeat(np.arange(a, b), n[a:b])
+            at = order[np.repeat(low[a:b] - (ends[a:b] - n[a:b]), n[a:b]) + np.arange(ends[a] - n[a], ends[b - 1])]
+            distance = np.bitwise_count(q_words[at] ^ p_words[row]).sum(axis=1)
+            near = (distance <= radius) & (distance > 0)
+            found.append(np.stack([at[near], row[near], distance[near].astype(np.int64)]))
+            a = b
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+    return pairs[0], pairs[1], pairs[2]
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[str] = []
+    for batch in batches:
+        held += batch.column(0).to_pylist()
+        while len(held) >= PRINTS:
+            yield pa.RecordBatch.from_pydict({"prints": [bytes.fromhex("".join(held[:PRINTS]))]})
+            held = held[PRINTS:]
+    if held:
+        yield pa.RecordBatch.from_pydict({"prints": [bytes.fromhex("".join(held))]})
 
 
 def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -162,15 +213,25 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = RAD
     ``fingerprint``; equal fingerprints are one row, so copies never multiply."""
     if not 0 <= radius < blocks:
         raise ValueError("the radius must be less than the number of blocks")
-    hexes = BITS // 4
-    edges = [round(k * hexes / blocks) for k in range(blocks + 1)]
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        own = df.select("fingerprint").filter("fingerprint is not null").distinct()
-        keys = [F.concat_ws("", F.lit(f"{k}:"), *[F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-        return own.select(F.col("fingerprint").alias(name), F.explode(F.array(*keys)).alias("key"))
-
-    pairs = tables(queries, "query").join(tables(fingerprints, "match"), "key").filter(F.col("query") != F.col("match"))
-    (a, b), (c, d) = _halves(F.col("query")), _halves(F.col("match"))
-    distance = F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))
-    return pairs.select("query", "match", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    known = lambda df: df.select("fingerprint").filter("fingerprint is not null").distinct()
+    own = cut(known(queries))
+    n_blocks = max(1, -(-own.count() // QUERIES))
+
+    def block(rows: pa.Table) -> pa.Table:
+        return pa.table({"block": rows["block"][:1], "queries": [bytes.fromhex("".join(sorted(rows["fingerprint"].to_pylist())))]})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                a, b = (np.frombuffer(row[name], dtype=np.uint8).reshape(-1, BITS // 8) for name in ("queries", "prints"))
+                at, of, distance = matches(a, b, radius, blocks)
+                for c in range(0, len(at), 10_000):
+                    part = slice(c, c + 10_000)
+                    yield pa.RecordBatch.from_pydict({"query": [a[i].tobytes().hex() for i in at[part]], "match": [b[i].tobytes().hex() for i in of[part]], "distance": distance[part].astype(np.int32)})
+
+    asked = own.withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.lit(n_blocks))).groupBy("block").applyInArrow(block, "block long, queries binary")
+    packed = known(fingerprints).mapInArrow(_packed, "prints binary")
+    numbered = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    tiles = numbered.join(F.broadcast(asked) if n_blocks == 1 else asked, "block")  # one block has a fixed size
+    return tiles.mapInArrow(tidy(run), "query string, match string, distance int")
