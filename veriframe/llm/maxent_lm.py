@@ -237,26 +237,29 @@ def _kind_of(model: Model, codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0, CLASSES - 1, model.kind[np.maximum(codes, 0)])
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def _class_logits(model: Model, rows: np.ndarray) -> np.ndarray:
+    return _summed(model.class_weights, rows, model.class_bias)
 
 
-def _class_logs(model: Model, rows: np.ndarray) -> np.ndarray:
-    return _log_softmax(model.class_bias + _summed(model.class_weights, rows))
-
-
-def _summed(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _summed(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     total = np.take(weights, rows[:, 0], axis=0)
+    total += bias
     for k in range(1, rows.shape[1]):
         total += np.take(weights, rows[:, k], axis=0)
     return total
 
 
-def _slot_logs(model: Model, hashed: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slot_logits(model: Model, hashed: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = (mixed(hashed + (kind[:, None] + 1).astype(np.uint64) * _SALTS[2]) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    return rows, _log_softmax(model.slot_bias[kind] + _summed(model.slot_weights, rows))
+    return rows, _summed(model.slot_weights, rows, model.slot_bias[kind])
+
+
+def _log_of(logits: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+    """The log-softmax of one outcome of each row; ``logits`` are used up."""
+    most = logits.max(axis=1)
+    own = logits[np.arange(len(outcome)), outcome] - most
+    logits -= most[:, None]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
 class _Learner:
@@ -266,12 +269,13 @@ class _Learner:
     def __init__(self, weights: np.ndarray, before: np.ndarray | int = 0):
         self.weights, self.met, self.before = weights, np.zeros(len(weights), dtype=np.int64), np.zeros(len(weights), dtype=np.int64) + before
 
-    def step(self, rows: np.ndarray, logs: np.ndarray, true: np.ndarray, draw: np.ndarray) -> None:
-        """Ascend the likelihood of ``true`` outcomes under ``logs``. The expected part of the gradient is taken at one
-        outcome drawn from the model (``draw`` is uniform), so a step's mean is the exact gradient."""
+    def step(self, rows: np.ndarray, logits: np.ndarray, true: np.ndarray, draw: np.ndarray) -> None:
+        """Ascend the likelihood of ``true`` outcomes under ``logits``, which are used up. The expected part of the
+        gradient is taken at one outcome drawn from the model (``draw`` is uniform), so a step's mean is the exact gradient."""
         width = self.weights.shape[1]
-        below = np.cumsum(np.exp(logs), axis=1)
-        drawn = np.minimum((below < draw[:, None] * below[:, -1:]).sum(axis=1), width - 1)
+        np.minimum(logits, 80, out=logits)  # far above what weights reach; sums stay finite without a search for the largest
+        below = np.cumsum(np.exp(logits, out=logits), axis=1, out=logits)
+        drawn = (below >= draw[:, None] * below[:, -1:]).argmax(axis=1)
         wrong = np.flatnonzero(drawn != true)  # elsewhere both parts cancel
         self.met += np.bincount(rows.ravel(), minlength=len(self.met))
         own = rows[wrong].ravel()
@@ -291,11 +295,11 @@ def learn(model: Model, codes: np.ndarray, one: np.ndarray, two: np.ndarray, cla
     """One gradient step on these tokens; the learners hold the model's own tables."""
     hashed, rows = _features(model, one, two)
     kind = _kind_of(model, codes)
-    classes.step(rows, _class_logs(model, rows), kind, draws.random(len(codes), dtype=np.float32))
+    classes.step(rows, _class_logits(model, rows), kind, draws.random(len(codes), dtype=np.float32))
     head = np.flatnonzero(kind < HEADS)
     if len(head):
-        rows, logs = _slot_logs(model, hashed[head], kind[head])
-        slots.step(rows, logs, model.slot[codes[head]], draws.random(len(head), dtype=np.float32))
+        rows, logits = _slot_logits(model, hashed[head], kind[head])
+        slots.step(rows, logits, model.slot[codes[head]], draws.random(len(head), dtype=np.float32))
 
 
 def _round(encoded: DataFrame, model: Model, number: int, tasks: int) -> None:
@@ -344,12 +348,12 @@ def token_logs(model: Model, codes: np.ndarray, one: np.ndarray, two: np.ndarray
     """Natural logarithms of each token's probability; of a word in the last class, only the class's."""
     hashed, rows = _features(model, one, two)
     kind = _kind_of(model, codes)
-    out = _class_logs(model, rows)[np.arange(len(codes)), kind].astype(float)
+    out = _log_of(_class_logits(model, rows), kind).astype(float)
     body = (kind >= HEADS) & (kind < CLASSES - 1)
     out[body] += model.share[codes[body]]
     head = np.flatnonzero(kind < HEADS)
     if len(head):
-        out[head] += _slot_logs(model, hashed[head], kind[head])[1][np.arange(len(head)), model.slot[codes[head]]]
+        out[head] += _log_of(_slot_logits(model, hashed[head], kind[head])[1], model.slot[codes[head]])
     return out
 
 
