@@ -120,8 +120,10 @@ def throughput(timings: DataFrame, group: str, seconds: str, batch_size: int) ->
     return timings.groupBy(group).agg(F.try_divide(F.lit(batch_size) * F.count(seconds), F.sum(seconds)).alias("samples_per_s"), F.avg(seconds).alias("mean_s"), F.min(seconds).alias("min_s"), F.max(seconds).alias("max_s"))
 
 
-def speed_up(rates: DataFrame, variant: str, value: str, baseline: str, other: str) -> DataFrame:
-    """One row: both variants' values, their ratio, and the increase in percent."""
-    pick = lambda v: F.max(F.when(F.col(variant) == v, F.col(value)))
-    both = rates.agg(pick(baseline).alias("base"), pick(other).alias("new"))
+def speed_up(rates: DataFrame, variant: str, value: str, baseline: str, other: str, utilisation: str | None = None) -> DataFrame:
+    """One row: both variants' values, their ratio, the increase in percent and, if asked for, the difference of a third
+    metric (``utilisation_delta``, in its own unit)."""
+    pick = lambda v, c=value: F.max(F.when(F.col(variant) == v, F.col(c)))
+    delta = [(pick(other, utilisation) - pick(baseline, utilisation)).alias("utilisation_delta")] if utilisation else []
+    both = rates.agg(pick(baseline).alias("base"), pick(other).alias("new"), *delta)
     return both.withColumn("ratio", F.try_divide("new", "base")).withColumn("increase_pct", F.try_divide(100 * (F.col("new") - F.col("base")), F.col("base")))
