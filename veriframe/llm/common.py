@@ -72,14 +72,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder. Where none is configured: a folder in the warehouse, which a cluster
-    shares too, or with a local master (tests) a temporary one."""
+    """The cluster's shared checkpoint folder. Where none is configured, a local master (tests) gets a temporary one; a
+    cluster must name a folder that its executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        local = context.master.split("[")[0] == "local"
-        own = tempfile.mkdtemp(prefix="veriframe-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/veriframe-checkpoint"
-        context.setCheckpointDir(where or own)
+        if not where and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="veriframe-checkpoint-"))
     return where or context.getCheckpointDir()
 
 
