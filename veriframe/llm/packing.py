@@ -18,6 +18,7 @@ empty table; repeated rows are packed as often as they occur; other columns are
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from array import array
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut, cut_table, quote, tidy
+from veriframe.llm.common import cut_table, quote, tidy
 
 MAX_LEN = 1024
 END_ID = 2
@@ -146,37 +147,36 @@ def token_pieces(
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(encode), schema)
 
 
-def _classes(items: DataFrame, max_len: int, open_share: float) -> DataFrame:
-    """One row for each kind (0 gaps, 1 pieces) and size: n, parts, the stack's ``height`` before its first item, and
-    of pieces how many open a sequence. At most ``2 * max_len`` rows, so they are ordered in one task."""
-    counts = items.groupBy("size", "kind").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("size"), "kind")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    net = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(upto)
-    counts = counts.withColumn("net", net).withColumn("low", F.least(F.lit(0), F.min("net").over(upto)))
-    before = F.coalesce(F.lag("net").over(order), F.lit(0)) - F.coalesce(F.lag("low").over(order), F.lit(0))
-    counts = counts.withColumn("height", before)
-    left = F.when(F.col("kind") == 1, F.greatest(F.lit(0), F.col("n") - F.col("height"))).otherwise(F.lit(0))
-    whole = Window.partitionBy(F.lit(0))
-    counts = counts.withColumn("left", left).withColumn("need", F.ceil(F.sum(F.col("left") * F.col("size")).over(whole) * open_share / max_len))
-    larger = F.coalesce(F.sum("left").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    opens = F.greatest(F.lit(0), F.least(F.col("left"), F.col("need") - larger))
-    least = F.min(F.when(F.col("kind") == 1, F.col("size"))).over(whole)
-    counts = counts.withColumn("opens", opens).withColumn("least", least)
-    return cut(counts.select("size", "kind", "n", "height", "opens", "least", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
-
-
-def _round(items: DataFrame, max_len: int, open_share: float) -> DataFrame:
-    """The items with what becomes of them: ``state`` placed (with sequence_id and offset), opens, stays, or gap (with
-    its new ``size``)."""
-    known = _classes(items, max_len, open_share)
-    parted = items.join(F.broadcast(known.drop("n")), ["size", "kind"]).filter("kind = 1 or size >= least")
+def _classes(counts: list[tuple[int, int, int]], max_len: int, open_share: float) -> list[tuple]:
+    """(size, kind, height, opens, parts) for each (size, kind, n), kind 0 gaps and 1 pieces: the stack's height before
+    the first item, how many pieces open a sequence, and the parts that the items are numbered in. At most
+    ``2 * max_len`` rows whatever the corpus, so they are ordered in one place."""
+    net = low = larger = 0
+    out = []
+    for size, kind, n in sorted(counts, key=lambda r: (-r[0], r[1])):
+        out.append([size, kind, net - low, max(0, n - (net - low)) if kind else 0, -(-n // PART_ROWS)])
+        net += -n if kind else n
+        low = min(low, net)
+    need = math.ceil(sum(r[0] * r[3] for r in out) * open_share / max_len)
+    for r in out:
+        left, r[3] = r[3], max(0, min(r[3], need - larger))
+        larger += left
+    return [tuple(r) for r in out]
+
+
+def _round(items: DataFrame, counts: list[tuple[int, int, int]], max_len: int, open_share: float) -> DataFrame:
+    """The items (kind, uid, size) with what becomes of them: ``state`` placed (with sequence_id and offset), opens,
+    stays, or gap (with its new ``size``)."""
+    made = _classes(counts, max_len, open_share)
+    known = items.sparkSession.createDataFrame(made, "size long, kind int, height long, opens long, parts int")
+    least = min(size for size, kind, _ in counts if kind)
+    parted = items.join(F.broadcast(known), ["size", "kind"]).filter((F.col("kind") == 1) | (F.col("size") >= least))  # a row a size
     parted = parted.withColumn("part", F.pmod(F.xxhash64("uid", F.lit("rank")), F.col("parts")).cast("int"))
     rank = F.row_number().over(Window.partitionBy("size", "kind", "part").orderBy("uid")) - 1
-    if known.filter("parts > 1").limit(1).count():
+    if any(r[4] > 1 for r in made):
         numbers = parted.filter("parts > 1").groupBy("size", "kind", "part").agg(F.count("*").alias("m"))
         before = F.sum("m").over(Window.partitionBy("size", "kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        parted = parted.join(F.broadcast(numbers.select("size", "kind", "part", F.coalesce(before, F.lit(0)).alias("before"))), ["size", "kind", "part"], "left")
+        parted = parted.join(numbers.select("size", "kind", "part", F.coalesce(before, F.lit(0)).alias("before")), ["size", "kind", "part"], "left")
         rank = rank + F.coalesce("before", F.lit(0))
     ranked = parted.withColumn("rank", rank)
     is_gap = F.col("kind") == 0
@@ -191,29 +191,35 @@ def _round(items: DataFrame, max_len: int, open_share: float) -> DataFrame:
     state = F.when(is_gap, F.lit("gap")).when(served, F.lit("placed")).when(opens, F.lit("opens")).otherwise(F.lit("stays"))
     size = F.when(is_gap & (F.col("next_kind") == 1), F.col("size") - F.col("next_size")).otherwise(F.col("size"))
     return swept.select(
-        "kind", "uid", "row", state.alias("state"), size.alias("size"),
+        "kind", "uid", state.alias("state"), size.alias("size"),
         F.when(served & ~is_gap, F.col("gap_uid")).when(opens, F.col("uid")).alias("sequence_id"),
         F.when(served & ~is_gap, max_len - F.col("gap_size")).when(opens, F.lit(0)).cast("long").alias("offset"),
     )
 
 
 def pack(pieces: DataFrame, max_len: int = MAX_LEN, open_share: float = OPEN_SHARE) -> DataFrame:
-    """Add sequence_id and offset to pieces that have a ``length`` from 1 to ``max_len``."""
+    """Add sequence_id and offset to pieces that have a ``length`` from 1 to ``max_len``. Rounds carry numbers and sizes
+    only; the pieces' columns are joined to the places at the end."""
     columns = pieces.columns
     row = F.struct(*[F.col(quote(c)) for c in columns]).alias("row")
-    own = cut_table(pieces.select(F.monotonically_increasing_id().alias("uid"), F.col("length").alias("size"), row))
-    start = own.filter(F.col("size") > max_len // 2).select("row", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = [start]
-    gap_of = lambda df, size: df.select(F.lit(0).alias("kind"), "uid", F.lit(None).cast(own.schema["row"].dataType).alias("row"), size.alias("size"))
-    piece = lambda df: df.select(F.lit(1).alias("kind"), "uid", "row", "size")
-    items = gap_of(own.filter((F.col("size") > max_len // 2) & (F.col("size") < max_len)), max_len - F.col("size"))
-    items = items.unionByName(piece(own.filter(F.col("size") <= max_len // 2)))
-    while items.filter("kind = 1").limit(1).count():
-        done = cut_table(_round(items, max_len, open_share))
-        placed.append(done.filter("state in ('placed', 'opens')").select("row", "sequence_id", "offset"))
+    own = cut_table(pieces.select(F.monotonically_increasing_id().alias("uid"), F.col("length").cast("long").alias("size"), row))
+    gap_of = lambda df, size: df.select(F.lit(0).alias("kind"), "uid", size.alias("size"))
+    piece = lambda df: df.select(F.lit(1).alias("kind"), "uid", "size")
+    large = F.col("size") > max_len // 2
+    placed = []
+    items = gap_of(own.filter(large & (F.col("size") < max_len)), max_len - F.col("size")).unionByName(piece(own.filter(~large)))
+    while True:
+        counts = [(r["size"], r["kind"], r["n"]) for r in items.groupBy("size", "kind").agg(F.count("*").alias("n")).collect()]  # a row a size
+        if not any(kind for _, kind, _ in counts):
+            break
+        done = cut_table(_round(items, counts, max_len, open_share))
+        placed.append(done.filter("state in ('placed', 'opens')").select("uid", "sequence_id", "offset"))
         items = piece(done.filter("state = 'stays'")).unionByName(gap_of(done.filter("state = 'gap' and size > 0"), F.col("size")))
         items = items.unionByName(gap_of(done.filter("state = 'opens'"), max_len - F.col("size")))
-    return reduce(DataFrame.unionByName, placed).select("row.*", "sequence_id", "offset")
+    out = own.filter(large).select("row.*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if placed:
+        out = out.unionByName(own.filter(~large).join(reduce(DataFrame.unionByName, placed), "uid").select("row.*", "sequence_id", "offset"))
+    return out
 
 
 def pack_documents(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
