@@ -10,7 +10,8 @@ anywhere and no key can be hot.
 
 Defined cases: null texts count as empty; texts without words have the all-zero fingerprint; a text of one word
 votes with that word alone; equal texts have equal fingerprints; a table of one document is its own successor;
-rows with equal ids follow each other in text order; null ids come last; other columns are ignored.
+rows with equal ids follow each other in text order; null ids come last; texts are read
+whole; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations

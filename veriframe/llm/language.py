@@ -7,7 +7,8 @@ whose spans hold the most letters.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; words without letters carry no
 evidence and join the span around them; if nothing can be learned every text is ``und``; documents of any length
-are read whole; repeated rows are scored alike; other columns are ignored. Training may read a bounded,
+are read whole; repeated rows are scored alike; other columns are ignored; of equally likely languages the first in
+their order is taken; an empty table gives an empty table. Training may read a bounded,
 hash-chosen sample of the labelled rows (``max_train_docs``, an expected number).
 """
 

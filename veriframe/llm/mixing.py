@@ -13,7 +13,7 @@ ranks say which documents move. What is left is less than the smallest size that
 
 Defined cases: null or empty texts have size 0, rate ``prior`` and taken 0; a null source is a source of its own, last
 in order; an empty table gives an empty table; repeated rows are separate documents; other columns are ignored,
-whatever their names. Newton steps that do not converge raise an error.
+whatever their names; texts are read whole, equal sizes share a stratum. Newton steps that do not converge raise an error.
 """
 
 from __future__ import annotations

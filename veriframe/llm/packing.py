@@ -12,7 +12,8 @@ until no piece is left.
 
 Defined cases: a null text is the empty text (one piece that holds the end token only); an empty table gives an
 empty table; repeated rows are packed as often as they occur; other columns are ignored. Documents longer than
-``max_len`` are cut so that only the first piece is shorter. Sequence ids are unique, not consecutive.
+``max_len`` are cut so that only the first piece is shorter, however long they are. Sequence ids are unique, not
+consecutive; among pieces of one length any may be served first, which changes no number of sequences.
 """
 
 from __future__ import annotations

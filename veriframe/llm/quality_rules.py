@@ -9,7 +9,7 @@ aggregation of label counts by signal and bin. The result is an ordered conditio
 Defined cases: null and empty texts have no words, fail the base rule and are not kept; labels other than 0 and 1
 are ignored, a document labelled twice counts once (low quality if either says so); without labels of both kinds
 the list is empty and keeps what the base rule passes; texts are read whole; repeated rows are treated alike;
-other columns are ignored. At most about ``max_train_docs`` labelled rows, chosen by hash, are learned from.
+other columns are ignored; an empty table gives an empty table. At most about ``max_train_docs`` labelled rows, chosen by hash, are learned from.
 """
 
 from __future__ import annotations

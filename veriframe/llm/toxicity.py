@@ -10,7 +10,8 @@ significant passages, and a logistic curve fitted to labelled texts makes it a p
 
 Defined cases: null and empty texts have no passages and get the score of the least evidence; labels other than 0
 and 1 are ignored; a document labelled twice counts once, as toxic if either label says so; without toxic or clean
-training rows every score is 0; texts are read whole; repeated rows score alike; other columns are ignored. The model
+training rows every score is 0; texts are read whole; repeated rows score alike; other columns are ignored; an
+empty table gives an empty table. The model
 is learned from a bounded, hash-chosen sample of the labelled rows (``max_train_docs``, an expected number).
 """
 
