@@ -72,3 +72,13 @@ def test_det_rates_by_row(spark):
 def test_trials_without_a_score_are_counted_only(spark):
     r = detection.evaluation_report(scored(spark, [(0.9, 1), (0.1, 0), (None, 1)])).first()
     assert (r.n_trials, r.n_pos, r.eer) == (3, 2, 0)
+
+
+def test_metrics_by_name(spark):
+    scored = spark.createDataFrame([(1, 0.9), (1, 0.6), (0, 0.7), (0, 0.1), (0, 0.2)], "label int, score double")
+    report = detection.metrics["report"](scored).first()
+    assert detection.metrics["eer"](scored).first().eer == report.eer
+    assert detection.metrics["min_dcf"](scored, p_target=0.05).first().min_dcf == report.min_dcf
+    detection.metrics.register("trials", lambda scored: scored.groupBy().count())
+    assert detection.metrics["trials"](scored).first()["count"] == 5 and detection.metrics.names() == ["eer", "min_dcf", "report", "trials"]
+    detection.metrics.known.pop("trials")

@@ -6,9 +6,12 @@ With a class missing all rates are null."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriframe.functions.registry import Registry
 from veriframe.functions.scalars import detection_cost
 from veriframe.plans.materialize import materialize
 from veriframe.plans.prefix_sum import running_sums
@@ -115,3 +118,10 @@ def roc_series(scored: DataFrame) -> DataFrame:
     gap = F.struct(F.abs(F.col("fnr") - F.col("fpr")).alias("gap"), "ordinal")
     mark = curve.filter("fpr is not null and fnr is not null").agg(F.min(gap).alias("b")).select(F.col("b.ordinal").alias("mark"))
     return curve.crossJoin(F.broadcast(mark)).select("ordinal", "threshold", "fpr", "fnr", (F.col("ordinal") == F.col("mark")).alias("is_eer"))
+
+
+#: Metrics over scored trials, by name; every one gives a row.
+metrics: Registry[Callable[..., DataFrame]] = Registry("metric")
+metrics.register("eer", lambda scored: equal_error_rate(roc(scored)))
+metrics.register("min_dcf", lambda scored, **costs: min_dcf(det_rates(scored), **costs))
+metrics.register("report", evaluation_report)
