@@ -1,13 +1,13 @@
 """Score normalisation against a large cohort, in blocks.
 
-Sides and cohort members are packed into blocks of rows. Every block of sides meets every cohort block by an equi-join on
-the cohort block's number (the cohort may be of any size; nothing is broadcast). A task keeps the best scores of each side
-in a bounded heap; the heaps of several tasks are merged by a group over the block of sides. Scores are minus the
-Euclidean distance. Ties at the end of a heap do not matter, as only the best scores' mean and deviation are taken."""
+Sides are dealt into strips of bounded size, one a task. A strip is held in memory and the whole cohort streams past it in
+blocks (it may be of any size; nothing is broadcast), so what is exchanged is the cohort once for every strip, and no
+partial result. A task keeps the best scores of each side in a bounded heap. Every side meets every member: the work grows
+with sides times cohort. Scores are minus the Euclidean distance. Ties at the end of a heap do not matter, as only the
+best scores' mean and deviation are taken."""
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,35 +15,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.plans.materialize import materialize
+#: Rows of a block of sides and of a cohort block; blocks of sides that a strip holds at most; rows that are worth a strip.
+SIDES, MEMBERS, OPEN, WORTH = 1_024, 2_048, 32, 256
 
-#: Rows of a block of sides and of a cohort block; blocks of sides whose heaps a task keeps at most.
-SIDES, MEMBERS, OPEN = 1_024, 2_048, 16
 
+def _packed(rows: DataFrame, key: str, n_blocks: int) -> DataFrame:
+    """(block, keys, matrix, single): the vectors of rows (key, v), dealt by hash into blocks of bounded size."""
 
-def _packed(rows: DataFrame, key: str, n_blocks: int, name: str) -> DataFrame:
-    """(block, keys, matrix): the vectors of rows (key, v), dealt by hash into blocks of bounded size."""
+    kind = rows.schema["v"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"  # floats travel as floats
 
     def pack(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32 if kind == "float" else np.float64)
         return pa.table({"block": rows["block"][:1], "keys": [rows["key"].to_numpy().astype(np.int64).tobytes()], "matrix": [flat.tobytes()]})
 
-    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block"), F.col(key).cast("long").alias("key"), F.col("v").cast("array<double>").alias("v"))
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block"), F.col(key).cast("long").alias("key"), F.col("v").cast(f"array<{kind}>").alias("v"))
     made = dealt.groupBy("block").applyInArrow(pack, "block long, keys binary, matrix binary")
-    return made.select(F.col("block").alias(f"{name}_block"), F.col("keys").alias(f"{name}_keys"), F.col("matrix").alias(f"{name}_matrix"))
-
-
-def _scores(sides: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Minus the distance of all pairs. Squares come from products; near pairs, where those cancel, are taken again from
-    the differences."""
-    norms = (sides**2).sum(axis=1)[:, None] + (members**2).sum(axis=1)
-    squares = norms - 2 * sides @ members.T
-    row, column = np.nonzero(squares < 1e-2 * norms)
-    for k in range(0, len(row), 1 << 16):
-        i, j = row[k : k + (1 << 16)], column[k : k + (1 << 16)]
-        squares[i, j] = ((sides[i] - members[j]) ** 2).sum(axis=1)
-    return -np.sqrt(np.maximum(squares, 0))
+    return made.select("block", "keys", "matrix", F.lit(kind == "float").alias("single"))
+
+
+class Heaps:
+    """The ``top_n`` least squared distances of each of some vectors, as negative squares: the largest stay."""
+
+    def __init__(self, sides: np.ndarray, top_n: int):
+        self.sides, self.norms, self.top_n = sides, (sides**2).sum(axis=1), top_n
+        self.wide = np.column_stack([2 * sides, -self.norms, np.ones(len(sides))])  # times (v, 1, -|v|^2): negative squares
+        self.best = np.zeros((len(sides), 0))
+
+    def _near(self, found: np.ndarray, row: np.ndarray, column: np.ndarray, members: np.ndarray, norms: np.ndarray) -> None:
+        """Squares come from products; those of near pairs, where these cancel, are taken again from the differences."""
+        at = np.nonzero(found > -1e-2 * (self.norms[row] + norms[column]))[0]
+        for k in range(0, len(at), 1 << 16):
+            some = at[k : k + (1 << 16)]
+            found[some] = -((self.sides[row[some]] - members[column[some]]) ** 2).sum(axis=1)
+
+    def add(self, members: np.ndarray) -> None:
+        norms = (members**2).sum(axis=1)
+        wide = np.column_stack([members, np.ones(len(members)), -norms]).T
+        full = self.best.shape[1] == self.top_n
+        grown = np.full((len(self.sides), min(self.top_n, self.best.shape[1] + len(members))), -np.inf)
+        for a in range(0, len(self.sides), SIDES // 4):
+            rows = slice(a, a + SIDES // 4)
+            squares = self.wide[rows] @ wide
+            if full:  # only what comes above a heap's least, but for errors of rounding; nothing is nearer than 0
+                floor = self.best[rows].min(axis=1)
+                floor = np.where(floor < 0, floor - 1e-13 * (self.norms[rows] + norms.max()), np.inf)
+                row, column = np.nonzero(~(squares <= floor[:, None]))
+            else:
+                row, column = (x.ravel() for x in np.indices(squares.shape))
+            found = squares[row, column]
+            self._near(found, row + a, column, members, norms)
+            own, first, n = np.unique(row, return_index=True, return_counts=True)
+            more = np.full((len(own), n.max(initial=0)), -np.inf)
+            more[np.repeat(np.arange(len(own)), n), np.arange(len(row)) - np.repeat(first, n)] = found
+            if full:
+                self.best[own + a] = merged(self.best[own + a], more, self.top_n)
+            else:
+                grown[own + a] = merged(self.best[own + a], more, self.top_n)
+        if not full:
+            self.best = grown
+
+    def scores(self) -> np.ndarray:
+        return -np.sqrt(np.maximum(-self.best, 0))
 
 
 def merged(heaps: np.ndarray, more: np.ndarray, top_n: int) -> np.ndarray:
@@ -57,43 +91,27 @@ def top_statistics(sides: DataFrame, cohort: DataFrame, top_n: int = 200) -> Dat
     it has fewer). ``sides`` has (side, v), unique; ``cohort`` has (cohort_id, v); all vectors have one length. Null
     vectors take no part; without a cohort no side has statistics."""
     sides, cohort = (x.filter("v is not null") for x in (sides, cohort))
-    blocks = [max(1, -(-x.count() // size)) for x, size in ((sides, SIDES), (cohort, MEMBERS))]
-    left = _packed(sides, "side", blocks[0], "a").withColumn("b_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[1] - 1).cast("long"))))
-    tiles = left.join(_packed(cohort, "cohort_id", blocks[1], "b"), "b_block")
+    n_sides, n_members = sides.count(), cohort.count()
+    tasks = 2 * sides.sparkSession.sparkContext.defaultParallelism
+    strips = max(1, -(-n_sides // (OPEN * SIDES)), min(tasks, n_sides // WORTH))
+    held = _packed(sides, "side", strips * max(1, -(-n_sides // (strips * SIDES)))).withColumn("strip", F.pmod("block", F.lit(strips)))
+    passing = _packed(cohort, "cohort_id", max(1, -(-n_members // MEMBERS))).withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))))
+    both = held.withColumn("member", F.lit(False)).unionByName(passing.withColumn("member", F.lit(True)))
+    dealt = both.repartitionById(strips, F.col("strip").cast("int")).sortWithinPartitions("member")  # one strip a task, its sides first
 
     def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: OrderedDict[int, tuple[bytes, np.ndarray]] = OrderedDict()
-
-        def out(block: int) -> pa.RecordBatch:
-            keys, heap = heaps.pop(block)
-            return pa.RecordBatch.from_pydict({"block": [block], "keys": [keys], "heap": [heap.tobytes()]})
-
-        for batch in batches:
-            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
-                a, b = (np.frombuffer(row[f"{x}_matrix"]).reshape(len(row[f"{x}_keys"]) // 8, -1) for x in "ab")
-                block = row["a_block"]
-                if block not in heaps and len(heaps) >= OPEN:
-                    yield out(next(iter(heaps)))
-                known = heaps[block][1] if block in heaps else np.zeros((len(a), 0))
-                heaps[block] = row["a_keys"], merged(known, _scores(a, b), top_n)
-        while heaps:
-            yield out(next(iter(heaps)))
-
-    def merge(rows: pa.Table) -> pa.Table:
-        keys = np.frombuffer(rows["keys"][0].as_py(), dtype=np.int64)
-        heap = np.zeros((len(keys), 0))
-        for part in rows["heap"].to_pylist():
-            heap = merged(heap, np.frombuffer(part).reshape(len(keys), -1), top_n)
-        return pa.table({"side": keys, "mu": heap.mean(axis=1), "sigma": heap.std(axis=1)})
-
-    parts = tiles.mapInArrow(sweep, "block long, keys binary, heap binary")
-    return parts.groupBy("block").applyInArrow(merge, "side long, mu double, sigma double")
-
-
-def normalized_by(scores: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Adds ``norm_score`` to trials (ref, com, score): the mean of both sides' standardised scores."""
-    known = materialize(statistics)
-    left = known.select(F.col("side").alias("ref"), F.col("mu").alias("_ma"), F.col("sigma").alias("_sa"))
-    right = known.select(F.col("side").alias("com"), F.col("mu").alias("_mb"), F.col("sigma").alias("_sb"))
-    z = lambda m, s: (F.col("score") - F.col(m)) / (F.col(s) + 1e-6)
-    return scores.join(left, "ref").join(right, "com").withColumn("norm_score", (z("_ma", "_sa") + z("_mb", "_sb")) / 2).drop("_ma", "_sa", "_mb", "_sb")
+        keys, vectors, heaps = [], [], None
+        for row in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+            n = len(row["keys"]) // 8
+            matrix = np.frombuffer(row["matrix"], np.float32 if row["single"] else np.float64).reshape(n, -1).astype(np.float64)
+            if not row["member"]:
+                keys.append(np.frombuffer(row["keys"], np.int64))
+                vectors.append(matrix)
+            elif vectors:
+                heaps = heaps or Heaps(np.concatenate(vectors), top_n)
+                heaps.add(matrix)
+        if heaps:
+            scores = heaps.scores()
+            yield pa.RecordBatch.from_pydict({"side": np.concatenate(keys), "mu": scores.mean(axis=1), "sigma": scores.std(axis=1)})
+
+    return dealt.select("keys", "matrix", "single", "member").mapInArrow(sweep, "side long, mu double, sigma double")

@@ -317,7 +317,7 @@ def snorm_cohort(spark, sf_dir):
     """Every trial, normalised by each side's 200 best among all vectors."""
     e = embeddings(spark, sf_dir)
     found = cohort.top_statistics(e.select(F.col("vec_id").alias("side"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("cohort_id"), F.col("embedding").alias("v")), 200)
-    return cohort.normalized_by(trials(spark, sf_dir), found).select("ref", "com", F.round("norm_score", 4).alias("norm_score"))
+    return catalogue.normalized_trials(e, materialize(found))
 
 
 @query(f"WITH {_G}, u AS (SELECT DISTINCT speaker, group_no FROM g), n AS (SELECT group_no AS round, count(*) AS n_tuples FROM u GROUP BY 1) SELECT round, n_tuples, n_tuples // 4 AS n_batches, n_tuples - n_tuples % 4 AS n_kept, n_tuples % 4 AS n_dropped FROM n")
