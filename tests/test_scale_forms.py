@@ -1,8 +1,15 @@
 """Ties that the queries settle, and steps that were reworked for larger tables, against brute force."""
 
+import hashlib
+import math
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veriframe.operators import scoring
+from veriframe.functions import scalars
+from veriframe.operators import cohort, prepare, scoring
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -10,3 +17,84 @@ def test_merged_results_settle_ties_of_rank(spark, turn):
     rows = [(1, 5, 9), (1, 5, 3), (1, 4, 1), (2, 7, None), (2, 7, 8), (3, None, 1), (3, 1, 2)][::turn]
     merged = scoring.merge_results(spark.createDataFrame(rows, "key long, rank int, part long").coalesce(1), "key", "rank")
     assert sorted(map(tuple, merged.collect())) == [(1, 5, 3), (2, 7, 8), (3, 1, 2)]
+
+
+def vectors_of(spark, ids, dim=3, seed=4):
+    rng = random.Random(seed)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(dim)], k % 3) for k in ids]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+
+
+@pytest.mark.parametrize("reach", [1, 2, 7, 40])
+def test_neighbour_trials_of_gaps_and_negative_ids(spark, reach):
+    rows, e = vectors_of(spark, [*range(-25, 10), *range(13, 31, 2), 100, 107, 10**12])
+    at = {k: (v, y) for k, v, y in rows}
+    want = {(a, b): (int(at[a][1] == at[b][1]), -math.dist(at[a][0], at[b][0])) for a in at for b in at if a < b <= a + reach}
+    got = scoring.neighbour_trials(e.repartition(3), reach).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.label, pytest.approx(r.score)) == want[r.ref, r.com]
+
+
+def test_neighbour_trials_exchange_a_vector_three_times_at_most(spark):
+    _, e = vectors_of(spark, range(400))
+    made = scoring.neighbour_trials(e, 50)
+    assert made.count() == sum(min(50, 399 - k) for k in range(400))
+    assert "explode(sequence" not in made._jdf.queryExecution().toString().lower()  # no copy of a vector for each trial
+
+
+def test_carried_columns_and_fused_scores(spark):
+    rows, e = vectors_of(spark, range(30))
+    dist, cosine = scoring.scorer("euclidean"), scoring.scorer("cosine")
+    both = scoring.neighbour_trials(e.withColumn("half", F.col("vec_id") / 2), 5, scoring.fused_scorer(dist, cosine), ["half"]).collect()
+    joined = scoring.fused(scoring.neighbour_trials(e, 5, dist), scoring.neighbour_trials(e, 5, cosine), ["ref", "com"])
+    want = {(r.ref, r.com): r.score for r in joined.collect()}
+    assert {(r.ref, r.com): pytest.approx(r.score) for r in both} == want
+    assert all((r.ref_half, r.com_half) == (r.ref / 2, r.com / 2) for r in both)
+
+
+def test_carried_statistics_normalise_as_joined_ones(spark):
+    _, e = vectors_of(spark, range(24))
+    scores = scoring.neighbour_trials(e, 4)
+    cohort_rows = spark.createDataFrame([(k, c, float((k * 7 + c * 5) % 11)) for k in range(1, 24) for c in range(6)], "side long, cohort_id long, cohort_score double")
+    want = {(r.ref, r.com): r.norm_score for r in scoring.score_normalized(scores, cohort_rows, 4).collect()}
+    own = scoring.neighbour_trials(scoring.with_statistics(e, scoring.side_statistics(cohort_rows, 4)), 4, carry=["mu", "sigma"])
+    got = {(r.ref, r.com): pytest.approx(r.n) for r in own.select("ref", "com", scoring.normalized_score(F.col("score")).alias("n")).collect()}
+    assert len(got) == sum(min(4, 23 - k) for k in range(1, 24)) and got == want
+
+
+def test_cohort_meets_every_strip_once(spark, monkeypatch):
+    """Strips and blocks of few rows, with more equal vectors than a heap holds and vectors that are not finite."""
+    monkeypatch.setattr(cohort, "SIDES", 4)
+    monkeypatch.setattr(cohort, "MEMBERS", 8)
+    monkeypatch.setattr(cohort, "OPEN", 3)
+    rng = np.random.default_rng(8)
+    members = rng.standard_normal((90, 5)).astype(np.float32)
+    members[30:60] = members[30]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(members)], "id long, v array<float>")
+    dealt = cohort.top_statistics(rows.withColumnRenamed("id", "side"), rows.withColumnRenamed("id", "cohort_id"), 10)
+    strips = -(-90 // 12)
+    assert dealt.rdd.getNumPartitions() == strips
+    got = {r.side: (r.mu, r.sigma) for r in dealt.collect()}
+    wide = members.astype(float)
+    for k in range(90):
+        best = np.sort(-np.linalg.norm(wide[k] - wide, axis=1))[-10:]
+        assert got[k] == pytest.approx((best.mean(), best.std()), abs=1e-9)
+    assert got[40] == (0, 0)
+    bad = spark.createDataFrame([(0, [1.0, float("nan")]), (1, [1.0, 2.0])], "cohort_id long, v array<double>")
+    assert math.isnan(cohort.top_statistics(spark.createDataFrame([(5, [0.0, 0.0])], "side long, v array<double>"), bad, 1).first().mu)
+
+
+@pytest.mark.parametrize("key", ["hash", "number", "one"])
+@pytest.mark.parametrize("ratio", [0.5, 0.2, 0.0])
+def test_balanced_trials_take_the_first_of_each_class(spark, key, ratio):
+    rows = [(k, k + 1, int(k % 4 == 0)) for k in range(400)]
+    df = spark.createDataFrame(rows, "ref long, com long, label int").repartition(5)
+    order = {"hash": scalars.seeded_key(3, F.col("ref")), "number": -F.col("ref"), "one": F.lit("same")}[key]
+    of = {"hash": lambda k: hashlib.md5(f"3|{k}".encode()).hexdigest(), "number": lambda k: -k, "one": lambda k: "same"}[key]
+    take = prepare.balance_quotas(100, 300, ratio)
+    want = {r for y in (1, 0) for r in sorted((r for r in rows if r[2] == y), key=lambda r: (of(r[0]), r))[: take[1 - y]]}
+    made = prepare.balanced_trials(df, order, ["ref", "com"], ratio)
+    assert {(r.ref, r.com, r.label) for r in made.collect()} == want and made.count() == len(want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.scalars import round_down, seeded_int, seeded_key, speaker_of
+from veriframe.plans.materialize import materialize
 from veriframe.plans.prefix_sum import numbered_within, running_sums
 
 
@@ -86,18 +87,43 @@ def balance_quotas(positive: int, negative: int, ratio: float) -> tuple[int, int
     return by_positives if by_positives[1] <= negative else (int(negative * ratio / (1 - ratio)), negative)
 
 
+#: Leading characters of an order key that rows are counted by; hashes in hex have 4,096 such beginnings.
+LEAD = 3
+
+
+def _cut(counts: DataFrame, label: int, n: int) -> tuple[str, int] | None:
+    """The beginning of the key where a class's ``n`` first rows end, and how many rows of that beginning belong to them;
+    None if all rows do. ``counts`` (label, lead, rows) counts rows by the beginnings of their keys."""
+    upto = running_sums(counts.filter(F.col("label") == label).select("lead", "rows"), "lead", ["rows"])
+    edge = upto.filter(F.col("cum_rows") >= n).agg(F.min(F.struct("lead", "cum_rows", "rows")).alias("e")).first().e
+    return edge and (edge.lead, n - edge.cum_rows + edge.rows)
+
+
 def balanced_trials(trials: DataFrame, order: Column, tie: list[str], ratio: float = 0.5) -> DataFrame:
     """A seeded sample with the given share of positives; without one of the classes, all trials. Each class takes
-    its first rows by the order key, a top-n and not a ranking of the class in one task. ``order_key`` stays on the
+    its first rows by the order key: counts of the keys' beginnings tell where the cut falls, and only rows there are
+    numbered (all rows, if the key is no string), so that no task holds a class or its sample. ``order_key`` stays on the
     rows: a list that is written in its order is shuffled."""
-    counted = trials.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
-    pos, neg = counted.p, counted.n - counted.p
     keyed = trials.withColumn("order_key", order)
+    text = keyed.schema["order_key"].dataType.simpleString() == "string"
+    keyed = keyed.withColumn("_lead", F.coalesce(F.substring("order_key", 1, LEAD), F.lit("")) if text else F.lit(""))  # null keys come first
+    counts = materialize(keyed.groupBy("label", F.col("_lead").alias("lead")).agg(F.count("*").alias("rows"), F.sum("label").alias("p")))
+    total = counts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()
+    pos, neg = total.p, total.n - total.p
     if not pos or not neg:
-        return keyed
+        return keyed.drop("_lead")
     take = balance_quotas(pos, neg, ratio)
-    parts = [keyed.filter(F.col("label") == y).orderBy("order_key", *tie).limit(n) for y, n in ((1, take[0]), (0, take[1]))]
-    return parts[0].unionByName(parts[1])
+    cuts = {y: _cut(counts, y, n) for y, n in ((1, take[0]), (0, take[1])) if n}
+    below, on_edge = F.lit(False), F.lit(False)
+    for y, cut in cuts.items():
+        below |= (F.col("label") == y) & (F.col("_lead") < cut[0] if cut else F.lit(True))
+        on_edge |= (F.col("label") == y) & (F.col("_lead") == cut[0] if cut else F.lit(False))
+    edges, out = materialize(keyed.filter(on_edge)), keyed.filter(below)
+    for y, cut in cuts.items():
+        if cut:
+            numbered = running_sums(edges.filter(F.col("label") == y).withColumn("_at", F.struct("order_key", *tie)), "_at", [])
+            out = out.unionByName(numbered.filter(F.col("ordinal") <= cut[1]).select(keyed.columns))
+    return out.drop("_lead")
 
 
 def encode_labels(rows: DataFrame, column: str) -> DataFrame:
