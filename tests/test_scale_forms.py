@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriframe.functions import scalars
-from veriframe.operators import cohort, prepare, scoring
+from veriframe.operators import cohort, detection, prepare, scoring
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -98,3 +98,15 @@ def test_balanced_trials_take_the_first_of_each_class(spark, key, ratio):
     assert {(r.ref, r.com, r.label) for r in made.collect()} == want and made.count() == len(want)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+def test_rates_by_row_score_a_trial_once(spark):
+    """A test for missing scores must not be pushed below the scoring, which would then run twice."""
+    scored = spark.sparkContext.accumulator(0)
+
+    def score(k):
+        scored.add(1)
+        return k % 7 / 10
+
+    rows = spark.range(50).select(F.col("id").alias("line_no"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.udf(score, "double")("id").alias("score"))
+    assert detection.det_rates_by_row(rows).count() == 50 and scored.value == 50
