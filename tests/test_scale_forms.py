@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriframe.functions import scalars
-from veriframe.operators import cohort, detection, prepare, scoring
+from veriframe.operators import audio, cohort, detection, prepare, scoring
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -110,3 +110,9 @@ def test_rates_by_row_score_a_trial_once(spark):
 
     rows = spark.range(50).select(F.col("id").alias("line_no"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.udf(score, "double")("id").alias("score"))
     assert detection.det_rates_by_row(rows).count() == 50 and scored.value == 50
+
+
+def test_reverb_keeps_no_blocks_of_short_clips():
+    made = audio.overlap_add(np.arange(64.0), np.array([1.0, 0.5]))
+    assert made.base is None and made.nbytes == 64 * 8
+    assert made == pytest.approx(np.convolve(np.arange(64.0), [1, 0.5])[:64])

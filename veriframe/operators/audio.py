@@ -123,7 +123,7 @@ def overlap_add(x: np.ndarray, response: np.ndarray, spectra: dict | None = None
         own = out[a * step : (a + rows + 1) * step].reshape(-1, step)
         own[:-1] += made[:, :step]
         own[1:, : m - 1] += made[:, step:]
-    return out[: len(x)]
+    return out[: len(x)].copy()  # a view would keep whole blocks of a short clip in memory
 
 
 def apply_reverb(rows: DataFrame, samples: str, response: str) -> DataFrame:
