@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import scalars
 from veriframe.operators import audio, cohort, detection, prepare, scoring
+from veriframe.sources import line_files
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -116,3 +117,13 @@ def test_reverb_keeps_no_blocks_of_short_clips():
     made = audio.overlap_add(np.arange(64.0), np.array([1.0, 0.5]))
     assert made.base is None and made.nbytes == 64 * 8
     assert made == pytest.approx(np.convolve(np.arange(64.0), [1, 0.5])[:64])
+
+
+def test_short_ranges_are_shared_out_to_few_tasks(spark, tmp_path):
+    lines = [f"s{k % 7} d/{k}.wav" for k in range(5_000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("x y\n")
+    rows = line_files.read_list(spark, str(tmp_path), "manifest", 128)
+    assert rows.rdd.getNumPartitions() <= line_files.TASKS + 1 < rows.select("file", "split").distinct().count()
+    numbered = line_files.line_numbers(rows, str(tmp_path), 128).filter("path <> 'y'").collect()
+    assert sorted((r.line_no, f"{r.speaker} {r.path}") for r in numbered) == list(enumerate(lines))

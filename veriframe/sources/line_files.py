@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-SPLIT_BYTES, CHUNK, BATCH_LINES = 16 << 20, 1 << 20, 10_000
+SPLIT_BYTES, CHUNK, LINE, BATCH_LINES = 16 << 20, 1 << 20, 4 << 10, 10_000
+#: Tasks that short ranges are shared out to at most, where a task would not have SPLIT_BYTES to read.
+TASKS = 64
 #: Fields of each kind of list, as the batch source gives them after file, split and line_in_split.
 KINDS = {
     "manifest": (("speaker", pa.string()), ("path", pa.string())),
@@ -65,7 +67,7 @@ def lines_between(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]
         f.seek(at)
         rest, skip = b"", start > 0
         while at < end:
-            chunk = f.read(CHUNK)
+            chunk = f.read(min(CHUNK, max(end - f.tell(), LINE)))  # not far beyond a short range
             pieces = (rest + chunk).split(b"\n")
             rest = pieces.pop()
             if not chunk and rest:
@@ -89,6 +91,27 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, each with its own number in its file."""
+
+    own: list[Range]
+
+
+def shared_out(own: list[Range]) -> list[Ranges]:
+    """The ranges in their order, in parts of about equal bytes: the tasks do not grow with the number of ranges."""
+    share = max(1, min(SPLIT_BYTES, -(-sum(r.end - r.start for r in own) // TASKS)))
+    out: list[Ranges] = []
+    held = share
+    for r in own:
+        if held >= share:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].own.append(r)
+        held += r.end - r.start
+    return out
+
+
 def ranges(file: str, start: int, end: int, size: int) -> list[Range]:
     return [Range(file, k, a, min(a + size, end)) for k, a in enumerate(range(start, end, size))]
 
@@ -120,11 +143,13 @@ class ListFileReader(DataSourceReader):
         self.tests: list[tuple[int, type, object]] = []
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [r for file, size in files_below(self.path) for r in ranges(file, 0, size, self.size)] or [Range("", 0, 0, 0)]
+        return shared_out([r for file, size in files_below(self.path) for r in ranges(file, 0, size, self.size)]) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.file:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.own:
+            yield from self._read(r)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if self.kind == "counts":
             n = sum(1 for _ in lines_between(partition.file, partition.start, partition.end))
             yield pa.RecordBatch.from_pydict({"file": [partition.file], "split": pa.array([partition.split], pa.int32()), "n_lines": [n]})
