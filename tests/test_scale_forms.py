@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import scalars
 from veriframe.operators import audio, cohort, detection, prepare, scoring
+from veriframe.plans import io_queries, prefix_sum
 from veriframe.sources import line_files
+from veriframe.streaming import monitor
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -127,3 +129,63 @@ def test_short_ranges_are_shared_out_to_few_tasks(spark, tmp_path):
     assert rows.rdd.getNumPartitions() <= line_files.TASKS + 1 < rows.select("file", "split").distinct().count()
     numbered = line_files.line_numbers(rows, str(tmp_path), 128).filter("path <> 'y'").collect()
     assert sorted((r.line_no, f"{r.speaker} {r.path}") for r in numbered) == list(enumerate(lines))
+
+
+def test_state_of_few_runs_has_a_partition_a_core_at_most(spark, tmp_path):
+    """However many partitions the caller's shuffles have; missing values and any order of a batch's records."""
+    runs = {1: [5.0, None, 4.0, 4.0, 9.0, 1.0], 2: [2.0, 3.0], 3: [None, None, None, 1.0]}
+    rows = [(r, k, v) for r, vs in runs.items() for k, v in enumerate(vs)][::-1]
+    spark.createDataFrame(rows, "run long, seq long, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        own = monitor.state_session(spark, few_keys=True)
+        assert monitor.state_session(spark).conf.get("spark.sql.shuffle.partitions") == "37"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stream = monitor.monitored(own.readStream.schema("run long, seq long, value double").parquet(str(tmp_path / "in")), 3)
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.run, r.seq, r.event, r.best) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 0, "improved", 5.0), (1, 2, "improved", 4.0), (1, 5, "improved", 1.0), (2, 0, "improved", 2.0), (3, 2, "stopped", math.inf)]
+    stores = [p for p in (tmp_path / "state/state/0").iterdir() if p.name.isdigit()]
+    assert 0 < len(stores) <= spark.sparkContext.defaultParallelism
+
+
+def test_records_are_packed_before_they_meet_by_run(spark):
+    rows = [(k % 3 if k % 50 else None, k, None if k % 11 == 0 else k / 8) for k in range(3000)]
+    made = monitor.packed(spark.createDataFrame(rows, "run long, seq long, value double").coalesce(1)).collect()
+    assert len(made) == 4  # a row a run, not a record
+    got = {(r.run, s, None if math.isnan(v) else v) for r in made for s, v in zip(r.seqs, r.values, strict=True)}
+    assert got == set(rows) and sum(len(r.seqs) for r in made) == len(rows)
+    assert monitor.packed(spark.createDataFrame([], "run long, seq long, value double")).count() == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_rows_of_few_groups_do_not_meet_by_group(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(prefix_sum, "BROADCAST_GROUPS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = prefix_sum.numbered_within(spark.range(600).select((F.col("id") % 2).alias("g"), (-F.col("id")).alias("k")), ["g"], ["k"])
+        assert {(r.g, r.k, r.nth, r.n_nth) for r in made.collect()} == {(-k % 2, k, (598 + k % 2 + k) // 2, 300) for k in range(-599, 1)}
+        assert ("SortMergeJoin" in made._jdf.queryExecution().executedPlan().toString()) == (not few)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tail_of_many_short_files_takes_few_tasks(tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k:03}.txt").write_text(f"a{k}\nb{k}\n")
+    reader = line_files.LogTailReader({"path": str(tmp_path)})
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) <= line_files.TASKS + 1
+    lines = [v for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()]
+    assert sorted(lines) == sorted(f"{c}{k}" for k in range(300) for c in "ab")
+
+
+def test_a_tenth_of_the_live_records_is_read_without_the_others(spark, sf_dir):
+    rows = io_queries._log_records(spark, sf_dir)
+    one = rows.filter("part = 3")
+    assert 0 < len(one.select("run").inputFiles()) and rows.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "(part#" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]

@@ -89,23 +89,29 @@ PARTS = 10
 
 
 def _log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as epochs of four runs, in the order of time, with the tenth of its run that each is in."""
+    """The events as epochs of four runs, in the order of time, with the tenth of its run that each is in. They are stored
+    by tenth, so that a tenth is read without the others."""
     events = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(4)).alias("run"), "ts", "event_id", F.round("value", 4).alias("veer"))
     placed = numbered_within(events, ["run"], ["ts", "event_id"])
     part = F.floor(F.col("nth") * PARTS / F.col("n_nth")).cast("int")
-    return materialize(placed.select("run", "event_id", (F.col("nth") + 1).alias("epoch"), "veer", F.round(F.col("veer") / 10, 5).alias("min_dcf"), F.round(F.col("veer") / 2, 6).alias("threshold"), part.alias("part")))
+    rows = placed.select("run", "event_id", (F.col("nth") + 1).alias("epoch"), "veer", F.round(F.col("veer") / 10, 5).alias("min_dcf"), F.round(F.col("veer") / 2, 6).alias("threshold"), part.alias("part"))
+    where = folder(spark, "records")
+    rows.write.partitionBy("part").parquet(where)
+    return spark.read.schema(rows.schema).parquet(where)
 
 
 def _written_live(rows: DataFrame, where: str, start) -> None:
     """Write the rows' lines part by part, while a stream that ``start`` begins follows them; it is stopped halfway and
-    begun again from its checkpoint."""
+    begun again from its checkpoint. A run's part is one file, which appears as a whole: the stream must not meet
+    later epochs of a run before earlier ones."""
     running: StreamingQuery | None = None
     for k in range(PARTS):
         if k == PARTS // 2 and running:
             running.stop()
             running = None
-        part = rows.filter(F.col("part") == k).repartition("run").sortWithinPartitions("run", "epoch")
-        part.select("run", sinks.validation_line().alias("value")).write.mode("append").partitionBy("run").text(where)
+        part = rows.filter(F.col("part") == k).select("run", "epoch", sinks.validation_line().alias("value"))  # in all tasks, not a run's one
+        part = part.repartition(rows.sparkSession.sparkContext.defaultParallelism, "run").sortWithinPartitions("run", "epoch")
+        part.select("run", "value").write.mode("append").partitionBy("run").text(where)
         running = running or start()
         running.processAllAvailable()
     running.stop()
@@ -141,7 +147,7 @@ _LIVE = _BEST.replace("user_id AS run", "user_id % 4 AS run").replace("PARTITION
 )
 def live_best_monitor(spark, sf_dir):
     """Best values and stops of runs whose logs grow in ten steps; the state outlives a restart."""
-    rows, own = _log_records(spark, sf_dir), monitor.state_session(spark)
+    rows, own = _log_records(spark, sf_dir), monitor.state_session(spark, few_keys=True)
     source, out, state = (folder(spark, x) for x in ("source", "events", "state"))
 
     def start() -> StreamingQuery:

@@ -229,9 +229,13 @@ class LogTailReader(DataSourceStreamReader):
         for file, upto in end.items():
             done = start.get(file, 0)
             out += ranges(file, done if done <= upto else 0, upto, self.size)
-        return out
+        return shared_out(out)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.own:
+            yield from self._read(r)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []
         for at, line in lines_between(partition.file, partition.start, partition.end):
             held.append((at, line.decode("utf-8", "replace")))
